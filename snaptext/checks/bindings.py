@@ -26,7 +26,7 @@ HINTS = [
 ]
 BODY_START = {"en": 10, "fr": 5, "de": 1, "es": 12}
 PAGE_KEYWORD = "Condition"
-DISTANCE_FLOOR = 0.35
+DISTANCE_FLOOR = 0.45
 PROBE_DAYS = ["1994-06-30", "1995-03-15", "1996-12-31", "1998-07-01", "2000-02-29", "2001-12-31", "2024-01-01"]
 TURN_DAYS = ["2023-12-31", "2024-01-01", "2024-02-15", "2024-04-01", "2025-01-01"]
 FIRST_YEAR, YEARS_PER_SNAPSHOT, N_SNAPSHOTS = 1995, 2, 4

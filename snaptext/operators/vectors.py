@@ -65,9 +65,11 @@ def _distances(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     dots = q @ c.T
     qn, cn = (q * q).sum(axis=1)[:, None], (c * c).sum(axis=1)[None, :]
     if metric == "squared_l2":
-        return qn + cn - 2 * dots
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return 1.0 - dots / np.sqrt(qn * cn)
+        d = qn + cn - 2 * dots
+    else:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = 1.0 - dots / np.sqrt(qn * cn)
+    return np.maximum(d, 0.0)
 
 
 def nearest(
