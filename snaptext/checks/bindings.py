@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from snaptext.functions import html, text as tx
 from snaptext.operators import chunking, fusion, timelines
 from snaptext.plans import ingest, retrieval
-from snaptext.scale import only_keys_of, small_side, stored
+from snaptext.scale import only_keys_of, small_side, spread, stored
 
 # Fixed values shared with the check SQL.
 OLD, CURRENT = "2021-01-01", "2023-01-01"
@@ -41,6 +41,9 @@ class Data:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, name: str, key: str) -> DataFrame:
+        return spread(self.table(name), key)
+
     # Documents as a corpus with two editions.
 
     def editions(self) -> DataFrame:
@@ -51,7 +54,7 @@ class Data:
         """
         lines = F.split("text", "\n")
         n = F.size("ls")
-        base = self.table("documents").select(
+        base = self.texts("documents", "doc_id").select(
             F.col("doc_id").cast("string").alias("entity_id"), F.col("source").alias("section"), "text", lines.alias("ls")
         )
         joined = lambda count: F.array_join(F.slice("ls", F.lit(2), F.greatest(count, F.lit(0))), "\n")
@@ -146,7 +149,7 @@ class Data:
         inner = F.expr("slice(split(passage, '[ \\n]+'), 2, greatest(size(split(passage, '[ \\n]+')) - 2, 0))")
         longest = F.expr("array_max(transform(_inner, w -> struct(length(w) AS n, w AS w))).w")
         keyed = items.withColumn("_inner", inner).withColumn("word", longest).drop("_inner")
-        words = self.table("documents").select(
+        words = self.texts("documents", "doc_id").select(
             F.col("doc_id").cast("string").alias("entity_id"),
             "text",
             F.explode(F.array_distinct(F.split("text", "[ \n]+"))).alias("word"),
@@ -261,7 +264,7 @@ class Data:
     # Conversations as texts that change with every turn.
 
     def turns(self) -> DataFrame:
-        return self.table("conversations").select(
+        return self.texts("conversations", "conv_id").select(
             F.col("conv_id").cast("string").alias("entity_id"), F.col("turn").cast("int").alias("idx"), "text", "role"
         )
 
@@ -305,7 +308,7 @@ class Data:
         marked = F.regexp_replace(
             markup, html.TITLE, F.concat(F.lit(f"\n{PAGE_KEYWORD} "), number, F.lit(". $1\n"))
         )
-        return self.table("pages").select(
+        return self.texts("pages", "page_id").select(
             F.regexp_extract(url, r"^https?://[^/]+/([a-z]{2})/", 1).alias("snapshot"),
             F.col("page_id").cast("int").alias("page"),
             F.concat(outer, F.lit("\n"), html.plain(marked)).alias("text"),

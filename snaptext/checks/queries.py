@@ -85,7 +85,7 @@ def fetch_snapshot(d):
 
 @query
 def boilerplate_filter(d):
-    kept = lines.body_lines(d.table("documents").select("doc_id", "text"), bd.RULES)
+    kept = lines.body_lines(d.texts("documents", "doc_id").select("doc_id", "text"), bd.RULES)
     return longs(kept, "line_no")
 
 
@@ -147,13 +147,13 @@ def reconstruct_roundtrip(d):
 
 @query
 def tokenise(d):
-    toks = d.table("documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
+    toks = d.texts("documents", "doc_id").select("doc_id", tx.tokens(F.col("text")).alias("t"))
     return toks.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 @query
 def normalise_text(d):
-    norm = d.table("documents").select("doc_id", tx.normalised(F.col("text")).alias("t"))
+    norm = d.texts("documents", "doc_id").select("doc_id", tx.normalised(F.col("text")).alias("t"))
     return norm.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
 

@@ -14,6 +14,8 @@ BLANK_RUN = (
     r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 )
+# The same for Java, which may first rule out all printable ASCII in one step.
+BLANK_RUN_JAVA = f"[[^!-~]&&{BLANK_RUN[:-1]}]+"
 TOKEN = r"[a-z0-9]+"
 HYPHEN_PAIR = r"[a-z0-9]+-[a-z0-9]+"
 
@@ -25,22 +27,26 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Blank-separated words, in order."""
-    return F.filter(F.split(text, BLANK_RUN), lambda w: w != "")
+    return F.array_remove(F.split(text, BLANK_RUN_JAVA), "")
 
 
 def tokens(text: Column) -> Column:
     """Lower-case alphanumeric tokens, then the joined form of each hyphenated pair."""
     low = F.lower(text)
-    pairs = F.regexp_extract_all(low, F.lit(HYPHEN_PAIR), F.lit(0))
-    return F.concat(
-        F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)),
-        F.transform(pairs, lambda p: F.replace(p, F.lit("-"), F.lit(""))),
+    pairs = F.array_join(F.regexp_extract_all(low, F.lit(HYPHEN_PAIR), F.lit(0)), " ")
+    joined = F.split(F.replace(pairs, F.lit("-"), F.lit("")), " ")
+    return F.array_remove(
+        F.concat(
+            F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)),
+            F.when(F.contains(low, F.lit("-")), joined).otherwise(F.array().cast("array<string>")),
+        ),
+        "",
     )
 
 
 def normalised(text: Column) -> Column:
     """Lower-case letters and digits only; the form in which texts are compared."""
-    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
 
 
 def natural_number(entity: Column, missing: int = 999) -> Column:

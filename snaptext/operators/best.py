@@ -1,0 +1,44 @@
+"""Keeping the n best rows per query inside a task, for searches that score in matrix blocks."""
+
+from __future__ import annotations
+
+import numpy as np
+
+CELLS_PER_STEP = 4_000_000  # scores held by one task at a time
+
+
+class BestRows:
+    """The ``n`` smallest values per query over rows that arrive in key order.
+
+    Rows are counted as they come; of equal values the earlier row stays, so the result
+    is that of a sort by (value, key). NaN never counts.
+    """
+
+    def __init__(self, n_queries: int, n: int):
+        self.n = n
+        self.values = np.full((n_queries, n), np.inf)
+        self.rows = np.full((n_queries, n), -1, dtype=np.int64)
+        self.seen = 0
+
+    def add(self, values: np.ndarray) -> None:
+        """``values`` has one line per query and one column per new row."""
+        for i in np.flatnonzero((values < self.values[:, -1:]).any(axis=1)):
+            self.add_line(i, values[i])
+        self.pass_rows(values.shape[1])
+
+    def add_line(self, i: int, values: np.ndarray) -> None:
+        """Values of the next rows for query ``i`` alone; ``pass_rows`` then moves on."""
+        better = np.flatnonzero(values < self.values[i, -1])
+        if len(better):
+            both = np.concatenate([self.values[i], values[better]])
+            rows = np.concatenate([self.rows[i], better + self.seen])
+            first = np.argsort(both, kind="stable")[: self.n]
+            self.values[i], self.rows[i] = both[first], rows[first]
+
+    def pass_rows(self, count: int) -> None:
+        self.seen += count
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, row number and value of everything kept."""
+        query, slot = np.nonzero(self.rows >= 0)
+        return query, self.rows[query, slot], self.values[query, slot]

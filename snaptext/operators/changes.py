@@ -31,7 +31,8 @@ def blocks_of_texts(texts: DataFrame, size: int = settings.COMPARE_BLOCK_CHARS)
 def blocks_of_pieces(pieces: DataFrame, size: int = settings.COMPARE_BLOCK_CHARS) -> DataFrame:
     """The same blocks from ordered pieces (``entity_id, idx, place, piece``) of texts of any length."""
     keys = ["entity_id", "idx"]
-    norm = pieces.select(*keys, "place", tx.normalised(F.col("piece")).alias("_norm")).where("_norm <> ''")
+    filled = pieces.where(F.lower("piece").rlike("[a-z0-9]"))
+    norm = filled.select(*keys, "place", tx.normalised(F.col("piece")).alias("_norm"))
     placed = carry_forward(norm, keys, "place", totals={"_at": F.length("_norm")})
     end = F.col("_at") + F.length("_norm")
     cut = placed.select(

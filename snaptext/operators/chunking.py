@@ -123,8 +123,12 @@ def entity_sizes(chunks: DataFrame) -> DataFrame:
 
 
 def fresh_pieces(chunks: DataFrame, overlap: int = settings.WINDOW_OVERLAP) -> DataFrame:
-    """Each chunk without the words it repeats; in order they are the whole text. No shuffle."""
-    own = F.array_join(F.slice(tx.words(F.col("text")), overlap + 1, F.greatest(F.col("n_words"), F.lit(1))), " ")
+    """Each chunk without the words it repeats; in order they are the whole text. No shuffle.
+
+    Words of a chunk are joined by single spaces, so the repeated ones end at a known space.
+    """
+    repeated = F.length(F.substring_index("text", " ", overlap))
+    own = F.substring(F.col("text"), repeated + 2, F.length("text"))
     return chunks.select(
         "snapshot",
         "entity_id",

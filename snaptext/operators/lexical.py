@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from snaptext import settings
 from snaptext.functions import text as tx
+from snaptext.operators.best import CELLS_PER_STEP, BestRows
 from snaptext.scale import is_small, shared_folder, stored
 
 CHUNK_KEYS = ["entity_id", "chunk_index"]
 QUERY_KEYS = ["query_id", "sub_no"]
+BLOCK_QUERIES, BLOCK_TERMS = 20_000, 40_000  # largest batch scored in blocks
 
 
 @dataclass
@@ -36,22 +42,17 @@ def postings(chunks: DataFrame, shards: int) -> DataFrame:
     split = keyed.select(
         *CHUNK_KEYS, tx.tokens(F.col("text")).alias("_body"), tx.tokens(F.col("title")).alias("_title")
     )
-    one, none = F.lit(1), F.lit(0)
-    tagged = F.concat(
-        F.transform("_body", lambda t: F.struct(t.alias("term"), one.alias("body"), none.alias("title"))),
-        F.transform("_title", lambda t: F.struct(t.alias("term"), none.alias("body"), one.alias("title"))),
-    )
     return (
         split.select(
             *CHUNK_KEYS,
             F.size("_body").alias("len_body"),
             F.size("_title").alias("len_title"),
-            F.explode(tagged).alias("t"),
+            F.posexplode(F.concat("_body", "_title")).alias("_pos", "term"),
         )
-        .groupBy(*CHUNK_KEYS, "len_body", "len_title", F.col("t.term").alias("term"))
+        .groupBy(*CHUNK_KEYS, "len_body", "len_title", "term")
         .agg(
-            F.sum("t.body").cast("int").alias("tf_body"),
-            F.sum("t.title").cast("int").alias("tf_title"),
+            F.count_if(F.col("_pos") < F.col("len_body")).cast("int").alias("tf_body"),
+            F.count_if(F.col("_pos") >= F.col("len_body")).cast("int").alias("tf_title"),
         )
     )
 
@@ -72,17 +73,15 @@ def build_index(chunks: DataFrame, shards: int | None = None) -> LexicalIndex:
     (
         postings(chunks, shards)
         .write.bucketBy(shards, *CHUNK_KEYS)
-        .sortBy("term")
         .option("path", f"{shared_folder(spark)}/{name}")
         .saveAsTable(name)
     )
     table = spark.table(name)
     terms = stored(table.groupBy("term").agg(F.count("*").alias("df")), "terms")
-    sizes = chunks.select(
-        F.size(tx.tokens(F.col("text"))).alias("body"), F.size(tx.tokens(F.col("title"))).alias("title")
-    ).agg(F.count("*").alias("n"), F.sum("body").alias("body"), F.sum("title").alias("title")).first()
-    mean_idf = terms.agg(F.avg(raw_idf(F.col("df"), sizes["n"]))).first()[0]
-    return LexicalIndex(table, terms, sizes["n"], sizes["body"] or 0, sizes["title"] or 0, mean_idf or 0.0)
+    n_chunks = chunks.count()
+    sizes = table.agg(F.sum("tf_body").alias("body"), F.sum("tf_title").alias("title")).first()
+    mean_idf = terms.agg(F.avg(raw_idf(F.col("df"), n_chunks))).first()[0]
+    return LexicalIndex(table, terms, n_chunks, sizes["body"] or 0, sizes["title"] or 0, mean_idf or 0.0)
 
 
 def idf_table(index: LexicalIndex, epsilon: float = settings.BM25_EPSILON) -> DataFrame:
@@ -117,6 +116,24 @@ def query_terms(queries: DataFrame, aliases: dict[str, list[str]] | None = None)
     )
 
 
+def _score_part(title_weight: int, mean_length: float, k1: float, b: float) -> Column:
+    """What one term adds to a chunk's score, without the term's weight."""
+    tf = F.col("tf_body") + title_weight * F.col("tf_title")
+    length = F.col("len_body") + title_weight * F.col("len_title")
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.lit(mean_length)))
+
+
+def _mean_length(index: LexicalIndex, title_weight: int) -> float:
+    return (index.total_body + title_weight * index.total_title) / max(index.n_chunks, 1)
+
+
+def term_weights(index: LexicalIndex, terms: DataFrame, epsilon: float, small: bool) -> DataFrame:
+    """Count in the query times idf, for every query term that the corpus has."""
+    return idf_table(index, epsilon).join(F.broadcast(terms) if small else terms, "term").select(
+        *QUERY_KEYS, "term", (F.col("qtf") * F.col("idf")).alias("weight")
+    )
+
+
 def scores(
     index: LexicalIndex,
     terms: DataFrame,
@@ -125,20 +142,14 @@ def scores(
     b: float = settings.BM25_B,
     epsilon: float = settings.BM25_EPSILON,
 ) -> DataFrame:
-    """BM25 of every chunk that shares a term with a query.
+    """BM25 of every chunk that shares a term with a query, one row per pair.
 
     The title counts ``title_weight`` times. Query terms are broadcast when measured to
     be small; there is then no shuffle of scores, as postings are bucketed by chunk.
     """
     small = is_small(terms)
-    wanted = F.broadcast(terms) if small else terms
-    weights = idf_table(index, epsilon).join(wanted, "term").select(
-        *QUERY_KEYS, "term", (F.col("qtf") * F.col("idf")).alias("weight")
-    )
-    mean_length = (index.total_body + title_weight * index.total_title) / max(index.n_chunks, 1)
-    tf = F.col("tf_body") + title_weight * F.col("tf_title")
-    length = F.col("len_body") + title_weight * F.col("len_title")
-    part = F.col("weight") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / F.lit(mean_length)))
+    weights = term_weights(index, terms, epsilon, small)
+    part = F.col("weight") * _score_part(title_weight, _mean_length(index, title_weight), k1, b)
     # At most one row per row of ``terms``, so the same bound holds.
     return (
         index.postings.join(F.broadcast(weights) if small else weights, "term")
@@ -153,20 +164,96 @@ def first_n(df: DataFrame, n: int, keys: list[str], order: list[Column]) -> Data
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def _best_per_task(index: LexicalIndex, weights: pd.DataFrame, n: int, part: Column, schema: str) -> DataFrame:
+    """Each task's ``n`` best chunks per query, scored in blocks of a term-chunk matrix.
+
+    Pairs of query and chunk stay numbers in a block; only the best become rows.
+    """
+    spark = index.postings.sparkSession
+    ids = weights[QUERY_KEYS].drop_duplicates(ignore_index=True)
+    terms = np.unique(weights["term"].to_numpy())
+    weights = weights.merge(ids.reset_index(names="query_no"), on=QUERY_KEYS)
+    weights["term_no"] = np.searchsorted(terms, weights["term"].to_numpy())
+    by_query = [
+        (g["term_no"].to_numpy(), g["weight"].to_numpy()) for _, g in weights.sort_values("query_no").groupby("query_no")
+    ]
+    # With positive weights a score above zero means a shared term; otherwise terms are counted.
+    positive = bool((weights["weight"] > 0).all())
+    sent = spark.sparkContext.broadcast((ids, by_query))
+
+    numbered = pd.DataFrame({"term": terms, "term_no": np.arange(len(terms), dtype=np.int32)})
+    vocabulary = spark.createDataFrame(numbered, "term string, term_no int")
+    rows = (
+        index.postings.join(F.broadcast(vocabulary), "term")
+        .groupBy(*CHUNK_KEYS)
+        .agg(F.collect_list(F.struct("term_no", part.alias("part"))).alias("parts"))
+        .sortWithinPartitions(*CHUNK_KEYS)
+    )
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, asked = sent.value
+        kept = BestRows(len(q_ids), n)
+        seen: list[pa.Table] = []
+        step = max(1, CELLS_PER_STEP // max(1, len(numbered)))
+        for batch in batches:
+            seen.append(pa.Table.from_batches([batch.select(CHUNK_KEYS)]))
+            lists = batch.column("parts")
+            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            row = np.repeat(np.arange(len(batch)), np.diff(bounds))
+            term, value = (lists.flatten().field(i).to_numpy() for i in (0, 1))
+            for at in range(0, len(batch), step):
+                to = min(at + step, len(batch))
+                mine = slice(bounds[at], bounds[to])
+                block = np.zeros((len(numbered), to - at))
+                block[term[mine], row[mine] - at] = value[mine]
+                for i, (used, weight) in enumerate(asked):
+                    parts = block[used]
+                    score = weight @ parts
+                    matched = score > 0 if positive else (parts > 0).any(axis=0)
+                    kept.add_line(i, np.where(matched, -np.round(score, 6), np.nan))
+                kept.pass_rows(to - at)
+        if not seen:
+            return
+        query, at, value = kept.found()
+        hits = pa.concat_tables(seen).take(at)
+        asked_by = pa.Table.from_pandas(q_ids, preserve_index=False).take(query)
+        columns = [asked_by.column(k).combine_chunks() for k in QUERY_KEYS]
+        columns += [hits.column(k).combine_chunks() for k in CHUNK_KEYS]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(-value)], [*QUERY_KEYS, *CHUNK_KEYS, "score"])
+
+    return rows.mapInArrow(best, schema)
+
+
 def lexical_hits(
     index: LexicalIndex,
     queries: DataFrame,
     n: int = settings.CANDIDATES,
     aliases: dict[str, list[str]] | None = None,
     title_weight: int = settings.TITLE_WEIGHT,
+    k1: float = settings.BM25_K1,
+    b: float = settings.BM25_B,
+    epsilon: float = settings.BM25_EPSILON,
+    max_queries: int = BLOCK_QUERIES,
+    max_terms: int = BLOCK_TERMS,
 ) -> DataFrame:
     """The ``n`` best chunks of each query; ties go by entity and position.
 
-    Only chunks that share a term with the query are ranked.
+    Only chunks that share a term with the query are ranked. A batch of at most
+    ``max_queries`` queries and ``max_terms`` distinct terms is scored in blocks inside
+    the tasks; a larger one by joins, with one row per matching pair. Both give the same
+    lists.
     """
-    scored = scores(index, query_terms(queries, aliases), title_weight)
-    rounded = scored.withColumn("score", F.round("score", 6))
+    terms = query_terms(queries, aliases)
+    scored = None
+    if is_small(terms):
+        weights = term_weights(index, terms, epsilon, True)
+        held = weights.toPandas()
+        if len(held[QUERY_KEYS].drop_duplicates()) <= max_queries and held["term"].nunique() <= max_terms:
+            types = {**dict(weights.dtypes), **dict(index.postings.dtypes)}
+            schema = ", ".join(f"{k} {types[k]}" for k in [*QUERY_KEYS, *CHUNK_KEYS]) + ", score double"
+            part = _score_part(title_weight, _mean_length(index, title_weight), k1, b)
+            scored = _best_per_task(index, held, n, part, schema)
+    if scored is None:
+        scored = scores(index, terms, title_weight, k1, b, epsilon).withColumn("score", F.round("score", 6))
     order = [F.desc("score"), F.asc("entity_id"), F.asc("chunk_index")]
-    return first_n(rounded, n, QUERY_KEYS, order).select(*QUERY_KEYS, "rank", *CHUNK_KEYS, "score")
-
-
+    return first_n(scored, n, QUERY_KEYS, order).select(*QUERY_KEYS, "rank", *CHUNK_KEYS, "score")

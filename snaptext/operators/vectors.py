@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from snaptext import settings
 from snaptext.functions import text as tx
+from snaptext.operators.best import CELLS_PER_STEP, BestRows
 from snaptext.operators.lexical import CHUNK_KEYS, QUERY_KEYS, first_n
+from snaptext.scale import spread
 
 QUERIES_PER_PASS = 20_000  # query vectors held by one task (10 MB at 64 dimensions)
-CELLS_PER_STEP = 4_000_000  # distances held by one task at a time
 
 
 def term_slot(term: Column, dims: int) -> Column:
@@ -104,40 +105,30 @@ def nearest(
         matrix = np.array(rows["vector"].tolist(), dtype=np.float64).reshape(len(rows), -1)
         sent = spark.sparkContext.broadcast((ids, matrix))
 
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q_ids, q = sent.value
             if not len(q_ids):
                 return
-            near = np.full((len(q_ids), n), np.inf)
-            where = np.full((len(q_ids), n), -1, dtype=np.int64)
-            seen: list[pd.DataFrame] = []
-            count = 0
+            kept = BestRows(len(q_ids), n)
+            seen: list[pa.Table] = []
             step = max(1, CELLS_PER_STEP // len(q_ids))
             for batch in batches:
-                seen.append(batch[keys])
-                for at in range(0, len(batch), step):
-                    vectors = np.array(batch["vector"].iloc[at : at + step].tolist(), dtype=np.float64)
-                    d = _distances(q, vectors, metric)
-                    if digits is not None:
-                        d = np.round(d, digits)
-                    # Later rows lose ties, so only strictly nearer ones can enter; NaN never does.
-                    for i in np.flatnonzero((d < near[:, -1:]).any(axis=1)):
-                        nearer = np.flatnonzero(d[i] < near[i, -1])
-                        both = np.concatenate([near[i], d[i][nearer]])
-                        at_pos = np.concatenate([where[i], nearer + count])
-                        first = np.argsort(both, kind="stable")[:n]
-                        near[i], where[i] = both[first], at_pos[first]
-                    count += len(vectors)
-            if not count:
+                seen.append(pa.Table.from_batches([batch.select(keys)]))
+                rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
+                rows = rows.astype(np.float64).reshape(len(batch), -1)
+                for at in range(0, len(rows), step):
+                    d = _distances(q, rows[at : at + step], metric)
+                    kept.add(d if digits is None else np.round(d, digits))
+            if not seen:
                 return
-            q_no, slot = np.nonzero(where >= 0)
-            out = pd.concat(seen, ignore_index=True).iloc[where[q_no, slot]].reset_index(drop=True)
-            for k in QUERY_KEYS:
-                out[k] = q_ids[k].to_numpy()[q_no]
-            out["distance"] = near[q_no, slot]
-            yield out[[*QUERY_KEYS, *keys, "distance"]]
+            query, row, distance = kept.found()
+            hits = pa.concat_tables(seen).take(row)
+            asked_by = pa.Table.from_pandas(q_ids, preserve_index=False).take(query)
+            columns = [asked_by.column(k).combine_chunks() for k in QUERY_KEYS]
+            columns += [hits.column(k).combine_chunks() for k in keys]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(distance)], [*QUERY_KEYS, *keys, "distance"])
 
-        return ordered.mapInPandas(best, schema)
+        return ordered.mapInArrow(best, schema)
 
     if passes == 1:
         found = one_pass(queries)
@@ -155,7 +146,7 @@ def nearest_approx(
     corpus: DataFrame,
     keys: list[str],
     n: int = settings.CANDIDATES,
-    bucket_length: float = 0.8,
+    bucket_length: float = 0.2,
     tables: int = 6,
     within: float = 1.6,
     seed: int = 42,
@@ -167,7 +158,7 @@ def nearest_approx(
     def features(df: DataFrame, cols: list[str]) -> DataFrame:
         return df.select(*cols, array_to_vector(unit_vector(F.col("vector"))).alias("features"))
 
-    rows = features(corpus.where(unit_vector(F.col("vector")).isNotNull()), keys)
+    rows = features(spread(corpus.where(unit_vector(F.col("vector")).isNotNull()), *keys), keys)
     asked = features(queries.where(unit_vector(F.col("vector")).isNotNull()), QUERY_KEYS)
     model = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed

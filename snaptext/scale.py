@@ -36,6 +36,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash ``df`` over all cores if it was read in fewer parts than there are cores.
+
+    For text-heavy work on a few small files; a large table keeps its scan partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_small(
     df: DataFrame,
     max_rows: int = settings.BROADCAST_ROWS,
