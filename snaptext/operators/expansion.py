@@ -82,10 +82,26 @@ def wanted_chunks(
 
 
 def reading_order(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Fetch the wanted chunks; entities by rank, chunks as they stand in the text."""
-    keys = ["snapshot", "entity_id", "chunk_index"]
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("entity_rank", "chunk_index"))
-    return chunks.join(small_side(wanted), keys).withColumn("place", place)
+    """Fetch the wanted chunks; entities by rank, chunks as they stand in the text.
+
+    ``place`` numbers a query's chunks without sorting them in one task: a whole entity
+    is numbered by its chunk index, only neighbours are counted, and the entities of a
+    query, of which there are few, give the offsets.
+    """
+    entity = ["query_id", "entity_rank"]
+    counts = wanted.groupBy(*entity).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("query_id").orderBy("entity_rank").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*entity, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*entity).orderBy("chunk_index"))
+    numbered = (
+        wanted.where("whole_entity")
+        .withColumn("inside", F.col("chunk_index") + 1)
+        .unionByName(wanted.where("NOT whole_entity").withColumn("inside", inside))
+        .join(small_side(offsets), entity)
+        .withColumn("place", (F.col("before") + F.col("inside")).cast("int"))
+        .drop("before", "inside")
+    )
+    return chunks.join(small_side(numbered), ["snapshot", "entity_id", "chunk_index"])
 
 
 def context_blocks(ordered: DataFrame) -> DataFrame:
