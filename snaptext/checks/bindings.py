@@ -187,6 +187,7 @@ class Data:
         line = self.document_timeline()
         return stored(timelines.as_of(only_keys_of(line, few, ["entity_id"]), probes), "resolved")
 
+    @cached_property
     def served(self) -> DataFrame:
         by_day = timelines.served_snapshot(self.resolved, CURRENT).select(
             "entity_id", "as_of", F.col("served").alias("snapshot")
@@ -194,7 +195,11 @@ class Data:
         pairs = self.union.join(self.questions().select("query_id", "as_of"), "query_id").select(
             "query_id", "entity_id", "as_of"
         ).distinct()
-        return pairs.join(by_day, ["entity_id", "as_of"]).select("query_id", "entity_id", "snapshot")
+        return stored(pairs.join(by_day, ["entity_id", "as_of"]).select("query_id", "entity_id", "snapshot"), "served")
+
+    @cached_property
+    def reading(self) -> tuple[DataFrame, DataFrame]:
+        return retrieval.reading(self.search_tables, self.union, self.served)
 
     # Orders as timelines and snapshots of customers.
 

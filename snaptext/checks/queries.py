@@ -312,14 +312,6 @@ def entities_first_seen(d):
 # Context.
 
 
-def _wanted(d) -> DataFrame:
-    return expansion.wanted_chunks(d.union, d.served(), d.chunks, bd.CURRENT)
-
-
-def _ordered(d) -> DataFrame:
-    return expansion.reading_order(_wanted(d), d.chunks)
-
-
 @query
 def chunk_index_sets(d):
     return longs(expansion.chunk_index_sets(d.chunks), "first_index", "last_index")
@@ -328,7 +320,7 @@ def chunk_index_sets(d):
 @query
 def expand_context(d):
     return longs(
-        _wanted(d).select("query_id", "entity_rank", "snapshot", "entity_id", "chunk_index", "whole_entity"),
+        d.reading[0].select("query_id", "entity_rank", "snapshot", "entity_id", "chunk_index", "whole_entity"),
         "entity_rank", "chunk_index",
     )
 
@@ -336,7 +328,7 @@ def expand_context(d):
 @query
 def expand_neighbours(d):
     """The same with small limits, so that most hits bring neighbours only."""
-    few = expansion.wanted_chunks(d.union, d.served(), d.chunks, bd.CURRENT, whole=1, strong=1, strong_whole=2)
+    few = expansion.wanted_chunks(d.union, d.served, d.chunks, bd.CURRENT, whole=1, strong=1, strong_whole=2)
     return longs(
         few.select("query_id", "entity_rank", "snapshot", "entity_id", "chunk_index", "whole_entity"),
         "entity_rank", "chunk_index",
@@ -345,12 +337,12 @@ def expand_neighbours(d):
 
 @query
 def reading_order(d):
-    return longs(_ordered(d).select("query_id", "place", "chunk_id", "text"), "place")
+    return longs(d.reading[1].select("query_id", "place", "chunk_id", "text"), "place")
 
 
 @query
 def context_blocks(d):
-    return longs(expansion.context_blocks(_ordered(d)), "block_no")
+    return longs(expansion.context_blocks(d.reading[1]), "block_no")
 
 
 def _facts(d) -> DataFrame:
@@ -367,14 +359,14 @@ def grounding_record(d):
     facts = grounding.facts_per_query(d.union, _facts(d))
     covered = grounding.covered_entities(d.union, d.table("labels").select(F.col("doc_id").cast("string").alias("entity_id")))
     return grounding.grounding_records(
-        d.questions(), facts, covered, expansion.contexts(expansion.context_blocks(_ordered(d))),
+        d.questions(), facts, covered, expansion.contexts(expansion.context_blocks(d.reading[1])),
         bd.CURRENT, F.to_date(F.lit(bd.TODAY)),
     )
 
 
 @query
 def retrieved_sources(d):
-    return longs(grounding.retrieved_sources(d.union, d.chunks, d.served(), bd.CURRENT), "rank")
+    return longs(grounding.retrieved_sources(d.union, d.chunks, d.served, bd.CURRENT), "rank")
 
 
 def _answers(d) -> DataFrame:
@@ -725,7 +717,7 @@ def _results(d) -> DataFrame:
 
 
 def _retrieved(d) -> DataFrame:
-    return d.union.join(d.served(), ["query_id", "entity_id"]).select(
+    return d.union.join(d.served, ["query_id", "entity_id"]).select(
         "query_id", "rank", "entity_id", F.col("snapshot").alias("served")
     )
 

@@ -12,7 +12,7 @@ from snaptext import settings
 from snaptext.functions import text as tx
 from snaptext.operators.best import CELLS_PER_STEP, BestRows
 from snaptext.operators.lexical import CHUNK_KEYS, QUERY_KEYS, first_n
-from snaptext.scale import spread
+from snaptext.scale import small_side, spread
 
 QUERIES_PER_PASS = 20_000  # query vectors held by one task (10 MB at 64 dimensions)
 
@@ -59,7 +59,9 @@ def query_vectors(queries: DataFrame, dims: int = settings.VECTOR_DIMS) -> DataF
 
 def unit_vector(vector: Column) -> Column:
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(vector, lambda x: x / norm))
+    # The norm is an argument, not part of the lambda, or it would be taken once per element.
+    norms = F.array_repeat(norm, F.size(vector))
+    return F.when(norm > 0, F.zip_with(vector, norms, lambda x, length: x / length))
 
 
 def _distances(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
@@ -151,26 +153,40 @@ def nearest_approx(
     within: float = 1.6,
     seed: int = 42,
 ) -> DataFrame:
-    """Approximate nearest neighbours with random-projection hashing; compare with ``nearest``."""
+    """Approximate nearest neighbours with random-projection hashing; compare with ``nearest``.
+
+    Vectors are scaled to unit length. Only rows that share a bucket with a query in one
+    of the hash tables are measured; the copies of a pair found in several tables come
+    from one row, so they collapse before any shuffle.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    def features(df: DataFrame, cols: list[str]) -> DataFrame:
-        return df.select(*cols, array_to_vector(unit_vector(F.col("vector"))).alias("features"))
+    def scaled(df: DataFrame, cols: list[str]) -> DataFrame:
+        unit = df.select(*cols, unit_vector(F.col("vector")).alias("unit")).where("unit IS NOT NULL")
+        return unit.withColumn("features", array_to_vector("unit"))
 
-    rows = features(spread(corpus.where(unit_vector(F.col("vector")).isNotNull()), *keys), keys)
-    asked = features(queries.where(unit_vector(F.col("vector")).isNotNull()), QUERY_KEYS)
+    rows = scaled(spread(corpus, *keys), keys)
     model = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
     ).fit(rows)
-    pairs = model.approxSimilarityJoin(asked, rows, within, distCol="distance")
-    flat = pairs.select(
-        *[F.col(f"datasetA.{k}").alias(k) for k in QUERY_KEYS],
-        *[F.col(f"datasetB.{k}").alias(k) for k in keys],
-        "distance",
+
+    def buckets(df: DataFrame, cols: list[str]) -> DataFrame:
+        hashed = model.transform(df).select(*cols, F.posexplode("hashes").alias("table", "hash"))
+        return hashed.withColumn("bucket", vector_to_array("hash")[0].cast("long")).drop("hash")
+
+    asked = buckets(scaled(queries, QUERY_KEYS).withColumnRenamed("unit", "asked"), [*QUERY_KEYS, "asked"])
+    squares = F.zip_with("unit", "asked", lambda x, y: (x - y) * (x - y))
+    near = (
+        buckets(rows, [*keys, "unit"])
+        .join(small_side(asked), ["table", "bucket"])
+        .select(*QUERY_KEYS, *keys, F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)).alias("distance"))
+        .groupBy(*QUERY_KEYS, *keys)
+        .agg(F.min("distance").alias("distance"))
+        .where(F.col("distance") <= within)
     )
     order = [F.asc("distance"), *[F.asc(k) for k in keys]]
-    return first_n(flat, n, QUERY_KEYS, order).select(*QUERY_KEYS, "rank", *keys, "distance")
+    return first_n(near, n, QUERY_KEYS, order).select(*QUERY_KEYS, "rank", *keys, "distance")
 
 
 def refused(queries: DataFrame, hits: DataFrame, floor: float = settings.DISTANCE_FLOOR) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from snaptext import settings
-from snaptext.operators import fusion, lexical, vectors
+from snaptext.operators import expansion, fusion, lexical, vectors
 from snaptext.scale import stored
 
 
@@ -54,3 +54,9 @@ def hybrid_union(
     """Hybrid top ``k`` of every sub-query, and their round-robin union per query."""
     hits = stored(fusion.hybrid_hits(lists.vector, lists.lexical, demoted, k), "hybrid")
     return hits, stored(fusion.round_robin(hits, budget), "union")
+
+
+def reading(tables: SearchTables, union: DataFrame, served: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chunks to read for each query, and the same with their texts in reading order."""
+    wanted = stored(expansion.wanted_chunks(union, served, tables.chunks, tables.current), "wanted")
+    return wanted, expansion.reading_order(wanted, tables.chunks)
