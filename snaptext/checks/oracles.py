@@ -667,6 +667,11 @@ FROM (SELECT idx, date, lead(date) OVER (ORDER BY idx) AS following FROM buckets
 SELECT class, entity_id, title, presence, interval, CASE WHEN changed_intervals = '' THEN '' ELSE 'I' || replace(changed_intervals, ',', ', I') END AS changed_in,
   n_changes, CAST(entity_id AS BIGINT) AS id_number
 FROM cust_classes JOIN (SELECT entity_id, 'status ' || arg_max(text, idx) AS title FROM cust_texts GROUP BY 1) USING (entity_id)""")
+    add("change_candidates", "cust_classes cust_texts", f"""
+SELECT entity_id, changed_intervals, similarity FROM cust_classes JOIN (
+  SELECT n.entity_id, min(round(1 - levenshtein({norm('o.text')}, {norm('n.text')}) / greatest(length({norm('o.text')}), length({norm('n.text')})), 4)) AS similarity
+  FROM cust_texts n JOIN cust_texts o ON o.entity_id = n.entity_id AND o.idx = n.idx - 1 GROUP BY 1) USING (entity_id)
+WHERE class = 'SINGLE-CHANGE' ORDER BY similarity, CAST(entity_id AS BIGINT), entity_id LIMIT 12""")
     add("mapped_selfcheck", "users cust_classes", """
 SELECT m.entity_id, mapped_as, coalesce(class, '?') AS detected FROM (
   SELECT number AS entity_id, 'existence' AS mapped_as FROM users UNION ALL SELECT entity_id, 'text-change' FROM users) m LEFT JOIN cust_classes USING (entity_id)""")

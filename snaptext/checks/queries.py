@@ -634,6 +634,18 @@ def change_report(d):
     return longs(changes.report_rows(_classes(d), titles), "interval", "n_changes")
 
 
+@query
+def change_candidates(d):
+    """Customers with one change, by how unlike the two statuses are."""
+    now = d.customer_snapshots().select("entity_id", "idx", F.col("text").alias("new"))
+    before = d.customer_snapshots().select("entity_id", (F.col("idx") + 1).alias("idx"), F.col("text").alias("old"))
+    near = textdiff.edit_similarity(now.join(before, ["entity_id", "idx"]), ["entity_id", "idx"])
+    top = changes.candidates(_classes(d), near.select("entity_id", F.col("edit_similarity").alias("similarity")))
+    return top.withColumn(
+        "changed_intervals", F.array_join(F.transform("changed_intervals", lambda i: i.cast("string")), ",")
+    )
+
+
 @query
 def mapped_selfcheck(d):
     """Detected class of every user number and every part number taken as hand-mapped."""

@@ -168,6 +168,19 @@ def report_rows(classes: DataFrame, titles: DataFrame) -> DataFrame:
     )
 
 
+def candidates(
+    classes: DataFrame, similarities: DataFrame, n: int = settings.REPORT_CANDIDATES
+) -> DataFrame:
+    """The ``n`` single-change entities with the largest change.
+
+    ``similarities`` has ``entity_id, similarity`` per interval; the smallest counts.
+    """
+    smallest = similarities.groupBy("entity_id").agg(F.min("similarity").alias("similarity"))
+    one = classes.where("class = 'SINGLE-CHANGE'").join(smallest, "entity_id")
+    order = [F.asc("similarity"), tx.natural_number(F.col("entity_id")), F.asc("entity_id")]
+    return one.orderBy(*order).limit(n).select("entity_id", "changed_intervals", "similarity")
+
+
 def self_check(mapped: DataFrame, classes: DataFrame) -> DataFrame:
     """Detected class of every hand-mapped entity (``entity_id, mapped_as``); ``?`` if not seen."""
     return mapped.join(classes.select("entity_id", "class"), "entity_id", "left").select(

@@ -189,3 +189,14 @@ def test_new_snapshots_are_followed(spark, tmp_path):
 
     assert arrive("a", ["Condition 1. T\nfirst", "goes on"]) == {("a", "1"): "first goes on"}
     assert arrive("b", ["Condition 1. T\nother"]) == {("a", "1"): "first goes on", ("b", "1"): "other"}
+
+
+def test_cases_read_with_missing_keys_as_null(spark, tmp_path):
+    path = tmp_path / "cases.json"
+    path.write_text('{"query_id": "a", "text": "q", "expected": "answer", "expect_entities": ["1"], "as_of": "2022-01-05"}\n'
+                    '{"query_id": "b", "text": "r", "expected": "refuse"}\n')
+    cases = {r["query_id"]: r for r in tables.read_cases(spark, str(path)).collect()}
+    assert str(cases["a"]["as_of"]) == "2022-01-05" and cases["a"]["expect_contains"] is None
+    assert cases["b"]["expect_entities"] is None
+    tables.write_results(tables.read_cases(spark, str(path)).select("query_id", "expected"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
