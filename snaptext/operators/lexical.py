@@ -31,6 +31,11 @@ class LexicalIndex:
     total_body: int
     total_title: int
     mean_idf: float
+    table_name: str
+
+    def drop(self) -> None:
+        """Forget the postings table; its files go with the shared folder."""
+        self.postings.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table_name}")
 
 
 def postings(chunks: DataFrame, shards: int) -> DataFrame:
@@ -65,7 +70,8 @@ def build_index(chunks: DataFrame, shards: int | None = None) -> LexicalIndex:
     """Write the index tables of ``chunks`` once for any number of query batches.
 
     Postings are bucketed by chunk, not by term: the parts of a chunk's score meet
-    without a shuffle, and a frequent term is spread over all buckets.
+    without a shuffle, and a frequent term is spread over all buckets. Sorting keeps the
+    rows of a chunk together, which lets its key be stored once per run.
     """
     spark = chunks.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -73,6 +79,7 @@ def build_index(chunks: DataFrame, shards: int | None = None) -> LexicalIndex:
     (
         postings(chunks, shards)
         .write.bucketBy(shards, *CHUNK_KEYS)
+        .sortBy(*CHUNK_KEYS)
         .option("path", f"{shared_folder(spark)}/{name}")
         .saveAsTable(name)
     )
@@ -81,7 +88,7 @@ def build_index(chunks: DataFrame, shards: int | None = None) -> LexicalIndex:
     n_chunks = chunks.count()
     sizes = table.agg(F.sum("tf_body").alias("body"), F.sum("tf_title").alias("title")).first()
     mean_idf = terms.agg(F.avg(raw_idf(F.col("df"), n_chunks))).first()[0]
-    return LexicalIndex(table, terms, n_chunks, sizes["body"] or 0, sizes["title"] or 0, mean_idf or 0.0)
+    return LexicalIndex(table, terms, n_chunks, sizes["body"] or 0, sizes["title"] or 0, mean_idf or 0.0, name)
 
 
 def idf_table(index: LexicalIndex, epsilon: float = settings.BM25_EPSILON) -> DataFrame:
