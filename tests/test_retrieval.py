@@ -1,7 +1,6 @@
 """Ranking, fusion, union and expansion against plain Python on small fixtures."""
 
 import math
-import random
 
 import numpy as np
 import pytest
