@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry_point
+from snaptext.checks.oracles import sql
+from snaptext.checks.queries import registered
 from check import compare, connect
 from conftest import SMALL
 
-SQL = entry_point.oracle_sql()
+SQL = sql()
 ROWS_ONLY = {"knn_approx", "word_diff", "side_by_side", "history_word_diff", "text_similarity"}
 
 
@@ -15,9 +17,9 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(registered()))
 def test_query(spark, con, name):
-    query = entry_point.queries()[name]
+    query = registered()[name]
     if name in ROWS_ONLY:
         assert name not in SQL
         assert query(spark, SMALL).count() > 0
