@@ -30,3 +30,9 @@ KEY = ["_id_key", "_text_key"]
 
 def with_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     return df.withColumns({KEY[0]: F.xxhash64(F.col(doc_id)), KEY[1]: F.xxhash64(whole(text))})
+
+
+def keyed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``KEY`` and the whole row as a struct ``row``, whatever its columns are called."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return df.select(F.xxhash64(F.col(doc_id)).alias(KEY[0]), F.xxhash64(whole(text)).alias(KEY[1]), row)

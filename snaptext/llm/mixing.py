@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from snaptext.llm.common import KEY, SPACE, n_words, whole, with_key
+from snaptext.llm.common import KEY, SPACE, keyed_rows, n_words, whole
 from snaptext.scale import stored
 
 MAX_EPOCHS = 3
@@ -146,17 +146,17 @@ def mixed_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     alike in id, text and source the other columns of one of them stand for all.
     """
     key = [*KEY, "_source_key"]
-    named = F.xxhash64("source").alias("_source_key")
     taken = (
         mix(docs, max_epochs)
         .filter("taken > 0")
-        .groupBy(F.xxhash64("doc_id").alias(KEY[0]), F.col("text_key").alias(KEY[1]), named)
-        .agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
+        .groupBy(F.xxhash64("doc_id").alias(KEY[0]), F.col("text_key").alias(KEY[1]), F.xxhash64("source").alias(key[2]))
+        .agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
     )
-    found = with_key(docs).withColumn("_source_key", named).dropDuplicates(key).join(taken, key)
-    cut = (F.col("_taken") % F.col("_size")).cast("int")
+    found = keyed_rows(docs).withColumn(key[2], F.xxhash64("row.source")).dropDuplicates(key).join(taken, key)
+    cut = (F.col("taken") % F.col("size")).cast("int")
+    text = F.when((F.col("copy") * F.col("size") > F.col("taken")) & (cut > 0), first_words(F.col("row.text"), cut)).otherwise(F.col("row.text"))
     return (
-        found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
-        .withColumn("text", F.when((F.col("_copy") * F.col("_size") > F.col("_taken")) & (cut > 0), first_words(F.col("text"), cut)).otherwise(F.col("text")))
-        .select(*docs.columns)
+        found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
+        .select(F.col("row").withField("text", text).alias("row"))
+        .select("row.*")
     )

@@ -17,14 +17,14 @@ the smallest member of each local group, never pairs; groups are then joined acr
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from snaptext.llm.common import KEY, with_key
+from snaptext.llm.common import KEY, keyed_rows, whole
 from snaptext.scale import stored
 
 SHINGLE_WORDS = 3
@@ -59,32 +59,28 @@ def simhash(text: bytes, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, plus ``fingerprint`` (long; the unsigned value's bits) and ``text_key``.
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(``doc_id``, ``text_key``, ``fingerprint``) for every row of (``doc_id``, ``text``).
 
-    ``text_key`` is a hash of the text and names a row together with its id. A null text counts as
-    empty, and a text without words has fingerprint 0. Works on one text at a time.
+    ``fingerprint`` is a long with the bits of the unsigned value; ``text_key`` is a hash of the text and names
+    a row together with its id. A null text counts as empty, and a text without words has fingerprint 0.
+    Works on one text at a time.
     """
-    kept = [c for c in docs.columns if c != text]
-    named = docs.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"),
-        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_bytes"),
-    )
+    text = whole("text")
+    named = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.cast("binary").alias("bytes"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([simhash(t.as_py()) for t in batch.column("_bytes")], dtype=np.uint64)
-            at = batch.schema.get_field_index("_bytes")
-            columns = [*batch.columns[:at], pa.array(prints.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:at], "fingerprint"])
+            prints = np.array([simhash(t.as_py()) for t in batch.column("bytes")], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(prints.view(np.int64))], names=["doc_id", "text_key", "fingerprint"]
+            )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema if f.name != "_bytes")
-    return named.mapInArrow(run, f"{schema}, fingerprint long")
+    return named.mapInArrow(run, f"doc_id {id_type}, text_key long, fingerprint long")
 
 
-@dataclass(frozen=True)
-class Node:
+class Node(NamedTuple):
     """A split; ``inside`` and ``outside`` are nodes or shard numbers."""
 
     vantage: int
@@ -124,7 +120,7 @@ def shards_of(tree: Node | int, points: np.ndarray, radius: int) -> tuple[np.nda
         node, at, left, guest = todo.pop()
         if not len(at):
             continue
-        if not isinstance(node, Node):
+        if not isinstance(node, tuple):
             visits.append((np.full(len(at), node, np.int32), at, guest))
             continue
         far = np.bitwise_count((points[at] ^ np.uint64(node.vantage)) & np.uint64(node.mask)).astype(np.int16)
@@ -283,4 +279,4 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")
     )
     best = best.select(F.xxhash64("best.doc_id").alias(KEY[0]), F.col("best.text_key").alias(KEY[1]))
-    return with_key(docs, doc_id, text).dropDuplicates(KEY).join(best, KEY, "left_semi").drop(*KEY)
+    return keyed_rows(docs, doc_id, text).dropDuplicates(KEY).join(best, KEY, "left_semi").select("row.*")
