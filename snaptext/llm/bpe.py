@@ -95,20 +95,20 @@ class Bpe:
         return self.join(self.piece(data[:middle]), self.piece(data[middle:]))
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        """Encoding of the concatenation of what two sequences of one piece encode."""
+        """Encoding of the concatenation of what two sequences of one piece encode.
+
+        The window mostly ends after a few tokens; in a text that repeats one letter it grows to the end.
+        """
         if not left or not right:
             return left or right
         reach = 4
         while True:
             l, r = max(0, len(left) - reach), min(len(right), reach)
-            window = self.merged_long(b"".join(self.bytes_of[i] for i in chain(left[l:], right[:r])))
+            window = self.merged(b"".join(self.bytes_of[i] for i in chain(left[l:], right[:r])))
             if (l == 0 or window[0] == left[l]) and (r == len(right) or window[-1] == right[r - 1]):
                 return [*left[:l], *window, *right[r:]]
             reach *= 2
 
-    def merged_long(self, data: bytes) -> list[int]:
-        return self.merged(data) if len(data) <= 4 * DIRECT else self.piece(data)
-
     def pieces(self, text: str) -> Iterator[str | int]:
         """Pieces of the pattern, and ids of added tokens, in order."""
         at = 0
@@ -140,14 +140,28 @@ class Bpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
     def parts(self, text: str, size: int) -> Iterator[tuple[str, str | int]]:
-        """Parts of a long text: "text", an "added" token's id, or a too long piece's "first" and "next" ones."""
+        """Parts of a long text: "text", an "added" token's id, "first" and "next" ones of a single piece.
+
+        A text part is cut into the same pieces again if it doesn't end in white space (whose pieces
+        depend on what follows); such an end is given as pieces of their own.
+        """
         held: list[str] = []
         length = 0
+
+        def flush() -> Iterator[tuple[str, str | int]]:
+            at = len(held)
+            while at and held[at - 1].isspace():
+                at -= 1
+            if at:
+                yield "text", "".join(held[:at])
+            yield from (("first", p) for p in held[at:])
+            held.clear()
+
         for p in self.pieces(text):
             fits = isinstance(p, str) and len(p) <= size
             if held and (not fits or length + len(p) > size):
-                yield "text", "".join(held)
-                held, length = [], 0
+                yield from flush()
+                length = 0
             if fits:
                 held.append(p)
                 length += len(p)
@@ -156,8 +170,7 @@ class Bpe:
             else:
                 for i in range(0, len(p), size):
                     yield "next" if i else "first", p[i : i + size]
-        if held:
-            yield "text", "".join(held)
+        yield from flush()
 
 
 @lru_cache(maxsize=2)

@@ -5,7 +5,8 @@ digits ``0``, marks stay), so that the n-grams speak of how a text is written in
 shapes and pairs of neighbours are hashed into ``BUCKETS``. Two multinomials over the buckets, one of the
 trusted documents and one of the whole corpus, give each bucket a log ratio; a document's verdict is its
 mean over all its n-grams against a fixed threshold, the same for every document. At 0 a text is as
-likely in the corpus as in the trusted part.
+likely in the corpus as in the trusted part. The trusted counts are smoothed towards the corpus, by as
+many n-grams as ``PRIOR`` says, so that a few trusted documents cannot condemn what they lack.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from snaptext.scale import stored
 BUCKETS = 4096
 #: Mean log ratio (nats per n-gram) below which a document is rejected.
 THRESHOLD = -0.5
-SMOOTHING = 1.0
+PRIOR = 1000.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Up to so many different repeated windows are looked up one by one, more by sorting; only a matter of speed.
 _FEW = 32
@@ -90,11 +91,11 @@ def with_base(df: DataFrame, text: Column) -> DataFrame:
     )
 
 
-def log_ratios(features: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
+def log_ratios(features: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
     """log p(trusted) - log p(corpus) per bucket, from a stored (``doc_id``, ``buckets``) and the ids of trusted documents.
 
     Counts cover all n-grams of all documents; one row per bucket comes to the driver. Without trusted
-    documents all ratios are 0.
+    documents, and for buckets that the corpus lacks, ratios are 0.
     """
     known = trusted.filter("doc_id is not null").select("doc_id").distinct().withColumn("_trusted", F.lit(1))
     counts = (
@@ -104,12 +105,10 @@ def log_ratios(features: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
         .collect()
     )
     n_trusted, n_corpus = sum(r["trusted"] for r in counts), sum(r["corpus"] for r in counts)
-    if not n_trusted:
-        return [0.0] * buckets
-    rest = math.log(n_corpus + smoothing * buckets) - math.log(n_trusted + smoothing * buckets)
-    out = [rest] * buckets
-    for r in counts:
-        out[r["bucket"]] = math.log(r["trusted"] + smoothing) - math.log(r["corpus"] + smoothing) + rest
+    out = [0.0] * buckets
+    for r in counts if n_trusted else []:
+        share = r["corpus"] / n_corpus
+        out[r["bucket"]] = math.log((r["trusted"] + prior * share) / (n_trusted + prior)) - math.log(share)
     return out
 
 

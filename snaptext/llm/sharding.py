@@ -63,7 +63,7 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     text = whole("text")
     hashed = stored(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), bits_of(F.col("doc_id"), text).alias("bits")), "sharding")
     shards = directory(hashed, limit)
-    depths = [r["depth"] for r in shards.select("depth").distinct().collect()]  # at most HASH_BITS + 1
+    depths = [r["depth"] for r in shards.select("depth").distinct().collect()] or [0]  # at most HASH_BITS + 1
     tried = F.array(*[F.struct(F.lit(d).alias("depth"), F.substring("bits", 1, d).alias("shard")) for d in sorted(depths)])
     placed = (
         hashed.groupBy("doc_id", "n_bytes", "bits").agg(F.count("*").alias("copies"))
