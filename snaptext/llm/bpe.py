@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the vocabulary of a given tokenizer file.
 
 A text is cut at added tokens, then by the pattern of the byte-level pre-tokenizer; each piece is merged
-by rank. A long unsplit piece is encoded by tree concatenation: its halves are encoded on their own, and
+by rank. Encodings of what stands between two single spaces are remembered: there a piece always ends. A long unsplit piece is encoded by tree concatenation: its halves are encoded on their own, and
 around the join a growing window is encoded again until its first and last token agree with those of
 the two sides. Then all neighbouring tokens are as in the encoding of their own bytes, which for merges
 by rank makes the whole sequence the encoding of the whole piece.
@@ -15,12 +15,14 @@ The vocabulary file is read by the driver and sent to the tasks as its text.
 
 from __future__ import annotations
 
-import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,13 +31,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 PART = 65_536
 #: Bytes of a piece that are merged directly; longer ones are halved.
 DIRECT = 256
-#: Pieces whose encoding a task remembers.
+#: Words whose encoding a task remembers; as many older ones are kept until the next change.
 REMEMBERED = 1 << 18
+_LONGEST_WORD = 48
 
 #: The pattern of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+# A space with other white space beside it, and one without.
+_ODD_SPACE = re.compile(r" (?:\s|(?<=\s ))")
+_SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+
+
 def byte_characters() -> dict[str, int]:
     """Character to byte of byte-level vocabularies: visible Latin-1 as itself, the others from 256 on."""
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -61,19 +69,38 @@ class Bpe:
         for content, i in self.added.items():
             self.bytes_of[i] = content.encode()
         self.pattern = regex.compile(PATTERN)
+        self.marks = {m: array("i", [self.single[ord(m)]]).tobytes() for m in ".,"}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        # Remembered encodings are packed as 32-bit ids.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Merge by rank, leftmost first among equals."""
         ids = [self.single[b] for b in data]
-        rank_of, none = self.ranks.get, len(self.result)
-        while len(ids) > 1:
-            ranks = [rank_of(pair, none) for pair in zip(ids, ids[1:])]
+        rank_of, none, result = self.ranks.get, len(self.result), self.result
+        ranks = [rank_of(pair, none) for pair in zip(ids, ids[1:])]
+        if len(ids) > DIRECT:
+            return self._merged_by_passes(ids, ranks)
+        while ranks:
             best = min(ranks)
             if best == none:
                 break
+            i = ranks.index(best)
+            new = ids[i] = result[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((ids[i - 1], new), none)
+            if i < len(ranks):
+                ranks[i] = rank_of((new, ids[i + 1]), none)
+        return ids
+
+    def _merged_by_passes(self, ids: list[int], ranks: list[int]) -> list[int]:
+        """The same for long data: all pairs of the best rank in one pass."""
+        rank_of, none = self.ranks.get, len(self.result)
+        while ranks and (best := min(ranks)) < none:
             new, out, i = self.result[best], [], 0
             while i < len(ranks):
                 if ranks[i] == best:
@@ -85,6 +112,7 @@ class Bpe:
             if i == len(ranks):
                 out.append(ids[i])
             ids = out
+            ranks = [rank_of(pair, none) for pair in zip(ids, ids[1:])]
         return ids
 
     def piece(self, data: bytes) -> list[int]:
@@ -118,23 +146,57 @@ class Bpe:
             at = m.end()
         yield from self.pattern.findall(text[at:] if at else text)
 
-    def of(self, piece: str | int) -> tuple[int, ...]:
-        """Encoding of a piece, remembered if it is short."""
-        if isinstance(piece, int):
-            return (piece,)
-        got = tuple(self.piece(piece.encode("utf-8", "surrogatepass")))
-        if len(piece) <= 64:
+    def _plain(self, text: str) -> bytes:
+        """Encoding of a text without regard to added tokens."""
+        out: list[int] = []
+        for p in self.pattern.findall(text):
+            out += self.piece(p.encode("utf-8", "surrogatepass"))
+        return array("i", out).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Encoding of a word after a space, remembered if it is short."""
+        if word in self.older:
+            ids = self.older[word]
+        elif word.isalpha():
+            ids = array("i", self.piece(f" {word}".encode())).tobytes()
+        elif word[-1:] in (".", ",") and word[:-1].isalpha():
+            # Letters end a piece before a mark.
+            return (self.known.get(word[:-1]) or self._word(word[:-1])) + self.marks[word[-1]]
+        else:
+            ids = self._plain(f" {word}")
+        if len(word) <= _LONGEST_WORD:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = got
-        return got
+                self.older, self.known = self.known, {}
+            self.known[word] = ids
+        return ids
+
+    def _segment(self, text: str) -> bytes:
+        first, *words = _SINGLE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        known, word = self.known.get, self._word
+        out = [self._plain(first)]
+        for w in words:
+            got = known(w)
+            if got is None:
+                got = word(w)
+                known = self.known.get
+            out.append(got)
+        return b"".join(out)
+
+    def encode_packed(self, text: str) -> bytes:
+        """The ids of a text as packed 32-bit numbers."""
+        if not any(a in text for a in self.added):
+            return self._segment(text)
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [self._segment(text[at : m.start()]), array("i", [self.added[m[0]]]).tobytes()]
+            at = m.end()
+        return b"".join([*out, self._segment(text[at:])])
 
     def encode(self, text: str) -> list[int]:
-        known = self.known.get
-        return list(chain.from_iterable(known(p) or self.of(p) for p in self.pieces(text)))
+        return np.frombuffer(self.encode_packed(text), dtype=np.int32).tolist()
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return b"".join(map(self.table.__getitem__, ids))
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
@@ -178,6 +240,19 @@ def _bpe(text: str) -> Bpe:
     return Bpe(text)
 
 
+def _lists(rows: list[bytes]) -> pa.Array:
+    """List array of packed ids."""
+    ends = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
+
+
+def _rows(lists: pa.Array) -> Iterator[list[int] | None]:
+    """Python lists of a list array, null for null."""
+    flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    for i, valid in enumerate(lists.is_valid()):
+        yield flat[ends[i] : ends[i + 1]].tolist() if valid.as_py() else None
+
+
 def _vocabulary(spark: SparkSession, path: str):
     with open(path, encoding="utf-8") as file:
         return spark.sparkContext.broadcast(file.read())
@@ -198,7 +273,7 @@ def encode(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 some = batch.slice(i, 500)
-                ids = pa.array([bpe.encode(t.as_py()) for t in some.column("text")], pa.list_(pa.int32()))
+                ids = _lists([bpe.encode_packed(t.as_py()) for t in some.column("text")])
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_key"), ids], names=["doc_id", "text_key", "ids"])
 
     schema = f"doc_id {id_type}, text_key long, ids array<int>"
@@ -230,11 +305,11 @@ def encode(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
         bpe = _bpe(vocabulary.value)
         table = table.sort_by("n")
         runs: list[list[list[int]]] = []
-        for kind, ids in zip(table.column("kind"), table.column("ids")):
+        for kind, ids in zip(table.column("kind"), _rows(table.column("ids").combine_chunks())):
             if kind.as_py() == "next":
-                runs[-1].append(ids.as_py())
+                runs[-1].append(ids)
             else:
-                runs.append([ids.as_py()])
+                runs.append([ids])
         ids: list[int] = []
         for level in runs:
             while len(level) > 1:
@@ -268,7 +343,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(vocabulary.value)
         for batch in batches:
-            texts = [None if ids.as_py() is None else bpe.decode(ids.as_py()) for ids in batch.column("ids")]
+            texts = [None if ids is None else bpe.decode(ids) for ids in _rows(batch.column("ids"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.string())], names=[*(f.name for f in kept), "text"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
