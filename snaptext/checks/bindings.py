@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from snaptext.functions import html, text as tx
 from snaptext.operators import chunking, fusion, timelines
@@ -29,7 +29,9 @@ PAGE_KEYWORD = "Condition"
 DISTANCE_FLOOR = 0.45
 PROBE_DAYS = ["1994-06-30", "1995-03-15", "1996-12-31", "1998-07-01", "2000-02-29", "2001-12-31", "2024-01-01"]
 TURN_DAYS = ["2023-12-31", "2024-01-01", "2024-02-15", "2024-04-01", "2025-01-01"]
-FIRST_YEAR, YEARS_PER_SNAPSHOT, N_SNAPSHOTS = 1995, 2, 4
+YEARS_PER_SNAPSHOT = 2
+#: So many different lengths of passages of one or two words can be looked for at once.
+SHORT_LENGTHS = 64
 
 
 class Data:
@@ -138,24 +140,40 @@ class Data:
         return self._fused[1]
 
     def gold(self) -> DataFrame:
-        """Documents that contain a benchmark passage, found through the passage's longest inner word.
+        """Documents that contain a benchmark passage, found through a word of the passage.
 
-        A document that contains the passage contains all its words but the outer two as
-        words of its own, so an equality join on one of them finds every candidate.
+        A document that contains a passage of three and more words contains the inner ones as
+        words of its own, so an equality join on the longest finds every candidate; a passage that
+        may begin or end inside a word is found by a part of a word of its length. Ids are joined
+        first, and only candidates fetch their text.
         """
         items = self.table("benchmark").select(
             F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("passage")
         )
-        inner = F.expr("slice(split(passage, '[ \\n]+'), 2, greatest(size(split(passage, '[ \\n]+')) - 2, 0))")
-        longest = F.expr("array_max(transform(_inner, w -> struct(length(w) AS n, w AS w))).w")
-        keyed = items.withColumn("_inner", inner).withColumn("word", longest).drop("_inner")
-        words = self.texts("documents", "doc_id").select(
-            F.col("doc_id").cast("string").alias("entity_id"),
-            "text",
-            F.explode(F.array_distinct(F.split("text", "[ \n]+"))).alias("word"),
-        )
-        found = words.join(small_side(keyed), "word").where(F.contains("text", F.col("passage")))
-        return found.select("query_id", "entity_id")
+        parts = F.split("passage", "[ \n]+")
+        inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+        longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+        keyed = stored(items.withColumn("word", longest), "passages")
+        docs = self.texts("documents", "doc_id").select(F.col("doc_id").cast("string").alias("entity_id"), "text")
+        words = docs.select("entity_id", F.explode(F.array_distinct(F.split("text", "[ \n]+"))).alias("word"))
+        found = words.join(small_side(keyed.where("word is not null").select("query_id", "word")), "word").select("query_id", "entity_id")
+        # One or two words: their text is short, and the few different ones are looked for in every document.
+        short = keyed.where("word is null").select("query_id", "passage")
+        lengths = [r[0] for r in short.select(F.length("passage")).distinct().limit(SHORT_LENGTHS + 1).collect()]
+        if len(lengths) > SHORT_LENGTHS:
+            raise ValueError("passages of one or two words have too many different lengths")
+        none = F.array().cast("array<string>")
+
+        def substrings(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.length("text") - n + 1)
+            return F.when(F.length("text") >= n, F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(n)))).otherwise(none)
+
+        pieces = F.concat(*map(substrings, lengths)) if lengths else None
+        if pieces is not None:
+            cut = docs.select("entity_id", F.explode(F.array_distinct(pieces)).alias("passage"))
+            found = found.unionByName(cut.join(small_side(short), "passage").select("query_id", "entity_id"))
+        checked = found.join(docs, "entity_id").join(small_side(keyed.select("query_id", "passage")), "query_id")
+        return checked.where(F.contains("text", F.col("passage"))).select("query_id", "entity_id")
 
     @cached_property
     def gold_rows(self) -> DataFrame:
@@ -245,9 +263,20 @@ class Data:
     def customer_segments(self) -> DataFrame:
         return stored(timelines.as_of(self.order_timeline(), self.customer_probes()), "customers")
 
+    @cached_property
+    def order_years(self) -> tuple[int, int]:
+        """First and last year with an order."""
+        row = self.table("orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+        return (row[0], row[1]) if row[0] is not None else (0, 0)
+
+    @property
+    def n_snapshots(self) -> int:
+        first, last = self.order_years
+        return (last - first) // YEARS_PER_SNAPSHOT + 1
+
     def customer_snapshots(self) -> DataFrame:
-        """One short text per customer and two-year bucket: its highest order status."""
-        idx = F.floor((F.year("o_orderdate") - FIRST_YEAR) / YEARS_PER_SNAPSHOT).cast("int")
+        """One short text per customer and two-year bucket from the first order year on: its highest order status."""
+        idx = F.floor((F.year("o_orderdate") - self.order_years[0]) / YEARS_PER_SNAPSHOT).cast("int")
         return (
             self.table("orders")
             .groupBy(F.col("o_custkey").cast("string").alias("entity_id"), idx.alias("idx"))
@@ -261,7 +290,7 @@ class Data:
             .groupBy("idx")
             .agg(F.count("*").alias("n_entities"))
             .withColumn(
-                "date", F.make_date((F.lit(FIRST_YEAR) + YEARS_PER_SNAPSHOT * F.col("idx")).cast("int"), F.lit(1), F.lit(1))
+                "date", F.make_date((F.lit(self.order_years[0]) + YEARS_PER_SNAPSHOT * F.col("idx")).cast("int"), F.lit(1), F.lit(1))
             )
             .withColumn("snapshot", F.col("date").cast("string"))
         )

@@ -385,7 +385,7 @@ FROM turn_view v LEFT JOIN turn_sides s ON s.entity_id = v.entity_id AND s.as_of
 
 # Snapshots of customers; presence and classes by plain window functions.
 step("cust_texts", "", f"""
-SELECT CAST(o_custkey AS VARCHAR) AS entity_id, (year(o_orderdate) - {bd.FIRST_YEAR}) // {bd.YEARS_PER_SNAPSHOT} AS idx, max(o_orderstatus) AS text
+SELECT CAST(o_custkey AS VARCHAR) AS entity_id, (year(o_orderdate) - (SELECT min(year(o_orderdate)) FROM orders)) // {bd.YEARS_PER_SNAPSHOT} AS idx, max(o_orderstatus) AS text
 FROM orders GROUP BY ALL""")
 
 
@@ -413,17 +413,16 @@ SELECT entity_id, presence, CASE
   GROUP BY 1)"""
 
 
-step("cust_grid", "cust_texts", grid("cust_texts", str(bd.N_SNAPSHOTS), 1))
+step("cust_grid", "cust_texts", grid("cust_texts", "(SELECT max(idx) + 1 FROM cust_texts)", 1))
 step("cust_classes", "cust_grid", classes("cust_grid"))
 step("turn_grid", "turns", grid("turns", "(SELECT max(idx) + 1 FROM turns)", 30))
 step("turn_classes", "turn_grid", classes("turn_grid"))
 step("doc_texts", "editions", f"""
 SELECT entity_id, CASE WHEN snapshot = '{_CUR}' THEN 1 ELSE 0 END AS idx, {_STUBBED} AS text FROM editions""")
-step("doc_grid", "doc_texts", f"""
-SELECT * FROM ({grid('doc_texts', '2', 30)}) WHERE entity_id IN (SELECT entity_id FROM doc_texts GROUP BY 1 HAVING max(length({norm('text')})) > 0)""")
+step("doc_grid", "doc_texts", grid("doc_texts", "2", 30))
 step("doc_classes", "doc_grid", classes("doc_grid"))
 step("buckets", "cust_texts", f"""
-SELECT idx, count(*) AS n_entities, make_date({bd.FIRST_YEAR} + {bd.YEARS_PER_SNAPSHOT} * idx, 1, 1) AS date FROM cust_texts GROUP BY 1""")
+SELECT idx, count(*) AS n_entities, make_date((SELECT min(year(o_orderdate)) FROM orders) + {bd.YEARS_PER_SNAPSHOT} * idx, 1, 1) AS date FROM cust_texts GROUP BY 1""")
 
 # Web pages as page records.
 _H1 = f"regexp_replace(html, {lit(TITLE)}, chr(10) || '{bd.PAGE_KEYWORD} ' || regexp_extract(url, '/[a-z]{{2}}/(\\d+)', 1) || '. \\1' || chr(10), 'g')"
@@ -526,7 +525,7 @@ def totals(source: str, by: str) -> str:
 step("core_rows", "surfaced gold unioned demoted", core("surfaced", "variant"))
 step("pass_surfaced", "citations", """
 SELECT DISTINCT p + 1 AS pass, query_id, entity_id FROM (
-  SELECT query_id, entity_id, (CAST(pages AS BIGINT) - 1) // 3 AS ob FROM citations), (SELECT unnest(generate_series(0, 2)) AS p) WHERE p >= ob""")
+  SELECT query_id, entity_id, (CAST(pages AS BIGINT) - 1) // 3 AS ob FROM citations), (SELECT unnest(generate_series(0, (SELECT max((CAST(pages AS BIGINT) - 1) // 3) FROM citations))) AS p) WHERE p >= ob""")
 step("pass_rows", "pass_surfaced gold unioned demoted", core("pass_surfaced", "pass"))
 
 

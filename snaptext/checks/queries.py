@@ -571,13 +571,13 @@ def history_word_diff(d):
 
 
 def _classes(d) -> DataFrame:
-    return changes.classify(changes.blocks_of_texts(d.customer_snapshots()), bd.N_SNAPSHOTS, min_chars=1)
+    return changes.classify(changes.blocks_of_texts(d.customer_snapshots()), d.n_snapshots, min_chars=1)
 
 
 @query
 def presence_grid(d):
-    bits = changes.presence_bits(changes.blocks_of_texts(d.customer_snapshots()), 1)
-    return longs(changes.presence_grid(bits, bd.N_SNAPSHOTS), "idx")
+    present = changes.presence(changes.blocks_of_texts(d.customer_snapshots()), 1)
+    return longs(changes.presence_grid(present, d.n_snapshots), "idx")
 
 
 @query
@@ -816,8 +816,12 @@ def variant_compare(d):
 def cited_passes(d):
     """Repeated passes: the citations of obligations 1, 1-2 and so on, scored like variants."""
     cited = _citations(d).select("query_id", "entity_id", F.floor((F.col("pages").cast("int") - 1) / 3).cast("int").alias("ob"))
-    passes = cited.select("query_id", "entity_id", F.explode(F.sequence(F.col("ob"), F.greatest(F.col("ob"), F.lit(2)))).alias("p"))
-    surfaced = passes.where("p <= 2").select((F.col("p") + 1).alias("pass"), "query_id", "entity_id").distinct()
+    first = cited.groupBy("query_id", "entity_id").agg(F.min("ob").alias("ob"))
+    last = first.agg(F.max("ob").alias("last"))
+    passes = first.join(F.broadcast(last), F.col("ob") <= F.col("last")).select(
+        "query_id", "entity_id", F.explode(F.sequence("ob", "last")).alias("p")
+    )
+    surfaced = passes.select((F.col("p") + 1).alias("pass"), "query_id", "entity_id")
     return longs(evaluation.core_totals(evaluation.core_recall(_anchors(d), surfaced, ["pass"]), ["pass"]), "pass")
 
 

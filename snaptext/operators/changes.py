@@ -6,7 +6,7 @@ Comparing blocks instead of whole texts keeps every row and group small, and is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from snaptext import settings
 from snaptext.functions import text as tx
@@ -29,7 +29,10 @@ def blocks_of_texts(texts: DataFrame, size: int = settings.COMPARE_BLOCK_CHARS)
 
 
 def blocks_of_pieces(pieces: DataFrame, size: int = settings.COMPARE_BLOCK_CHARS) -> DataFrame:
-    """The same blocks from ordered pieces (``entity_id, idx, place, piece``) of texts of any length."""
+    """The same blocks from ordered pieces (``entity_id, idx, place, piece``) of texts of any length.
+
+    A text without a letter or digit has one empty block.
+    """
     keys = ["entity_id", "idx"]
     filled = pieces.where(F.lower("piece").rlike("[a-z0-9]"))
     norm = filled.select(*keys, "place", tx.normalised(F.col("piece")).alias("_norm"))
@@ -46,49 +49,51 @@ def blocks_of_pieces(pieces: DataFrame, size: int = settings.COMPARE_BLOCK_CHARS
         "place",
         F.substring(F.col("_norm"), (start + 1).cast("int"), (stop - start).cast("int")).alias("part"),
     )
+    first = pieces.groupBy(*keys).agg(F.min("place").alias("place")).select(
+        *keys, F.lit(0).cast("long").alias("block"), "place", F.lit("").alias("part")
+    )
+    parts = parts.unionByName(first)
     ordered = F.array_sort(F.collect_list(F.struct("place", "part")))
     return parts.groupBy(*keys, "block").agg(
         F.array_join(F.transform(ordered, lambda p: p["part"]), "").alias("norm")
     )
 
 
-def presence_bits(blocks: DataFrame, min_chars: int = settings.MIN_PRESENT_CHARS) -> DataFrame:
-    """Per entity, a bit for each snapshot in which its normalised text is long enough."""
+def presence(blocks: DataFrame, min_chars: int = settings.MIN_PRESENT_CHARS) -> DataFrame:
+    """``entity_id, idx, present`` for every snapshot with a text, present if the normalised text is long enough."""
     lengths = blocks.groupBy("entity_id", "idx").agg(F.sum(F.length("norm")).alias("n"))
-    one = F.lit(1).cast("long")
-    return lengths.groupBy("entity_id").agg(
-        F.bit_or(F.when(F.col("n") >= min_chars, F.call_function("shiftleft", one, F.col("idx"))).otherwise(0)).alias(
-            "present_bits"
-        )
-    )
+    return lengths.select("entity_id", "idx", (F.col("n") >= min_chars).alias("present"))
 
 
-def change_bits(blocks: DataFrame, n_snapshots: int) -> DataFrame:
-    """Per entity, bit i for a text that differs between snapshots i-1 and i. Exact, never a threshold."""
-    per_block = blocks.groupBy("entity_id", "block").agg(
-        F.map_from_entries(F.collect_list(F.struct("idx", "norm"))).alias("_by_idx")
-    )
-    text = lambda i: F.coalesce(F.try_element_at("_by_idx", i), F.lit(""))
-    bits = F.aggregate(
-        F.sequence(F.lit(1), F.lit(n_snapshots - 1)),
-        F.lit(0).cast("long"),
-        lambda acc, i: acc.bitwiseOR(
-            F.when(text(i) != text(i - 1), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0)
-        ),
-    )
-    one_bits = per_block.select("entity_id", (bits if n_snapshots > 1 else F.lit(0).cast("long")).alias("_bits"))
-    return one_bits.groupBy("entity_id").agg(F.bit_or("_bits").alias("differs_bits"))
+def differing_intervals(blocks: DataFrame, n_snapshots: int) -> DataFrame:
+    """``entity_id, interval`` for every text that differs between snapshots interval-1 and interval.
 
-
-def _bit(column: str, i: Column) -> Column:
-    return F.call_function("shiftright", F.col(column), i).bitwiseAND(F.lit(1)) == 1
+    Exact, never a threshold. Each block is compared with the one before it; where a snapshot
+    lacks the block, it counts as empty.
+    """
+    steps = Window.partitionBy("entity_id", "block").orderBy("idx")
+    seen = blocks.where("norm != ''").select(
+        "entity_id",
+        "idx",
+        "norm",
+        F.lag("idx").over(steps).alias("_last"),
+        F.lag("norm").over(steps).alias("_was"),
+        F.lead("idx").over(steps).alias("_next"),
+    )
+    follows = F.coalesce(F.col("_last") == F.col("idx") - 1, F.lit(False))
+    goes_on = F.coalesce(F.col("_next") == F.col("idx") + 1, F.lit(False))
+    into = F.when(~follows | (F.col("norm") != F.col("_was")), F.col("idx"))
+    out_of = F.when(~goes_on, F.col("idx") + 1)
+    changed = seen.select("entity_id", F.explode(F.array(into, out_of)).alias("interval"))
+    return changed.where(F.col("interval").between(1, n_snapshots - 1)).distinct()
 
 
 def presence_grid(present: DataFrame, n_snapshots: int) -> DataFrame:
     """Every entity in every snapshot with a presence flag."""
-    return present.select(
-        "entity_id", F.explode(F.sequence(F.lit(0), F.lit(n_snapshots - 1))).alias("idx"), "present_bits"
-    ).select("entity_id", "idx", _bit("present_bits", F.col("idx")).alias("present"))
+    every = present.select("entity_id").distinct().select(
+        "entity_id", F.explode(F.sequence(F.lit(0), F.lit(n_snapshots - 1))).alias("idx")
+    )
+    return every.join(present, ["entity_id", "idx"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
 def classify(
@@ -98,32 +103,53 @@ def classify(
 
     Interval i lies between snapshots i-1 and i (0-based). ``n_changes`` counts changed
     texts between neighbouring snapshots that both hold the entity, whatever the class.
+    Any number of snapshots: work is on one row per entity and snapshot, and only the
+    two lists of the result, of at most one entry per snapshot, are gathered.
     """
-    both = presence_bits(blocks, min_chars).join(change_bits(blocks, n_snapshots), "entity_id")
-    every = F.sequence(F.lit(0), F.lit(n_snapshots - 1))
-    digit = lambda i: F.when(_bit("present_bits", i), "1").otherwise("0")
-    changed = F.filter(
-        every,
-        lambda i: (i > 0) & _bit("differs_bits", i) & _bit("present_bits", i) & _bit("present_bits", i - 1),
-    )
-    work = both.select(
+    flags = presence(blocks, min_chars)
+    steps = Window.partitionBy("entity_id").orderBy("idx")
+    held_before = F.lag(F.struct("idx", "present")).over(steps)
+    kept = (
+        flags.withColumn("_before", held_before)
+        .where(F.col("present") & F.col("_before.present") & (F.col("_before.idx") == F.col("idx") - 1))
+        .select("entity_id", F.col("idx").alias("interval"))
+    )
+    changed = (
+        kept.join(differing_intervals(blocks, n_snapshots), ["entity_id", "interval"], "left_semi")
+        .groupBy("entity_id")
+        .agg(F.sort_array(F.collect_list("interval")).alias("changed_intervals"))
+    )
+    held = flags.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.when(F.col("present"), F.col("idx")))).alias("_held"))
+    none = F.array().cast("array<int>")
+    work = held.join(changed, "entity_id", "left").select(
         "entity_id",
-        F.array_join(F.transform(every, digit), "").alias("presence"),
-        changed.alias("changed_intervals"),
-    ).withColumn("n_changes", F.size("changed_intervals"))
-    p, n = F.col("presence"), F.col("n_changes")
+        "_held",
+        F.coalesce("changed_intervals", none).alias("changed_intervals"),
+        F.size("_held").alias("_n"),
+        F.get("_held", F.lit(0)).alias("_first"),
+        F.get("_held", F.size("_held") - 1).alias("_last"),
+    )
+    gap = lambda x, i: x - F.coalesce(F.get("_held", i - 1), F.lit(-1)) - 1
+    pattern = F.concat(
+        F.array_join(F.transform("_held", lambda x, i: F.concat(F.repeat(F.lit("0"), gap(x, i)), F.lit("1"))), ""),
+        F.repeat(F.lit("0"), F.lit(n_snapshots - 1) - F.coalesce("_last", F.lit(-1))),
+    )
+    n = F.size("changed_intervals")
+    from_start, to_end = F.col("_first") == 0, F.col("_last") == n_snapshots - 1
     klass = (
-        F.when(~p.contains("1"), "EMPTY")
-        .when(p.rlike("10+1"), "ANOMALY")
-        .when(p.rlike("^0+1+$"), "INTRODUCED")
-        .when(p.rlike("^1+0+$"), "REMOVED")
-        .when(p.rlike("^0+1+0+$"), "TRANSIENT")
+        F.when(F.col("_n") == 0, "EMPTY")
+        .when(F.col("_last") - F.col("_first") + 1 > F.col("_n"), "ANOMALY")
+        .when(~from_start & to_end, "INTRODUCED")
+        .when(from_start & ~to_end, "REMOVED")
+        .when(~from_start, "TRANSIENT")
         .when(n == 0, "STABLE")
         .when(n == 1, "SINGLE-CHANGE")
         .otherwise("MULTI-CHANGE")
     )
-    interval = F.when(klass == "INTRODUCED", F.instr(p, "01")).when(klass == "REMOVED", F.instr(p, "10"))
-    return work.select("entity_id", "presence", klass.alias("class"), interval.alias("interval"), "changed_intervals", "n_changes")
+    interval = F.when(klass == "INTRODUCED", F.col("_first")).when(klass == "REMOVED", F.col("_last") + 1)
+    return work.select(
+        "entity_id", pattern.alias("presence"), klass.alias("class"), interval.alias("interval"), "changed_intervals", n.alias("n_changes")
+    )
 
 
 def interval_labels(registry: DataFrame) -> DataFrame:

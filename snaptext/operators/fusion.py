@@ -78,6 +78,9 @@ def hint_subqueries(questions: DataFrame, hints: list[tuple[list[str], list[str]
 
     ``questions`` has ``query_id, text, is_broad``; a hint is (triggers, sub-queries).
     """
+    hints = [(triggers, stored) for triggers, stored in hints if triggers and stored]
+    if not hints:
+        return questions.select("query_id", F.lit(1).alias("hint_no"), "text").limit(0)
     low = F.lower(F.col("text"))
     table = F.array(
         *[

@@ -11,9 +11,14 @@ from snaptext.scale import carry_forward, small_side
 
 
 def from_body_start(pages: DataFrame, registry: DataFrame) -> DataFrame:
-    """Drop the front matter: pages before the ``body_start`` of their snapshot."""
-    starts = small_side(registry.select("snapshot", "body_start"))
-    return pages.join(starts, "snapshot").where(F.col("page") >= F.col("body_start")).drop("body_start")
+    """Drop the front matter: pages before the ``body_start`` of their snapshot.
+
+    A snapshot that the registry does not know is an error, not a snapshot without pages.
+    """
+    starts = small_side(registry.select("snapshot", F.coalesce("body_start", F.lit(1)).alias("body_start")))
+    unknown = F.raise_error(F.concat(F.lit("snapshot not in the registry: "), F.coalesce("snapshot", F.lit("null")))).cast("int")
+    joined = pages.join(starts, "snapshot", "left")
+    return joined.where(F.col("page") >= F.coalesce("body_start", unknown)).drop("body_start")
 
 
 def marked_pages(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_COLUMNS = (
-    "snapshot, chunk_id, entity_id, title, section, page_start, page_end, chunk_index, n_words, text"
-).split(", ")
+CHUNK_SCHEMA = (
+    "chunk_id string, entity_id string, title string, section string, page_start int, page_end int, "
+    "chunk_index int, n_words int, text string, snapshot string"
+)
 
 CASE_SCHEMA = (
     "query_id string, category string, text string, expected string, expect_entities array<string>, "
@@ -25,7 +26,8 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "false").parquet(path)
+    """The stored table; snapshot labels are strings, whatever they look like."""
+    return spark.read.schema(CHUNK_SCHEMA).parquet(path)
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:

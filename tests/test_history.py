@@ -130,6 +130,35 @@ def test_classes_of_all_patterns(spark, size):
     assert other == got
 
 
+@pytest.mark.parametrize("n", [70, 200])
+def test_classes_over_many_snapshots(spark, n):
+    rng = random.Random(n)
+    spans = {"late": (n - 4, n), "early": (0, 3), "middle": (5, n - 5), "all": (0, n)}
+    cases = {e: [TEXTS[rng.randrange(3)] if a <= i < b else None for i in range(n)] for e, (a, b) in spans.items()}
+    cases["one"] = [TEXTS[0]] * (n - 1) + [TEXTS[2]]
+    cases["twice"] = [TEXTS[0] if i in (1, n - 2) else None for i in range(n)]
+    cases["short"] = ["x"] * n
+    cases["same"] = [TEXTS[1]] * n
+    rows = [(e, i, t) for e, ts in cases.items() for i, t in enumerate(ts) if t is not None]
+    texts = spark.createDataFrame(rows, "entity_id string, idx int, text string").repartition(5)
+    got = {r["entity_id"]: r for r in changes.classify(changes.blocks_of_texts(texts, 32), n).collect()}
+    for e, ts in cases.items():
+        present = [t is not None and len(t) >= 30 for t in ts]
+        assert (got[e]["class"], got[e]["n_changes"]) == plain_class(ts)
+        assert got[e]["presence"] == "".join("01"[p] for p in present)
+        assert got[e]["changed_intervals"] == [i for i in range(1, n) if present[i] and present[i - 1] and ts[i] != ts[i - 1]]
+    assert (got["late"]["interval"], got["early"]["interval"], got["one"]["interval"]) == (n - 4, 3, None)
+    grid = changes.presence_grid(changes.presence(changes.blocks_of_texts(texts, 32)), n)
+    assert grid.count() == n * len(cases)
+    assert grid.where("present and entity_id = 'late'").agg(F.min("idx")).first()[0] == n - 4
+
+
+def test_texts_without_letters_are_empty(spark):
+    pieces = spark.createDataFrame([("a", 0, 0, "--- !"), ("a", 1, 0, "..."), ("b", 0, 0, "x" * 40)], "entity_id string, idx int, place int, piece string")
+    got = {r["entity_id"]: r["class"] for r in changes.classify(changes.blocks_of_pieces(pieces), 2).collect()}
+    assert got == {"a": "EMPTY", "b": "REMOVED"}
+
+
 def pairs(spark):
     rng = random.Random(2)
     old = [f"w{rng.randint(0, 30)}" for _ in range(400)]

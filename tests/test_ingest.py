@@ -173,6 +173,27 @@ def test_rebuilding_the_chunk_table_twice_changes_nothing(spark, tmp_path):
     assert sorted(map(str, tables.read_chunks(spark, path).collect())) == first
 
 
+@pytest.mark.parametrize("labels", [("01", "02"), ("2021-01-01", "2023-01-01")])
+def test_snapshot_labels_survive_the_chunk_table(spark, tmp_path, labels):
+    rows = [(s, "1", f"text of {s}") for s in labels]
+    chunks = chunking.chunk_bodies(spark.createDataFrame(rows, "snapshot string, entity_id string, body string"))
+    path = str(tmp_path / "chunks")
+    tables.write_chunks(chunks, path)
+    back = tables.read_chunks(spark, path)
+    assert {r["snapshot"] for r in back.collect()} == set(labels)
+    one = back.where(F.col("snapshot") == labels[0])
+    assert one.count() == 1
+    assert "PartitionFilters: [isnotnull(snapshot" in one._jdf.queryExecution().toString()
+
+
+def test_pages_of_an_unknown_snapshot_are_an_error(spark):
+    pages = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "snapshot string, page int, text string")
+    registry = spark.createDataFrame([("a", 1)], "snapshot string, body_start int")
+    assert sections.from_body_start(pages.where("snapshot = 'a'"), registry).count() == 1
+    with pytest.raises(Exception, match="not in the registry: b"):
+        sections.from_body_start(pages, registry).collect()
+
+
 def test_new_snapshots_are_followed(spark, tmp_path):
     from snaptext.streaming.snapshots import follow_snapshots
 

@@ -173,6 +173,8 @@ def test_round_robin_union(spark):
 
 def test_subquery_list(spark):
     asked = spark.createDataFrame([("q", "Back billing rules", True), ("n", "Back billing", False)], "query_id string, text string, is_broad boolean")
+    assert fusion.hint_subqueries(asked, []).count() == 0
+    assert fusion.hint_subqueries(asked, [([], ["x"]), (["billing"], [])]).count() == 0
     hints = fusion.hint_subqueries(asked, [(["billing", "other"], ["Time limits", "TIME LIMITS"]), (["prices"], ["x"])])
     assert [(r["query_id"], r["text"]) for r in hints.collect()] == [("q", "Time limits")]
     planned = spark.createDataFrame(
@@ -207,3 +209,14 @@ def test_expansion_rules(spark):
         ("p", "l31"): [29, 30],
         ("r", "l31"): list(range(40)),  # an older snapshot is served whole
     }
+
+
+@pytest.mark.parametrize("passage", ["alpha", "alpha beta", "pha be", "gamma delta epsilon", "lta epsilon zet"])
+def test_passages_of_any_length_find_their_documents(spark, tmp_path, passage):
+    from snaptext.checks.bindings import Data
+
+    docs = [(1, "alpha beta gamma delta epsilon zeta"), (2, "nothing of it"), (3, "alphabet"), (4, "x")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = {(r["query_id"], r["entity_id"]) for r in Data(spark, str(tmp_path)).gold().collect()}
+    assert found == {("7", str(d)) for d, t in docs if passage in t}
