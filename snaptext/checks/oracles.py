@@ -587,6 +587,23 @@ SELECT query_id, rank, vec_id, distance FROM (
     SELECT CAST(q.vec_id AS VARCHAR) AS query_id, c.vec_id,
       round(list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 4) AS distance
     FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings c)) WHERE rank <= 10""")
+    add("knn_approx", "", """
+WITH planes AS (
+  SELECT t, b, list(CASE WHEN substr(md5(t || ':' || b || ':' || d), 1, 1) >= '8' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END ORDER BY d) AS p
+  FROM range(0, 8) AS ts(t), range(0, 8) AS bs(b), range(0, 64) AS ds(d) GROUP BY 1, 2),
+units AS (
+  SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
+keyed AS (
+  SELECT vec_id, t, sum(CASE WHEN list_dot_product(u, p) >= 0 THEN 1 << b::INT ELSE 0 END)::BIGINT AS key FROM units, planes GROUP BY 1, 2),
+probes AS (
+  SELECT vec_id, t, xor(key, flip) AS key FROM keyed JOIN benchmark ON item_id = vec_id, (SELECT 0::BIGINT AS flip UNION ALL SELECT 1::BIGINT << b::INT FROM range(0, 8) AS bs(b))),
+pairs AS (SELECT DISTINCT a.vec_id AS q, k.vec_id AS c FROM probes a JOIN keyed k ON a.t = k.t AND a.key = k.key)
+SELECT query_id, rank, vec_id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
+    SELECT CAST(q AS VARCHAR) AS query_id, c AS vec_id,
+      round(sqrt(list_sum(list_transform(list_zip(x.u, y.u), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS distance
+    FROM pairs JOIN units x ON x.vec_id = q JOIN units y ON y.vec_id = c)) WHERE rank <= 10""")
     add("distance_backstop", "refused", "SELECT query_id, sub_no, round(best_distance, 6) AS best_distance, refused FROM refused")
 
     add("rrf_fuse", "fused", "SELECT query_id, sub_no, rank, entity_id, chunk_index, round(score, 9) AS score FROM fused")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from snaptext import settings
 from snaptext.functions import text as tx
 from snaptext.operators.best import CELLS_PER_STEP, BestRows
 from snaptext.operators.lexical import CHUNK_KEYS, QUERY_KEYS, first_n
-from snaptext.scale import small_side, spread
+from snaptext.scale import small_side, spread, stored
 
 QUERIES_PER_PASS = 20_000  # query vectors held by one task (10 MB at 64 dimensions)
 
@@ -143,49 +144,74 @@ def nearest(
     return first_n(found, n, QUERY_KEYS, order).select(*QUERY_KEYS, "rank", *keys, "distance")
 
 
+def plane_signs(tables: int, bits: int, dims: int) -> list[list[list[float]]]:
+    """Random planes with components of 1 and -1, from the MD5 of ``table:bit:dimension``."""
+    sign = lambda t, b, d: -1.0 if hashlib.md5(f"{t}:{b}:{d}".encode()).hexdigest()[0] >= "8" else 1.0
+    return [[[sign(t, b, d) for d in range(dims)] for b in range(bits)] for t in range(tables)]
+
+
+def sign_keys(vector: Column, tables: int, bits: int, dims: int) -> Column:
+    """Array of one key per table: bit b says on which side of its plane the vector lies."""
+    written = ";".join(",".join(map(str, plane)) for table in plane_signs(tables, bits, dims) for plane in table)
+    planes = F.transform(F.split(F.lit(written), ";"), lambda p: F.split(p, ",").cast("array<double>"))
+    side = F.transform(
+        planes,
+        lambda p: F.aggregate(F.zip_with(vector, p, lambda x, s: x * s), F.lit(0.0), lambda acc, x: acc + x) >= 0,
+    )
+    powers = F.array(*[F.lit(1 << b) for b in range(bits)])
+    one = lambda t: F.aggregate(
+        F.zip_with(F.slice(side, t * bits + 1, F.lit(bits)), powers, lambda on, p: F.when(on, p).otherwise(0)),
+        F.lit(0),
+        lambda acc, x: acc + x,
+    )
+    return F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), one)
+
+
+def approx_candidates(
+    queries: DataFrame, corpus: DataFrame, keys: list[str], bits: int, tables: int
+) -> DataFrame:
+    """Pairs that share a sign key, or one a bit away, in a table: query and corpus keys, both vectors, once each."""
+    sized = corpus.select(F.size("vector").alias("n")).limit(1).collect()
+    dims = sized[0]["n"] if sized else 1
+
+    def hashed(df: DataFrame, cols: list[str], name: str) -> DataFrame:
+        unit = df.select(*cols, unit_vector(F.col("vector").cast("array<double>")).alias(name)).where(F.col(name).isNotNull())
+        # Stored: the keys are worked out once per vector, and not again for each table.
+        return stored(unit.withColumn("sign_keys", sign_keys(F.col(name), tables, bits, dims)), "sign-keys")
+
+    probes = F.concat(F.array(F.lit(0)), F.array(*[F.lit(1 << b) for b in range(bits)]))
+    asked = (
+        hashed(queries, QUERY_KEYS, "asked")
+        .select(*QUERY_KEYS, "asked", F.posexplode("sign_keys").alias("table", "key"))
+        .select(*QUERY_KEYS, "asked", "table", F.explode(F.transform(probes, lambda p: F.col("key").bitwiseXOR(p))).alias("key"))
+    )
+    rows = hashed(spread(corpus, *keys), keys, "unit").select(*keys, "unit", F.posexplode("sign_keys").alias("table", "key"))
+    return rows.join(small_side(asked), ["table", "key"]).drop("table", "key")
+
+
 def nearest_approx(
     queries: DataFrame,
     corpus: DataFrame,
     keys: list[str],
     n: int = settings.CANDIDATES,
-    bucket_length: float = 0.2,
-    tables: int = 6,
-    within: float = 1.6,
-    seed: int = 42,
+    bits: int = 8,
+    tables: int = 8,
 ) -> DataFrame:
-    """Approximate nearest neighbours with random-projection hashing; compare with ``nearest``.
+    """Approximate nearest neighbours by sign keys; compare with ``nearest``.
 
-    Vectors are scaled to unit length. Only rows that share a bucket with a query in one
-    of the hash tables are measured; the copies of a pair found in several tables come
-    from one row, so they collapse before any shuffle.
+    Vectors are scaled to unit length. Only rows are measured whose key in one of ``tables`` equals
+    a query's or lies one bit away. Rule of thumb: log2 of the row count less 5 ``bits``, at least 8,
+    keeps buckets small; more ``tables`` find more. The copies of a pair found in several
+    tables come from one row, so they collapse before any shuffle.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    def scaled(df: DataFrame, cols: list[str]) -> DataFrame:
-        unit = df.select(*cols, unit_vector(F.col("vector")).alias("unit")).where("unit IS NOT NULL")
-        return unit.withColumn("features", array_to_vector("unit"))
-
-    rows = scaled(spread(corpus, *keys), keys)
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(rows)
-
-    def buckets(df: DataFrame, cols: list[str]) -> DataFrame:
-        hashed = model.transform(df).select(*cols, F.posexplode("hashes").alias("table", "hash"))
-        return hashed.withColumn("bucket", vector_to_array("hash")[0].cast("long")).drop("hash")
-
-    asked = buckets(scaled(queries, QUERY_KEYS).withColumnRenamed("unit", "asked"), [*QUERY_KEYS, "asked"])
     squares = F.zip_with("unit", "asked", lambda x, y: (x - y) * (x - y))
     near = (
-        buckets(rows, [*keys, "unit"])
-        .join(small_side(asked), ["table", "bucket"])
+        approx_candidates(queries, corpus, keys, bits, tables)
         .select(*QUERY_KEYS, *keys, F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)).alias("distance"))
         .groupBy(*QUERY_KEYS, *keys)
         .agg(F.min("distance").alias("distance"))
-        .where(F.col("distance") <= within)
     )
-    order = [F.asc("distance"), *[F.asc(k) for k in keys]]
+    order = [F.asc(F.round("distance", 6)), *[F.asc(k) for k in keys]]
     return first_n(near, n, QUERY_KEYS, order).select(*QUERY_KEYS, "rank", *keys, "distance")
 
 

@@ -9,7 +9,7 @@ from check import compare, connect
 from conftest import SMALL
 
 SQL = sql()
-ROWS_ONLY = {"knn_approx", "word_diff", "side_by_side", "history_word_diff", "text_similarity"}
+ROWS_ONLY = {"word_diff", "side_by_side", "history_word_diff", "text_similarity"}
 
 
 @pytest.fixture(scope="module")

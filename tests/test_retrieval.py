@@ -117,14 +117,30 @@ def test_nearest_in_several_passes(spark, monkeypatch):
     assert whole.exceptAll(parts).count() == 0 and parts.count() == 250
 
 
-def test_approximate_neighbours_find_most_of_the_exact_ones(spark):
-    from conftest import SMALL
+def recall_and_share(queries, corpus, n, **kw):
+    exact = vectors.nearest(queries, corpus, ["vec_id"], n).select("query_id", "vec_id")
+    near = vectors.nearest_approx(queries, corpus, ["vec_id"], n, **kw)
+    kw = {"bits": 8, "tables": 8} | kw
+    pairs = vectors.approx_candidates(queries, corpus, ["vec_id"], **kw).select("query_id", "vec_id").distinct().count()
+    return near.join(exact, ["query_id", "vec_id"]).count() / exact.count(), pairs / (queries.count() * corpus.count())
+
+
+def test_approximate_neighbours_of_almost_random_vectors(spark):
     from snaptext.checks.bindings import data
 
-    d = data(spark, SMALL)
-    exact = vectors.nearest(d.vector_queries(), d.vector_rows(), ["vec_id"], 10).select("query_id", "vec_id")
-    near = vectors.nearest_approx(d.vector_queries(), d.vector_rows(), ["vec_id"], 10)
-    assert near.join(exact, ["query_id", "vec_id"]).count() / exact.count() > 0.8
+    d = data(spark, "/root/testdata/sf0.1")
+    recall, share = recall_and_share(d.vector_queries(), d.vector_rows(), 10)
+    assert recall >= 0.6 and share <= 0.3, (recall, share)
+
+
+def test_approximate_neighbours_of_near_copies(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(600, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base + 0.05 * rng.normal(size=base.shape)]))]
+    corpus = spark.createDataFrame(rows, "vec_id int, vector array<float>")
+    queries = corpus.where("vec_id < 60").select(F.col("vec_id").cast("string").alias("query_id"), F.lit(0).alias("sub_no"), "vector")
+    recall, share = recall_and_share(queries, corpus, 2, bits=14, tables=8)
+    assert recall >= 0.95 and share <= 0.05, (recall, share)
 
 
 def test_vectors_are_the_same_each_time_and_unit_length_when_scaled(spark, index):
