@@ -26,6 +26,7 @@ HINTS = [
 ]
 BODY_START = {"en": 10, "fr": 5, "de": 1, "es": 12}
 PAGE_KEYWORD = "Condition"
+PAGE_SNAPSHOT = r"^https?://[^/]+/([a-z]{2})/"
 DISTANCE_FLOOR = 0.45
 PROBE_DAYS = ["1994-06-30", "1995-03-15", "1996-12-31", "1998-07-01", "2000-02-29", "2001-12-31", "2024-01-01"]
 TURN_DAYS = ["2023-12-31", "2024-01-01", "2024-02-15", "2024-04-01", "2025-01-01"]
@@ -343,14 +344,15 @@ class Data:
             markup, html.TITLE, F.concat(F.lit(f"\n{PAGE_KEYWORD} "), number, F.lit(". $1\n"))
         )
         return self.texts("pages", "page_id").select(
-            F.regexp_extract(url, r"^https?://[^/]+/([a-z]{2})/", 1).alias("snapshot"),
+            F.regexp_extract(url, PAGE_SNAPSHOT, 1).alias("snapshot"),
             F.col("page_id").cast("int").alias("page"),
             F.concat(outer, F.lit("\n"), html.plain(marked)).alias("text"),
         )
 
     def page_registry(self) -> DataFrame:
         starts = F.create_map(*[F.lit(x) for pair in BODY_START.items() for x in pair])
-        return self.page_records().select("snapshot").distinct().withColumn(
+        labels = self.table("pages").select(F.regexp_extract("url", PAGE_SNAPSHOT, 1).alias("snapshot"))
+        return labels.distinct().withColumn(
             "body_start", F.coalesce(F.try_element_at(starts, F.col("snapshot")), F.lit(1))
         )
 

@@ -23,6 +23,7 @@ from snaptext.operators import (
     vectors,
 )
 from snaptext.plans import ingest
+from snaptext.scale import stored
 from snaptext.sources import pages as page_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -746,7 +747,10 @@ def _history(d) -> DataFrame:
 
 
 def _graded(d) -> DataFrame:
-    return evaluation.graded_cases(_cases(d), _results(d), _retrieved(d), _citations(d), _history(d))
+    """The graded cases, stored once for all queries on them."""
+    if "graded" not in d.__dict__:
+        d.graded = stored(evaluation.graded_cases(_cases(d), _results(d), _retrieved(d), _citations(d), _history(d)), "graded")
+    return d.graded
 
 
 @query
@@ -817,10 +821,8 @@ def cited_passes(d):
     """Repeated passes: the citations of obligations 1, 1-2 and so on, scored like variants."""
     cited = _citations(d).select("query_id", "entity_id", F.floor((F.col("pages").cast("int") - 1) / 3).cast("int").alias("ob"))
     first = cited.groupBy("query_id", "entity_id").agg(F.min("ob").alias("ob"))
-    last = first.agg(F.max("ob").alias("last"))
-    passes = first.join(F.broadcast(last), F.col("ob") <= F.col("last")).select(
-        "query_id", "entity_id", F.explode(F.sequence("ob", "last")).alias("p")
-    )
+    last = first.agg(F.max("ob")).first()[0] or 0
+    passes = first.select("query_id", "entity_id", F.explode(F.sequence(F.col("ob"), F.lit(last))).alias("p"))
     surfaced = passes.select((F.col("p") + 1).alias("pass"), "query_id", "entity_id")
     return longs(evaluation.core_totals(evaluation.core_recall(_anchors(d), surfaced, ["pass"]), ["pass"]), "pass")
 

@@ -105,6 +105,9 @@ def core_recall(anchors: DataFrame, surfaced: DataFrame, by: list[str]) -> DataF
     if by:
         variants = sets.select(*by).distinct().agg(F.collect_set(F.struct(*by)).alias("_v"))
         names = variants.first()["_v"]
+        if not names:
+            names = [dict.fromkeys(by)]
+            anchors = anchors.limit(0)
         grid = anchors.select(
             "*", F.explode(F.array(*[F.struct(*[F.lit(v[b]).alias(b) for b in by]) for v in names])).alias("_v")
         ).select(*anchors.columns, *[F.col(f"_v.{b}").alias(b) for b in by])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from snaptext import settings
 from snaptext.functions import text as tx
 from snaptext.operators import lines as ln
-from snaptext.scale import carry_forward, small_side
+from snaptext.scale import carry_forward, small_side, stored
 
 
 def from_body_start(pages: DataFrame, registry: DataFrame) -> DataFrame:
@@ -34,24 +34,31 @@ def marked_pages(
     """
     kept = F.filter(ln.line_array(F.col("text")), lambda line: ~ln.is_boilerplate(line, rules))
     work = pages.select("snapshot", "page", kept.alias("lines"))
-    outers = F.filter(
-        F.transform(
-            "lines", lambda line, i: F.struct(i.alias("pos"), ln.outer_label(line, outer).alias("outer"))
-        ),
-        lambda m: m["outer"].isNotNull(),
-    )
-    heads = F.filter(
+    # Each line is matched once; marks are few, and lines stay apart from them.
+    marks = F.filter(
         F.transform(
             "lines",
             lambda line, i: F.struct(
                 i.alias("pos"),
-                F.when(ln.outer_label(line, outer).isNull(), ln.heading_id(line, heading)).alias("entity_id"),
-                ln.heading_title(line, heading).alias("title"),
+                ln.outer_label(line, outer).alias("outer"),
+                F.regexp_extract(line, heading, 1).alias("id"),
+                line.alias("line"),
             ),
         ),
-        lambda m: m["entity_id"].isNotNull(),
+        lambda m: m["outer"].isNotNull() | (m["id"] != ""),
+    )
+    work = work.withColumn("_marks", marks)
+    outers = F.transform(
+        F.filter("_marks", lambda m: m["outer"].isNotNull()),
+        lambda m: F.struct(m["pos"].alias("pos"), m["outer"].alias("outer")),
+    )
+    heads = F.transform(
+        F.filter("_marks", lambda m: m["outer"].isNull()),
+        lambda m: F.struct(
+            m["pos"].alias("pos"), m["id"].alias("entity_id"), ln.heading_title(m["line"], heading).alias("title")
+        ),
     )
-    work = work.withColumns({"outers": outers, "heads": heads})
+    work = stored(work.withColumns({"outers": outers, "heads": heads}).drop("_marks"), "kept-lines")
     return carry_forward(
         work,
         ["snapshot"],
@@ -131,7 +138,7 @@ def section_bodies(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Each section's lines joined by spaces, as one text per row.
 
     A text is one value here, so it has to fit a row; ``chunking.chunk_lines`` and
-    ``changes.text_blocks`` work without assembling it.
+    ``changes.blocks_of_pieces`` work without assembling it.
     """
     ordered = F.array_sort(F.collect_list(F.struct("page", "line_no", "line")))
     return lines.groupBy(*keys).agg(
