@@ -102,20 +102,23 @@ def compare_edited(docs: DataFrame, share: int = 4, k: int = K, s: int = S) -> D
     the id follow each other by the hash of their text. A single document follows itself.
     """
     base = with_key(docs.select("doc_id", whole("text").alias("text")))
-    keys = base.groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.first(F.length("text")).alias("n"))
+    keys = base.groupBy(*KEY).agg(
+        F.first("doc_id").alias("doc_id"), F.first(F.length("text")).alias("n"), F.count("*").alias("copies")
+    )
     follows = next_rows(keys, ["doc_id", KEY[1]]).select(
-        *[F.col(f"next.{c}").alias(c) for c in KEY], *[F.col(c).alias(f"for{c}") for c in KEY], F.col("n").alias("for_n")
+        *[F.col(f"next.{c}").alias(c) for c in KEY], *[F.col(c).alias(f"for{c}") for c in KEY], F.col("n").alias("for_n"), F.col("copies").alias("for_copies")
     )
-    # Texts are shuffled once; repeated rows meet before that.
-    once = base.groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    # Both joins below take the same rows from the same shuffle of the texts; repeated rows meet before it.
+    once = base.groupBy(*KEY).agg(F.first(F.struct("doc_id", "text")).alias("row"))
     # The next document sends the piece of text that is needed, and its anchors.
-    sent = once.join(follows, KEY)
+    sent = once.join(follows, KEY).withColumn("text", F.col("row.text"))
     sent = with_anchors(sent, "text", "next_anchors", k, s).select(
         *[F.col(f"for{c}").alias(c) for c in KEY],
+        F.col("for_copies").alias("copies"),
         F.substring(F.col("text"), F.lit(1), F.floor(F.col("for_n") / share).cast("int")).alias("piece"),
         F.col("next_anchors.anchor").alias("next_anchors"),
     )
-    met = once.join(sent, KEY)
+    met = once.join(sent, KEY).select("row.*", "copies", "piece", "next_anchors")
     met = met.withColumn("n_chars", F.length("text").cast("long"))
     kept = (F.col("n_chars") - F.floor(F.col("n_chars") / share)).cast("int")
     met = met.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), kept), F.col("piece")))
