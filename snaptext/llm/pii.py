@@ -42,8 +42,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_PHONE = re.compile(r"(?<![\w+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![\w])")
 _CLOUD_KEY = re.compile(r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])")
-_ASSIGNED = re.compile(r"""(?i)(?<![\w])(?:password|passwd|pwd|token|secret|api_?key)\s{0,2}[=:]\s{0,2}["']?([^\s"'<>]{6,200})""")
-_HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![0-9A-Za-z])")
+_ASSIGNED = re.compile(r"""(?i)(?<![\w])(?:password|passwd|pwd|token|secret|api_?key)\s{0,2}[=:]\s{0,2}["']?([^\s"'<>]{6,}+)""")
+_HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}+(?![0-9A-Za-z])")
 _WORDS_BEFORE = re.compile(r"[^\W\d]+")
 
 
@@ -175,7 +175,8 @@ def candidates_of(text: str) -> list[tuple[int, int, int, bool, str]]:
     starts, ends = _merged((start, end) for start, _, end in found)
     for kind, start, end in wider_spans(text):
         at = bisect_left(starts, end) - 1
-        if at < 0 or ends[at] <= start:
+        # A secret that goes on beyond a base match inside it stays whole.
+        if at < 0 or ends[at] <= start or kind == "secret" and not starts[at] <= start < end <= ends[at]:
             found.setdefault((start, KINDS.index(kind), end), False)
     out = []
     for (start, kind, end), base in sorted(found.items()):

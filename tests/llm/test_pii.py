@@ -105,3 +105,25 @@ def test_query(spark):
         base = plain_spans(docs[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in base).encode()).hexdigest()
         assert not r["spans"] or re.search(r"[0-9@]", docs[r["doc_id"]])
+
+
+@pytest.mark.parametrize("n", [40, 130, 201, 300, 5000])
+def test_long_secrets_are_found_whole(n):
+    token = ("eyJh.bG-ci_9" * n)[:n]
+    text = f"the token={token} of the site"
+    assert ("secret", 10, 10 + n) in list(pii.wider_spans(text))
+    key = ("0a1b9f" * n)[:n]
+    assert list(pii.wider_spans(f"it is {key} here")) == [("secret", 6, 6 + n)]
+    assert ("secret", 6, 6 + n) not in list(pii.wider_spans(f"it is {key}x here"))
+
+
+def test_long_secrets_leave_nothing_behind(spark):
+    token = "Q7x" * 100
+    docs = spark.createDataFrame([(i, f"my token={token} for you and all") for i in range(40)], "doc_id long, text string")
+    assert {r["text"] for r in pii.redact(docs).collect()} == {"my token=[SECRET] for you and all"}
+
+
+def test_long_secrets_with_other_kinds_inside():
+    token = "Q7x" * 100 + "&mail=a@b.com&" + "Z3y" * 100
+    spans = [(s, e, pii.KINDS[k]) for s, k, e, _, _ in pii.candidates_of(f"my token={token} for you")]
+    assert (9, 9 + len(token), "secret") in spans and any(kind == "email" for _, _, kind in spans)
