@@ -133,6 +133,16 @@ def test_approximate_neighbours_of_almost_random_vectors(spark):
     assert recall >= 0.6 and share <= 0.3, (recall, share)
 
 
+def test_recall_with_the_parameters_of_knn_approx(spark):
+    from snaptext.checks.bindings import data
+
+    d = data(spark, "/root/testdata/sf0.01")
+    queries, corpus = d.vector_queries(), d.vector_rows()
+    exact = vectors.nearest(queries, corpus, ["vec_id"], 10).select("query_id", "vec_id")
+    near = vectors.nearest_approx(queries, corpus, ["vec_id"], 10).select("query_id", "vec_id")
+    assert near.join(exact, ["query_id", "vec_id"]).count() >= 0.9 * exact.count()
+
+
 def test_approximate_neighbours_of_near_copies(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(600, 64))
