@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding with the vocabulary of a given tokenizer file.
 
 A text is cut at added tokens, then by the pattern of the byte-level pre-tokenizer; each piece is merged
-by rank. Encodings of what stands between two single spaces are remembered: there a piece always ends. A long unsplit piece is encoded by tree concatenation: its halves are encoded on their own, and
+by rank. Encodings of what stands between two single spaces are remembered: there a piece always ends. The
+pieces of words not remembered are merged together, all words of a batch in one array. A long unsplit piece is encoded by tree concatenation: its halves are encoded on their own, and
 around the join a growing window is encoded again until its first and last token agree with those of
 the two sides. Then all neighbouring tokens are as in the encoding of their own bytes, which for merges
 by rank makes the whole sequence the encoding of the whole piece.
@@ -18,8 +19,9 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -31,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 PART = 65_536
 #: Bytes of a piece that are merged directly; longer ones are halved.
 DIRECT = 256
-#: Words whose encoding a task remembers; as many older ones are kept until the next change.
-REMEMBERED = 1 << 18
+#: Words whose encoding a task remembers; as many older ones are kept until the next change. About 200 bytes each.
+REMEMBERED = 1 << 17
 _LONGEST_WORD = 48
+#: Code points of the texts that are encoded together.
+TOGETHER = 1 << 20
 
 #: The pattern of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -51,6 +55,22 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+    """Where pairs are looked for first in a table of ``size`` slots, a power of two."""
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _hashed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash table of distinct pairs and their numbers: a pair is in its slot or in one after it without a gap; empty slots hold -1."""
+    size = 1 << max(4, (4 * keys.size).bit_length())
+    slot_keys, slot_ranks = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+    for rank, (at, key) in enumerate(zip(_slots(keys, size).tolist(), keys.tolist())):
+        while slot_keys[at] != -1:
+            at = (at + 1) % size
+        slot_keys[at], slot_ranks[at] = key, rank
+    return slot_keys, slot_ranks
+
+
 class Bpe:
     """Encoder and decoder of one tokenizer file, given as its JSON text."""
 
@@ -69,10 +89,14 @@ class Bpe:
         for content, i in self.added.items():
             self.bytes_of[i] = content.encode()
         self.pattern = regex.compile(PATTERN)
-        self.marks = {m: array("i", [self.single[ord(m)]]).tobytes() for m in ".,"}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
         self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        # The same merges as arrays hashed by their pair, and the ids of single bytes.
+        self.slot_keys, self.slot_ranks = _hashed(np.fromiter(((a << 32) | b for a, b, _ in merges), np.int64, len(merges)))
+        self.merged_ids = np.array([*self.result, 0], np.int32)
+        self.byte_ids = np.array([self.single.get(b, 0) for b in range(256)], np.int32)
+        self.decimal = [b"%d" % i for i in range(len(self.table))]
         # Remembered encodings are packed as 32-bit ids.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -115,6 +139,67 @@ class Bpe:
             ranks = [rank_of(pair, none) for pair in zip(ids, ids[1:])]
         return ids
 
+    def merged_together(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces, merged side by side: in each round every piece merges all pairs of its best rank."""
+        none, done = len(self.result), [b""] * len(pieces)
+        ids = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        of = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        while ids.size:
+            starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            ranks = np.full(ids.size, none, np.int32)
+            inner = np.flatnonzero(of[1:] == of[:-1])
+            keys = (ids[inner].astype(np.int64) << 32) | ids[inner + 1]
+            at = _slots(keys, self.slot_keys.size)
+            there = self.slot_keys[at]
+            ranks[inner] = np.where(there == keys, self.slot_ranks[at], none)
+            others = np.flatnonzero((there != keys) & (there != -1))
+            while others.size:
+                at[others] = (at[others] + 1) % self.slot_keys.size
+                there = self.slot_keys[at[others]]
+                found = there == keys[others]
+                ranks[inner[others[found]]] = self.slot_ranks[at[others[found]]]
+                others = others[~found & (there != -1)]
+            best = np.minimum.reduceat(ranks, starts)
+            sizes = np.diff(np.append(starts, ids.size))
+            ended = best == none
+            if ended.any():
+                packed = ids.tobytes()
+                for i, s, n in zip(of[starts[ended]].tolist(), (starts[ended] * 4).tolist(), (sizes[ended] * 4).tolist()):
+                    done[i] = packed[s : s + n]
+                left = np.repeat(~ended, sizes)
+                ids, of, ranks, best = ids[left], of[left], ranks[left], np.repeat(best[~ended], sizes[~ended])
+                if not ids.size:
+                    break
+            else:
+                best = np.repeat(best, sizes)
+            chosen = ranks == best
+            # Of pairs that overlap, every other one from the left.
+            i = np.flatnonzero(chosen)
+            first = np.append(True, np.diff(i) > 1)
+            run = np.maximum.accumulate(np.where(first, np.arange(i.size), 0))
+            i = i[(np.arange(i.size) - run) % 2 == 0]
+            ids[i] = self.merged_ids[ranks[i]]
+            keep = np.ones(ids.size, bool)
+            keep[i + 1] = False
+            ids, of = ids[keep], of[keep]
+        return done
+
+    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Encodings of words after a space."""
+        single, cut = [], {}
+        for w in words:
+            if w.isalpha():
+                single.append(w)
+            else:
+                cut[w] = self.pattern.findall(f" {w}")
+        pieces = list({*chain.from_iterable(cut.values()), *(f" {w}" for w in single)})
+        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        ids = dict(zip(pieces, self.merged_together([d if len(d) <= DIRECT else b"" for d in data])))
+        for p, d in zip(pieces, data):
+            if len(d) > DIRECT:
+                ids[p] = array("i", self.piece(d)).tobytes()
+        return {w: ids[f" {w}"] for w in single} | {w: b"".join([ids[p] for p in ps]) for w, ps in cut.items()}
+
     def piece(self, data: bytes) -> list[int]:
         """Encoding of one piece; halves of a long one are joined."""
         if len(data) <= DIRECT:
@@ -153,44 +238,52 @@ class Bpe:
             out += self.piece(p.encode("utf-8", "surrogatepass"))
         return array("i", out).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Encoding of a word after a space, remembered if it is short."""
-        if word in self.older:
-            ids = self.older[word]
-        elif word.isalpha():
-            ids = array("i", self.piece(f" {word}".encode())).tobytes()
-        elif word[-1:] in (".", ",") and word[:-1].isalpha():
-            # Letters end a piece before a mark.
-            return (self.known.get(word[:-1]) or self._word(word[:-1])) + self.marks[word[-1]]
-        else:
-            ids = self._plain(f" {word}")
-        if len(word) <= _LONGEST_WORD:
-            if len(self.known) >= REMEMBERED:
-                self.older, self.known = self.known, {}
-            self.known[word] = ids
-        return ids
-
-    def _segment(self, text: str) -> bytes:
-        first, *words = _SINGLE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        known, word = self.known.get, self._word
-        out = [self._plain(first)]
-        for w in words:
-            got = known(w)
-            if got is None:
-                got = word(w)
-                known = self.known.get
-            out.append(got)
-        return b"".join(out)
+    def encode_together(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as packed 32-bit numbers."""
+        whole: list[list[list[str] | bytes]] = []
+        for text in texts:
+            segments: list[list[str] | bytes] = []
+            at = 0
+            if any(a in text for a in self.added):
+                for m in self.cut.finditer(text):
+                    segments += [self._words(text[at : m.start()]), array("i", [self.added[m[0]]]).tobytes()]
+                    at = m.end()
+            segments.append(self._words(text[at:] if at else text))
+            whole.append(segments)
+        needed = set().union(*(s[1:] for segments in whole for s in segments if isinstance(s, list)))
+        found = {w: self.known[w] for w in needed & self.known.keys()}
+        missing = needed - found.keys()
+        found |= {w: self.older[w] for w in missing & self.older.keys()}
+        found |= self.learn(needed - found.keys())
+        for w in missing:
+            if len(w) <= _LONGEST_WORD:
+                if len(self.known) >= REMEMBERED:
+                    self.older, self.known = self.known, {}
+                self.known[w] = found[w]
+        ids_of = found.__getitem__
+        return [
+            b"".join(x for s in segments for x in ([s] if isinstance(s, bytes) else chain([self._plain(s[0])], map(ids_of, s[1:]))))
+            for segments in whole
+        ]
+
+    def _words(self, text: str) -> list[str]:
+        """What stands before the first single space, and the words after single spaces."""
+        return _SINGLE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
     def encode_packed(self, text: str) -> bytes:
-        """The ids of a text as packed 32-bit numbers."""
-        if not any(a in text for a in self.added):
-            return self._segment(text)
-        out, at = [], 0
-        for m in self.cut.finditer(text):
-            out += [self._segment(text[at : m.start()]), array("i", [self.added[m[0]]]).tobytes()]
-            at = m.end()
-        return b"".join([*out, self._segment(text[at:])])
+        return self.encode_together([text])[0]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """As ``encode_together``, some texts at a time."""
+        some, length = [], 0
+        for text in texts:
+            some.append(text)
+            length += len(text)
+            if length >= TOGETHER:
+                yield from self.encode_together(some)
+                some, length = [], 0
+        if some:
+            yield from self.encode_together(some)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), dtype=np.int32).tolist()
@@ -235,7 +328,7 @@ class Bpe:
         yield from flush()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _bpe(text: str) -> Bpe:
     return Bpe(text)
 
@@ -258,12 +351,11 @@ def _vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
-    """(``doc_id``, ``text_key``, ``ids``: array of int) for every row of (``doc_id``, ``text``).
-
-    Null texts are empty and have no ids. The string of an added token in a text is that token. Rows
-    equal in id and text are repeated in the result.
+def _encoded(docs: DataFrame, path: str, part: int, outputs: str, finish: Callable[[Bpe, list[bytes]], list[pa.Array]]) -> DataFrame:
+    """(``doc_id``, ``text_key``, *outputs*) for every row of (``doc_id``, ``text``); ``finish`` makes the outputs of packed
+    ids in the task that has encoded them, so that they need not go through another one.
     """
+    made = [field.split()[0] for field in outputs.split(", ")]
     vocabulary = _vocabulary(docs.sparkSession, path)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -273,10 +365,10 @@ def encode(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 some = batch.slice(i, 500)
-                ids = _lists([bpe.encode_packed(t.as_py()) for t in some.column("text")])
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_key"), ids], names=["doc_id", "text_key", "ids"])
+                packed = list(bpe.encode_all(t.as_py() for t in some.column("text")))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_key"), *finish(bpe, packed)], names=["doc_id", "text_key", *made])
 
-    schema = f"doc_id {id_type}, text_key long, ids array<int>"
+    schema = f"doc_id {id_type}, text_key long, {outputs}"
     direct = rows.filter(F.length("text") <= part).mapInArrow(short, schema)
 
     names = ["doc_id", "text_key", "copies", "n", "kind"]
@@ -319,7 +411,7 @@ def encode(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
         copies = first.column("copies")[0].as_py()
         return pa.table(
             {c: pa.array([first.column(c)[0].as_py()] * copies, first.schema.field(c).type) for c in ("doc_id", "text_key")}
-            | {"ids": pa.array([ids] * copies, pa.list_(pa.int32()))}
+            | dict(zip(made, finish(bpe, [array("i", ids).tobytes()] * copies)))
         )
 
     long_ones = (
@@ -335,6 +427,20 @@ def encode(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
     return direct.unionByName(long_encoded)
 
 
+def encode(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
+    """(``doc_id``, ``text_key``, ``ids``: array of int) for every row of (``doc_id``, ``text``).
+
+    Null texts are empty and have no ids. The string of an added token in a text is that token. Rows
+    equal in id and text are repeated in the result.
+    """
+    return _encoded(docs, path, part, "ids array<int>", lambda bpe, packed: [_lists(packed)])
+
+
+def encode_packed(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
+    """As ``encode``, with the ids of a row as one binary of little-endian 32-bit numbers."""
+    return _encoded(docs, path, part, "ids binary", lambda bpe, packed: [pa.array(packed, pa.binary())])
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``text`` in place of ``ids``; bytes that are no UTF-8 become U+FFFD. Null ids give a null text."""
     vocabulary = _vocabulary(encoded.sparkSession, path)
@@ -350,15 +456,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, f"{schema}text string")
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """(``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``) of encoded rows."""
-    decoded = decode(
-        encoded.select(
-            "doc_id",
-            F.size("ids").cast("long").alias("n_tokens"),
-            F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-            "ids",
-        ),
-        path,
-    )
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
+    """(``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``) of every row of (``doc_id``, ``text``): its ids, in decimal
+    and joined by commas, and what they decode to. Encoded and decoded in one task.
+    """
+
+    def finish(bpe: Bpe, packed: list[bytes]) -> list[pa.Array]:
+        decimal, hashed, decoded = bpe.decimal.__getitem__, [], []
+        for p in packed:
+            ids = np.frombuffer(p, np.int32).tolist()
+            hashed.append(sha256(b",".join(map(decimal, ids))).hexdigest())
+            decoded.append(sha256(bpe.decode(ids).encode()).hexdigest())
+        return [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(hashed), pa.array(decoded)]
+
+    outputs = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _encoded(docs, path, part, outputs, finish).drop("text_key")

@@ -74,8 +74,7 @@ def syncmer_prints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bpe_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    path = vocabulary()
-    return bpe.digests(bpe.encode(_table(spark, folder, "documents"), path), path)
+    return bpe.digests(_table(spark, folder, "documents"), vocabulary())
 
 
 def trusted(spark: SparkSession, folder: str) -> DataFrame:

@@ -56,6 +56,17 @@ def test_broken_bytes_are_replaced(own, reference):
         assert own.decode(ids) == reference.decode(ids, skip_special_tokens=False)
 
 
+def test_texts_together_with_few_words_remembered(own, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 7)
+    monkeypatch.setattr(bpe, "TOGETHER", 900)
+    rng = random.Random(2)
+    some = texts() + [" ".join(rng.choice(["ab", "it's", "x.", "a1,", "é", "日本", "w" * 400, ""]) for _ in range(30)) for _ in range(40)]
+    packed = list(own.encode_all(some))
+    assert [len(p) for p in packed] == [4 * len(reference.encode(t, add_special_tokens=False).ids) for t in some]
+    assert [own.encode(t) for t in some] == [reference.encode(t, add_special_tokens=False).ids for t in some]
+    assert own.merged_together([b"", b"abab", b""]) == [b"", b"".join(i.to_bytes(4, "little") for i in own.merged(b"abab")), b""]
+
+
 @pytest.mark.parametrize("part", [16, 500])
 def test_parts_of_long_texts(spark, reference, part):
     rows = [(i % 60, t, "x", 1, 2) for i, t in enumerate(texts())]
@@ -71,7 +82,7 @@ def test_round_trip_and_empty_table(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     back = bpe.decode(bpe.encode(df, vocabulary(), part=1000), vocabulary())
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {r[0]: r[1] for r in rows}
-    assert bpe.digests(bpe.encode(df.limit(0), vocabulary()), vocabulary()).count() == 0
+    assert bpe.digests(df.limit(0), vocabulary()).count() == 0
     assert bpe.decode(spark.createDataFrame([(1, None)], "doc_id int, ids array<int>"), vocabulary()).first()["text"] is None
 
 

@@ -12,7 +12,7 @@ from snaptext.llm import pii
 from snaptext.llm.oracles import SQL
 from snaptext.llm.queries import QUERIES
 from test_mixing import plain_mix
-from test_simhash import plain_groups, plain_print
+from test_shingles import plain_kept
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -42,9 +42,7 @@ def test_stages(spark, tmp_path):
         if name == "quality rules":
             assert {r["doc_id"] for r in rows} == {d for d, kept in verdict.items() if kept}
         elif name == "simhash near-dedup":
-            ordered = sorted(before, key=lambda r: r["doc_id"])
-            groups = plain_groups([plain_print(r["text"]) for r in ordered])
-            assert {r["doc_id"] for r in rows} == {ordered[g]["doc_id"] for g in groups}
+            assert {r["doc_id"] for r in rows} == plain_kept([(r["doc_id"], r["text"]) for r in before])
         elif name == "pii":
             assert len(rows) == len(before)
             assert not any(list(pii.base_spans(r["text"])) for r in rows)
