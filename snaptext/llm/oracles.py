@@ -93,4 +93,120 @@ from d join sums s on s.shard = substr(d.bits, 1, s.depth::int) and s.shard_byte
 group by d.doc_id, d.n_bytes, d.bits
 """
 
-SQL = {"op3_chat_format": _CHAT, "op4_warc_audit": _WARC, "op5_mix_sources": _MIX, "op10_shards": _SHARDS}
+#: CRC-32 of a string by bytes, with a table made by its rule.
+_TABLE = """(select list(c order by v) as tab from
+  (select v, list_reduce(range(0, 8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, v) as c from range(0, 256) as r(v)))"""
+
+
+def _crc32(of: str) -> str:
+    octets = f"list_transform(range(0, strlen({of})), lambda i: ('0x' || substr(hex(encode({of})), 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def _runs(table: str, key: str) -> str:
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+  select {key} as id, n, unnest(list_concat(w, list_transform(range(1, n), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, n - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as f
+  from (select {key}, w, len(w) as n from
+    (select {key}, regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from {table}))"""
+
+
+_RESAMPLE = rf"""
+with tab as materialized {_TABLE},
+raw as materialized ({_runs("documents", "doc_id")}),
+wanted as materialized ({_runs("benchmark", "item_id")}),
+runs as materialized (select f, {_crc32("f")} % 10000 as bucket from (select f from raw union select f from wanted), tab),
+s as (select bucket, count(*) as n from raw join runs using (f) group by bucket),
+t as (select bucket, count(*) as n from wanted join runs using (f) group by bucket),
+totals as (select (select coalesce(sum(n), 0) + 10000 from s)::double as s_all, (select coalesce(sum(n), 0) + 10000 from t)::double as t_all),
+gains as (
+  select b.bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1)::double * s_all) / ((coalesce(s.n, 0) + 1)::double * t_all)))::bigint as gain
+  from range(0, 10000) as b(bucket) left join s using (bucket) left join t using (bucket), totals),
+weighed as (
+  select d.doc_id, coalesce(w.n_features, 0) as n_features, coalesce(w.weight, 0) as weight, coalesce(w.n_words, 0) as n_words
+  from documents d left join
+    (select id, count(*) as n_features, sum(gain)::bigint as weight, any_value(n) as n_words from raw join runs using (f) join gains using (bucket) group by id) w
+  on d.doc_id = w.id),
+scored as (
+  select *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score
+  from weighed),
+placed as (
+  select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as able from scored where n_words >= 20)
+select s.doc_id, s.n_features::bigint as n_features, s.weight, s.score, case when p.place <= 5 * p.able // 100 then p.place end as rank
+from scored s left join placed p using (doc_id)
+"""
+
+_REPAIR = rf"""
+with recursive tab as materialized {_TABLE},
+hashed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k
+  from conversations),
+kinds as (select conv_id, turn, role, text, {_crc32("k")} % 20 as kind from hashed, tab),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(0, case kind when 0 then 0 when 3 then 2 else 1 end)) as copy
+  from kinds),
+bodies as (
+  select *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body,
+    row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth, count(*) over (partition by conv_id) as n
+  from damaged),
+given as materialized (
+  select conv_id, i, n, turn, role, text, left(role, 1) as r,
+    case when body = '' then 'blank' when nth > 1 then 'duplicate' when right(body, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault
+  from bodies),
+priced as materialized (
+  select *, case fault when 'truncated' then 5 when '' then 0 else 1000000 end as extra from given),
+-- Least costs to go after i rows, begun and after system, user and assistant.
+togo as (
+  select distinct conv_id, n as i, 0::bigint as cb, 10::bigint as cs, 5::bigint as cu, 0::bigint as ca from priced
+  union all
+  select conv_id, i, least(hb, 5 + least(hu, 5 + ha)), least(hs, 5 + least(hu, 5 + ha)), least(hu, 5 + ha), least(ha, 5 + hu)
+  from (
+    select p.conv_id, p.i - 1 as i,
+      least(2 + cb, 1 + extra + cu, extra + case r when 's' then cs when 'u' then cu else 1000000 end) as hb,
+      least(2 + cs, 1 + extra + cu, extra + case r when 'u' then cu else 1000000 end) as hs,
+      least(2 + cu, 1 + extra + ca, extra + case r when 'a' then ca else 1000000 end) as hu,
+      least(2 + ca, 1 + extra + cu, extra + case r when 'u' then cu else 1000000 end) as ha
+    from togo t join priced p on t.conv_id is not distinct from p.conv_id and t.i = p.i)),
+lists as materialized (select conv_id, i, [cb, cs, cu, ca] as c from togo),
+walk as (
+  select conv_id, n, 0::bigint as i, 1 as q, '' as audit, null::varchar as lines, 0::bigint as cost from given where i = 1
+  union all
+  select conv_id, n, case edit when 'I' then i else i + 1 end, case edit when 'D' then q when 'K' then kept else nxt end, audit || edit,
+    case when edit = 'D' then lines else coalesce(lines || chr(10), '') || case edit when 'K' then role else case nxt when 3 then 'user' else 'assistant' end end
+      || ':' || case edit when 'I' then '' else text end end,
+    cost + case edit when 'D' then 2 when 'I' then 5 when 'K' then extra else 1 + extra end
+  from (
+    select w.*, p.role, p.text, p.extra, k.kept, [3, 3, 4, 3][q] as nxt,
+      case when p.i is null then 'I' when 2 + b.c[q] = a.c[q] then 'D' when 5 + a.c[[3, 3, 4, 3][q]] = a.c[q] then 'I' when extra + b.c[k.kept] = a.c[q] then 'K' else 'R' end as edit
+    from walk w
+    left join priced p on p.conv_id is not distinct from w.conv_id and p.i = w.i + 1
+    left join (values ('s', 1, 2), ('u', 1, 3), ('u', 2, 3), ('a', 3, 4), ('u', 4, 3)) k(r, state, kept) on k.r = p.r and k.state = w.q
+    join lists a on a.conv_id is not distinct from w.conv_id and a.i = w.i
+    left join lists b on b.conv_id is not distinct from w.conv_id and b.i = w.i + 1
+    where w.i < w.n or w.q in (2, 3))),
+ended as (select * from walk where i = n and q in (1, 4)),
+stats as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (before is not null and before || r not in ('su', 'ua', 'au')) as illegal
+  from (select *, lag(r) over (partition by conv_id order by i) as before from given) group by conv_id)
+select o.conv_id, coalesce(s.gaps, 0)::bigint as gaps, coalesce(s.blank, 0)::bigint as blank, coalesce(s.duplicate, 0)::bigint as duplicate,
+  coalesce(s.truncated, 0)::bigint as truncated, coalesce(s.illegal, 0)::bigint as illegal, coalesce(e.cost, 0)::bigint as cost,
+  coalesce(e.audit, '') as audit, sha256(coalesce(e.lines, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join stats s on s.conv_id is not distinct from o.conv_id
+left join ended e on e.conv_id is not distinct from o.conv_id
+"""
+
+SQL = {
+    "op3_chat_format": _CHAT,
+    "op4_warc_audit": _WARC,
+    "op5_mix_sources": _MIX,
+    "op10_shards": _SHARDS,
+    "op11_importance_resample": _RESAMPLE,
+    "op12_repair_conversations": _REPAIR,
+}

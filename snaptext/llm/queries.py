@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from snaptext.llm import bpe, chat, langid, mixing, pii, quality, sharding, simhash, syncmers, warc
+from snaptext.llm import bpe, chat, langid, mixing, packing, pii, quality, repair, resampling, sharding, simhash, syncmers, warc
 from snaptext.llm.oracles import SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,20 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(_table(spark, folder, "documents"))
 
 
+def importance_resample(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations")
+    return repair.assess(repair.damage(turns), turns)
+
+
+def pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(packing.pieces(_table(spark, folder, "documents"), vocabulary()))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_groups": simhash_groups,
     "op2_language": language,
@@ -105,5 +119,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": quality_rules,
     "op9_personal_data": personal_data,
     "op10_shards": shards,
+    "op11_importance_resample": importance_resample,
+    "op12_repair_conversations": repair_conversations,
+    "op13_pack_sequences": pack_sequences,
 }
 
