@@ -76,7 +76,7 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
             down = solved <= 0
             step = np.min(now[down] / np.maximum(now[down] - solved[down], 1e-300))
             now = now + step * (solved - now)
-            kept = (now > 1e-14) & ~(down & (now <= 1e-14))
+            kept = now > 1e-14
             kept[np.flatnonzero(down)[np.argmin(now[down])]] = False
             x[:] = 0
             x[[c for c, k in zip(active, kept) if k]] = now[kept]
@@ -221,6 +221,8 @@ def pack(cut: DataFrame, window: int = WINDOW, grid: int = GRID, keep_ids: bool
     pieces of a sequence lie side by side from offset 0. Some pieces are cut further; every id stays in exactly one piece.
     Sequence ids are unique but not without gaps.
     """
+    if window % grid:
+        raise ValueError("the window must be a multiple of the grid")
     spark = cut.sparkSession
     # The ids are by far the largest column: written once, well compressed, and read again only where needed.
     path = f"{shared_folder(spark)}/pieces-{uuid.uuid4().hex}"
