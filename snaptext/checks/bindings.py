@@ -6,14 +6,16 @@ a new application sees new data.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from snaptext.functions import html, text as tx
-from snaptext.operators import chunking, fusion, timelines
+from snaptext.operators import chunking, fusion, neighbours, textdiff, timelines
 from snaptext.plans import ingest, retrieval
-from snaptext.scale import only_keys_of, small_side, spread, stored
+from snaptext.scale import only_keys_of, shared_folder, small_side, spread, stored
+from snaptext.sources import pages, published, tables
 
 # Fixed values shared with the check SQL.
 OLD, CURRENT = "2021-01-01", "2023-01-01"
@@ -31,8 +33,8 @@ DISTANCE_FLOOR = 0.45
 PROBE_DAYS = ["1994-06-30", "1995-03-15", "1996-12-31", "1998-07-01", "2000-02-29", "2001-12-31", "2024-01-01"]
 TURN_DAYS = ["2023-12-31", "2024-01-01", "2024-02-15", "2024-04-01", "2025-01-01"]
 YEARS_PER_SNAPSHOT = 2
-#: So many different lengths of passages of one or two words can be looked for at once.
-SHORT_LENGTHS = 64
+#: Characters by which passages of one or two words are looked for.
+SHORT_KEY = 8
 
 
 class Data:
@@ -92,9 +94,40 @@ class Data:
     def chunks(self) -> DataFrame:
         return stored(self.chunk_rows(), "chunks")
 
+    def edition_registry(self) -> DataFrame:
+        """The two editions with what is known of their sources."""
+        rows = [(OLD, "first edition", "archive"), (CURRENT, "second edition", "publisher")]
+        named = self.spark.createDataFrame(rows, "snapshot string, doc_title string, authority string")
+        return named.select(
+            "snapshot",
+            F.to_date("snapshot").alias("date"),
+            F.concat(F.lit("edition-"), "snapshot").alias("source"),
+            "doc_title",
+            "authority",
+            F.concat(F.lit("https://example.org/"), "snapshot").alias("url"),
+        )
+
+    @cached_property
+    def current(self) -> str:
+        return pages.current_snapshot(self.edition_registry())
+
+    @cached_property
+    def published(self) -> str:
+        """Folder of the published tables: pages and chunks, written once and then rebuilt in part."""
+        path = f"{shared_folder(self.spark)}/published-{uuid.uuid4().hex}"
+        pages.publish_pages(self.page_records(), path)
+        tables.publish_chunks(self.chunks, path)
+        # A second run for some of the snapshots: the same rows, in new folders.
+        pages.publish_pages(self.page_records().where("snapshot in ('de', 'en')"), path)
+        tables.publish_chunks(self.chunks.where(F.col("snapshot") == OLD), path)
+        return path
+
+    def published_chunks(self) -> DataFrame:
+        return published.read(self.spark, self.published, "chunks")
+
     @cached_property
     def search_tables(self) -> retrieval.SearchTables:
-        return retrieval.build_search(self.chunks, CURRENT)
+        return retrieval.build_search(self.chunks, self.current)
 
     # Benchmark items as questions.
 
@@ -158,21 +191,18 @@ class Data:
         docs = self.texts("documents", "doc_id").select(F.col("doc_id").cast("string").alias("entity_id"), "text")
         words = docs.select("entity_id", F.explode(F.array_distinct(F.split("text", "[ \n]+"))).alias("word"))
         found = words.join(small_side(keyed.where("word is not null").select("query_id", "word")), "word").select("query_id", "entity_id")
-        # One or two words: their text is short, and the few different ones are looked for in every document.
-        short = keyed.where("word is null").select("query_id", "passage")
-        lengths = [r[0] for r in short.select(F.length("passage")).distinct().limit(SHORT_LENGTHS + 1).collect()]
-        if len(lengths) > SHORT_LENGTHS:
-            raise ValueError("passages of one or two words have too many different lengths")
+        # One or two words: found by their first characters, at most ``SHORT_KEY`` of them.
+        short = keyed.where("word is null").select("query_id", F.substring("passage", 1, SHORT_KEY).alias("part"))
+        lengths = sorted(r[0] for r in short.select(F.length("part")).distinct().collect())
         none = F.array().cast("array<string>")
 
         def substrings(n: int) -> Column:
             starts = F.sequence(F.lit(1), F.length("text") - n + 1)
             return F.when(F.length("text") >= n, F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(n)))).otherwise(none)
 
-        pieces = F.concat(*map(substrings, lengths)) if lengths else None
-        if pieces is not None:
-            cut = docs.select("entity_id", F.explode(F.array_distinct(pieces)).alias("passage"))
-            found = found.unionByName(cut.join(small_side(short), "passage").select("query_id", "entity_id"))
+        if lengths:
+            cut = docs.select("entity_id", F.explode(F.array_distinct(F.concat(*map(substrings, lengths)))).alias("part"))
+            found = found.unionByName(cut.join(small_side(short), "part").select("query_id", "entity_id"))
         checked = found.join(docs, "entity_id").join(small_side(keyed.select("query_id", "passage")), "query_id")
         return checked.where(F.contains("text", F.col("passage"))).select("query_id", "entity_id")
 
@@ -198,6 +228,11 @@ class Data:
         )
         return timelines.build_timeline(changes, about)
 
+    def document_existence(self) -> DataFrame:
+        """Documents known to be introduced: those labelled good, with their first edition."""
+        line = self.document_timeline().where("seg_idx = 0 and introduced is not null")
+        return line.select("entity_id", "title", "introduced")
+
     @cached_property
     def resolved(self) -> DataFrame:
         """Segments in force for the entities of each question's union at its date."""
@@ -309,6 +344,12 @@ class Data:
         before = self.turns().select("entity_id", (F.col("idx") + 1).alias("idx"), F.col("text").alias("old"))
         return now.join(before, ["entity_id", "idx"])
 
+    @cached_property
+    def turn_alignment(self) -> DataFrame:
+        """The words of each turn and the one before it, with their partners."""
+        keys = ["entity_id", "idx"]
+        return stored(textdiff.aligned(textdiff.pair_words(self.turn_pairs(), keys), keys), "turn-words")
+
     def turn_timeline(self) -> DataFrame:
         changes = self.turns().select(
             "entity_id",
@@ -372,6 +413,14 @@ class Data:
     def vector_rows(self) -> DataFrame:
         return self.table("embeddings").select("vec_id", F.col("embedding").alias("vector"))
 
+    @cached_property
+    def exact_vectors(self) -> neighbours.VectorIndex:
+        return neighbours.build(self.vector_rows(), ["vec_id"], "squared_l2")
+
+    @cached_property
+    def unit_vectors(self) -> neighbours.VectorIndex:
+        return neighbours.build(self.vector_rows(), ["vec_id"])
+
 
 _open: dict[tuple[str, str], Data] = {}
 

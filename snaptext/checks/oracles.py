@@ -51,6 +51,46 @@ def bare(x: str) -> str:
     return f"CASE WHEN {found} = '' THEN {text} ELSE {found} END"
 
 
+def inverted_lists(rounds: int = 5, sample: int = 16384, most: int = 1024, share: float = 0.6, held: int = 40, n: int = 10) -> str:
+    """Centroids of integer codes, the nearest lists of each query, the best rows by code, the best of those by vector."""
+    squares = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    nearest = lambda rows, centres: f"""
+  SELECT vec_id, z, l FROM (
+    SELECT r.vec_id, r.z, k.l, row_number() OVER (PARTITION BY r.vec_id ORDER BY {squares.format(a="r.z", b="k.c")}, k.l) AS p FROM {rows} r, {centres} k) WHERE p = 1"""
+    steps = "".join(
+        f""",
+a{i} AS ({nearest("sampled", f"c{i}")}),
+m{i} AS (
+  SELECT l, list(m ORDER BY d) AS c FROM (
+    SELECT l, d, CAST(floor(CAST(sum(z[d]) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM a{i}, range(1, 65) AS ds(d) GROUP BY l, d) GROUP BY l),
+c{i + 1} AS MATERIALIZED (SELECT c.l, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN m{i} m USING (l))"""
+        for i in range(rounds)
+    )
+    return f"""
+WITH units AS MATERIALIZED (
+  SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
+codes AS MATERIALIZED (
+  SELECT vec_id, u, list_transform(u, lambda x: CAST(greatest(-127, least(127, floor(x * 127 + 0.5))) AS BIGINT)) AS z, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR))) AS place FROM units),
+sampled AS (SELECT vec_id, z, place FROM codes WHERE place <= {sample}),
+size AS (SELECT least({most}, floor(2 * sqrt(count(*)) + 0.5), {sample}) AS lists FROM codes),
+c0 AS MATERIALIZED (SELECT place - 1 AS l, z AS c FROM sampled, size WHERE place <= lists){steps},
+listed AS MATERIALIZED ({nearest("codes", f"c{rounds}")}),
+probes AS (
+  SELECT vec_id, z, l FROM (
+    SELECT q.vec_id, q.z, k.l, row_number() OVER (PARTITION BY q.vec_id ORDER BY {squares.format(a="q.z", b="k.c")}, k.l) AS p
+    FROM codes q JOIN benchmark ON item_id = q.vec_id, c{rounds} k), size
+  WHERE p <= greatest(1, floor(lists * {share} + 0.5))),
+best AS (
+  SELECT q, c FROM (
+    SELECT q.vec_id AS q, r.vec_id AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY {squares.format(a="q.z", b="r.z")}, r.vec_id) AS p
+    FROM probes q JOIN listed r USING (l)) WHERE p <= {held})
+SELECT query_id, rank, vec_id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
+    SELECT CAST(q AS VARCHAR) AS query_id, c AS vec_id, round(sqrt({squares.format(a="x.u", b="y.u")}), 6) AS distance
+    FROM best JOIN units x ON x.vec_id = q JOIN units y ON y.vec_id = c)) WHERE rank <= {n}"""
+
+
 def plain(x: str) -> str:
     out = f"regexp_replace({x}, {lit(DROPPED)}, '', 'g')"
     out = f"regexp_replace(regexp_replace({out}, {lit(LINE_BREAKS)}, chr(10), 'g'), {lit(TAG)}, '', 'g')"
@@ -185,8 +225,9 @@ SELECT {keys}, list_transform(generate_series(0, 63), lambda i: CAST(coalesce(m[
     SELECT {keys}, {_SLOT} AS slot, CAST(sum({count} * {_SIGN}) AS BIGINT) AS value FROM {source} GROUP BY ALL) GROUP BY ALL)"""
 
 
-step("chunk_vectors", "postings", hashed("(SELECT * FROM postings WHERE tf_body > 0)", "entity_id, chunk_index", "tf_body"))
-step("query_vectors", "asked", hashed(f"(SELECT query_id, sub_no, unnest({tokens('text')}) AS term FROM asked)", "query_id, sub_no", "1"))
+_WEIGHT = "CAST(round(idf * 1000) AS BIGINT)"
+step("chunk_vectors", "postings idf", hashed("(SELECT * FROM postings JOIN idf USING (term) WHERE tf_body > 0)", "entity_id, chunk_index", f"tf_body * {_WEIGHT}"))
+step("query_vectors", "asked idf", hashed(f"(SELECT * FROM (SELECT query_id, sub_no, unnest({tokens('text')}) AS term FROM asked) JOIN idf USING (term))", "query_id, sub_no", _WEIGHT))
 step("distances", "query_vectors chunk_vectors", """
 SELECT query_id, sub_no, entity_id, chunk_index, greatest(0.0, 1.0 - list_inner_product(q.v, c.v) / sqrt(qn * cn)) AS distance
 FROM (SELECT *, list_inner_product(v, v) AS qn FROM query_vectors) q, (SELECT *, list_inner_product(v, v) AS cn FROM chunk_vectors) c
@@ -299,9 +340,12 @@ FROM {source} JOIN {dates} USING (entity_id) WHERE state IN ('TOO_EARLY', 'IN_FO
 
 
 step("doc_facts", "doc_resolved doc_changes", change_facts("doc_resolved", "doc_changes"))
-step("fact_texts", "served doc_facts", """
-SELECT query_id, string_agg('- ' || fact, chr(10) ORDER BY entity_id, fact) AS facts
-FROM (SELECT DISTINCT s.query_id, s.entity_id, f.fact FROM served s JOIN doc_facts f USING (entity_id, as_of)) GROUP BY 1""")
+step("fact_texts", "served doc_facts doc_about unioned questions", f"""
+SELECT query_id, string_agg('- ' || fact, chr(10) ORDER BY kind, entity_id, fact) AS facts FROM (
+  SELECT DISTINCT s.query_id, s.entity_id, 2 AS kind, f.fact FROM served s JOIN doc_facts f USING (entity_id, as_of)
+  UNION ALL SELECT DISTINCT u.query_id, a.entity_id, 1, a.entity_id || ' (' || a.title || ') came in on ' || {long_date('a.introduced')} || '; on ' || {long_date('q.as_of')} || ' '
+    || CASE WHEN q.as_of >= a.introduced THEN 'it was in force with its current text' ELSE 'it did not exist yet' END || '.'
+  FROM unioned u JOIN questions q USING (query_id) JOIN doc_about a ON a.entity_id = u.entity_id WHERE a.introduced IS NOT NULL) GROUP BY 1""")
 step("covered", "unioned", """
 SELECT query_id, string_agg(entity_id, ', ' ORDER BY entity_id) AS covered FROM (SELECT DISTINCT query_id, entity_id FROM unioned)
 WHERE entity_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) GROUP BY 1""")
@@ -383,6 +427,62 @@ SELECT v.entity_id, v.as_of, v.change_date, coalesce(s.change_date = v.change_da
   SELECT 1 FROM turn_markers m WHERE m.entity_id = v.entity_id AND m.date = v.change_date), FALSE) AS consistent
 FROM turn_view v LEFT JOIN turn_sides s ON s.entity_id = v.entity_id AND s.as_of = v.as_of""")
 
+# Word diffs: partners found round by round, as window functions.
+def alignment(source: str, keys: str, rounds: tuple) -> str:
+    """CTE list that ends in ``aligned``: ``keys, side, pos, word, partner, gap`` of the words of ``source`` (``keys, side, pos, word``)."""
+    ctes = [f"r0 AS (SELECT {keys}, side, pos, word, CAST(NULL AS BIGINT) AS partner FROM ({source}))"]
+    gap = f"PARTITION BY {keys}, side, gap, open"
+    for i, way in enumerate(rounds):
+        ctes.append(f"g{i} AS (SELECT *, count(partner) OVER (PARTITION BY {keys}, side ORDER BY pos) AS gap, partner IS NULL AS open FROM r{i})")
+        if isinstance(way, str):
+            at = f"row_number() OVER ({gap} ORDER BY pos {'DESC' if way == 'end' else 'ASC'})"
+            ctes.append(f"p{i} AS (SELECT *, {at} AS turn_at FROM g{i})")
+            across = f"(PARTITION BY {keys}, gap, open, turn_at)"
+            ctes.append(f"q{i} AS (SELECT *, count(*) OVER {across} = 2 AND min(word) OVER {across} = max(word) OVER {across} AS same, sum(pos) OVER {across} - pos AS other FROM p{i})")
+            found = f"CASE WHEN open AND bool_and(same) OVER ({gap} ORDER BY turn_at) THEN other END"
+        else:
+            run = " || ' ' || ".join(["word", *[f"lead(word, {j}) OVER ({gap} ORDER BY pos)" for j in range(1, way)]])
+            ctes.append(f"p{i} AS (SELECT *, {run} AS run FROM g{i})")
+            across = f"(PARTITION BY {keys}, gap, open, run)"
+            ctes.append(f"q{i} AS (SELECT *, CASE WHEN open AND run IS NOT NULL AND count(*) OVER {across} = 2 AND sum(side) OVER {across} = 1 THEN sum(pos) OVER {across} - pos END AS other FROM p{i})")
+            found = f"""CASE WHEN coalesce(max(other) OVER ({gap} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < other, TRUE)
+  AND coalesce(min(other) OVER ({gap} ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) > other, TRUE) THEN other END"""
+        ctes.append(f"r{i + 1} AS (SELECT {keys}, side, pos, word, coalesce(partner, {found}) AS partner FROM q{i})")
+    n = len(rounds)
+    ctes.append(f"aligned AS (SELECT *, count(partner) OVER (PARTITION BY {keys}, side ORDER BY pos) AS gap FROM r{n})")
+    return ",\n".join(ctes)
+
+
+_WAYS = (3, "start", "end", 1, "start", "end")
+step("diff_words", "pairs", f"""
+WITH {alignment(f"SELECT entity_id, idx, side, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS word FROM (SELECT entity_id, idx, 0 AS side, {words('old')} AS ws FROM pairs UNION ALL SELECT entity_id, idx, 1, {words('new')} FROM pairs)", "entity_id, idx", _WAYS)},
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY entity_id, idx ORDER BY gap - CAST(op = 'eq' AS INT), op = 'eq', side, pos) AS place
+  FROM (SELECT *, CASE WHEN partner IS NOT NULL THEN 'eq' WHEN side = 0 THEN 'del' ELSE 'add' END AS op FROM aligned WHERE side = 0 OR partner IS NULL)),
+marked AS (SELECT *, coalesce(lag(op) OVER (PARTITION BY entity_id, idx ORDER BY place) <> op, TRUE) AS starts FROM placed)
+SELECT entity_id, idx, place, op, word, sum(CAST(starts AS INT)) OVER (PARTITION BY entity_id, idx ORDER BY place) AS run FROM marked""")
+step("diff_sides", "diff_words", """
+SELECT entity_id, idx, string_agg(op || ' ' || t, chr(10) ORDER BY run) FILTER (op <> 'add') AS old_side, string_agg(op || ' ' || t, chr(10) ORDER BY run) FILTER (op <> 'del') AS new_side
+FROM (SELECT entity_id, idx, run, op, string_agg(word, ' ' ORDER BY place) AS t FROM diff_words GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""")
+# Contexts of 6 words, at most 140 changed words.
+step("diff_shown", "diff_words pairs", """
+WITH sized AS (
+  SELECT *, sum(CAST(op <> 'eq' AS INT)) OVER (PARTITION BY entity_id, idx ORDER BY place) AS so_far, sum(CAST(op <> 'eq' AS INT)) OVER (PARTITION BY entity_id, idx) AS in_all,
+    max(run) OVER (PARTITION BY entity_id, idx) AS runs, row_number() OVER (PARTITION BY entity_id, idx, run ORDER BY place) AS nth, count(*) OVER (PARTITION BY entity_id, idx, run) AS size
+  FROM diff_words),
+named AS (
+  SELECT *, CASE WHEN op <> 'eq' THEN op WHEN in_all > 0 AND (size <= 12 OR (run > 1 AND nth <= 6) OR (run < runs AND size - nth < 6)) THEN 'context'
+    WHEN run > 1 AND run < runs AND nth = 7 THEN 'gap' END AS kind
+  FROM sized WHERE CASE WHEN op <> 'eq' THEN so_far <= 140 ELSE so_far < 140 OR in_all <= 140 END),
+pieces AS (
+  SELECT *, sum(CAST(kind = 'gap' AS INT)) OVER (PARTITION BY entity_id, idx, run ORDER BY place) AS piece FROM named WHERE kind IS NOT NULL),
+regions AS (
+  SELECT entity_id, idx, min(place) AS place, kind, string_agg(CASE WHEN kind = 'gap' THEN chr(8230) ELSE word END, ' ' ORDER BY place) AS t, max(in_all) > 140 AS truncated
+  FROM pieces GROUP BY entity_id, idx, run, piece, kind)
+SELECT p.entity_id, p.idx, coalesce(diff, '') AS diff, coalesce(truncated, FALSE) AS truncated
+FROM pairs p LEFT JOIN (
+  SELECT entity_id, idx, string_agg(kind || ' ' || t, chr(10) ORDER BY place) AS diff, bool_or(truncated) AS truncated FROM regions GROUP BY 1, 2) USING (entity_id, idx)""")
+
 # Snapshots of customers; presence and classes by plain window functions.
 step("cust_texts", "", f"""
 SELECT CAST(o_custkey AS VARCHAR) AS entity_id, (year(o_orderdate) - (SELECT min(year(o_orderdate)) FROM orders)) // {bd.YEARS_PER_SNAPSHOT} AS idx, max(o_orderstatus) AS text
@@ -483,8 +583,9 @@ SELECT query_id, history_no, entity_id, kind, change_date, as_of FROM (
   SELECT c.query_id, q.is_broad, row_number() OVER (PARTITION BY c.query_id ORDER BY c.cite_no) AS history_no, c.entity_id, v.kind, v.change_date, v.as_of
   FROM citations c JOIN questions q USING (query_id) JOIN doc_view v ON v.entity_id = c.entity_id AND v.as_of = q.as_of)
 WHERE history_no <= CASE WHEN is_broad THEN 8 ELSE 2 END""")
-step("history", "cited_history doc_sides", """
-SELECT h.query_id, h.entity_id, h.kind, CASE WHEN h.kind = 'text-change' THEN coalesce(s.change_date = h.change_date, FALSE) END AS consistent
+step("history", "cited_history doc_sides doc_line", f"""
+SELECT h.query_id, h.entity_id, h.kind, CASE WHEN h.kind = 'text-change' THEN coalesce(s.change_date = h.change_date, FALSE)
+  AND EXISTS (SELECT 1 FROM doc_line l WHERE l.entity_id = h.entity_id AND {long_date('l.start')} = h.change_date) END AS consistent
 FROM cited_history h LEFT JOIN doc_sides s ON s.entity_id = h.entity_id AND s.as_of = h.as_of""")
 step("graded", "cases results unioned served gold citations history", """
 SELECT query_id, expected, refused, (expected = 'refuse') = refused AS decision_ok,
@@ -541,6 +642,16 @@ SELECT make_date(CAST(y AS BIGINT), CAST(m AS BIGINT), CASE WHEN d = '' THEN 1 E
   SELECT regexp_extract(f, '(\\d{4})-(\\d{2})', 1) AS y, regexp_extract(f, '(\\d{4})-(\\d{2})', 2) AS m, regexp_extract(f, '\\d{4}-\\d{2}-(\\d{2})', 1) AS d FROM (
     SELECT 'orders-' || CASE WHEN o_orderpriority = '1-URGENT' THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END || '.txt' AS f FROM orders)) GROUP BY 1""")
     add("snapshot_registry", "buckets", "SELECT idx, n_entities, date, CAST(date AS VARCHAR) AS snapshot, date = (SELECT max(date) FROM buckets) AS is_current FROM buckets")
+    add("published_pages", "page_texts", """
+SELECT snapshot, count(*) AS n_pages, count(*) FILTER (trim(text) = '') AS n_empty, CAST(sum(length(text)) AS BIGINT) AS n_chars,
+  (SELECT count(*) FROM page_texts WHERE snapshot IN ('de', 'en')) AS last_n_rows, (SELECT count(*) FROM page_texts WHERE snapshot IN ('de', 'en') AND trim(text) = '') AS last_n_empty,
+  (SELECT CAST(sum(length(text)) AS BIGINT) FROM page_texts WHERE snapshot IN ('de', 'en')) AS last_n_chars FROM page_texts GROUP BY 1""")
+    add("dated_pages", "page_texts", """
+SELECT CASE snapshot WHEN 'es' THEN DATE '2022-01-01' ELSE DATE '2023-11-30' END AS date, count(*) AS n_pages, CAST(sum(page) AS BIGINT) AS pages,
+  CAST(sum(length('text of ' || text)) AS BIGINT) AS n_chars FROM page_texts WHERE snapshot IN ('es', 'fr') GROUP BY 1""")
+    add("chunk_metadata", "chunks", f"""
+SELECT chunk_id, 'edition-' || snapshot AS source, CASE snapshot WHEN '{_OLD}' THEN 'first edition' ELSE 'second edition' END AS doc_title, CAST(snapshot AS DATE) AS version_date,
+  CASE snapshot WHEN '{_OLD}' THEN 'archive' ELSE 'publisher' END AS authority, 'https://example.org/' || snapshot AS url, chunk_index, n_words FROM chunks""")
     add("fetch_by_ids", "hits chunks", f"""
 SELECT chunk_id, n_words, text FROM chunks WHERE chunk_id IN (SELECT '{_CUR}__' || entity_id || '_' || chunk_index FROM hits)""")
     add("fetch_snapshot", "chunks", f"SELECT chunk_id, entity_id, chunk_index, n_words FROM chunks WHERE snapshot = '{_OLD}'")
@@ -557,6 +668,7 @@ SELECT doc_id, line_no, line FROM (SELECT doc_id, generate_subscripts(ls, 1) - 1
     add("chunk_stats", "chunks", """
 SELECT snapshot, count(DISTINCT entity_id) AS n_entities, count(*) AS n_chunks, min(n_words) AS min_words, max(n_words) AS max_words,
   CAST(sum(n_words) // count(*) AS BIGINT) AS mean_words, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM chunks GROUP BY 1""")
+    out["published_chunks"] = out["chunk_stats"]
     add("entity_sizes", "chunks", "SELECT snapshot, entity_id, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM chunks GROUP BY 1, 2")
     add("reconstruct_roundtrip", "doc_words", "SELECT snapshot, entity_id, md5(array_to_string(ws, ' ')) AS digest, TRUE AS same FROM doc_words")
     add("tokenise", "", f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)")
@@ -587,23 +699,7 @@ SELECT query_id, rank, vec_id, distance FROM (
     SELECT CAST(q.vec_id AS VARCHAR) AS query_id, c.vec_id,
       round(list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 4) AS distance
     FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings c)) WHERE rank <= 10""")
-    add("knn_approx", "", """
-WITH planes AS (
-  SELECT t, b, list(CASE WHEN substr(md5(t || ':' || b || ':' || d), 1, 1) >= '8' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END ORDER BY d) AS p
-  FROM range(0, 8) AS ts(t), range(0, 8) AS bs(b), range(0, 64) AS ds(d) GROUP BY 1, 2),
-units AS (
-  SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u
-  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
-keyed AS (
-  SELECT vec_id, t, sum(CASE WHEN list_dot_product(u, p) >= 0 THEN 1 << b::INT ELSE 0 END)::BIGINT AS key FROM units, planes GROUP BY 1, 2),
-probes AS (
-  SELECT vec_id, t, xor(key, flip) AS key FROM keyed JOIN benchmark ON item_id = vec_id, (SELECT 0::BIGINT AS flip UNION ALL SELECT 1::BIGINT << b::INT FROM range(0, 8) AS bs(b))),
-pairs AS (SELECT DISTINCT a.vec_id AS q, k.vec_id AS c FROM probes a JOIN keyed k ON a.t = k.t AND a.key = k.key)
-SELECT query_id, rank, vec_id, distance FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
-    SELECT CAST(q AS VARCHAR) AS query_id, c AS vec_id,
-      round(sqrt(list_sum(list_transform(list_zip(x.u, y.u), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS distance
-    FROM pairs JOIN units x ON x.vec_id = q JOIN units y ON y.vec_id = c)) WHERE rank <= 10""")
+    add("knn_approx", "", inverted_lists())
     add("distance_backstop", "refused", "SELECT query_id, sub_no, round(best_distance, 6) AS best_distance, refused FROM refused")
 
     add("rrf_fuse", "fused", "SELECT query_id, sub_no, rank, entity_id, chunk_index, round(score, 9) AS score FROM fused")
@@ -643,8 +739,10 @@ LEFT JOIN served s ON s.query_id = u.query_id AND s.entity_id = u.entity_id""")
 
     add("timeline_segments", "order_line", 'SELECT entity_id, seg_idx, start, "end", snapshot, note, n_segments, introduced FROM order_line')
     add("segment_gap_check", "order_line", """
-SELECT entity_id, count(*) AS n_segments, 0 AS n_gaps, 0 AS n_overlaps, count(*) FILTER ("end" <= start) AS n_empty, count(*) FILTER ("end" <= start) = 0 AS contiguous
-FROM order_line GROUP BY 1""")
+SELECT entity_id, count(*) AS n_segments, count(*) FILTER ("end" < following) AS n_gaps, count(*) FILTER (following IS NOT NULL AND ("end" IS NULL OR "end" > following)) AS n_overlaps,
+  count(*) FILTER ("end" <= start) AS n_empty,
+  count(*) FILTER ("end" <= start OR "end" < following OR (following IS NOT NULL AND ("end" IS NULL OR "end" > following))) = 0 AS contiguous
+FROM (SELECT *, lead(start) OVER (PARTITION BY entity_id ORDER BY start, "end" NULLS LAST) AS following FROM order_line) GROUP BY 1""")
     add("segment_asof", "segs", 'SELECT entity_id, as_of, state, n_probes, seg_idx, snapshot, start, "end" FROM segs')
     STEPS["shipped"] = (["order_line"], "SELECT CAST(o_custkey AS VARCHAR) AS entity_id, CAST(l_shipdate AS DATE) AS as_of FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
     STEPS["ship_segs"] = (["shipped", "order_line"], resolved("shipped", "order_line"))
@@ -664,11 +762,40 @@ SELECT * FROM turn_markers UNION ALL SELECT entity_id, 0, 'earlier', 'did not ex
 UNION ALL SELECT entity_id, 1, {long_date('introduced')}, 'introduced', title FROM users""")
     add("history_view", "segs users", view("segs"))
     add("version_compare", "turn_sides", "FROM turn_sides")
+    add("version_texts", "turn_sides turns", """
+SELECT s.entity_id, s.as_of, s.change_idx, s.old_snapshot, s.new_snapshot, o.text AS old_text, n.text AS new_text FROM turn_sides s
+LEFT JOIN turns o ON o.entity_id = s.entity_id AND CAST(o.idx AS VARCHAR) = s.old_snapshot
+LEFT JOIN turns n ON n.entity_id = s.entity_id AND CAST(n.idx AS VARCHAR) = s.new_snapshot""")
+    add("version_comparables", "turn_line", f"""
+SELECT entity_id, max(title) AS title, count(*) AS n_changes, {long_date('max(start)')} AS last_change, CAST(entity_id AS BIGINT) AS id_number
+FROM turn_line WHERE seg_idx > 0 GROUP BY 1""")
+    add("history_markers", "turn_view turn_markers users", f"""
+SELECT v.entity_id, v.as_of, v.kind, v.change_date, m.markers FROM turn_view v LEFT JOIN (
+  SELECT entity_id, 'text-change' AS kind, string_agg(concat_ws(': ', date, label, note), chr(10) ORDER BY marker_no) AS markers FROM turn_markers GROUP BY 1
+  UNION ALL SELECT entity_id, 'introduced', 'earlier: did not exist: not held' || chr(10) || {long_date('introduced')} || ': introduced: ' || title FROM users) m
+ON m.entity_id = v.entity_id AND m.kind = v.kind""")
     add("version_compare_latest", "turn_line", f"""
 SELECT n.entity_id, n.seg_idx AS change_idx, {long_date('n.start')} AS change_date, n.note, o.snapshot AS old_snapshot,
   {long_date('o.start')} || ' - ' || {long_date('n.start')} AS old_in_force, n.snapshot AS new_snapshot, 'from ' || {long_date('n.start')} || ' (current)' AS new_in_force
 FROM turn_line n JOIN turn_line o ON o.entity_id = n.entity_id AND o.seg_idx = n.seg_idx - 1 WHERE n."end" IS NULL""")
     add("history_invariant", "invariant", "FROM invariant")
+    add("history_word_diff", "turn_view turn_sides diff_shown", """
+SELECT v.*, d.diff, d.truncated FROM turn_view v LEFT JOIN turn_sides s ON s.entity_id = v.entity_id AND s.as_of = v.as_of
+LEFT JOIN diff_shown d ON d.entity_id = s.entity_id AND CAST(d.idx AS VARCHAR) = s.new_snapshot AND CAST(d.idx - 1 AS VARCHAR) = s.old_snapshot""")
+    add("word_diff", "diff_shown", "FROM diff_shown")
+    add("side_by_side", "pairs diff_sides", "SELECT p.entity_id, p.idx, coalesce(old_side, '') AS old_side, coalesce(new_side, '') AS new_side FROM pairs p LEFT JOIN diff_sides USING (entity_id, idx)")
+    add("text_similarity", "pairs", f"""
+SELECT * FROM (WITH {alignment(f"SELECT entity_id, idx, side, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS word FROM (SELECT entity_id, idx, 0 AS side, {words('old')} AS ws FROM pairs WHERE {norm('old')} <> {norm('new')} UNION ALL SELECT entity_id, idx, 1, {words('new')} FROM pairs WHERE {norm('old')} <> {norm('new')})", "entity_id, idx", _WAYS)},
+held AS (SELECT entity_id, idx, sum(length({norm('word')})) AS n FROM aligned WHERE partner IS NOT NULL AND side = 0 GROUP BY 1, 2),
+rest AS (SELECT entity_id, idx, gap AS g, side, string_split(string_agg({norm('word')}, '' ORDER BY pos), '') AS ls FROM aligned WHERE partner IS NULL GROUP BY 1, 2, 3, 4),
+letters AS (SELECT * FROM (SELECT entity_id, idx, g, side, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS word FROM rest) WHERE word <> ''),
+inner_ones AS (
+  WITH {alignment("SELECT * FROM letters", "entity_id, idx, g", (3, "start", "end"))}
+  SELECT entity_id, idx, count(*) AS n FROM aligned WHERE partner IS NOT NULL AND side = 0 GROUP BY 1, 2),
+matched AS (SELECT entity_id, idx, sum(n) AS m FROM (SELECT * FROM held UNION ALL SELECT * FROM inner_ones) GROUP BY 1, 2)
+SELECT entity_id, idx, round(r, 3) AS similarity, r >= 0.97 AS small_edit FROM (
+  SELECT p.entity_id, p.idx, 2 * coalesce(m, 0) / CAST(length({norm('old')}) + length({norm('new')}) AS DOUBLE) AS r
+  FROM pairs p LEFT JOIN matched USING (entity_id, idx) WHERE {norm('old')} <> {norm('new')}))""")
 
     add("presence_grid", "cust_grid", "SELECT entity_id, idx, present FROM cust_grid")
     add("turn_presence", "turns", f"SELECT entity_id, idx, coalesce(length({norm('text')}) >= 30, FALSE) AS present FROM turns")
@@ -683,6 +810,34 @@ FROM (SELECT idx, date, lead(date) OVER (ORDER BY idx) AS following FROM buckets
 SELECT class, entity_id, title, presence, interval, CASE WHEN changed_intervals = '' THEN '' ELSE 'I' || replace(changed_intervals, ',', ', I') END AS changed_in,
   n_changes, CAST(entity_id AS BIGINT) AS id_number
 FROM cust_classes JOIN (SELECT entity_id, 'status ' || arg_max(text, idx) AS title FROM cust_texts GROUP BY 1) USING (entity_id)""")
+    def shown_changes(changed: str, texts: str, label: str) -> str:
+        """Lines of the changed intervals (``entity_id, interval``) with label, similarity and the mark of small edits."""
+        near = f"round(CASE WHEN greatest(length({norm('o.text')}), length({norm('n.text')})) = 0 THEN 1.0 ELSE 1 - levenshtein({norm('o.text')}, {norm('n.text')}) / greatest(length({norm('o.text')}), length({norm('n.text')})) END, 4)"
+        return f"""
+SELECT entity_id, string_agg(concat_ws(' ', label, format('{{:.4f}}', s), CAST(s >= 0.97 AS VARCHAR)), '; ' ORDER BY interval) AS changes FROM (
+  SELECT c.entity_id, c.interval, {label} AS label, {near} AS s FROM ({changed}) c
+  JOIN {texts} n ON n.entity_id = c.entity_id AND n.idx = c.interval JOIN {texts} o ON o.entity_id = c.entity_id AND o.idx = c.interval - 1) GROUP BY 1"""
+
+    def shown_chars(texts: str) -> str:
+        return f"""
+SELECT entity_id, array_to_string(list_transform(range(0, (SELECT max(idx) + 1 FROM {texts})), lambda i: CAST(coalesce(m[i], 0) AS VARCHAR)), ',') AS chars
+FROM (SELECT entity_id, map_from_entries(list((CAST(idx AS BIGINT), length({norm('text')})))) AS m FROM {texts} GROUP BY 1)"""
+
+    turn_changes = f"SELECT entity_id, idx AS interval FROM pairs WHERE length({norm('old')}) >= 30 AND length({norm('new')}) >= 30 AND {norm('old')} <> {norm('new')}"
+    add("change_details", "turns pairs turn_classes", f"""
+SELECT t.entity_id, t.class, c.chars, coalesce(x.changes, '') AS changes FROM turn_classes t JOIN ({shown_chars("turns")}) c USING (entity_id)
+LEFT JOIN ({shown_changes(turn_changes, "turns", "'I' || c.interval || ' = turn ' || (c.interval - 1) || ' -> turn ' || c.interval")}) x USING (entity_id)""")
+    STEPS["labels_of"] = (["buckets"], """
+SELECT idx + 1 AS interval, 'I' || (idx + 1) || ' = ' || date || ' -> ' || following AS label
+FROM (SELECT idx, date, lead(date) OVER (ORDER BY idx) AS following FROM buckets) WHERE following IS NOT NULL""")
+    cust_changes = "SELECT entity_id, CAST(unnest(string_split(changed_intervals, ',')) AS BIGINT) AS interval FROM cust_classes WHERE changed_intervals <> ''"
+    add("published_report", "cust_classes cust_texts labels_of", f"""
+SELECT class, entity_id, title, presence, interval, CASE WHEN changed_intervals = '' THEN '' ELSE 'I' || replace(changed_intervals, ',', ', I') END AS changed_in,
+  n_changes, chars, coalesce(changes, '') AS changes
+FROM cust_classes JOIN (SELECT entity_id, 'status ' || arg_max(text, idx) AS title FROM cust_texts GROUP BY 1) USING (entity_id)
+JOIN ({shown_chars("cust_texts")}) USING (entity_id)
+LEFT JOIN ({shown_changes(cust_changes, "cust_texts", "(SELECT label FROM labels_of l WHERE l.interval = c.interval)")}) USING (entity_id)
+WHERE class IN ('SINGLE-CHANGE', 'INTRODUCED')""")
     add("change_candidates", "cust_classes cust_texts", f"""
 SELECT entity_id, changed_intervals, similarity FROM cust_classes JOIN (
   SELECT n.entity_id, min(round(1 - levenshtein({norm('o.text')}, {norm('n.text')}) / greatest(length({norm('o.text')}), length({norm('n.text')})), 4)) AS similarity
@@ -716,6 +871,10 @@ FROM graded WHERE refused OR expected = 'refuse'""")
     add("variant_compare", "core_rows", """
 SELECT query_id, max(n_found) FILTER (variant = 'served') AS served_found, max(n_noise) FILTER (variant = 'served') AS served_noise,
   max(n_found) FILTER (variant = 'planned') AS planned_found, max(n_noise) FILTER (variant = 'planned') AS planned_noise FROM core_rows GROUP BY 1""")
-    add("cited_passes", "pass_rows", totals("pass_rows", "pass"))
+    out["published_run"] = out["eval_summary"].replace("SELECT count(*) AS n_cases,", "SELECT count(*) AS n_rows, count(*) FILTER (decision_ok) AS n_right, count(*) AS n_cases,")
+    add("cited_passes", "pass_rows refused", f"""
+SELECT * FROM ({totals("pass_rows", "pass")}) JOIN (
+  SELECT pass, count(*) AS asked, count(*) FILTER (coalesce(best_distance, 1e308) > {bd.DISTANCE_FLOOR} - 0.02 * (pass - 1)) AS refused
+  FROM refused, (SELECT DISTINCT pass FROM pass_rows) WHERE sub_no = 0 GROUP BY 1) USING (pass)""")
     add("entity_count", "chunks", f"SELECT count(DISTINCT entity_id) AS n_entities FROM chunks WHERE snapshot = '{_CUR}'")
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from snaptext.checks import bindings as bd
 from snaptext.functions import text as tx
@@ -17,6 +17,7 @@ from snaptext.operators import (
     grounding,
     lexical,
     lines,
+    neighbours,
     sections,
     textdiff,
     timelines,
@@ -24,7 +25,7 @@ from snaptext.operators import (
 )
 from snaptext.plans import ingest
 from snaptext.scale import stored
-from snaptext.sources import pages as page_source
+from snaptext.sources import pages as page_source, published, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,10 +74,67 @@ def fetch_by_ids(d):
     return longs(expansion.by_ids(d.chunks, ids).select("chunk_id", "n_words", "text"), "n_words")
 
 
+@query
+def published_pages(d):
+    """Page records written as a published table, then again for two snapshots, and read back; beside them what the last write observed."""
+    seen = published.manifest(d.spark, d.published)["tables"]["pages"]["metrics"]
+    held = published.read(d.spark, d.published, "pages").groupBy("snapshot").agg(
+        F.count("*").alias("n_pages"), F.count_if(F.trim("text") == "").alias("n_empty"), F.sum(F.length("text")).alias("n_chars")
+    )
+    return held.withColumns({f"last_{name}": F.lit(value or 0).cast("long") for name, value in seen.items()})
+
+
+@query
+def published_chunks(d):
+    """Chunks published by snapshot, one of them rebuilt, read back as one table."""
+    return longs(chunking.chunk_statistics(d.published_chunks()), "min_words", "max_words")
+
+
+@query
+def published_run(d):
+    """Graded rows and their summary, published twice together and read back."""
+    path = f"{d.published}/run"
+    for _ in range(2):
+        tables.publish_run(_graded(d), evaluation.summary(_graded(d)), path)
+    n = published.read(d.spark, path, "rows").agg(F.count("*").alias("n_rows"), F.count_if(F.col("decision_ok")).alias("n_right"))
+    return published.read(d.spark, path, "summary").join(F.broadcast(n), F.lit(True))
+
+
+@query
+def published_report(d):
+    """The change report published by class with its details; two of the classes read back."""
+    path = f"{d.published}/report"
+    titles = d.customer_snapshots().select("entity_id", "idx", F.concat(F.lit("status "), "text").alias("title"))
+    classes = _classes(d)
+    tables.publish_report(changes.report_rows(classes, titles), _customer_details(d, classes), path)
+    few = published.read(d.spark, path, "report").where(F.col("class").isin("SINGLE-CHANGE", "INTRODUCED"))
+    held = published.read(d.spark, path, "details").select("entity_id", *_shown_details())
+    return longs(few.join(held, "entity_id"), "interval", "n_changes").drop("id_number")
+
+
+@query
+def dated_pages(d):
+    """Pages written as one file of JSON lines per snapshot and date, of which those from 2022 on are read."""
+    path = f"{d.published}/dated"
+    years = {"de": "2020-05", "en": "2021-06-07", "es": "2022-01", "fr": "2023-11-30"}
+    for snapshot, date in years.items():
+        rows = d.page_records().where(F.col("snapshot") == snapshot).select("page", F.concat(F.lit("text of "), F.col("text")).alias("text"))
+        page_source.write_dated(rows, path, f"pages-{date}")
+    read = page_source.read_dated_pages(d.spark, path, since="2022-01-01")
+    return read.groupBy("date").agg(F.count("*").alias("n_pages"), F.sum("page").cast("long").alias("pages"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query
+def chunk_metadata(d):
+    """Chunks with what is known of their snapshot."""
+    named = chunking.with_snapshot(d.chunks, d.edition_registry())
+    return longs(named.select("chunk_id", "source", "doc_title", "version_date", "authority", "url", "chunk_index", "n_words"), "chunk_index", "n_words")
+
+
 @query
 def fetch_snapshot(d):
     return longs(
-        expansion.in_snapshot(d.chunks, bd.OLD).select("chunk_id", "entity_id", "chunk_index", "n_words"),
+        expansion.in_snapshot(d.published_chunks(), bd.OLD).select("chunk_id", "entity_id", "chunk_index", "n_words"),
         "chunk_index", "n_words",
     )
 
@@ -244,13 +302,13 @@ def text_knn_top40(d):
 
 @query
 def knn_top10(d):
-    near = vectors.nearest(d.vector_queries(), d.vector_rows(), ["vec_id"], 10, "squared_l2", digits=4)
+    near = neighbours.nearest(d.vector_queries(), d.exact_vectors, 10, digits=4)
     return longs(near.select("query_id", "rank", "vec_id", "distance"), "rank")
 
 
 @query
 def knn_approx(d):
-    near = vectors.nearest_approx(d.vector_queries(), d.vector_rows(), ["vec_id"], 10)
+    near = neighbours.nearest_approx(d.vector_queries(), d.unit_vectors, 10)
     return longs(near.select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance")), "rank")
 
 
@@ -347,12 +405,12 @@ def context_blocks(d):
 
 
 def _facts(d) -> DataFrame:
-    line = d.document_timeline()
-    facts = timelines.change_facts(d.resolved, timelines.change_dates(line))
-    asked = d.union.join(d.questions().select("query_id", "as_of"), "query_id")
-    return asked.select("query_id", "entity_id", "as_of").distinct().join(facts, ["entity_id", "as_of"]).select(
-        "query_id", "entity_id", F.lit(2).alias("kind"), "fact"
-    )
+    """What is known of the entities of each question at its date: of their existence, then of their texts."""
+    asked = d.union.join(d.questions().select("query_id", "as_of"), "query_id").select("query_id", "entity_id", "as_of").distinct()
+    existence = timelines.existence_facts(asked.select("entity_id", "as_of").distinct(), d.document_existence())
+    texts = timelines.change_facts(d.resolved, timelines.change_dates(d.document_timeline()))
+    both = existence.withColumn("kind", F.lit(1)).unionByName(texts.select("entity_id", "as_of", "fact", F.lit(2).alias("kind")))
+    return asked.join(both, ["entity_id", "as_of"]).select("query_id", "entity_id", "kind", "fact")
 
 
 @query
@@ -519,6 +577,32 @@ def version_compare(d):
     return longs(timelines.compare_versions(d.turn_segments, d.turn_timeline()), "change_idx")
 
 
+@query
+def version_texts(d):
+    """Both texts of every compared change."""
+    sides = timelines.compare_versions(d.turn_segments, d.turn_timeline()).select("entity_id", "as_of", "change_idx", "old_snapshot", "new_snapshot")
+    texts = d.turns().select("entity_id", F.col("idx").cast("string").alias("snapshot"), "text")
+    return longs(timelines.with_texts(sides, texts), "change_idx")
+
+
+@query
+def version_comparables(d):
+    return timelines.comparables(d.turn_timeline())
+
+
+def _markers(d) -> DataFrame:
+    texts = timelines.timeline_markers(d.turn_timeline()).withColumn("kind", F.lit("text-change"))
+    return texts.unionByName(timelines.existence_markers(d.introductions()).withColumn("kind", F.lit("introduced")))
+
+
+@query
+def history_markers(d):
+    """Histories with the markers that are shown beside them."""
+    views = timelines.with_markers(_turn_history(d), _markers(d))
+    shown = F.array_join(F.transform("markers", lambda m: F.concat_ws(": ", m["date"], m["label"], m["note"])), "\n")
+    return views.select("entity_id", "as_of", "kind", "change_date", shown.alias("markers"))
+
+
 @query
 def version_compare_latest(d):
     return longs(timelines.compare_latest(d.turn_timeline()).drop("as_of"), "change_idx")
@@ -530,19 +614,9 @@ def _turn_history(d) -> DataFrame:
 
 def _invariant(d) -> DataFrame:
     """Whether the change a history names is the one its comparison shows, and one of its markers."""
-    sides = timelines.compare_versions(d.turn_segments, d.turn_timeline()).select(
-        "entity_id", "as_of", F.col("change_date").alias("compared")
-    )
-    dates = timelines.timeline_markers(d.turn_timeline()).groupBy("entity_id").agg(F.collect_set("date").alias("dates"))
-    held = F.col("compared").isNotNull() & (F.col("compared") == F.col("change_date")) & F.array_contains(
-        "dates", F.col("change_date")
-    )
-    return (
-        _turn_history(d)
-        .join(sides, ["entity_id", "as_of"], "left")
-        .join(dates, "entity_id", "left")
-        .select("entity_id", "as_of", "change_date", F.coalesce(held, F.lit(False)).alias("consistent"))
-    )
+    sides = timelines.compare_versions(d.turn_segments, d.turn_timeline())
+    held = timelines.consistent_change(_turn_history(d), sides, timelines.timeline_markers(d.turn_timeline()))
+    return held.select("entity_id", "as_of", "change_date", F.coalesce("consistent", F.lit(False)).alias("consistent"))
 
 
 @query
@@ -561,11 +635,11 @@ def _bracketed_texts(d) -> DataFrame:
 
 @query
 def history_word_diff(d):
-    """Each history with the word diff of the change it describes."""
-    diffs = textdiff.diff_pairs(_bracketed_texts(d), ["entity_id", "as_of"]).select(
-        "entity_id", "as_of", F.to_json("diff").alias("diff"), "truncated"
-    )
-    return longs(_turn_history(d), "change_idx").join(diffs, ["entity_id", "as_of"], "left")
+    """Each history with the word diff of the change it describes; each change is compared once."""
+    told = _bracketed_texts(d).select("entity_id", "as_of", "old_snapshot", "new_snapshot", "old", "new")
+    keys = ["entity_id", "old_snapshot", "new_snapshot"]
+    diffs = textdiff.diff_pairs(told.drop("as_of").dropDuplicates(keys), keys).select(*keys, _lines("diff").alias("diff"), "truncated")
+    return longs(_turn_history(d), "change_idx").join(told.join(diffs, keys).select("entity_id", "as_of", "diff", "truncated"), ["entity_id", "as_of"], "left")
 
 
 # Changes.
@@ -647,6 +721,34 @@ def change_candidates(d):
     )
 
 
+def _customer_details(d, classes: DataFrame) -> DataFrame:
+    now = d.customer_snapshots().select("entity_id", F.col("idx").alias("interval"), F.col("text").alias("new"))
+    before = d.customer_snapshots().select("entity_id", (F.col("idx") + 1).alias("interval"), F.col("text").alias("old"))
+    near = textdiff.edit_similarity(now.join(before, ["entity_id", "interval"]), ["entity_id", "interval"])
+    labels = changes.interval_labels(d.snapshot_registry())
+    similar = near.select("entity_id", "interval", F.col("edit_similarity").alias("similarity"))
+    return changes.details(changes.blocks_of_texts(d.customer_snapshots()), classes, similar, labels, d.n_snapshots)
+
+
+def _shown_details() -> list[Column]:
+    one = lambda c: F.concat_ws(" ", c["label"], F.format_number(c["similarity"], 4), c["small_edit"].cast("string"))
+    return [
+        F.array_join(F.transform("chars", lambda n: n.cast("string")), ",").alias("chars"),
+        F.coalesce(F.array_join(F.transform("changes", one), "; "), F.lit("")).alias("changes"),
+    ]
+
+
+@query
+def change_details(d):
+    """Lengths, labelled changes, their similarity and the mark of small edits, for conversations whose snapshots are their turns."""
+    n = d.turns().agg(F.max("idx") + 1).first()[0]
+    blocks = changes.blocks_of_texts(d.turns())
+    pairs = d.turn_pairs().withColumnRenamed("idx", "interval")
+    near = textdiff.edit_similarity(pairs, ["entity_id", "interval"]).select("entity_id", "interval", F.col("edit_similarity").alias("similarity"))
+    labels = changes.interval_labels(d.turns().select("idx", F.concat(F.lit("turn "), F.col("idx").cast("string")).alias("snapshot")).distinct())
+    return changes.details(blocks, changes.classify(blocks, n), near, labels, n).select("entity_id", "class", *_shown_details())
+
+
 @query
 def mapped_selfcheck(d):
     """Detected class of every user number and every part number taken as hand-mapped."""
@@ -655,28 +757,30 @@ def mapped_selfcheck(d):
     return changes.self_check(users, _classes(d))
 
 
+def _lines(segments: str) -> Column:
+    return F.array_join(F.transform(segments, lambda s: F.concat_ws(" ", s["op"], s["text"])), "\n")
+
+
+def _turn_diffs(d) -> DataFrame:
+    keys = ["entity_id", "idx"]
+    return longs(textdiff.arranged(d.turn_pairs().select(*keys), d.turn_alignment, keys), "idx")
+
+
 @query
 def word_diff(d):
-    diffs = textdiff.diff_pairs(d.turn_pairs(), ["entity_id", "idx"])
-    return diffs.select("entity_id", F.col("idx").cast("long").alias("idx"), F.to_json("diff").alias("diff"), "truncated")
+    return _turn_diffs(d).select("entity_id", "idx", _lines("diff").alias("diff"), "truncated")
 
 
 @query
 def side_by_side(d):
-    diffs = textdiff.diff_pairs(d.turn_pairs(), ["entity_id", "idx"])
-    return diffs.select(
-        "entity_id", F.col("idx").cast("long").alias("idx"), F.to_json("old_side").alias("old_side"), F.to_json("new_side").alias("new_side")
-    )
+    return _turn_diffs(d).select("entity_id", "idx", _lines("old_side").alias("old_side"), _lines("new_side").alias("new_side"))
 
 
 @query
 def side_texts(d):
     """Both sides of a diff, put together again: they must be the two texts."""
     joined = lambda side: F.md5(F.array_join(F.transform(side, lambda s: s["text"]), " "))
-    diffs = textdiff.diff_pairs(d.turn_pairs(), ["entity_id", "idx"])
-    return diffs.select(
-        "entity_id", F.col("idx").cast("long").alias("idx"), joined("old_side").alias("old_text"), joined("new_side").alias("new_text")
-    )
+    return _turn_diffs(d).select("entity_id", "idx", joined("old_side").alias("old_text"), joined("new_side").alias("new_text"))
 
 
 @query
@@ -737,13 +841,9 @@ def _retrieved(d) -> DataFrame:
 
 def _history(d) -> DataFrame:
     rows = grounding.history_rows(_citations(d), _document_history(d), d.questions())
-    sides = timelines.compare_versions(d.resolved, d.document_timeline()).select(
-        "entity_id", "as_of", F.col("change_date").alias("compared")
-    )
-    held = F.coalesce(F.col("compared") == F.col("change_date"), F.lit(False))
-    return rows.join(sides, ["entity_id", "as_of"], "left").select(
-        "query_id", "entity_id", "kind", F.when(F.col("kind") == "text-change", held).alias("consistent")
-    )
+    line = d.document_timeline()
+    held = timelines.consistent_change(rows, timelines.compare_versions(d.resolved, line), timelines.timeline_markers(line))
+    return held.select("query_id", "entity_id", "kind", "consistent")
 
 
 def _graded(d) -> DataFrame:
@@ -824,7 +924,12 @@ def cited_passes(d):
     last = first.agg(F.max("ob")).first()[0] or 0
     passes = first.select("query_id", "entity_id", F.explode(F.sequence(F.col("ob"), F.lit(last))).alias("p"))
     surfaced = passes.select((F.col("p") + 1).alias("pass"), "query_id", "entity_id")
-    return longs(evaluation.core_totals(evaluation.core_recall(_anchors(d), surfaced, ["pass"]), ["pass"]), "pass")
+    totals = evaluation.core_totals(evaluation.core_recall(_anchors(d), surfaced, ["pass"]), ["pass"])
+    # Each pass refuses a little more readily than the one before.
+    asked = d.asked.where("sub_no = 0").select("query_id", "sub_no")
+    best = vectors.refused(asked, d.lists.vector.where("rank <= 10")).withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(last + 1))))
+    results = best.withColumn("refused", F.coalesce("best_distance", F.lit(float("inf"))) > bd.DISTANCE_FLOOR - 0.02 * (F.col("pass") - 1))
+    return longs(totals.join(evaluation.refusals(results, ["pass"]), "pass"), "pass")
 
 
 @query

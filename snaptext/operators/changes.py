@@ -165,6 +165,24 @@ def interval_labels(registry: DataFrame) -> DataFrame:
     )
 
 
+def details(
+    blocks: DataFrame, classes: DataFrame, similarities: DataFrame, labels: DataFrame, n_snapshots: int, small: float = settings.SMALL_EDIT_RATIO
+) -> DataFrame:
+    """The detail arrays of each classified entity: one number per snapshot and one row per changed interval.
+
+    ``chars`` are lengths of the normalised texts, 0 where there is none. ``changes`` are (``interval``, ``label``, ``similarity``,
+    ``small_edit``) in order; ``similarities`` has ``entity_id, interval, similarity``, ``labels`` what ``interval_labels`` gives.
+    """
+    lengths = blocks.groupBy("entity_id", "idx").agg(F.sum(F.length("norm")).alias("n"))
+    held = lengths.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "n"))).alias("_held"))
+    chars = F.transform(F.sequence(F.lit(0), F.lit(n_snapshots - 1)), lambda i: F.coalesce(F.try_element_at("_held", i), F.lit(0)).cast("long"))
+    each = classes.select("entity_id", F.explode("changed_intervals").alias("interval"))
+    named = each.join(F.broadcast(labels), "interval").join(similarities, ["entity_id", "interval"], "left")
+    change = F.struct("interval", "label", "similarity", (F.col("similarity") >= small).alias("small_edit"))
+    listed = named.groupBy("entity_id").agg(F.sort_array(F.collect_list(change)).alias("changes"))
+    return classes.select("entity_id", "class").join(held, "entity_id").join(listed, "entity_id", "left").select("entity_id", "class", chars.alias("chars"), "changes")
+
+
 def class_counts(classes: DataFrame) -> DataFrame:
     return classes.groupBy("class").agg(F.count("*").alias("n_entities"))
 

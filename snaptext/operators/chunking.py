@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from snaptext import settings
 from snaptext.functions import text as tx
-from snaptext.scale import carry_forward
+from snaptext.scale import small_side, carry_forward
 
 
 def chunk_id(snapshot: Column, entity: Column, index: Column) -> Column:
@@ -103,6 +103,15 @@ def chunk_sections(entities: DataFrame, lines: DataFrame, keyword: str = setting
     return both.withColumn("chunk_id", chunk_id(F.col("snapshot"), F.col("entity_id"), F.col("chunk_index")))
 
 
+def with_snapshot(chunks: DataFrame, registry: DataFrame) -> DataFrame:
+    """Chunks with the metadata of their snapshot: ``source``, ``doc_title``, ``version_date``, ``authority``, ``url``.
+
+    The registry has one row per snapshot (``snapshot, date`` and these); what it doesn't know is null.
+    """
+    known = registry.select("snapshot", "source", "doc_title", F.col("date").alias("version_date"), "authority", "url")
+    return chunks.join(small_side(known), "snapshot", "left")
+
+
 def chunk_statistics(chunks: DataFrame) -> DataFrame:
     """Per snapshot: entities, chunks, words per chunk and characters."""
     return chunks.groupBy("snapshot").agg(

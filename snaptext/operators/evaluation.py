@@ -135,6 +135,11 @@ def core_totals(per_query: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def refusals(results: DataFrame, by: list[str]) -> DataFrame:
+    """How many questions were asked and refused, per pass or variant (``refused``; null counts as answered)."""
+    return results.groupBy(*by).agg(F.count("*").alias("asked"), F.count_if(F.col("refused")).alias("refused"))
+
+
 def side_by_side(per_query: DataFrame, variants: list[str]) -> DataFrame:
     """The same queries under several variants, one column set per variant."""
     return per_query.groupBy("query_id").pivot("variant", variants).agg(

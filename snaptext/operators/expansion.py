@@ -24,7 +24,7 @@ def by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def in_snapshot(chunks: DataFrame, snapshot: str) -> DataFrame:
-    """One snapshot only; prunes partitions of a stored chunk table."""
+    """One snapshot only; prunes the folders of a table published by snapshot."""
     return chunks.where(F.col("snapshot") == snapshot)
 
 

@@ -1,41 +1,53 @@
-"""BM25 over chunk tables: index tables, batch scoring, ranked lists."""
+"""BM25 over chunk tables: index tables, batch scoring, ranked lists.
+
+The index is cut into parts by chunk, as search engines shard theirs, and the postings of a term in a part are blocks in
+order of impact, each with a bound on what one of its postings can add to a score. A batch of queries first scores the
+first blocks; the n-th best sum so far is a threshold that the n best chunks reach at least. A block is then skipped for a
+query if even its bound and the most that all other terms can add stay below the threshold: no chunk in it is among the
+n best, so the scores of those that are, are whole.
+"""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from snaptext import settings
 from snaptext.functions import text as tx
-from snaptext.operators.best import CELLS_PER_STEP, BestRows
 from snaptext.scale import is_small, shared_folder, stored
 
 CHUNK_KEYS = ["entity_id", "chunk_index"]
 QUERY_KEYS = ["query_id", "sub_no"]
-BLOCK_QUERIES, BLOCK_TERMS = 20_000, 40_000  # largest batch scored in blocks
+#: Postings of a block; parts of the index per shuffle partition.
+BLOCK, PARTS = 64, 4
+#: Scores are ranked to so many digits; thresholds leave room for one more.
+DIGITS = 6
 
 
 @dataclass
 class LexicalIndex:
     """Stored index tables and the three corpus numbers that scoring needs."""
 
-    postings: DataFrame  # entity_id, chunk_index, term, tf_body, tf_title, len_body, len_title
-    terms: DataFrame  # term, df
+    blocks: DataFrame  # part, term, block_no, impact, max_body, max_title, min_body, min_title, entries
+    terms: DataFrame  # term, df, impact, max_body, max_title, min_body, min_title
     n_chunks: int
     total_body: int
     total_title: int
     mean_idf: float
+    shape: tuple[int, float, float]  # title weight, k1 and b that ``impact`` holds for
     table_name: str
 
+    @property
+    def postings(self) -> DataFrame:
+        """entity_id, chunk_index, term, tf_body, tf_title, len_body, len_title"""
+        rows = self.blocks.select("term", F.explode("entries").alias("e"))
+        return rows.select("e.entity_id", "e.chunk_index", "term", "e.tf_body", "e.tf_title", "e.len_body", "e.len_title")
+
     def drop(self) -> None:
-        """Forget the postings table; its files go with the shared folder."""
-        self.postings.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table_name}")
+        """Forget the table of blocks; its files go with the shared folder."""
+        self.blocks.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table_name}")
 
 
 def postings(chunks: DataFrame, shards: int) -> DataFrame:
@@ -66,29 +78,48 @@ def raw_idf(df: Column, n_chunks: int) -> Column:
     return F.log(F.lit(n_chunks) - df + 0.5) - F.log(df + 0.5)
 
 
-def build_index(chunks: DataFrame, shards: int | None = None) -> LexicalIndex:
+def build_index(
+    chunks: DataFrame,
+    shards: int | None = None,
+    title_weight: int = settings.TITLE_WEIGHT,
+    k1: float = settings.BM25_K1,
+    b: float = settings.BM25_B,
+    block: int = BLOCK,
+) -> LexicalIndex:
     """Write the index tables of ``chunks`` once for any number of query batches.
 
-    Postings are bucketed by chunk, not by term: the parts of a chunk's score meet
-    without a shuffle, and a frequent term is spread over all buckets. Sorting keeps the
-    rows of a chunk together, which lets its key be stored once per run.
+    Blocks are bucketed by part, and so by chunk: the parts of a chunk's score meet without a shuffle, and a frequent term
+    is spread over all buckets. Queries with another title weight, ``k1`` or ``b`` get bounds that are less close.
     """
     spark = chunks.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    raw = stored(postings(chunks, shards), "postings")
+    n_chunks = chunks.count()
+    sizes = raw.agg(F.sum("tf_body").alias("body"), F.sum("tf_title").alias("title")).first()
+    body, title = sizes["body"] or 0, sizes["title"] or 0
+    impact = _score_part(title_weight, (body + title_weight * title) / max(n_chunks, 1), k1, b)
+    part = F.pmod(F.xxhash64(*CHUNK_KEYS), F.lit(PARTS * shards)).cast("int")
+    rows = raw.withColumns({"impact": impact, "part": part}).repartition(shards, "part")
+    place = F.row_number().over(Window.partitionBy("part", "term").orderBy(F.desc("impact"), *CHUNK_KEYS))
+    extremes = [
+        F.max("impact").alias("impact"),
+        F.max("tf_body").alias("max_body"), F.max("tf_title").alias("max_title"),
+        F.min("len_body").alias("min_body"), F.min("len_title").alias("min_title"),
+    ]
+    entry = F.struct(*CHUNK_KEYS, "tf_body", "tf_title", "len_body", "len_title")
     name = f"snaptext_postings_{uuid.uuid4().hex}"
     (
-        postings(chunks, shards)
-        .write.bucketBy(shards, *CHUNK_KEYS)
-        .sortBy(*CHUNK_KEYS)
+        rows.withColumn("block_no", F.floor((place - 1) / block).cast("int"))
+        .groupBy("part", "term", "block_no")
+        .agg(*extremes, F.collect_list(entry).alias("entries"))
+        .write.bucketBy(shards, "part")
+        .sortBy("part", "term")
         .option("path", f"{shared_folder(spark)}/{name}")
         .saveAsTable(name)
     )
-    table = spark.table(name)
-    terms = stored(table.groupBy("term").agg(F.count("*").alias("df")), "terms")
-    n_chunks = chunks.count()
-    sizes = table.agg(F.sum("tf_body").alias("body"), F.sum("tf_title").alias("title")).first()
+    terms = stored(raw.withColumn("impact", impact).groupBy("term").agg(F.count("*").alias("df"), *extremes), "terms")
     mean_idf = terms.agg(F.avg(raw_idf(F.col("df"), n_chunks))).first()[0]
-    return LexicalIndex(table, terms, n_chunks, sizes["body"] or 0, sizes["title"] or 0, mean_idf or 0.0, name)
+    return LexicalIndex(spark.table(name), terms, n_chunks, body, title, mean_idf or 0.0, (title_weight, k1, b), name)
 
 
 def idf_table(index: LexicalIndex, epsilon: float = settings.BM25_EPSILON) -> DataFrame:
@@ -134,11 +165,38 @@ def _mean_length(index: LexicalIndex, title_weight: int) -> float:
     return (index.total_body + title_weight * index.total_title) / max(index.n_chunks, 1)
 
 
-def term_weights(index: LexicalIndex, terms: DataFrame, epsilon: float, small: bool) -> DataFrame:
-    """Count in the query times idf, for every query term that the corpus has."""
-    return idf_table(index, epsilon).join(F.broadcast(terms) if small else terms, "term").select(
-        *QUERY_KEYS, "term", (F.col("qtf") * F.col("idf")).alias("weight")
-    )
+def _bound(index: LexicalIndex, title_weight: int, k1: float, b: float) -> Column:
+    """The most that a posting of a block, or of a term, can add without the term's weight."""
+    if index.shape == (title_weight, k1, b):
+        return F.col("impact")
+    tf = F.col("max_body") + title_weight * F.col("max_title")
+    length = F.col("min_body") + title_weight * F.col("min_title")
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.lit(_mean_length(index, title_weight))))
+
+
+def term_weights(index: LexicalIndex, terms: DataFrame, epsilon: float, most: Column) -> DataFrame:
+    """Count in the query times idf, for every query term that the corpus has, and ``others``: what other terms can add at most."""
+    idf = idf_table(index, epsilon).select("term", "idf")
+    found = index.terms.join(idf, "term").join(terms, "term")
+    weight = F.col("qtf") * F.col("idf")
+    weighed = found.select(*QUERY_KEYS, "term", weight.alias("weight"), (weight * most).alias("most"))
+    # A term of negative weight, as in a tiny corpus, leaves the query without a threshold.
+    query = Window.partitionBy(*QUERY_KEYS)
+    others = F.when(F.min("weight").over(query) >= 0, F.sum("most").over(query) - F.col("most"))
+    return weighed.withColumn("others", F.coalesce(others, F.lit(float("inf")))).drop("most")
+
+
+def _matches(index: LexicalIndex, weights: DataFrame, small: bool, title_weight: int, k1: float, b: float) -> DataFrame:
+    """A row for each query and block of one of its terms, with ``reach``: the best score that a chunk of the block can have."""
+    joined = index.blocks.join(F.broadcast(weights) if small else weights, "term")
+    return joined.withColumn("reach", F.col("weight") * _bound(index, title_weight, k1, b) + F.col("others"))
+
+
+def _summed(index: LexicalIndex, matches: DataFrame, title_weight: int, k1: float, b: float) -> DataFrame:
+    """Scores of the chunks in the given blocks; those of a chunk are in one bucket."""
+    parts = matches.select("part", *QUERY_KEYS, "weight", F.explode("entries").alias("e")).select("part", *QUERY_KEYS, "weight", "e.*")
+    added = F.col("weight") * _score_part(title_weight, _mean_length(index, title_weight), k1, b)
+    return parts.groupBy("part", *QUERY_KEYS, *CHUNK_KEYS).agg(F.sum(added).alias("score")).drop("part")
 
 
 def scores(
@@ -149,20 +207,12 @@ def scores(
     b: float = settings.BM25_B,
     epsilon: float = settings.BM25_EPSILON,
 ) -> DataFrame:
-    """BM25 of every chunk that shares a term with a query, one row per pair.
+    """BM25 of every chunk that shares a term with a query, one row per pair; no block is skipped.
 
-    The title counts ``title_weight`` times. Query terms are broadcast when measured to
-    be small; there is then no shuffle of scores, as postings are bucketed by chunk.
+    The title counts ``title_weight`` times. Query terms are broadcast when measured to be small.
     """
-    small = is_small(terms)
-    weights = term_weights(index, terms, epsilon, small)
-    part = F.col("weight") * _score_part(title_weight, _mean_length(index, title_weight), k1, b)
-    # At most one row per row of ``terms``, so the same bound holds.
-    return (
-        index.postings.join(F.broadcast(weights) if small else weights, "term")
-        .groupBy(*QUERY_KEYS, *CHUNK_KEYS)
-        .agg(F.sum(part).alias("score"))
-    )
+    weights = stored(term_weights(index, terms, epsilon, _bound(index, title_weight, k1, b)), "weights")
+    return _summed(index, _matches(index, weights, is_small(weights), title_weight, k1, b), title_weight, k1, b)
 
 
 def first_n(df: DataFrame, n: int, keys: list[str], order: list[Column]) -> DataFrame:
@@ -171,64 +221,17 @@ def first_n(df: DataFrame, n: int, keys: list[str], order: list[Column]) -> Data
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def _best_per_task(index: LexicalIndex, weights: pd.DataFrame, n: int, part: Column, schema: str) -> DataFrame:
-    """Each task's ``n`` best chunks per query, scored in blocks of a term-chunk matrix.
-
-    Pairs of query and chunk stay numbers in a block; only the best become rows.
-    """
-    spark = index.postings.sparkSession
-    ids = weights[QUERY_KEYS].drop_duplicates(ignore_index=True)
-    terms = np.unique(weights["term"].to_numpy())
-    weights = weights.merge(ids.reset_index(names="query_no"), on=QUERY_KEYS)
-    weights["term_no"] = np.searchsorted(terms, weights["term"].to_numpy())
-    by_query = [
-        (g["term_no"].to_numpy(), g["weight"].to_numpy()) for _, g in weights.sort_values("query_no").groupby("query_no")
-    ]
-    # With positive weights a score above zero means a shared term; otherwise terms are counted.
-    positive = bool((weights["weight"] > 0).all())
-    sent = spark.sparkContext.broadcast((ids, by_query))
-
-    numbered = pd.DataFrame({"term": terms, "term_no": np.arange(len(terms), dtype=np.int32)})
-    vocabulary = spark.createDataFrame(numbered, "term string, term_no int")
-    rows = (
-        index.postings.join(F.broadcast(vocabulary), "term")
-        .groupBy(*CHUNK_KEYS)
-        .agg(F.collect_list(F.struct("term_no", part.alias("part"))).alias("parts"))
-        .sortWithinPartitions(*CHUNK_KEYS)
-    )
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, asked = sent.value
-        kept = BestRows(len(q_ids), n)
-        seen: list[pa.Table] = []
-        step = max(1, CELLS_PER_STEP // max(1, len(numbered)))
-        for batch in batches:
-            seen.append(pa.Table.from_batches([batch.select(CHUNK_KEYS)]))
-            lists = batch.column("parts")
-            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            row = np.repeat(np.arange(len(batch)), np.diff(bounds))
-            term, value = (lists.flatten().field(i).to_numpy() for i in (0, 1))
-            for at in range(0, len(batch), step):
-                to = min(at + step, len(batch))
-                mine = slice(bounds[at], bounds[to])
-                block = np.zeros((len(numbered), to - at))
-                block[term[mine], row[mine] - at] = value[mine]
-                for i, (used, weight) in enumerate(asked):
-                    parts = block[used]
-                    score = weight @ parts
-                    matched = score > 0 if positive else (parts > 0).any(axis=0)
-                    kept.add_line(i, np.where(matched, -np.round(score, 6), np.nan))
-                kept.pass_rows(to - at)
-        if not seen:
-            return
-        query, at, value = kept.found()
-        hits = pa.concat_tables(seen).take(at)
-        asked_by = pa.Table.from_pandas(q_ids, preserve_index=False).take(query)
-        columns = [asked_by.column(k).combine_chunks() for k in QUERY_KEYS]
-        columns += [hits.column(k).combine_chunks() for k in CHUNK_KEYS]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(-value)], [*QUERY_KEYS, *CHUNK_KEYS, "score"])
-
-    return rows.mapInArrow(best, schema)
+def needed_blocks(
+    index: LexicalIndex, weights: DataFrame, n: int, small: bool, title_weight: int, k1: float, b: float
+) -> DataFrame:
+    """The blocks that may hold one of the ``n`` best chunks of a query, as ``_matches``."""
+    matches = _matches(index, weights, small, title_weight, k1, b)
+    first = _summed(index, matches.where("block_no = 0"), title_weight, k1, b)
+    nth = first_n(first, n, QUERY_KEYS, [F.desc("score")]).where(F.col("rank") == n)
+    # At most one row per query, and a query has at least one row in the weights.
+    thresholds = stored(nth.select(*QUERY_KEYS, (F.col("score") - 10.0**-DIGITS).alias("least")), "thresholds")
+    known = matches.join(F.broadcast(thresholds) if small else thresholds, QUERY_KEYS, "left")
+    return known.where(F.col("reach") >= F.coalesce("least", F.lit(float("-inf")))).drop("least")
 
 
 def lexical_hits(
@@ -240,27 +243,14 @@ def lexical_hits(
     k1: float = settings.BM25_K1,
     b: float = settings.BM25_B,
     epsilon: float = settings.BM25_EPSILON,
-    max_queries: int = BLOCK_QUERIES,
-    max_terms: int = BLOCK_TERMS,
 ) -> DataFrame:
     """The ``n`` best chunks of each query; ties go by entity and position.
 
-    Only chunks that share a term with the query are ranked. A batch of at most
-    ``max_queries`` queries and ``max_terms`` distinct terms is scored in blocks inside
-    the tasks; a larger one by joins, with one row per matching pair. Both give the same
-    lists.
+    Only chunks that share a term with the query are ranked. Scores are rounded to ``DIGITS`` places before ranking.
     """
     terms = query_terms(queries, aliases)
-    scored = None
-    if is_small(terms):
-        weights = term_weights(index, terms, epsilon, True)
-        held = weights.toPandas()
-        if len(held[QUERY_KEYS].drop_duplicates()) <= max_queries and held["term"].nunique() <= max_terms:
-            types = {**dict(weights.dtypes), **dict(index.postings.dtypes)}
-            schema = ", ".join(f"{k} {types[k]}" for k in [*QUERY_KEYS, *CHUNK_KEYS]) + ", score double"
-            part = _score_part(title_weight, _mean_length(index, title_weight), k1, b)
-            scored = _best_per_task(index, held, n, part, schema)
-    if scored is None:
-        scored = scores(index, terms, title_weight, k1, b, epsilon).withColumn("score", F.round("score", 6))
+    weights = stored(term_weights(index, terms, epsilon, _bound(index, title_weight, k1, b)), "weights")
+    needed = needed_blocks(index, weights, n, is_small(weights), title_weight, k1, b)
+    scored = _summed(index, needed, title_weight, k1, b).withColumn("score", F.round("score", DIGITS))
     order = [F.desc("score"), F.asc("entity_id"), F.asc("chunk_index")]
     return first_n(scored, n, QUERY_KEYS, order).select(*QUERY_KEYS, "rank", *CHUNK_KEYS, "score")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from snaptext.functions.text import long_date
+from snaptext.functions.text import long_date, natural_number
 
 STATES = ("UNMAPPED", "TOO_EARLY", "IN_FORCE", "GAP")
 
@@ -312,6 +312,43 @@ def compare_latest(timeline: DataFrame) -> DataFrame:
     return _sides(asked, timeline)
 
 
+def with_texts(sides: DataFrame, texts: DataFrame) -> DataFrame:
+    """Both texts beside the compared sides; ``texts`` has ``entity_id, snapshot, text``. A text that isn't held is null."""
+    for side in ("old", "new"):
+        named = texts.select("entity_id", F.col("snapshot").alias(f"{side}_snapshot"), F.col("text").alias(f"{side}_text"))
+        sides = sides.join(named, ["entity_id", f"{side}_snapshot"], "left")
+    return sides
+
+
+def comparables(timeline: DataFrame) -> DataFrame:
+    """The entities with a change to compare: title, number of changes and date of the last one, in natural order by ``place``."""
+    changed = timeline.where("seg_idx > 0").groupBy("entity_id").agg(
+        F.max("title").alias("title"), F.count("*").alias("n_changes"), long_date(F.max("start")).alias("last_change")
+    )
+    return changed.withColumn("id_number", natural_number(F.col("entity_id")))
+
+
+def with_markers(views: DataFrame, markers: DataFrame) -> DataFrame:
+    """Histories with the ``markers`` (``date``, ``label``, ``note``) of their entity, in order; those with a text history get its markers."""
+    order = F.array_sort(F.collect_list(F.struct("marker_no", "date", "label", "note")))
+    listed = markers.groupBy("entity_id", "kind").agg(
+        F.transform(order, lambda m: F.struct(m["date"].alias("date"), m["label"].alias("label"), m["note"].alias("note"))).alias("markers")
+    )
+    return views.join(listed, ["entity_id", "kind"], "left")
+
+
+def consistent_change(views: DataFrame, sides: DataFrame, markers: DataFrame) -> DataFrame:
+    """Histories with ``consistent``: whether the change they name is the one that their comparison shows, and one of their markers.
+
+    ``markers`` are those of texts; histories of another kind have null.
+    """
+    compared = sides.select("entity_id", "as_of", F.col("change_date").alias("_compared"))
+    dates = markers.groupBy("entity_id").agg(F.collect_set("date").alias("_dates"))
+    held = F.col("_compared").isNotNull() & (F.col("_compared") == F.col("change_date")) & F.array_contains("_dates", F.col("change_date"))
+    joined = views.join(compared, ["entity_id", "as_of"], "left").join(dates, "entity_id", "left")
+    return joined.withColumn("consistent", F.when(F.col("kind") == "text-change", F.coalesce(held, F.lit(False)))).drop("_compared", "_dates")
+
+
 def _sides(asked: DataFrame, timeline: DataFrame) -> DataFrame:
     by_start = Window.partitionBy("entity_id").orderBy("seg_idx")
     pairs = timeline.select(

@@ -1,21 +1,13 @@
-"""Dense vectors: hashed term vectors, exact and approximate nearest neighbours."""
+"""Dense vectors of chunks and queries: hashed term counts, weighted by inverse document frequency."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from snaptext import settings
 from snaptext.functions import text as tx
-from snaptext.operators.best import CELLS_PER_STEP, BestRows
-from snaptext.operators.lexical import CHUNK_KEYS, QUERY_KEYS, first_n
-from snaptext.scale import small_side, spread, stored
-
-QUERIES_PER_PASS = 20_000  # query vectors held by one task (10 MB at 64 dimensions)
+from snaptext.operators.lexical import CHUNK_KEYS, QUERY_KEYS
+from snaptext.scale import small_side
 
 
 def term_slot(term: Column, dims: int) -> Column:
@@ -33,29 +25,36 @@ def term_vectors(counts: DataFrame, keys: list[str], count: str, dims: int = set
         F.sum(F.col(count) * term_sign(F.col("term"))).alias("value")
     )
     filled = slots.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", F.col("value").cast("float")))).alias("_map")
+        F.map_from_entries(F.collect_list(F.struct("slot", F.col("value").cast("double")))).alias("_map")
     )
     return filled.select(
         *keys,
         F.transform(
             F.sequence(F.lit(0), F.lit(dims - 1)),
-            lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0.0).cast("float")),
+            lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0.0)),
         ).alias("vector"),
     )
 
 
-def chunk_vectors(postings: DataFrame, dims: int = settings.VECTOR_DIMS) -> DataFrame:
-    """A vector for every chunk, from the text (not the title)."""
-    return term_vectors(postings.where("tf_body > 0"), CHUNK_KEYS, "tf_body", dims)
+def _weighed(counts: DataFrame, idf: DataFrame, count: str) -> DataFrame:
+    """Counts times inverse document frequency (``term, idf``), in whole thousandths so that sums don't depend on an order."""
+    weight = F.round(F.col("idf") * 1000).cast("long")
+    return counts.join(small_side(idf.select("term", weight.alias("_weight"))), "term").withColumn("weighed", F.col(count) * F.col("_weight"))
+
 
+def chunk_vectors(postings: DataFrame, idf: DataFrame, dims: int = settings.VECTOR_DIMS) -> DataFrame:
+    """A vector for every chunk, from the text (not the title). ``unit_vector`` brings it to length one, as distances by cosine do."""
+    return term_vectors(_weighed(postings.where("tf_body > 0"), idf, "tf_body"), CHUNK_KEYS, "weighed", dims)
 
-def query_vectors(queries: DataFrame, dims: int = settings.VECTOR_DIMS) -> DataFrame:
+
+def query_vectors(queries: DataFrame, idf: DataFrame, dims: int = settings.VECTOR_DIMS) -> DataFrame:
+    """A vector for every query with a term that the corpus has."""
     terms = (
         queries.select(*QUERY_KEYS, F.explode(tx.tokens(F.col("text"))).alias("term"))
         .groupBy(*QUERY_KEYS, "term")
         .agg(F.count("*").alias("qtf"))
     )
-    return term_vectors(terms, QUERY_KEYS, "qtf", dims)
+    return term_vectors(_weighed(terms, idf, "qtf"), QUERY_KEYS, "weighed", dims)
 
 
 def unit_vector(vector: Column) -> Column:
@@ -65,156 +64,6 @@ def unit_vector(vector: Column) -> Column:
     return F.when(norm > 0, F.zip_with(vector, norms, lambda x, length: x / length))
 
 
-def _distances(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
-    dots = q @ c.T
-    qn, cn = (q * q).sum(axis=1)[:, None], (c * c).sum(axis=1)[None, :]
-    if metric == "squared_l2":
-        d = qn + cn - 2 * dots
-    else:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = 1.0 - dots / np.sqrt(qn * cn)
-    return np.maximum(d, 0.0)
-
-
-def nearest(
-    queries: DataFrame,
-    corpus: DataFrame,
-    keys: list[str],
-    n: int = settings.CANDIDATES,
-    metric: str = "cosine",
-    digits: int | None = None,
-) -> DataFrame:
-    """Exact ``n`` nearest corpus rows of each query vector.
-
-    Queries (``query_id, sub_no, vector``) go to the tasks as one matrix, a bounded
-    number per pass; each task keeps only its own n best per query, and a window
-    merges those. No query-corpus pair is ever a row. ``digits`` rounds distances
-    before ranking.
-    """
-    spark = corpus.sparkSession
-    n_queries = queries.count()
-    passes = max(1, -(-n_queries // QUERIES_PER_PASS))
-    key_types = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
-    query_types = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
-    schema = ", ".join(
-        [f"{k} {query_types[k]}" for k in QUERY_KEYS] + [f"{k} {key_types[k]}" for k in keys] + ["distance double"]
-    )
-    # Sorted by key inside each task, so that equal distances are kept in key order.
-    ordered = corpus.select(*keys, "vector").sortWithinPartitions(*keys)
-
-    def one_pass(part: DataFrame) -> DataFrame:
-        rows = part.select(*QUERY_KEYS, "vector").toPandas()
-        ids = rows[QUERY_KEYS]
-        matrix = np.array(rows["vector"].tolist(), dtype=np.float64).reshape(len(rows), -1)
-        sent = spark.sparkContext.broadcast((ids, matrix))
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q = sent.value
-            if not len(q_ids):
-                return
-            kept = BestRows(len(q_ids), n)
-            seen: list[pa.Table] = []
-            step = max(1, CELLS_PER_STEP // len(q_ids))
-            for batch in batches:
-                seen.append(pa.Table.from_batches([batch.select(keys)]))
-                rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-                rows = rows.astype(np.float64).reshape(len(batch), -1)
-                for at in range(0, len(rows), step):
-                    d = _distances(q, rows[at : at + step], metric)
-                    kept.add(d if digits is None else np.round(d, digits))
-            if not seen:
-                return
-            query, row, distance = kept.found()
-            hits = pa.concat_tables(seen).take(row)
-            asked_by = pa.Table.from_pandas(q_ids, preserve_index=False).take(query)
-            columns = [asked_by.column(k).combine_chunks() for k in QUERY_KEYS]
-            columns += [hits.column(k).combine_chunks() for k in keys]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(distance)], [*QUERY_KEYS, *keys, "distance"])
-
-        return ordered.mapInArrow(best, schema)
-
-    if passes == 1:
-        found = one_pass(queries)
-    else:
-        slot = F.pmod(F.xxhash64(*QUERY_KEYS), F.lit(passes))
-        found = one_pass(queries.where(slot == 0))
-        for i in range(1, passes):
-            found = found.unionByName(one_pass(queries.where(slot == i)))
-    order = [F.asc("distance"), *[F.asc(k) for k in keys]]
-    return first_n(found, n, QUERY_KEYS, order).select(*QUERY_KEYS, "rank", *keys, "distance")
-
-
-def plane_signs(tables: int, bits: int, dims: int) -> list[list[list[float]]]:
-    """Random planes with components of 1 and -1, from the MD5 of ``table:bit:dimension``."""
-    sign = lambda t, b, d: -1.0 if hashlib.md5(f"{t}:{b}:{d}".encode()).hexdigest()[0] >= "8" else 1.0
-    return [[[sign(t, b, d) for d in range(dims)] for b in range(bits)] for t in range(tables)]
-
-
-def sign_keys(vector: Column, tables: int, bits: int, dims: int) -> Column:
-    """Array of one key per table: bit b says on which side of its plane the vector lies."""
-    written = ";".join(",".join(map(str, plane)) for table in plane_signs(tables, bits, dims) for plane in table)
-    planes = F.transform(F.split(F.lit(written), ";"), lambda p: F.split(p, ",").cast("array<double>"))
-    side = F.transform(
-        planes,
-        lambda p: F.aggregate(F.zip_with(vector, p, lambda x, s: x * s), F.lit(0.0), lambda acc, x: acc + x) >= 0,
-    )
-    powers = F.array(*[F.lit(1 << b) for b in range(bits)])
-    one = lambda t: F.aggregate(
-        F.zip_with(F.slice(side, t * bits + 1, F.lit(bits)), powers, lambda on, p: F.when(on, p).otherwise(0)),
-        F.lit(0),
-        lambda acc, x: acc + x,
-    )
-    return F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), one)
-
-
-def approx_candidates(
-    queries: DataFrame, corpus: DataFrame, keys: list[str], bits: int, tables: int
-) -> DataFrame:
-    """Pairs that share a sign key, or one a bit away, in a table: query and corpus keys, both vectors, once each."""
-    sized = corpus.select(F.size("vector").alias("n")).limit(1).collect()
-    dims = sized[0]["n"] if sized else 1
-
-    def hashed(df: DataFrame, cols: list[str], name: str) -> DataFrame:
-        unit = df.select(*cols, unit_vector(F.col("vector").cast("array<double>")).alias(name)).where(F.col(name).isNotNull())
-        # Stored: the keys are worked out once per vector, and not again for each table.
-        return stored(unit.withColumn("sign_keys", sign_keys(F.col(name), tables, bits, dims)), "sign-keys")
-
-    probes = F.concat(F.array(F.lit(0)), F.array(*[F.lit(1 << b) for b in range(bits)]))
-    asked = (
-        hashed(queries, QUERY_KEYS, "asked")
-        .select(*QUERY_KEYS, "asked", F.posexplode("sign_keys").alias("table", "key"))
-        .select(*QUERY_KEYS, "asked", "table", F.explode(F.transform(probes, lambda p: F.col("key").bitwiseXOR(p))).alias("key"))
-    )
-    rows = hashed(spread(corpus, *keys), keys, "unit").select(*keys, "unit", F.posexplode("sign_keys").alias("table", "key"))
-    return rows.join(small_side(asked), ["table", "key"]).drop("table", "key")
-
-
-def nearest_approx(
-    queries: DataFrame,
-    corpus: DataFrame,
-    keys: list[str],
-    n: int = settings.CANDIDATES,
-    bits: int = 8,
-    tables: int = 24,
-) -> DataFrame:
-    """Approximate nearest neighbours by sign keys; compare with ``nearest``.
-
-    Vectors are scaled to unit length. Only rows are measured whose key in one of ``tables`` equals
-    a query's or lies one bit away. Rule of thumb: log2 of the row count less 5 ``bits``, at least 8,
-    keeps buckets small; more ``tables`` find more, and 24 find nine in ten of the given embeddings. The copies of a pair found in several
-    tables come from one row, so they collapse before any shuffle.
-    """
-    squares = F.zip_with("unit", "asked", lambda x, y: (x - y) * (x - y))
-    near = (
-        approx_candidates(queries, corpus, keys, bits, tables)
-        .select(*QUERY_KEYS, *keys, F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)).alias("distance"))
-        .groupBy(*QUERY_KEYS, *keys)
-        .agg(F.min("distance").alias("distance"))
-    )
-    order = [F.asc(F.round("distance", 6)), *[F.asc(k) for k in keys]]
-    return first_n(near, n, QUERY_KEYS, order).select(*QUERY_KEYS, "rank", *keys, "distance")
-
-
 def refused(queries: DataFrame, hits: DataFrame, floor: float = settings.DISTANCE_FLOOR) -> DataFrame:
     """Queries with no near enough vector hit are refused; keyword hits do not count here."""
     best = hits.groupBy(*QUERY_KEYS).agg(F.min("distance").alias("best_distance"))

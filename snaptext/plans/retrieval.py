@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from snaptext import settings
-from snaptext.operators import expansion, fusion, lexical, vectors
+from snaptext.operators import expansion, fusion, lexical, neighbours, vectors
 from snaptext.scale import stored
 
 
@@ -19,12 +19,14 @@ class SearchTables:
     current: str
     index: lexical.LexicalIndex
     vectors: DataFrame
+    neighbours: neighbours.VectorIndex
 
 
 def build_search(chunks: DataFrame, current: str, dims: int = settings.VECTOR_DIMS) -> SearchTables:
     now = chunks.where(F.col("snapshot") == current)
     index = lexical.build_index(now)
-    return SearchTables(chunks, current, index, stored(vectors.chunk_vectors(index.postings, dims), "vectors"))
+    rows = stored(vectors.chunk_vectors(index.postings, lexical.idf_table(index), dims), "vectors")
+    return SearchTables(chunks, current, index, rows, neighbours.build(rows, lexical.CHUNK_KEYS))
 
 
 @dataclass
@@ -44,7 +46,7 @@ def search(
 ) -> RankedLists:
     """Lexical and vector lists for ``query_id, sub_no, text``, stored for reuse."""
     found = lexical.lexical_hits(tables.index, queries, n, aliases)
-    near = vectors.nearest(vectors.query_vectors(queries, dims), tables.vectors, lexical.CHUNK_KEYS, n)
+    near = neighbours.nearest(vectors.query_vectors(queries, lexical.idf_table(tables.index), dims), tables.neighbours, n)
     return RankedLists(stored(found, "lexical"), stored(near, "nearest"))
 
 

@@ -187,15 +187,91 @@ def test_diffs(spark):
         assert all(len(s["text"].split()) <= 12 for s in r["diff"] if s["op"] == "context")
 
 
+def plain_alignment(old, new):
+    """Partners by position, round by round in plain loops."""
+    partner = {}
+
+    def gaps():
+        cuts = sorted(partner.items()) + [(len(old), len(new))]
+        i = j = 0
+        for a, b in cuts:
+            yield list(range(i, a)), list(range(j, b))
+            i, j = a + 1, b + 1
+
+    for step in textdiff.ROUNDS:
+        for left, right in list(gaps()):
+            if isinstance(step, str):
+                for i, j in zip(left, right) if step == "start" else zip(left[::-1], right[::-1]):
+                    if old[i] != new[j]:
+                        break
+                    partner[i] = j
+            else:
+                runs = [{}, {}]
+                for side, at, ws in ((0, left, old), (1, right, new)):
+                    for n in range(len(at) - step + 1):
+                        runs[side].setdefault(tuple(ws[at[n] : at[n] + step]), []).append(at[n])
+                once = sorted((p[0], runs[1][r][0]) for r, p in runs[0].items() if len(p) == 1 and len(runs[1].get(r, [])) == 1)
+                for n, (i, j) in enumerate(once):
+                    if all(b < j for _, b in once[:n]) and all(b > j for _, b in once[n + 1 :]):
+                        partner[i] = j
+    return partner
+
+
+def random_pairs(n=60, seed=8):
+    rng = random.Random(seed)
+    out = {"nothing": ("", ""), "spaces": (" ", "\n"), "long": ("w " * 3000, "w " * 2990 + "x " * 300)}
+    for i in range(n):
+        old = [f"w{rng.randrange(rng.choice([3, 30, 300]))}" for _ in range(rng.randrange(60))]
+        new = list(old)
+        for _ in range(rng.randrange(6)):
+            at, to = sorted(rng.randrange(len(new) + 1) for _ in range(2))
+            new[at : at + rng.randrange(5)] = rng.choice([[], new[at:to][::-1], ["new"], old[at:to]])
+        out[f"p{i}"] = (" ".join(old), " ".join(new))
+    return out
+
+
+def test_alignment_equals_plain_loops(spark):
+    cases = random_pairs()
+    df = spark.createDataFrame([(k, o, n) for k, (o, n) in cases.items()], "k string, old string, new string")
+    got = {k: {} for k in cases}
+    for r in textdiff.aligned(textdiff.pair_words(df, ["k"]), ["k"]).where("side = 0 and partner is not null").collect():
+        got[r["k"]][r["pos"]] = r["partner"]
+    for k, (old, new) in cases.items():
+        assert got[k] == plain_alignment(old.split(), new.split()), k
+
+
+def test_both_sides_are_the_texts(spark):
+    cases = random_pairs()
+    df = spark.createDataFrame([(k, o, n) for k, (o, n) in cases.items()], "k string, old string, new string")
+    rows = {r["k"]: r for r in textdiff.diff_pairs(df, ["k"]).collect()}
+    assert set(rows) == set(cases)
+    for k, r in rows.items():
+        for side, text, ops in (("old_side", cases[k][0], {"eq", "del"}), ("new_side", cases[k][1], {"eq", "add"})):
+            assert " ".join(s["text"] for s in r[side]).split() == text.split() and {s["op"] for s in r[side]} <= ops
+        changed = [w for s in r["diff"] if s["op"] in ("add", "del") for w in s["text"].split()]
+        full = sum(len(s["text"].split()) for side in ("old_side", "new_side") for s in r[side] if s["op"] != "eq")
+        assert len(changed) == min(full, 140) and r["truncated"] == (full > 140)
+        ops = [s["op"] for s in r["diff"]]
+        assert "gap" not in ops[:1] + ops[-1:] and all(a != b for a, b in zip(ops, ops[1:]))
+
+
+def test_one_shuffle_for_all_rounds(spark):
+    df = spark.createDataFrame([("k", "a", "b")], "k string, old string, new string")
+    text = textdiff.aligned(textdiff.pair_words(df, ["k"]), ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1
+
+
 def test_similarity(spark):
-    cases = pairs(spark)
+    cases = pairs(spark) | random_pairs() | {"letters": ("The offices are open", "The office is open"), "digit": ("x" * 60 + " 1", "x" * 60 + " 2")}
     df = spark.createDataFrame([(k, o, n) for k, (o, n) in cases.items()], "k string, old string, new string")
     got = {r["k"]: (r["similarity"], r["small_edit"]) for r in textdiff.similar_pairs(df, ["k"]).collect()}
-    assert "same" not in got
+    letters = {k: tuple(t.replace(" ", "").replace("\n", "").lower() for t in c) for k, c in cases.items()}
+    assert set(got) == {k for k, (o, n) in letters.items() if o != n}
     for k, (similarity, small) in got.items():
-        o, n = (t.replace(" ", "") for t in cases[k])
-        ratio = difflib.SequenceMatcher(None, o, n).ratio()
-        assert similarity == pytest.approx(ratio, abs=5e-4) and small == (ratio >= 0.97)
+        longest = difflib.SequenceMatcher(None, *letters[k], autojunk=False).ratio()
+        assert 0 <= similarity <= 1 and small == (similarity >= 0.97) or abs(similarity - 0.97) < 1e-3
+        if k in ("insert", "delete", "replace", "large", "letters", "digit"):
+            assert similarity == pytest.approx(longest, abs=0.03)
 
 
 def test_citations(spark):

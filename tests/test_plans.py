@@ -33,7 +33,7 @@ def d(spark):
 
 
 def test_scores_meet_without_a_shuffle(spark, d):
-    """Postings are bucketed by chunk: the only exchanges are broadcasts."""
+    """Blocks are bucketed by parts of the chunks: after the join the only exchanges are broadcasts."""
     terms = lexical.query_terms(d.asked, {})
     text = plan(lexical.scores(d.search_tables.index, terms))
     after_join = text.split("\n\n")[0].split("BroadcastHashJoin")[0]
@@ -65,3 +65,13 @@ def test_as_of_shuffles_each_side_once(spark, d):
 def test_index_holds_the_current_snapshot_only(spark, d):
     now = d.chunks.where(F.col("snapshot") == CURRENT).count()
     assert d.search_tables.index.n_chunks == now
+
+
+def test_neighbours_meet_their_lists_without_shuffling_the_index(spark, d):
+    from snaptext.operators import neighbours
+
+    index = d.unit_vectors
+    asked = neighbours._coded(neighbours._prepared(d.vector_queries(), ["query_id", "sub_no"], True), index.scale)
+    text = plan(neighbours.candidates(asked, index, 10, 0.5))
+    assert "Bucketed: true" in text and "CartesianProduct" not in text
+    assert "vector" not in re.search(r"ReadSchema: (struct<[^\n]*code[^\n]*)", text).group(1)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from snaptext.operators import expansion, fusion, lexical, vectors
+from snaptext.operators import expansion, fusion, lexical, neighbours, vectors
 
 CORPUS = [
     ("1", 0, "Back office", "the rules of the back-office and the desk"),
@@ -57,27 +57,62 @@ def queries(spark, texts):
 TEXTS = ["the desk desk", "back-office", "unknown words", "flowers of the garden", "office"]
 
 
-@pytest.mark.parametrize("blocks", [True, False])
-def test_bm25(spark, index, blocks):
-    limits = {} if blocks else {"max_queries": 0}
+@pytest.mark.parametrize("block", [1, 64])
+def test_bm25(spark, block):
+    index = lexical.build_index(spark.createDataFrame(CORPUS, "entity_id string, chunk_index int, title string, text string"), block=block)
     got = {}
-    for r in lexical.lexical_hits(index, queries(spark, TEXTS), 3, **limits).collect():
+    for r in lexical.lexical_hits(index, queries(spark, TEXTS), 3).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], (r["entity_id"], r["chunk_index"]), r["score"]))
     for i, text in enumerate(TEXTS):
         want = [(n, key, score) for n, (key, score) in enumerate(plain_bm25(CORPUS, tokens(text))[:3], 1)]
         found = sorted(got.get(f"q{i}", []))
         assert [(n, k) for n, k, _ in found] == [(n, k) for n, k, _ in want]
         assert np.allclose([s for *_, s in found], [s for *_, s in want], atol=2e-6)
+    index.drop()
 
 
-def test_block_and_join_scoring_agree_when_a_weight_is_zero(spark):
+def test_a_term_without_weight_still_matches(spark):
     """A term in exactly half of the chunks has no weight, yet its chunks still match."""
     rows = [("1", 0, "t", "alpha beta"), ("2", 0, "t", "alpha"), ("3", 0, "t", "gamma"), ("4", 0, "t", "delta")]
     index = lexical.build_index(spark.createDataFrame(rows, "entity_id string, chunk_index int, title string, text string"))
-    asked = queries(spark, ["alpha", "alpha gamma", "beta"])
-    one, other = lexical.lexical_hits(index, asked), lexical.lexical_hits(index, asked, max_queries=0)
-    assert one.count() == 6
-    assert one.exceptAll(other).count() == 0 and other.exceptAll(one).count() == 0
+    assert lexical.lexical_hits(index, queries(spark, ["alpha", "alpha gamma", "beta"])).count() == 6
+
+
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """A word in every chunk, common words, rare ones; a third of all chunks in one entity."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(1500):
+        body = ["every"] + [f"w{int(x)}" for x in rng.zipf(1.3, 40) if x < 400] * int(rng.integers(1, 3))
+        rows.append(("1" if i % 3 == 0 else str(i), i, f"t{i % 7}", " ".join(body)))
+    chunks = spark.createDataFrame(rows, "entity_id string, chunk_index int, title string, text string")
+    return lexical.build_index(chunks, shards=2, block=8)
+
+
+ASKED = ["w300", "every w200", "w1 w250 w2", "every w1 w2 w3", "w90 w90 w91 t3", "nothing", "t5 w7"]
+
+
+def skipped(index, asked, n, shape=(8, 1.5, 0.75)):
+    weights = lexical.term_weights(index, lexical.query_terms(asked), 0.25, lexical._bound(index, *shape))
+    needed = lexical.needed_blocks(index, weights, n, True, *shape).count()
+    return 1 - needed / lexical._matches(index, weights, True, *shape).count()
+
+
+@pytest.mark.parametrize("title_weight", [8, 1])
+def test_skipped_blocks_change_nothing(spark, uneven, title_weight):
+    asked = queries(spark, ASKED)
+    order = [F.desc("score"), F.asc("entity_id"), F.asc("chunk_index")]
+    full = lexical.scores(uneven, lexical.query_terms(asked), title_weight).withColumn("score", F.round("score", 6))
+    full = lexical.first_n(full, 5, lexical.QUERY_KEYS, order)
+    hits = lexical.lexical_hits(uneven, asked, 5, title_weight=title_weight)
+    key = lambda r: (r["query_id"], r["rank"], r["entity_id"], r["chunk_index"], round(r["score"], 5))
+    assert sorted(map(key, full.collect())) == sorted(map(key, hits.collect())) and hits.count() == 30
+    assert skipped(uneven, asked, 5, (title_weight, 1.5, 0.75)) > 0.1
+
+
+def test_most_blocks_are_skipped_for_a_common_word_beside_a_rare_one(spark, uneven):
+    assert skipped(uneven, queries(spark, ["every w200"]), 5) > 0.5
 
 
 def test_alias_tokens_count_again(spark):
@@ -94,7 +129,7 @@ def test_nearest_equals_brute_force_with_many_equal_distances(spark, metric):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "id int, vector array<float>").repartition(5)
     qs = spark.createDataFrame([(f"q{i}", 0, v.tolist()) for i, v in enumerate(asked)], "query_id string, sub_no int, vector array<float>")
     got = {}
-    for r in vectors.nearest(qs, rows, ["id"], 6, metric).collect():
+    for r in neighbours.nearest(qs, neighbours.build(rows, ["id"], metric), 6).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["distance"]))
     for i, q in enumerate(asked):
         scored = []
@@ -107,50 +142,88 @@ def test_nearest_equals_brute_force_with_many_equal_distances(spark, metric):
         assert sorted(got.get(f"q{i}", [])) == want
 
 
-def test_nearest_in_several_passes(spark, monkeypatch):
-    rng = np.random.default_rng(4)
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(50, 8)))], "id int, vector array<float>")
-    qs = rows.select(F.col("id").cast("string").alias("query_id"), F.lit(0).alias("sub_no"), "vector")
-    whole = vectors.nearest(qs, rows, ["id"], 5)
-    monkeypatch.setattr(vectors, "QUERIES_PER_PASS", 7)
-    parts = vectors.nearest(qs, rows, ["id"], 5)
-    assert whole.exceptAll(parts).count() == 0 and parts.count() == 250
-
+def clustered(spark, n=900, clusters=12, seed=4):
+    rng = np.random.default_rng(seed)
+    base = 4 * rng.normal(size=(clusters, 16))
+    rows = base[rng.integers(0, clusters, n)] + 0.2 * rng.normal(size=(n, 16))
+    rows[: n // 3] = rows[0]
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id int, vector array<float>")
+    return rows.astype(np.float32).astype(float), corpus, asked(corpus, 20)
+
+
+def asked(corpus, every):
+    return corpus.where(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("string").alias("query_id"), F.lit(0).alias("sub_no"), "vector")
+
+
+def found(df):
+    out = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        out.setdefault(int(r["query_id"]), []).append(r["vec_id"])
+    return out
+
+
+@pytest.mark.parametrize("metric,block,parts", [("squared_l2", 8192, 8192), ("cosine", 64, 8192), ("squared_l2", 50, 9)])
+def test_exact_search_of_clusters_skips_lists(spark, monkeypatch, metric, block, parts):
+    """A third of all rows are equal, so that their list has many blocks; most lists are never visited."""
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", parts)
+    rows, corpus, queries = clustered(spark)
+    index = neighbours.build(corpus, ["vec_id"], metric, block=block)
+    got = found(neighbours.nearest(queries, index, 5, digits=6))
+    if metric == "cosine":
+        unit = rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+        d = np.round(np.maximum(1 - unit @ unit.T, 0), 6)
+    else:
+        d = np.round(((rows[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2), 6)
+    assert got == {q: np.argsort(d[q], kind="stable")[:5].tolist() for q in range(0, 900, 20)}
+    near = neighbours._prepared(queries, ["query_id", "sub_no"], index.unit)
+    near = neighbours._coded(near, index.scale)
+    first = neighbours.nearest(queries, index, 5, digits=6, first_lists=7)
+    beyond = neighbours._visits(*neighbours._bounded(near, index, first, 5, 7, 6))
+    assert beyond.count() + 7 * 45 < 0.3 * 45 * index.n_lists
+
+
+def test_search_of_nothing(spark):
+    rows, corpus, queries = clustered(spark, 60)
+    empty = neighbours.build(corpus.limit(0), ["vec_id"])
+    assert neighbours.nearest(queries, empty, 3).count() == 0 and neighbours.nearest_approx(queries, empty, 3).count() == 0
+    index = neighbours.build(corpus.unionByName(spark.createDataFrame([(999, None), (998, [0.0] * 16)], corpus.schema)), ["vec_id"])
+    assert neighbours.nearest(queries.limit(0), index, 3).count() == 0
+    assert {r["vec_id"] for r in neighbours.nearest(queries, index, 70).collect()} == set(range(60))
+    index.drop()
+
+
+def recall(spark, folder, **kw):
+    """Recall at 10 for the ids divisible by 20 against all rows, and the share of pairs whose codes are compared."""
+    from snaptext.checks.bindings import data
 
-def recall_and_share(queries, corpus, n, **kw):
-    exact = vectors.nearest(queries, corpus, ["vec_id"], n).select("query_id", "vec_id")
-    near = vectors.nearest_approx(queries, corpus, ["vec_id"], n, **kw)
-    kw = {"bits": 8, "tables": 8} | kw
-    pairs = vectors.approx_candidates(queries, corpus, ["vec_id"], **kw).select("query_id", "vec_id").distinct().count()
-    return near.join(exact, ["query_id", "vec_id"]).count() / exact.count(), pairs / (queries.count() * corpus.count())
+    d = data(spark, folder)
+    queries, index = asked(d.vector_rows(), 20), d.unit_vectors
+    exact, near = found(neighbours.nearest(queries, index, 10)), found(neighbours.nearest_approx(queries, index, 10, **kw))
+    hits = sum(len(set(exact[q]) & set(near[q])) for q in exact)
+    return hits / sum(map(len, exact.values())), neighbours.probe_count(index, kw.get("probes", 0.6)) / index.n_lists
 
 
-def test_approximate_neighbours_of_almost_random_vectors(spark):
-    from snaptext.checks.bindings import data
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_of_almost_random_vectors(spark, folder):
+    got, share = recall(spark, f"/root/testdata/{folder}")
+    assert got >= 0.9 and share <= 0.61, (got, share)
 
-    d = data(spark, "/root/testdata/sf0.1")
-    recall, share = recall_and_share(d.vector_queries(), d.vector_rows(), 10)
-    assert recall >= 0.6 and share <= 0.3, (recall, share)
 
+def test_recall_of_clusters_from_few_lists(spark):
+    rows, corpus, queries = clustered(spark)
+    index = neighbours.build(corpus, ["vec_id"])
+    exact, near = found(neighbours.nearest(queries, index, 5, digits=6)), found(neighbours.nearest_approx(queries, index, 5, probes=0.15, rerank=8))
+    hits = sum(len(set(exact[q]) & set(near[q])) for q in exact)
+    assert hits >= 0.9 * 5 * len(exact)
 
-def test_recall_with_the_parameters_of_knn_approx(spark):
-    from snaptext.checks.bindings import data
 
-    d = data(spark, "/root/testdata/sf0.01")
-    queries, corpus = d.vector_queries(), d.vector_rows()
-    exact = vectors.nearest(queries, corpus, ["vec_id"], 10).select("query_id", "vec_id")
-    near = vectors.nearest_approx(queries, corpus, ["vec_id"], 10).select("query_id", "vec_id")
-    assert near.join(exact, ["query_id", "vec_id"]).count() >= 0.9 * exact.count()
-
-
-def test_approximate_neighbours_of_near_copies(spark):
-    rng = np.random.default_rng(4)
-    base = rng.normal(size=(600, 64))
-    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base + 0.05 * rng.normal(size=base.shape)]))]
-    corpus = spark.createDataFrame(rows, "vec_id int, vector array<float>")
-    queries = corpus.where("vec_id < 60").select(F.col("vec_id").cast("string").alias("query_id"), F.lit(0).alias("sub_no"), "vector")
-    recall, share = recall_and_share(queries, corpus, 2, bits=14, tables=8)
-    assert recall >= 0.95 and share <= 0.05, (recall, share)
+def test_centroids(spark):
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.integers(-3, 4, (50, 4)) + c for c in (-90, 0, 90)])[rng.permutation(150)].astype(float)
+    centroids = neighbours.fit_centroids(points, 3)
+    assert sorted(round(c.mean() / 90) for c in centroids) in ([-1, 0, 1], [-1, -1, 1], [-1, 0, 0], [0, 0, 1], [-1, 1, 1])
+    assert (centroids == np.floor(centroids)).all()
+    assert neighbours.fit_centroids(np.zeros((0, 0)), 0).shape == (0, 0)
 
 
 def test_vectors_are_the_same_each_time_and_unit_length_when_scaled(spark, index):
