@@ -58,10 +58,20 @@ def expanded_tokens(part: Column) -> Column:
     return F.when(part["kind"].isin(*ATTACHMENTS), F.greatest(n, F.lit(1))).otherwise(F.lit(0)).cast("long")
 
 
-def _visit(part: Column) -> Column:
-    """What a part puts into the string. A kind not known, or null, is treated as text."""
-    shown = F.when(part["kind"].isin(*ATTACHMENTS), F.concat(F.lit("<|"), part["kind"], F.lit("|>")))
-    return F.coalesce(shown, escape(F.coalesce(part["text"], F.lit(""))))
+def _visited(parts: Column) -> Column:
+    """What parts put into the string. A kind not known, or null, is treated as text.
+
+    Texts side by side are one text before anything is escaped, so that no control string comes out of two of them.
+    """
+    is_text = lambda p: ~F.coalesce(p["kind"].isin(*ATTACHMENTS), F.lit(False))
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+
+    def visit(seen: Column, part: Column) -> Column:
+        longer = F.struct(seen["done"].alias("done"), F.concat(seen["open"], F.coalesce(part["text"], F.lit(""))).alias("open"))
+        closed = F.struct(F.concat(seen["done"], escape(seen["open"]), F.lit("<|"), part["kind"], F.lit("|>")).alias("done"), F.lit("").alias("open"))
+        return F.when(is_text(part), longer).otherwise(closed)
+
+    return F.aggregate(parts, start, visit, lambda seen: F.concat(seen["done"], escape(seen["open"])))
 
 
 def format_chats(messages: DataFrame, loss_roles: Iterable[str] = ("assistant",)) -> DataFrame:
@@ -85,7 +95,7 @@ def format_chats(messages: DataFrame, loss_roles: Iterable[str] = ("assistant",)
         "turn",
         "role",
         head.alias("head"),
-        F.array_join(F.transform("parts", _visit), "").alias("content"),
+        _visited(F.col("parts")).alias("content"),
         F.transform(
             F.filter("parts", lambda p: p["kind"].isin(*ATTACHMENTS)),
             lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")),
