@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from snaptext.llm.common import whole
+from snaptext.llm.counting import BLOCK, numbered, ranked
 from snaptext.scale import stored
 
 LIMIT_BYTES = 1 << 20
@@ -82,21 +83,37 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
-    """Write ``docs`` as one folder per shard below ``path``, all columns kept."""
+def folder_names(columns: list[str]) -> tuple[str, str]:
+    """Names of the folders of shards and pages: ``shard`` and ``page``, with underscores before them where a column is called so."""
+    taken = {c.lower() for c in columns}
+
+    def free(name: str) -> str:
+        return name if name not in taken else free(f"_{name}")
+
+    return free("shard"), free("page")
+
+
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> tuple[str, str]:
+    """Write ``docs`` as one folder per shard and page below ``path``, all columns kept; returns ``folder_names`` of its columns.
+
+    A shard's folder is named by ``b`` and the prefix of hash bits, so that the name of the undivided shard isn't empty.
+    """
+    names = folder_names(docs.columns)
     text = whole("text")
-    shards = directory(docs.select(F.octet_length(text).cast("long").alias("n_bytes"), bits_of(F.col("doc_id"), text).alias("bits")), limit)
-    depths = [r["depth"] for r in shards.select("depth").distinct().collect()]
-    if not depths:
-        docs.withColumn("shard", F.lit("")).limit(0).write.mode("overwrite").parquet(path)
-        return
-    tried = F.array(*[F.substring("_bits", 1, d) for d in sorted(depths)])
-    known = shards.select(F.col("shard").alias("_shard"))
-    out = (
-        docs.withColumn("_bits", bits_of(F.col("doc_id"), text))
-        .withColumn("_shard", F.explode(tried))
-        .join(known, "_shard", "left_semi")
-        .withColumn("shard", F.concat(F.lit("b"), "_shard"))
-        .drop("_bits", "_shard")
-    )
-    out.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    hashed = docs.select(row, F.octet_length(text).cast("long").alias("n_bytes"), bits_of(F.col("doc_id"), text).alias("bits"))
+    shards = directory(hashed.select("n_bytes", "bits"), limit)
+    depths = [r["depth"] for r in shards.select("depth").distinct().collect()] or [0]
+    tried = F.array(*[F.struct(F.lit(d).alias("depth"), F.substring("bits", 1, d).alias("shard")) for d in sorted(depths)])
+    placed = hashed.select("*", F.inline(tried)).join(shards, ["depth", "shard"])
+    over = (F.col("depth") == HASH_BITS) & (F.col("shard_bytes") > limit)
+    shown = ["row", "shard", "page"]
+    out = placed.filter(~over).withColumn("page", F.lit(0).cast("long")).select(*shown)
+    if shards.filter(over).limit(1).count():
+        # Rows of one hash are equal in size: the page of one follows from its number among them.
+        per_page = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1))))
+        copies = ranked(numbered(placed.filter(over).select("row", "shard", "n_bytes", "bits"), "sharding-copies"), F.col("bits"), BLOCK)
+        out = out.unionByName(copies.withColumn("page", F.floor(F.col("rank") / per_page).cast("long")).select(*shown))
+    folders = (F.concat(F.lit("b"), "shard").alias(names[0]), F.col("page").alias(names[1]))
+    out.repartition("shard", "page").select("row.*", *folders).write.mode("overwrite").partitionBy(*names).parquet(path)
+    return names

@@ -53,13 +53,18 @@ def test_equal_rows_go_to_pages(spark):
 
 
 def test_written_shards(spark, tmp_path):
-    rows = [(i, "word " * (i % 50), "x", 1, "y") for i in range(120)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, depth int, bits string")
-    sharding.write_shards(df, str(tmp_path / "out"), 2000)
+    """Columns called as the folders or as our own stay; equal rows go to pages; a null id and text are no harm."""
+    rows = [(i, "word " * (i % 50), "mine", 1, "y", 7) for i in range(120)] + [(500, "ten chars!", "mine", 1, "y", 7)] * 450 + [(None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, depth int, bits string, Page int")
+    names = sharding.write_shards(df, str(tmp_path / "out"), 2000)
+    assert names == ("_shard", "_page") and sharding.folder_names(["_shard", "SHARD"]) == ("__shard", "page")
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 120 and set(df.columns) < set(back.columns)
-    sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    assert sorted((tuple(r) for r in back.select(*df.columns).collect()), key=key) == sorted(rows, key=key)
+    sizes = back.groupBy(*names).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()
     assert len(sizes) > 4 and all(r["n"] <= 2000 for r in sizes)
+    assert sorted(r["n"] for r in back.where("doc_id = 500").groupBy("_page").agg(F.sum(F.octet_length("text")).alias("n")).collect()) == [500, 2000, 2000]
+    assert sharding.write_shards(df.limit(0), str(tmp_path / "none")) == names
 
 
 def test_no_python_in_the_plan(spark):
