@@ -1,11 +1,15 @@
-"""Document fingerprints from closed syncmers of words.
+"""Document fingerprints from closed syncmers of words, and of characters where words are few or very long.
 
-A k-mer of words is an anchor if the smallest hash of its inner s-word substrings lies at its first or
+A text is a sequence of units: its words, where a word of more than ``LONG_WORD`` characters, as in scripts without
+spaces, is cut into its characters, and so is every word of a text of fewer than ``SHORT_TEXT`` characters. What a
+word becomes doesn't depend on its neighbours, and a changed text of about the same length is cut alike.
+
+A k-mer of units is an anchor if the smallest hash of its inner s-unit substrings lies at its first or
 last position. That depends on the k-mer alone, so a passage has the same anchors in any document. About
 2 in k - s + 1 k-mers are anchors, and every window of k - s k-mers has one.
 
-Anchors keep their order and word position, for positional matching. A text with fewer than k words has
-one anchor, its whole word sequence; a text without words has none.
+Anchors keep their order and position, for positional matching. A text with fewer than k units has
+one anchor, its whole sequence; a text without words has none.
 """
 
 from __future__ import annotations
@@ -16,13 +20,22 @@ from snaptext.llm.common import KEY, whole, with_key, words
 from snaptext.scale import stored
 
 K, S = 5, 2
+#: Words of more characters, and all words of texts of fewer, are cut into characters.
+LONG_WORD, SHORT_TEXT = 32, 160
+
+
+def units(text: Column) -> Column:
+    """Array of the units of a text."""
+    found, short = words(text), F.length(text) < SHORT_TEXT
+    cut = F.transform(found, lambda w: F.when(short | (F.length(w) > LONG_WORD), F.array_remove(F.split(w, ""), "")).otherwise(F.array(w)))
+    return F.when(short | F.exists(found, lambda w: F.length(w) > LONG_WORD), F.flatten(cut)).otherwise(found)
 
 
 def with_anchors(df: DataFrame, text: str, name: str, k: int = K, s: int = S) -> DataFrame:
-    """Add ``name``: array of (``at``: word position from 0, ``anchor``: 32-bit hash of the k-mer)."""
+    """Add ``name``: array of (``at``: position of its first unit from 0, ``anchor``: 32-bit hash of the k-mer)."""
     w, inner, n = f"_{name}_w", f"_{name}_s", k - s + 1
     steps = [F.col(w), *[F.slice(F.col(w), i + 1, F.greatest(F.size(w) - i, F.lit(0))) for i in range(1, s)]]
-    df = df.withColumn(w, F.transform(words(whole(text)), lambda x: F.xxhash64(x)))
+    df = df.withColumn(w, F.transform(units(whole(text)), lambda x: F.xxhash64(x)))
     # The s-mers, without those at the end that are cut short.
     zipped = F.transform(F.arrays_zip(*[c.alias(f"w{i}") for i, c in enumerate(steps)]), lambda z: F.xxhash64(*[z[f"w{i}"] for i in range(s)]))
     df = df.withColumn(inner, F.slice(zipped, 1, F.greatest(F.size(w) - (s - 1), F.lit(0))) if s > 1 else F.col(w))
@@ -56,7 +69,7 @@ def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Positional matches of pairs: (``key``, ``shift``, ``n``, ``first``, ``last``), one row per diagonal.
 
     Both sides have ``key`` and ``anchors``. Anchors found once on each side are paired; those with the
-    same shift of position lie in one common passage, from word ``first`` to word ``last`` of the left side.
+    same shift of position lie in one common passage, from unit ``first`` to unit ``last`` of the left side.
     """
 
     def once(df: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Syncmers against a plain implementation."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import Row, functions as F
@@ -18,9 +19,13 @@ def hashes(spark, words):
     return w
 
 
+def plain_units(text):
+    return [u for w in text.split() for u in (w if len(text) < 160 or len(w) > 32 else [w])]
+
+
 def plain_anchors(spark, text):
-    """Positions of closed syncmers, k = 5 and s = 2 words."""
-    words = (text or "").split()
+    """Positions of closed syncmers, k = 5 and s = 2 units."""
+    words = plain_units(text or "")
     if len(words) < 5:
         return [0] if words else []
     w = hashes(spark, words)
@@ -34,7 +39,7 @@ def plain_anchors(spark, text):
     return out
 
 
-@pytest.mark.parametrize("text", ["", None, "one", "a b c d", "a b c d e", "the cat sat on the mat and the dog sat on the log " * 3, " ".join(f"w{i * i % 17}" for i in range(80))])
+@pytest.mark.parametrize("text", ["", None, "one", "a b c d", "a b c d e", "the cat sat on the mat and the dog sat on the log " * 4, "words before " + "日本語" * 90 + " and after", "短い文章です", "x" * 33 + " ab" * 60, " ".join(f"w{i * i % 17}" for i in range(80))])
 def test_anchors(spark, text):
     r = syncmers.with_anchors(spark.createDataFrame([Row(id=1, t=text)], "id int, t string"), "t", "anchors").first()
     assert [a["at"] for a in r["anchors"]] == plain_anchors(spark, text)
@@ -45,6 +50,7 @@ def test_anchors_do_not_depend_on_the_rest(spark):
     rows = [(1, passage), (2, "something else first of all " + passage + " and more")]
     out = {r["id"]: r["anchors"] for r in syncmers.with_anchors(spark.createDataFrame(rows, "id int, t string"), "t", "anchors").collect()}
     moved = {(a["at"] - 5, a["anchor"]) for a in out[2]}
+    assert len(plain_units(passage)) == 60
     assert all((a["at"], a["anchor"]) in moved for a in out[1])
 
 
@@ -94,6 +100,18 @@ def test_query(spark):
     assert sum(rows[d]["near_edited"] for d in long) / len(long) > 0.6
 
 
+def test_short_and_unsegmented_texts_stay_alike(spark):
+    """A quarter changed leaves more than half of the anchors of texts of 2 to 8 words, and of a paragraph without spaces."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    rows = [(i, " ".join(word() for _ in range(2 + i % 7)), "x", 1, 1) for i in range(300)]
+    rows += [(1000 + i, "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(300 + 40 * i)), "x", 1, 1) for i in range(20)]
+    out = syncmers.compare_edited(spark.createDataFrame(rows, SCHEMA)).collect()
+    short, long = ([r["near_edited"] for r in out if (r["doc_id"] >= 1000) == late and r["doc_id"] != 299] for late in (False, True))
+    assert sum(short) / len(short) > 0.5 and sum(long) / len(long) > 0.6
+    assert sum(r["near_next"] for r in out if r["doc_id"] < 299) / 299 < 0.1
+
+
 def test_edge_rows(spark):
     rows = [(1, "a b c d e f g h", "x", 1, 1), (3, None, "x", 1, 1), (2, "", "x", 1, 1), (2, "", "x", 1, 1), (2, "é€ zwei", "x", 1, 1), (None, "no id here at all", None, None, None), (4, "long word " * 40_000, "x", 1, 1)]
     out = syncmers.compare_edited(spark.createDataFrame(rows, SCHEMA)).collect()
