@@ -1,12 +1,10 @@
 """Quality rules: base rules on words, then a hashed n-gram log-likelihood ratio.
 
-Every word is reduced to its shape (runs of lower-case letters become ``a``, of other letters ``A``, of
-digits ``0``, marks stay), so that the n-grams speak of how a text is written in any language. Single
-shapes and pairs of neighbours are hashed into ``BUCKETS``. Two multinomials over the buckets, one of the
+Single words and pairs of neighbours are hashed into ``BUCKETS``. Two multinomials over the buckets, one of the
 trusted documents and one of the whole corpus, give each bucket a log ratio; a document's verdict is its
 mean over all its n-grams against a fixed threshold, the same for every document. At 0 a text is as
 likely in the corpus as in the trusted part. The trusted counts are smoothed towards the corpus, by as
-many n-grams as ``PRIOR`` says, so that a few trusted documents cannot condemn what they lack.
+many n-grams as ``PRIOR`` says, about six to a bucket, so that a few trusted documents cannot condemn what they lack.
 """
 
 from __future__ import annotations
@@ -18,31 +16,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from snaptext.llm.common import SPACE, whole, words
 from snaptext.scale import stored
 
-BUCKETS = 4096
+BUCKETS = 1 << 15
 #: Mean log ratio (nats per n-gram) below which a document is rejected.
-THRESHOLD = -0.5
-PRIOR = 1000.0
+THRESHOLD = -0.13
+PRIOR = 200_000.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Up to so many different repeated windows are looked up one by one, more by sorting; only a matter of speed.
 _FEW = 32
 
 
-def shapes(text: Column) -> Column:
-    """The text with its words reduced to shapes."""
-    out = F.regexp_replace(text, r"\p{Ll}+", "a")
-    out = F.regexp_replace(out, r"\p{N}+", "0")
-    return F.regexp_replace(out, r"(?![a])\p{L}+", "A")
-
-
 def with_buckets(df: DataFrame, text: Column, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``buckets``: the bucket of every n-gram of shapes, repeats included."""
-    df = df.withColumn("_shapes", words(shapes(text)))
-    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("smallint")
+    """Add ``buckets``: the bucket of every word and of every pair of neighbours, repeats included."""
+    df = df.withColumn("_hashes", F.transform(words(text), lambda w: F.xxhash64(w)))
+    slot = lambda h: F.pmod(h, F.lit(buckets)).cast("smallint")
     pairs = F.when(
-        F.size("_shapes") > 1,
-        F.transform(F.sequence(F.lit(0), F.size("_shapes") - 2), lambda i: slot(F.get("_shapes", i), F.get("_shapes", i + 1))),
+        F.size("_hashes") > 1,
+        F.transform(F.sequence(F.lit(0), F.size("_hashes") - 2), lambda i: slot(F.xxhash64(F.get("_hashes", i), F.get("_hashes", i + 1)))),
     ).otherwise(F.array().cast("array<smallint>"))
-    return df.withColumn("buckets", F.concat(F.transform("_shapes", lambda s: slot(s)), pairs)).drop("_shapes")
+    return df.withColumn("buckets", F.concat(F.transform("_hashes", slot), pairs)).drop("_hashes")
 
 
 def with_base(df: DataFrame, text: Column) -> DataFrame:
