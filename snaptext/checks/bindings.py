@@ -148,7 +148,7 @@ class Data:
 
     def subqueries(self) -> DataFrame:
         asked = self.questions()
-        return fusion.assemble_subqueries(asked, fusion.hint_subqueries(asked, HINTS), self.planned())
+        return fusion.assemble_subqueries(asked, fusion.hint_subqueries(asked, *fusion.hint_tables(self.spark, HINTS)), self.planned())
 
     @cached_property
     def asked(self) -> DataFrame:

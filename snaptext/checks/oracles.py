@@ -684,6 +684,11 @@ FROM (SELECT regexp_extract(text, '\\nCondition ([^\\s]+)\\. ', 1) AS e FROM pag
     add("inverted_index", "postings", "SELECT entity_id, chunk_index, len_body, len_title, term, CAST(tf_body AS BIGINT) AS tf_body, CAST(tf_title AS BIGINT) AS tf_title FROM postings")
     add("idf_table", "idf", "SELECT term, df, round(idf, 6) AS idf FROM idf")
     add("alias_expand", "query_terms", "FROM query_terms")
+    add("phrase_matches", "", r"""
+SELECT b.item_id, p.phrase FROM benchmark b, (
+  SELECT DISTINCT phrase FROM (
+    SELECT substr(array_to_string(string_split_regex(text, '[ \n]+')[1:2], ' '), 1, 12) AS phrase FROM documents UNION ALL SELECT lower(substr(r_name, 2, 2)) FROM region)
+  WHERE phrase <> '') p WHERE contains(b.text, p.phrase)""")
     add("bm25_top10", "lexical", "FROM lexical WHERE rank <= 10")
     add("bm25_top40", "lexical", "FROM lexical")
     top = lambda w: ranked(scored(w, "(SELECT * FROM query_terms WHERE sub_no = 0)"), "score DESC, entity_id, chunk_index", 1, "entity_id, score")

@@ -18,6 +18,7 @@ from snaptext.operators import (
     lexical,
     lines,
     neighbours,
+    phrases,
     sections,
     textdiff,
     timelines,
@@ -262,6 +263,14 @@ def _ranked(df: DataFrame) -> DataFrame:
     return longs(df, "sub_no", "rank", "chunk_index")
 
 
+@query
+def phrase_matches(d):
+    """Benchmark items in which titles of pages and first words of documents occur."""
+    few = F.array_join(F.slice(F.split("text", "[ \n]+"), 1, 2), " ")
+    told = d.table("documents").select(F.substring(few, 1, 12).alias("phrase")).unionByName(d.table("region").select(F.lower(F.substring("r_name", 2, 2)).alias("phrase")))
+    return phrases.matches(d.table("benchmark").select("item_id", "text"), ["item_id"], told)
+
+
 @query
 def bm25_top10(d):
     return _ranked(d.lists.lexical.where("rank <= 10"))
@@ -344,7 +353,7 @@ def candidate_landscape(d):
 
 @query
 def hint_subqueries(d):
-    return longs(fusion.hint_subqueries(d.questions(), bd.HINTS), "hint_no")
+    return longs(fusion.hint_subqueries(d.questions(), *fusion.hint_tables(d.spark, bd.HINTS)), "hint_no")
 
 
 @query

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from snaptext import settings
+from snaptext.operators import phrases
 from snaptext.operators.lexical import CHUNK_KEYS, QUERY_KEYS, first_n
-from snaptext.scale import only_keys_of
+from snaptext.scale import only_keys_of, small_side
 
 
 def _numbered(lists: list[DataFrame], columns: list[str]) -> DataFrame:
@@ -73,28 +74,25 @@ def landscape(vector: DataFrame, lexical: DataFrame, n: int = settings.LANDSCAPE
     return first_n(seen, n, QUERY_KEYS, [F.asc("seen")]).select(*QUERY_KEYS, "rank", "entity_id")
 
 
-def hint_subqueries(questions: DataFrame, hints: list[tuple[list[str], list[str]]]) -> DataFrame:
+def hint_tables(spark: SparkSession, hints: list[tuple[list[str], list[str]]]) -> tuple[DataFrame, DataFrame]:
+    """Tables of a few hints given in code, each (triggers, sub-queries)."""
+    triggers = [(i, t) for i, (ts, _) in enumerate(hints) for t in ts]
+    told = [(i, n, q) for i, (_, qs) in enumerate(hints) for n, q in enumerate(qs)]
+    return spark.createDataFrame(triggers, "hint int, trigger string"), spark.createDataFrame(told, "hint int, pos int, text string")
+
+
+def hint_subqueries(questions: DataFrame, triggers: DataFrame, told: DataFrame) -> DataFrame:
     """Stored sub-queries of every hint with a trigger in a broad question.
 
-    ``questions`` has ``query_id, text, is_broad``; a hint is (triggers, sub-queries).
+    ``questions`` has ``query_id, text, is_broad``, ``triggers`` ``hint, trigger`` and ``told`` the sub-queries ``hint, pos, text``; any
+    number of them. Hints come in the order of their numbers.
     """
-    hints = [(triggers, stored) for triggers, stored in hints if triggers and stored]
-    if not hints:
-        return questions.select("query_id", F.lit(1).alias("hint_no"), "text").limit(0)
-    low = F.lower(F.col("text"))
-    table = F.array(
-        *[
-            F.struct(
-                reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in triggers]).alias("hit"),
-                F.array(*map(F.lit, stored)).alias("stored"),
-            )
-            for triggers, stored in hints
-        ]
-    )
-    found = F.flatten(F.transform(F.filter(table, lambda h: h["hit"]), lambda h: h["stored"]))
-    rows = questions.where("is_broad").select("query_id", F.posexplode(found).alias("pos", "text"))
-    return _first_of_each_text(rows, ["pos"]).select(
-        "query_id", (F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).alias("hint_no"), "text"
+    asked = questions.where("is_broad").select("query_id", F.lower("text").alias("text"))
+    found = phrases.matches(asked, ["query_id"], triggers.select(F.col("trigger").alias("phrase")))
+    hit = found.join(small_side(triggers.withColumnRenamed("trigger", "phrase")), "phrase").select("query_id", "hint").distinct()
+    rows = hit.join(small_side(told), "hint")
+    return _first_of_each_text(rows, ["hint", "pos"]).select(
+        "query_id", (F.row_number().over(Window.partitionBy("query_id").orderBy("hint", "pos"))).alias("hint_no"), "text"
     )
 
 

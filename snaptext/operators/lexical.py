@@ -12,11 +12,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from snaptext import settings
 from snaptext.functions import text as tx
-from snaptext.scale import is_small, shared_folder, stored
+from snaptext.operators import phrases
+from snaptext.scale import is_small, shared_folder, small_side, stored
 
 CHUNK_KEYS = ["entity_id", "chunk_index"]
 QUERY_KEYS = ["query_id", "sub_no"]
@@ -130,28 +131,29 @@ def idf_table(index: LexicalIndex, epsilon: float = settings.BM25_EPSILON) -> Da
     )
 
 
-def alias_tokens(question: Column, aliases: dict[str, list[str]]) -> Column:
-    """Extra query tokens of every alias phrase that occurs in the question."""
-    if not aliases:
-        return F.array().cast("array<string>")
-    table = F.array(
-        *[
-            F.struct(F.lit(phrase).alias("phrase"), F.array(*map(F.lit, extra)).alias("extra"))
-            for phrase, extra in aliases.items()
-        ]
-    )
-    found = F.filter(table, lambda a: F.contains(F.lower(question), a["phrase"]))
-    return F.flatten(F.transform(found, lambda a: a["extra"]))
+def alias_table(spark: SparkSession, aliases: dict[str, list[str]]) -> DataFrame:
+    """(``phrase``, ``extra``) of a few aliases given in code."""
+    return spark.createDataFrame(list(aliases.items()), "phrase string, extra array<string>")
 
 
-def query_terms(queries: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """Token counts of each query, alias tokens included; repeats count."""
-    text = F.col("text")
-    return (
-        queries.select(*QUERY_KEYS, F.explode(F.concat(tx.tokens(text), alias_tokens(text, aliases or {}))).alias("term"))
-        .groupBy(*QUERY_KEYS, "term")
-        .agg(F.count("*").alias("qtf"))
-    )
+def alias_terms(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Extra query tokens of every alias phrase that occurs in a lower-cased question, one row each.
+
+    Phrases are distinct; any number of them.
+    """
+    asked = queries.select(*QUERY_KEYS, F.lower("text").alias("text"))
+    found = phrases.matches(asked, QUERY_KEYS, aliases.select("phrase"))
+    return found.join(small_side(aliases), "phrase").select(*QUERY_KEYS, F.explode("extra").alias("term"))
+
+
+def query_terms(queries: DataFrame, aliases: DataFrame | dict[str, list[str]] | None = None) -> DataFrame:
+    """Token counts of each query, alias tokens included; repeats count. ``aliases`` is a table (``phrase``, ``extra``), or a few in code."""
+    terms = queries.select(*QUERY_KEYS, F.explode(tx.tokens(F.col("text"))).alias("term"))
+    if isinstance(aliases, dict):
+        aliases = alias_table(queries.sparkSession, aliases) if aliases else None
+    if aliases is not None:
+        terms = terms.unionByName(alias_terms(queries, aliases))
+    return terms.groupBy(*QUERY_KEYS, "term").agg(F.count("*").alias("qtf"))
 
 
 def _score_part(title_weight: int, mean_length: float, k1: float, b: float) -> Column:
@@ -238,7 +240,7 @@ def lexical_hits(
     index: LexicalIndex,
     queries: DataFrame,
     n: int = settings.CANDIDATES,
-    aliases: dict[str, list[str]] | None = None,
+    aliases: DataFrame | dict[str, list[str]] | None = None,
     title_weight: int = settings.TITLE_WEIGHT,
     k1: float = settings.BM25_K1,
     b: float = settings.BM25_B,

@@ -40,7 +40,7 @@ class RankedLists:
 def search(
     tables: SearchTables,
     queries: DataFrame,
-    aliases: dict[str, list[str]] | None = None,
+    aliases: DataFrame | dict[str, list[str]] | None = None,
     n: int = settings.DEEP_CANDIDATES,
     dims: int = settings.VECTOR_DIMS,
 ) -> RankedLists:
