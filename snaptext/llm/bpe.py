@@ -16,11 +16,12 @@ The vocabulary file is read by the driver and sent to the tasks as its text.
 
 from __future__ import annotations
 
+import importlib.util
 import json
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import sha256
 from itertools import chain
 
@@ -266,6 +267,29 @@ class Bpe:
             for segments in whole
         ]
 
+    @cached_property
+    def native(self):
+        """A compiled encoder that merges whatever makes a token, or None if it isn't at hand or would not be the same.
+
+        It is the same if every token is the encoding of its own bytes. For then, whenever two neighbours make up a token,
+        merges of lower rank have left those bytes as they would alone, and there the last merge is that of these two.
+        """
+        ids = [i for i in range(len(self.table)) if i not in self.added.values() and self.table[i]]
+        if importlib.util.find_spec("tiktoken") is None or len({self.table[i] for i in ids}) < len(ids):
+            return None
+        alone = self.merged_together([self.table[i] for i in ids])
+        if any(packed != i.to_bytes(4, "little") for i, packed in zip(ids, alone)):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={self.table[i]: i for i in ids}, special_tokens=self.added)
+
+    def encode_natively(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """As ``encode_all``, by the compiled encoder if there is one."""
+        if self.native is None:
+            return self.encode_all(texts)
+        return (self.native.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() for t in texts)
+
     def _words(self, text: str) -> list[str]:
         """What stands before the first single space, and the words after single spaces."""
         return _SINGLE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
@@ -351,9 +375,11 @@ def _vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def _encoded(docs: DataFrame, path: str, part: int, outputs: str, finish: Callable[[Bpe, list[bytes]], list[pa.Array]]) -> DataFrame:
+def _encoded(
+    docs: DataFrame, path: str, part: int, outputs: str, finish: Callable[[Bpe, list[bytes]], list[pa.Array]], natively: bool = False
+) -> DataFrame:
     """(``doc_id``, ``text_key``, *outputs*) for every row of (``doc_id``, ``text``); ``finish`` makes the outputs of packed
-    ids in the task that has encoded them, so that they need not go through another one.
+    ids in the task that has encoded them, so that they need not go through another one. ``natively``: by the compiled encoder.
     """
     made = [field.split()[0] for field in outputs.split(", ")]
     vocabulary = _vocabulary(docs.sparkSession, path)
@@ -365,7 +391,7 @@ def _encoded(docs: DataFrame, path: str, part: int, outputs: str, finish: Callab
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 some = batch.slice(i, 500)
-                packed = list(bpe.encode_all(t.as_py() for t in some.column("text")))
+                packed = list((bpe.encode_natively if natively else bpe.encode_all)(t.as_py() for t in some.column("text")))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_key"), *finish(bpe, packed)], names=["doc_id", "text_key", *made])
 
     schema = f"doc_id {id_type}, text_key long, {outputs}"
@@ -437,8 +463,8 @@ def encode(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
 
 
 def encode_packed(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
-    """As ``encode``, with the ids of a row as one binary of little-endian 32-bit numbers."""
-    return _encoded(docs, path, part, "ids binary", lambda bpe, packed: [pa.array(packed, pa.binary())])
+    """As ``encode``, with the ids of a row as one binary of little-endian 32-bit numbers, by the compiled encoder where it is the same."""
+    return _encoded(docs, path, part, "ids binary", lambda bpe, packed: [pa.array(packed, pa.binary())], natively=True)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Encoding and decoding against the public implementation of the vocabulary."""
 
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -67,6 +68,15 @@ def test_texts_together_with_few_words_remembered(own, reference, monkeypatch):
     assert own.merged_together([b"", b"abab", b""]) == [b"", b"".join(i.to_bytes(4, "little") for i in own.merged(b"abab")), b""]
 
 
+def test_compiled_encoder_is_the_same(own, reference):
+    assert own.native is not None
+    assert list(own.encode_natively(texts())) == list(own.encode_all(texts()))
+    # A token that its own bytes don't encode to: merges make "ab" and then "abc" of "a" and "bc" only, which never stand side by side.
+    vocabulary = {c: i for i, c in enumerate(bpe.byte_characters())} | {"ab": 256, "bc": 257, "abc": 258}
+    odd = bpe.Bpe(json.dumps({"model": {"vocab": vocabulary, "merges": ["a b", "b c", "a bc"]}}))
+    assert odd.native is None and list(odd.encode_natively(["abc"])) == list(odd.encode_all(["abc"]))
+
+
 @pytest.mark.parametrize("part", [16, 500])
 def test_parts_of_long_texts(spark, reference, part):
     rows = [(i % 60, t, "x", 1, 2) for i, t in enumerate(texts())]
