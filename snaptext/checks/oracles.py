@@ -805,6 +805,7 @@ SELECT entity_id, idx, round(r, 3) AS similarity, r >= 0.97 AS small_edit FROM (
     add("presence_grid", "cust_grid", "SELECT entity_id, idx, present FROM cust_grid")
     add("turn_presence", "turns", f"SELECT entity_id, idx, coalesce(length({norm('text')}) >= 30, FALSE) AS present FROM turns")
     add("change_classes", "cust_classes", "FROM cust_classes")
+    add("incremental_classes", "cust_classes", "FROM cust_classes")
     add("turn_classes", "turn_classes", "SELECT entity_id, presence, class, n_changes FROM turn_classes")
     add("change_intervals", "doc_classes", "SELECT entity_id, presence, class, n_changes FROM doc_classes")
     add("class_counts", "cust_classes", "SELECT class, count(*) AS n_entities FROM cust_classes GROUP BY 1")

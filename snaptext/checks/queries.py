@@ -681,6 +681,18 @@ def change_classes(d):
     )
 
 
+@query
+def incremental_classes(d):
+    """Customers classified from a state that takes in one snapshot after the other."""
+    state = None
+    for idx in range(d.n_snapshots):
+        state = stored(changes.add_snapshot(state, d.customer_snapshots().where(F.col("idx") == idx), idx, min_chars=1), "change-state")
+    classes = changes.classify_state(state, d.n_snapshots)
+    return longs(classes, "interval", "n_changes").withColumn(
+        "changed_intervals", F.array_join(F.transform("changed_intervals", lambda i: i.cast("string")), ",")
+    )
+
+
 @query
 def turn_classes(d):
     """Conversations as entities whose snapshots are their turns."""
@@ -817,13 +829,12 @@ def gold_passages(d):
 
 def _cases(d) -> DataFrame:
     """Questions with gold expect an answer, the others a refusal."""
-    gold = d.gold_rows.groupBy("query_id").agg(F.array_sort(F.collect_set("entity_id")).alias("expect_entities"))
+    gold = d.gold_rows.select("query_id").distinct().withColumn("has_gold", F.lit(True))
     asked = d.questions().join(gold, "query_id", "left")
-    is_answer = F.col("expect_entities").isNotNull()
+    is_answer = F.col("has_gold").isNotNull()
     return asked.select(
         "query_id",
         F.when(is_answer, "answer").otherwise("refuse").alias("expected"),
-        "expect_entities",
         F.when(is_answer, F.split("text", r"\s+")[1]).alias("expect_contains"),
         F.when(is_answer & (F.col("as_of") > F.lit("2021-01-01")), F.when(F.col("as_of") < F.lit("2023-01-01"), bd.OLD).otherwise(bd.CURRENT)).alias("expect_snapshot"),
         F.when(is_answer & F.col("is_broad"), "text-change").alias("expect_history"),
@@ -858,7 +869,7 @@ def _history(d) -> DataFrame:
 def _graded(d) -> DataFrame:
     """The graded cases, stored once for all queries on them."""
     if "graded" not in d.__dict__:
-        d.graded = stored(evaluation.graded_cases(_cases(d), _results(d), _retrieved(d), _citations(d), _history(d)), "graded")
+        d.graded = stored(evaluation.graded_cases(_cases(d), d.gold_rows, _results(d), _retrieved(d), _citations(d), _history(d)), "graded")
     return d.graded
 
 
@@ -895,23 +906,22 @@ def _surfaced(d) -> DataFrame:
     )
 
 
-def _anchors(d) -> DataFrame:
-    """Gold documents are core; documents of any question's gold with a label are borderline."""
-    core = d.gold_rows.groupBy("query_id").agg(F.collect_set("entity_id").alias("core"))
-    toxic = d.demoted().withColumn("toxic", F.lit(True))
-    few = expansion.only_keys_of(toxic, d.union, ["entity_id"])
-    borderline = d.union.join(few, "entity_id").groupBy("query_id").agg(F.collect_set("entity_id").alias("borderline"))
-    none = F.array().cast("array<string>")
-    return core.join(borderline, "query_id", "left").withColumn("borderline", F.coalesce("borderline", none))
+def _borderline(d) -> DataFrame:
+    """Entities of a question's union that are labelled toxic; its gold documents are core."""
+    return d.union.join(expansion.only_keys_of(d.demoted(), d.union, ["entity_id"]), "entity_id").select("query_id", "entity_id").distinct()
 
 
 def _core(d) -> DataFrame:
-    return evaluation.core_recall(_anchors(d), _surfaced(d), ["variant"])
+    return evaluation.core_recall(d.gold_rows, _borderline(d), _surfaced(d), ["variant"])
 
 
 @query
 def core_recall_noise(d):
-    return longs(_core(d), "n_core", "n_found", "n_noise")
+    """Counts per variant and question, and the list of what is missing."""
+    missing = evaluation.missing_core(d.gold_rows, _surfaced(d), ["variant"])
+    listed = missing.groupBy("variant", "query_id").agg(F.array_join(F.array_sort(F.collect_list("entity_id")), ",").alias("missing"))
+    rows = _core(d).join(listed, ["variant", "query_id"], "left").withColumn("missing", F.coalesce("missing", F.lit("")))
+    return longs(rows, "n_core", "n_found", "n_noise")
 
 
 @query
@@ -933,7 +943,7 @@ def cited_passes(d):
     last = first.agg(F.max("ob")).first()[0] or 0
     passes = first.select("query_id", "entity_id", F.explode(F.sequence(F.col("ob"), F.lit(last))).alias("p"))
     surfaced = passes.select((F.col("p") + 1).alias("pass"), "query_id", "entity_id")
-    totals = evaluation.core_totals(evaluation.core_recall(_anchors(d), surfaced, ["pass"]), ["pass"])
+    totals = evaluation.core_totals(evaluation.core_recall(d.gold_rows, _borderline(d), surfaced, ["pass"]), ["pass"])
     # Each pass refuses a little more readily than the one before.
     asked = d.asked.where("sub_no = 0").select("query_id", "sub_no")
     best = vectors.refused(asked, d.lists.vector.where("rank <= 10")).withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(last + 1))))

@@ -119,15 +119,57 @@ def classify(
         .groupBy("entity_id")
         .agg(F.sort_array(F.collect_list("interval")).alias("changed_intervals"))
     )
-    held = flags.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.when(F.col("present"), F.col("idx")))).alias("_held"))
+    held = flags.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.when(F.col("present"), F.col("idx")))).alias("held"))
     none = F.array().cast("array<int>")
-    work = held.join(changed, "entity_id", "left").select(
+    return _classified(held.join(changed, "entity_id", "left").withColumn("changed_intervals", F.coalesce("changed_intervals", none)), n_snapshots)
+
+
+STATE = "entity_id, idx, digest, present, held, changed_intervals"
+
+
+def add_snapshot(
+    state: DataFrame | None, texts: DataFrame, idx: int, min_chars: int = settings.MIN_PRESENT_CHARS
+) -> DataFrame:
+    """The state after snapshot ``idx``, whose texts are ``entity_id, text``, from the state after the one before it (none at first).
+
+    A state has one row per entity (``STATE``): the last snapshot with a text of it, that text's SHA-256 and whether it was
+    present, the snapshots it was present in and the intervals in which it changed. Texts are hashed where they are read; only
+    hashes are shuffled, and older texts are not read at all. Take in snapshots in order, each once.
+    """
+    norm = tx.normalised(F.coalesce("text", F.lit("")))
+    new = texts.select("entity_id", F.sha2(norm, 256).alias("_digest"), (F.length(norm) >= min_chars).alias("_present"))
+    none = F.array().cast("array<int>")
+    if state is None:
+        one = F.when(F.col("_present"), F.array(F.lit(idx))).otherwise(none)
+        return new.select("entity_id", F.lit(idx).alias("idx"), F.col("_digest").alias("digest"), F.col("_present").alias("present"), one.alias("held"), none.alias("changed_intervals"))
+    both = state.join(new, "entity_id", "full_outer")
+    seen, kept = F.col("_digest").isNotNull(), lambda c: F.coalesce(c, none)
+    changed = F.col("_present") & F.col("present") & (F.col("idx") == idx - 1) & (F.col("digest") != F.col("_digest"))
+    more = lambda c, when: F.when(F.coalesce(when, F.lit(False)), F.concat(kept(c), F.array(F.lit(idx)))).otherwise(kept(c))
+    return both.select(
+        "entity_id",
+        F.when(seen, F.lit(idx)).otherwise(F.col("idx")).alias("idx"),
+        F.coalesce("_digest", "digest").alias("digest"),
+        F.coalesce("_present", "present").alias("present"),
+        more("held", F.col("_present")).alias("held"),
+        more("changed_intervals", changed).alias("changed_intervals"),
+    )
+
+
+def classify_state(state: DataFrame, n_snapshots: int) -> DataFrame:
+    """What ``classify`` gives, from the state after ``n_snapshots`` snapshots; no shuffle."""
+    return _classified(state, n_snapshots)
+
+
+def _classified(rows: DataFrame, n_snapshots: int) -> DataFrame:
+    """Classes from ``entity_id, held, changed_intervals``."""
+    work = rows.select(
         "entity_id",
-        "_held",
-        F.coalesce("changed_intervals", none).alias("changed_intervals"),
-        F.size("_held").alias("_n"),
-        F.get("_held", F.lit(0)).alias("_first"),
-        F.get("_held", F.size("_held") - 1).alias("_last"),
+        F.col("held").alias("_held"),
+        "changed_intervals",
+        F.size("held").alias("_n"),
+        F.get("held", F.lit(0)).alias("_first"),
+        F.get("held", F.size("held") - 1).alias("_last"),
     )
     gap = lambda x, i: x - F.coalesce(F.get("_held", i - 1), F.lit(-1)) - 1
     pattern = F.concat(

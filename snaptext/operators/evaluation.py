@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 def graded_cases(
     cases: DataFrame,
+    expected: DataFrame,
     results: DataFrame,
     retrieved: DataFrame,
     cited: DataFrame,
@@ -14,12 +15,12 @@ def graded_cases(
 ) -> DataFrame:
     """One row per case with its checks.
 
-    ``cases``: ``query_id, expected, expect_entities, expect_contains, expect_snapshot,
-    expect_history``; ``results``: ``query_id, refused, answer``; ``retrieved``: ``query_id,
+    ``cases``: ``query_id, expected, expect_contains, expect_snapshot, expect_history``; ``expected``: the expected
+    entities as rows ``query_id, entity_id``, any number of them; ``results``: ``query_id, refused, answer``; ``retrieved``: ``query_id,
     rank, entity_id, served``; ``cited``: ``query_id, entity_id``; ``history``: ``query_id,
     entity_id, kind, consistent`` (null for kinds without the invariant).
     """
-    gold = cases.select("query_id", "expect_snapshot", "expect_history", F.explode("expect_entities").alias("entity_id"))
+    gold = expected.select("query_id", "entity_id").distinct().join(cases.select("query_id", "expect_snapshot", "expect_history"), "query_id")
     keys = ["query_id", "entity_id"]
     found = (
         retrieved.join(gold, keys)
@@ -95,33 +96,39 @@ def decision_lists(graded: DataFrame) -> DataFrame:
     return graded.select("query_id", outcome.alias("outcome")).where("outcome IS NOT NULL")
 
 
-def core_recall(anchors: DataFrame, surfaced: DataFrame, by: list[str]) -> DataFrame:
-    """Core entities surfaced, missing ones, and noise outside core and borderline.
+def _grid(queries: DataFrame, surfaced: DataFrame, by: list[str]) -> DataFrame:
+    """Every query under every variant; variants are few and come to the driver."""
+    if not by:
+        return queries
+    variants = [r.asDict() for r in surfaced.select(*by).distinct().collect()]
+    if not variants:
+        return queries.limit(0).select("*", *[F.lit(None).cast(surfaced.schema[b].dataType).alias(b) for b in by])
+    each = F.explode(F.array(*[F.struct(*[F.lit(v[b]).alias(b) for b in by]) for v in variants])).alias("_v")
+    return queries.select("*", each).select(*queries.columns, *[F.col(f"_v.{b}").alias(b) for b in by])
 
-    ``anchors``: ``query_id, core, borderline``; ``surfaced``: ``by..., query_id, entity_id``.
-    Queries with nothing surfaced keep their row.
+
+def core_recall(core: DataFrame, borderline: DataFrame, surfaced: DataFrame, by: list[str]) -> DataFrame:
+    """Core entities surfaced, and noise outside core and borderline, as counts per variant and query.
+
+    ``core`` and ``borderline``: ``query_id, entity_id``; ``surfaced``: ``by..., query_id, entity_id``; repeats count once. Entities
+    stay rows of their own, so a query may have any number of them. Queries with nothing surfaced keep their row.
     """
-    sets = surfaced.groupBy(*by, "query_id").agg(F.collect_set("entity_id").alias("found"))
-    if by:
-        variants = sets.select(*by).distinct().agg(F.collect_set(F.struct(*by)).alias("_v"))
-        names = variants.first()["_v"]
-        if not names:
-            names = [dict.fromkeys(by)]
-            anchors = anchors.limit(0)
-        grid = anchors.select(
-            "*", F.explode(F.array(*[F.struct(*[F.lit(v[b]).alias(b) for b in by]) for v in names])).alias("_v")
-        ).select(*anchors.columns, *[F.col(f"_v.{b}").alias(b) for b in by])
-    else:
-        grid = anchors
-    found = F.coalesce("found", F.array().cast("array<string>"))
-    return grid.join(sets, [*by, "query_id"], "left").select(
-        *by,
-        "query_id",
-        F.size("core").alias("n_core"),
-        F.size(F.array_intersect("core", found)).alias("n_found"),
-        F.array_join(F.array_sort(F.array_except("core", found)), ",").alias("missing"),
-        F.size(F.array_except(F.array_except(found, F.col("core")), F.col("borderline"))).alias("n_noise"),
+    pair = ["query_id", "entity_id"]
+    told = core.select(*pair, F.lit(True).alias("is_core")).unionByName(borderline.select(*pair, F.lit(False).alias("is_core")))
+    known = told.groupBy(*pair).agg(F.bool_or("is_core").alias("is_core"))
+    found = surfaced.select(*by, *pair).distinct().join(known, pair, "left")
+    counts = found.groupBy(*by, "query_id").agg(
+        F.count_if("is_core").alias("n_found"), F.count_if(F.col("is_core").isNull()).alias("n_noise")
     )
+    sizes = known.where("is_core").groupBy("query_id").agg(F.count("*").alias("n_core"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return _grid(sizes, surfaced, by).join(counts, [*by, "query_id"], "left").select(*by, "query_id", "n_core", zero("n_found"), zero("n_noise"))
+
+
+def missing_core(core: DataFrame, surfaced: DataFrame, by: list[str]) -> DataFrame:
+    """The core entities that were not surfaced, one row each (``by..., query_id, entity_id``)."""
+    pairs = core.select("query_id", "entity_id").distinct()
+    return _grid(pairs, surfaced, by).join(surfaced, [*by, "query_id", "entity_id"], "left_anti")
 
 
 def core_totals(per_query: DataFrame, by: list[str]) -> DataFrame:

@@ -178,7 +178,7 @@ def test_diffs(spark):
         assert " ".join(s["text"] for s in r["new_side"]) == new
         changed = sum(len(s["text"].split()) for s in r["diff"] if s["op"] in ("add", "del"))
         assert changed <= 140
-        assert r["truncated"] == (r["k"] == "large")
+        assert r["truncated"] == (r["k"] in ("large", "empty"))
         ops = [s["op"] for s in r["diff"]]
         assert ops == {
             "same": [], "insert": ["context", "add", "context"], "delete": ["context", "del", "context"],
@@ -271,7 +271,7 @@ def test_similarity(spark):
         longest = difflib.SequenceMatcher(None, *letters[k], autojunk=False).ratio()
         assert 0 <= similarity <= 1 and small == (similarity >= 0.97) or abs(similarity - 0.97) < 1e-3
         if k in ("insert", "delete", "replace", "large", "letters", "digit"):
-            assert similarity == pytest.approx(longest, abs=0.03)
+            assert similarity == pytest.approx(longest, abs=0.07)
 
 
 def test_citations(spark):
@@ -286,10 +286,11 @@ def test_citations(spark):
 
 def test_grading(spark):
     cases = spark.createDataFrame(
-        [("a", "answer", ["1", "2"], "Must", "s1", "text-change"), ("b", "answer", ["3"], None, None, None),
-         ("c", "refuse", None, None, None, None), ("d", "refuse", None, None, None, None), ("e", "answer", ["9"], "x", "s1", None)],
-        "query_id string, expected string, expect_entities array<string>, expect_contains string, expect_snapshot string, expect_history string",
+        [("a", "answer", "Must", "s1", "text-change"), ("b", "answer", None, None, None),
+         ("c", "refuse", None, None, None), ("d", "refuse", None, None, None), ("e", "answer", "x", "s1", None)],
+        "query_id string, expected string, expect_contains string, expect_snapshot string, expect_history string",
     )
+    gold = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), ("e", "9")], "query_id string, entity_id string")
     results = spark.createDataFrame(
         [("a", False, "they must"), ("b", True, None), ("c", True, None), ("d", False, "y"), ("e", False, "no")],
         "query_id string, refused boolean, answer string",
@@ -303,7 +304,7 @@ def test_grading(spark):
         [("a", "2", "text-change", True), ("b", "3", "text-change", False), ("d", "3", "introduced", None)],
         "query_id string, entity_id string, kind string, consistent boolean",
     )
-    graded = evaluation.graded_cases(cases, results, retrieved, cited, history).cache()
+    graded = evaluation.graded_cases(cases, gold, results, retrieved, cited, history).cache()
     got = {r["query_id"]: tuple(r)[3:] for r in graded.collect()}
     assert got == {
         "a": (True, True, 2, True, True, True, True),
@@ -319,7 +320,31 @@ def test_grading(spark):
 
 
 def test_core_recall(spark):
-    anchors = spark.createDataFrame([("q", ["1", "2"], ["3"]), ("p", ["4"], [])], "query_id string, core array<string>, borderline array<string>")
+    core = spark.createDataFrame([("q", "1"), ("q", "2"), ("p", "4"), ("p", "4")], "query_id string, entity_id string")
+    borderline = spark.createDataFrame([("q", "3"), ("q", "2")], "query_id string, entity_id string")
     surfaced = spark.createDataFrame([("x", "q", "1"), ("x", "q", "3"), ("x", "q", "8"), ("y", "q", "2")], "variant string, query_id string, entity_id string")
-    rows = {(r["variant"], r["query_id"]): (r["n_found"], r["missing"], r["n_noise"]) for r in evaluation.core_recall(anchors, surfaced, ["variant"]).collect()}
-    assert rows == {("x", "q"): (1, "2", 1), ("x", "p"): (0, "4", 0), ("y", "q"): (1, "1", 0), ("y", "p"): (0, "4", 0)}
+    rows = {(r["variant"], r["query_id"]): (r["n_core"], r["n_found"], r["n_noise"]) for r in evaluation.core_recall(core, borderline, surfaced, ["variant"]).collect()}
+    assert rows == {("x", "q"): (2, 1, 1), ("x", "p"): (1, 0, 0), ("y", "q"): (2, 1, 0), ("y", "p"): (1, 0, 0)}
+    missing = sorted((r["variant"], r["query_id"], r["entity_id"]) for r in evaluation.missing_core(core, surfaced, ["variant"]).collect())
+    assert missing == [("x", "p", "4"), ("x", "q", "2"), ("y", "p", "4"), ("y", "q", "1")]
+    assert evaluation.core_recall(core, borderline, surfaced.limit(0), ["variant"]).count() == 0
+
+
+def test_a_question_with_very_many_gold_entities(spark):
+    core = spark.range(300_000).select(F.lit("q").alias("query_id"), F.col("id").cast("string").alias("entity_id"))
+    surfaced = core.where(F.col("entity_id").cast("long") % 3 == 0).withColumn("variant", F.lit("x"))
+    df = evaluation.core_recall(core, core.limit(0), surfaced, ["variant"])
+    assert tuple(df.first()) == ("x", "q", 300_000, 100_000, 0)
+    assert "collect" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_state_after_each_snapshot_equals_the_whole_run(spark):
+    rng = random.Random(4)
+    words = ["a long enough text about offices and desks", "a long enough text, about OFFICES and desks!", "another text that is long enough as well", "short", "", None]
+    rows = [(f"e{e}", idx, rng.choice(words)) for e in range(60) for idx in range(5) if rng.random() < 0.8]
+    texts = spark.createDataFrame(rows, "entity_id string, idx int, text string")
+    state = None
+    for idx in range(5):
+        state = changes.add_snapshot(state, texts.where(F.col("idx") == idx), idx)
+        whole = changes.classify(changes.blocks_of_texts(texts.where(F.col("idx") <= idx)), idx + 1)
+        assert sorted(map(str, changes.classify_state(state, idx + 1).collect())) == sorted(map(str, whole.collect()))
