@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from snaptext.llm import bpe, chat, langid, mixing, packing, pii, quality, repair, resampling, sharding, simhash, syncmers, warc
 from snaptext.llm.oracles import SQL  # noqa: F401
+from snaptext.scale import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,11 +59,14 @@ def warc_audit(spark: SparkSession, folder: str) -> DataFrame:
 
     Which pages is a function of the page number, so that check SQL knows them.
     """
-    records = warc.archive_pages(_table(spark, folder, "pages"))
     mark = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
-    damaged = F.when(mark.isin("00", "01", "02", "03"), F.sha2(F.concat(F.substring("record", 1, 100), F.lit("#"), F.expr("substring(record, 102)")), 256))
-    replica = records.filter(mark != "ff").withColumn("sha256", F.coalesce(damaged, "sha256"))
-    return warc.audit(records.drop("record"), replica.drop("record"))
+
+    def damaged(text: Column) -> Column:
+        return F.when(mark.isin("00", "01", "02", "03"), F.sha2(F.concat(F.substring(text, 1, 100), F.lit("#"), F.substring(text, F.lit(102), F.length(text))), 256))
+
+    records = stored(warc.catalogue(_table(spark, folder, "pages"), also={"damaged": damaged}), "warc-catalogue")
+    replica = records.filter(mark != "ff").withColumn("sha256", F.coalesce("damaged", "sha256"))
+    return warc.audit(records, replica)
 
 
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:

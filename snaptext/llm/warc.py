@@ -10,6 +10,7 @@ One node never has more than ``FANOUT`` children, and an archive of any length j
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -31,25 +32,38 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     )
 
 
-def archive_pages(pages: DataFrame, per_archive: int = PAGES_PER_ARCHIVE) -> DataFrame:
-    """(``archive``, ``seq``, ``page_id``, ``offset``, ``length``, ``record``) of (``page_id``, ``url``, ``html``).
+def catalogue(
+    pages: DataFrame, per_archive: int = PAGES_PER_ARCHIVE, also: dict[str, Callable[[Column], Column]] | None = None
+) -> DataFrame:
+    """(``archive``, ``seq``, ``page_id``, ``offset``, ``length``, ``sha256``) of the records of (``page_id``, ``url``, ``html``).
 
-    Records are ordered by page, then record text; equal rows are records of their own. Pages without a
-    number lie in archive -1. Null urls and contents are empty.
+    Records are ordered by page, then hash; equal rows are records of their own. Pages without a
+    number lie in archive -1. Null urls and contents are empty. ``also`` adds columns made of the record's text (and of the
+    columns of ``pages``). Records are hashed where they are read, and only what is named here is shuffled.
     """
-    made = pages.select(
+    rows = pages.select("*", record(F.col("page_id"), F.col("url"), F.col("html")).alias("_record"))
+    text = F.col("_record")
+    more = {name: make(text) for name, make in (also or {}).items()}
+    made = rows.select(
         F.coalesce(F.floor(F.col("page_id") / per_archive), F.lit(-1)).cast("long").alias("archive"),
         "page_id",
-        record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"),
-    ).withColumns({"length": F.octet_length("record").cast("long"), "sha256": F.sha2("record", 256)})
+        F.octet_length(text).cast("long").alias("length"),
+        F.sha2(text, 256).alias("sha256"),
+        *[column.alias(name) for name, column in more.items()],
+    )
     # An archive has as many pages as its range of numbers, unless rows repeat.
     order = Window.partitionBy("archive").orderBy("page_id", "sha256")
     before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return made.select(
-        "archive", (F.row_number().over(order) - 1).cast("long").alias("seq"), "page_id", F.coalesce(before, F.lit(0)).alias("offset"), "length", "sha256", "record"
+        "archive", (F.row_number().over(order) - 1).cast("long").alias("seq"), "page_id", F.coalesce(before, F.lit(0)).alias("offset"), "length", "sha256", *more
     )
 
 
+def archive_pages(pages: DataFrame, per_archive: int = PAGES_PER_ARCHIVE) -> DataFrame:
+    """The ``catalogue`` with each ``record``, for writing archives; contents are shuffled to their archive."""
+    return catalogue(pages, per_archive, {"record": lambda text: text})
+
+
 def build_tree(records: DataFrame, levels: int, fanout: int = FANOUT) -> DataFrame:
     """(``archive``, ``level``, ``index``, ``start``, ``end``, ``hash``) of (``archive``, ``seq``, ``offset``, ``length``, ``sha256``).
 
