@@ -415,7 +415,7 @@ class Data:
 
     @cached_property
     def exact_vectors(self) -> neighbours.VectorIndex:
-        return neighbours.build(self.vector_rows(), ["vec_id"], "squared_l2")
+        return neighbours.build(self.vector_rows(), ["vec_id"], "squared_l2", lists_per_root=0.25)
 
     @cached_property
     def unit_vectors(self) -> neighbours.VectorIndex:

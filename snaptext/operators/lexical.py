@@ -22,7 +22,7 @@ from snaptext.scale import is_small, shared_folder, small_side, stored
 CHUNK_KEYS = ["entity_id", "chunk_index"]
 QUERY_KEYS = ["query_id", "sub_no"]
 #: Postings of a block; parts of the index per shuffle partition.
-BLOCK, PARTS = 64, 4
+BLOCK, PARTS = 64, 2
 #: Scores are ranked to so many digits; thresholds leave room for one more.
 DIGITS = 6
 
@@ -32,6 +32,7 @@ class LexicalIndex:
     """Stored index tables and the three corpus numbers that scoring needs."""
 
     blocks: DataFrame  # part, term, block_no, impact, max_body, max_title, min_body, min_title, entries
+    chunks: DataFrame  # chunk_no, entity_id, chunk_index; entries name chunks by number
     terms: DataFrame  # term, df, impact, max_body, max_title, min_body, min_title
     n_chunks: int
     total_body: int
@@ -44,30 +45,34 @@ class LexicalIndex:
     def postings(self) -> DataFrame:
         """entity_id, chunk_index, term, tf_body, tf_title, len_body, len_title"""
         rows = self.blocks.select("term", F.explode("entries").alias("e"))
-        return rows.select("e.entity_id", "e.chunk_index", "term", "e.tf_body", "e.tf_title", "e.len_body", "e.len_title")
+        named = rows.select("term", "e.*").join(self.chunks, "chunk_no")
+        return named.select(*CHUNK_KEYS, "term", "tf_body", "tf_title", "len_body", "len_title")
 
     def drop(self) -> None:
         """Forget the table of blocks; its files go with the shared folder."""
         self.blocks.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table_name}")
 
 
-def postings(chunks: DataFrame, shards: int) -> DataFrame:
-    """Term counts per chunk, title and text kept apart.
-
-    Chunks are spread by their key first, so counting needs no second shuffle.
-    """
+def numbered_chunks(chunks: DataFrame, shards: int) -> DataFrame:
+    """Chunks with a number of their own and their tokens, title and text kept apart; stored, so that the numbers stay."""
     keyed = chunks.select(*CHUNK_KEYS, "title", "text").repartition(shards, *CHUNK_KEYS)
     split = keyed.select(
-        *CHUNK_KEYS, tx.tokens(F.col("text")).alias("_body"), tx.tokens(F.col("title")).alias("_title")
+        F.monotonically_increasing_id().alias("chunk_no"), *CHUNK_KEYS, tx.tokens(F.col("text")).alias("body"), tx.tokens(F.col("title")).alias("heading")
     )
+    return stored(split, "tokens")
+
+
+def postings(tokens: DataFrame) -> DataFrame:
+    """Term counts per numbered chunk, spread by part of the index; counting needs no second shuffle."""
     return (
-        split.select(
-            *CHUNK_KEYS,
-            F.size("_body").alias("len_body"),
-            F.size("_title").alias("len_title"),
-            F.posexplode(F.concat("_body", "_title")).alias("_pos", "term"),
+        tokens.select(
+            "part",
+            "chunk_no",
+            F.size("body").alias("len_body"),
+            F.size("heading").alias("len_title"),
+            F.posexplode(F.concat("body", "heading")).alias("_pos", "term"),
         )
-        .groupBy(*CHUNK_KEYS, "len_body", "len_title", "term")
+        .groupBy("part", "chunk_no", "len_body", "len_title", "term")
         .agg(
             F.count_if(F.col("_pos") < F.col("len_body")).cast("int").alias("tf_body"),
             F.count_if(F.col("_pos") >= F.col("len_body")).cast("int").alias("tf_title"),
@@ -94,20 +99,19 @@ def build_index(
     """
     spark = chunks.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    raw = stored(postings(chunks, shards), "postings")
-    n_chunks = chunks.count()
-    sizes = raw.agg(F.sum("tf_body").alias("body"), F.sum("tf_title").alias("title")).first()
-    body, title = sizes["body"] or 0, sizes["title"] or 0
+    tokens = numbered_chunks(chunks, shards)
+    sizes = tokens.agg(F.count("*").alias("n"), F.sum(F.size("body")).alias("body"), F.sum(F.size("heading")).alias("title")).first()
+    n_chunks, body, title = sizes["n"], sizes["body"] or 0, sizes["title"] or 0
+    part = F.pmod(F.xxhash64("chunk_no"), F.lit(PARTS * shards)).cast("int")
     impact = _score_part(title_weight, (body + title_weight * title) / max(n_chunks, 1), k1, b)
-    part = F.pmod(F.xxhash64(*CHUNK_KEYS), F.lit(PARTS * shards)).cast("int")
-    rows = raw.withColumns({"impact": impact, "part": part}).repartition(shards, "part")
-    place = F.row_number().over(Window.partitionBy("part", "term").orderBy(F.desc("impact"), *CHUNK_KEYS))
+    rows = postings(tokens.withColumn("part", part).repartition(shards, "part")).withColumn("impact", impact)
+    place = F.row_number().over(Window.partitionBy("part", "term").orderBy(F.desc("impact"), "chunk_no"))
     extremes = [
         F.max("impact").alias("impact"),
         F.max("tf_body").alias("max_body"), F.max("tf_title").alias("max_title"),
         F.min("len_body").alias("min_body"), F.min("len_title").alias("min_title"),
     ]
-    entry = F.struct(*CHUNK_KEYS, "tf_body", "tf_title", "len_body", "len_title")
+    entry = F.struct("chunk_no", "tf_body", "tf_title", "len_body", "len_title")
     name = f"snaptext_postings_{uuid.uuid4().hex}"
     (
         rows.withColumn("block_no", F.floor((place - 1) / block).cast("int"))
@@ -118,9 +122,12 @@ def build_index(
         .option("path", f"{shared_folder(spark)}/{name}")
         .saveAsTable(name)
     )
-    terms = stored(raw.withColumn("impact", impact).groupBy("term").agg(F.count("*").alias("df"), *extremes), "terms")
+    blocks = spark.table(name)
+    over = [getattr(F, how)(c).alias(c) for c, how in (("impact", "max"), ("max_body", "max"), ("max_title", "max"), ("min_body", "min"), ("min_title", "min"))]
+    terms = stored(blocks.groupBy("term").agg(F.sum(F.size("entries")).alias("df"), *over), "terms")
     mean_idf = terms.agg(F.avg(raw_idf(F.col("df"), n_chunks))).first()[0]
-    return LexicalIndex(spark.table(name), terms, n_chunks, body, title, mean_idf or 0.0, (title_weight, k1, b), name)
+    named = tokens.select("chunk_no", *CHUNK_KEYS)
+    return LexicalIndex(blocks, named, terms, n_chunks, body, title, mean_idf or 0.0, (title_weight, k1, b), name)
 
 
 def idf_table(index: LexicalIndex, epsilon: float = settings.BM25_EPSILON) -> DataFrame:
@@ -188,6 +195,18 @@ def term_weights(index: LexicalIndex, terms: DataFrame, epsilon: float, most: Co
     return weighed.withColumn("others", F.coalesce(others, F.lit(float("inf")))).drop("most")
 
 
+def _numbered(weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weights by number of the query, and the numbers: sums by numbers cost less than by the keys themselves."""
+    asked = stored(weights.select(*QUERY_KEYS).distinct().withColumn("query_no", F.monotonically_increasing_id()), "queries")
+    return stored(weights.join(asked, QUERY_KEYS).drop(*QUERY_KEYS), "weights"), asked
+
+
+def _named(index: LexicalIndex, scored: DataFrame, asked: DataFrame) -> DataFrame:
+    """Scores with the keys of their query and chunk."""
+    rows = scored.join(small_side(asked), "query_no").join(index.chunks, "chunk_no")
+    return rows.select(*QUERY_KEYS, *CHUNK_KEYS, "score")
+
+
 def _matches(index: LexicalIndex, weights: DataFrame, small: bool, title_weight: int, k1: float, b: float) -> DataFrame:
     """A row for each query and block of one of its terms, with ``reach``: the best score that a chunk of the block can have."""
     joined = index.blocks.join(F.broadcast(weights) if small else weights, "term")
@@ -196,9 +215,9 @@ def _matches(index: LexicalIndex, weights: DataFrame, small: bool, title_weight:
 
 def _summed(index: LexicalIndex, matches: DataFrame, title_weight: int, k1: float, b: float) -> DataFrame:
     """Scores of the chunks in the given blocks; those of a chunk are in one bucket."""
-    parts = matches.select("part", *QUERY_KEYS, "weight", F.explode("entries").alias("e")).select("part", *QUERY_KEYS, "weight", "e.*")
+    parts = matches.select("part", "query_no", "weight", F.explode("entries").alias("e")).select("part", "query_no", "weight", "e.*")
     added = F.col("weight") * _score_part(title_weight, _mean_length(index, title_weight), k1, b)
-    return parts.groupBy("part", *QUERY_KEYS, *CHUNK_KEYS).agg(F.sum(added).alias("score")).drop("part")
+    return parts.groupBy("part", "query_no", "chunk_no").agg(F.sum(added).alias("score")).drop("part")
 
 
 def scores(
@@ -213,8 +232,8 @@ def scores(
 
     The title counts ``title_weight`` times. Query terms are broadcast when measured to be small.
     """
-    weights = stored(term_weights(index, terms, epsilon, _bound(index, title_weight, k1, b)), "weights")
-    return _summed(index, _matches(index, weights, is_small(weights), title_weight, k1, b), title_weight, k1, b)
+    weights, asked = _numbered(term_weights(index, terms, epsilon, _bound(index, title_weight, k1, b)))
+    return _named(index, _summed(index, _matches(index, weights, is_small(weights), title_weight, k1, b), title_weight, k1, b), asked)
 
 
 def first_n(df: DataFrame, n: int, keys: list[str], order: list[Column]) -> DataFrame:
@@ -229,10 +248,10 @@ def needed_blocks(
     """The blocks that may hold one of the ``n`` best chunks of a query, as ``_matches``."""
     matches = _matches(index, weights, small, title_weight, k1, b)
     first = _summed(index, matches.where("block_no = 0"), title_weight, k1, b)
-    nth = first_n(first, n, QUERY_KEYS, [F.desc("score")]).where(F.col("rank") == n)
+    nth = first_n(first, n, ["query_no"], [F.desc("score")]).where(F.col("rank") == n)
     # At most one row per query, and a query has at least one row in the weights.
-    thresholds = stored(nth.select(*QUERY_KEYS, (F.col("score") - 10.0**-DIGITS).alias("least")), "thresholds")
-    known = matches.join(F.broadcast(thresholds) if small else thresholds, QUERY_KEYS, "left")
+    thresholds = stored(nth.select("query_no", (F.col("score") - 10.0**-DIGITS).alias("least")), "thresholds")
+    known = matches.join(F.broadcast(thresholds) if small else thresholds, "query_no", "left")
     return known.where(F.col("reach") >= F.coalesce("least", F.lit(float("-inf")))).drop("least")
 
 
@@ -251,8 +270,11 @@ def lexical_hits(
     Only chunks that share a term with the query are ranked. Scores are rounded to ``DIGITS`` places before ranking.
     """
     terms = query_terms(queries, aliases)
-    weights = stored(term_weights(index, terms, epsilon, _bound(index, title_weight, k1, b)), "weights")
+    weights, asked = _numbered(term_weights(index, terms, epsilon, _bound(index, title_weight, k1, b)))
     needed = needed_blocks(index, weights, n, is_small(weights), title_weight, k1, b)
     scored = _summed(index, needed, title_weight, k1, b).withColumn("score", F.round("score", DIGITS))
+    # Those that tie with the last one stay until their keys, by which ties are decided, are known.
+    place = F.rank().over(Window.partitionBy("query_no").orderBy(F.desc("score")))
+    best = scored.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
     order = [F.desc("score"), F.asc("entity_id"), F.asc("chunk_index")]
-    return first_n(scored, n, QUERY_KEYS, order).select(*QUERY_KEYS, "rank", *CHUNK_KEYS, "score")
+    return first_n(_named(index, best, asked), n, QUERY_KEYS, order).select(*QUERY_KEYS, "rank", *CHUNK_KEYS, "score")

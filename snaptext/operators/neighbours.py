@@ -98,11 +98,14 @@ def fit_centroids(points: np.ndarray, n_lists: int, rounds: int = ROUNDS) -> np.
     return centroids
 
 
-def build(corpus: DataFrame, keys: list[str], metric: str = "cosine", n_lists: int | None = None, sample: int = SAMPLE, block: int = BLOCK) -> VectorIndex:
+def build(
+    corpus: DataFrame, keys: list[str], metric: str = "cosine", lists_per_root: float = 2.0, sample: int = SAMPLE, block: int = BLOCK
+) -> VectorIndex:
     """An index of (*keys*, ``vector``) for distances by ``metric``, ``cosine`` or ``squared_l2``.
 
     Keys are unique. Rows without a vector, and for cosine those of length zero, are never found and left out. There
-    are about twice as many lists as the root of the number of rows, up to ``MOST_LISTS``.
+    are ``lists_per_root`` lists for each unit of the root of the number of rows, up to ``MOST_LISTS``: many for approximate
+    search, fewer where most lists are visited anyway.
     """
     spark, unit = corpus.sparkSession, metric == "cosine"
     prepared = stored(_prepared(corpus, keys, unit), "vectors")
@@ -113,7 +116,7 @@ def build(corpus: DataFrame, keys: list[str], metric: str = "cosine", n_lists: i
     shown = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]))
     held = coded.select(shown.alias("_at"), "code").orderBy("_at").limit(sample).toPandas()
     points = np.array(held["code"].tolist(), dtype=np.float64).reshape(len(held), -1 if len(held) else 0)
-    lists = min(n_lists or max(1, min(MOST_LISTS, math.floor(2 * math.sqrt(n) + 0.5))), len(points))
+    lists = min(max(1, min(MOST_LISTS, math.floor(lists_per_root * math.sqrt(n) + 0.5))), len(points))
     centroids = fit_centroids(points, lists)
     sent = spark.sparkContext.broadcast(centroids)
     types = {f.name: f.dataType.simpleString() for f in coded.schema}
@@ -157,6 +160,20 @@ def _distances(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum(qn + cn - 2 * dots, 0.0)
 
 
+def _first_of_lines(d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, column) of the ``n`` least values of each line, ties to the first column."""
+    lines, columns = d.shape
+    if columns <= n:
+        return np.repeat(np.arange(lines), columns), np.tile(np.arange(columns), lines)
+    some = np.sort(np.argpartition(d, n - 1, axis=1)[:, :n], axis=1)
+    limit = np.take_along_axis(d, some, axis=1).max(axis=1)
+    # Where more columns tie for the last place, any of them may have been taken.
+    for i in np.flatnonzero((d <= limit[:, None]).sum(axis=1) > n):
+        near = np.flatnonzero(d[i] <= limit[i])
+        some[i] = np.sort(near[np.argsort(d[i, near], kind="stable")][:n])
+    return np.repeat(np.arange(lines), n), some.ravel()
+
+
 def _visits(queries: DataFrame, index: VectorIndex, lists_of, more: list[str] = []) -> DataFrame:
     """A row for each list that a query visits: those that ``lists_of(distances to centroids, batch)`` marks."""
     spark = queries.sparkSession
@@ -214,11 +231,8 @@ def _scan(visits: DataFrame, index: VectorIndex, n_queries: int, n: int, column:
             for at in range(0, asked.num_rows, step):
                 part = asked.slice(at, step)
                 d = distance(_matrix(part.column(column), part.num_rows), c)
-                limit = np.partition(d, n - 1, axis=1)[:, n - 1] if len(c) > n else np.full(len(d), np.inf)
-                for i, line in enumerate(d):
-                    near = np.flatnonzero(line <= limit[i])
-                    near = near[np.argsort(line[near], kind="stable")][:n]
-                    found.append((np.full(len(near), at + i), near, line[near]))
+                rows_of, near = _first_of_lines(d, n)
+                found.append((rows_of + at, near, d[rows_of, near]))
         query, row, far = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         asked, some = asked.select(QUERY_KEYS).take(pa.array(query)), some.select(keys).take(pa.array(row))
         return pa.table([*asked.columns, *some.columns, pa.array(far)], names=[*QUERY_KEYS, *keys, "distance"])

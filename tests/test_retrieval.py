@@ -94,7 +94,7 @@ ASKED = ["w300", "every w200", "w1 w250 w2", "every w1 w2 w3", "w90 w90 w91 t3",
 
 
 def skipped(index, asked, n, shape=(8, 1.5, 0.75)):
-    weights = lexical.term_weights(index, lexical.query_terms(asked), 0.25, lexical._bound(index, *shape))
+    weights, _ = lexical._numbered(lexical.term_weights(index, lexical.query_terms(asked), 0.25, lexical._bound(index, *shape)))
     needed = lexical.needed_blocks(index, weights, n, True, *shape).count()
     return 1 - needed / lexical._matches(index, weights, True, *shape).count()
 
