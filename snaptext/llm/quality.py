@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from snaptext.llm.common import SPACE, whole, words
-from snaptext.scale import stored
+from snaptext.scale import small_side, stored
 
 BUCKETS = 1 << 15
 #: Mean log ratio (nats per n-gram) below which a document is rejected.
@@ -88,7 +88,8 @@ def log_ratios(features: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
     Counts cover all n-grams of all documents; one row per bucket comes to the driver. Without trusted
     documents, and for buckets that the corpus lacks, ratios are 0.
     """
-    known = trusted.filter("doc_id is not null").select("doc_id").distinct().withColumn("_trusted", F.lit(1))
+    # Measured, and broadcast while it is small, so that the n-grams stay where they are; else both sides are shuffled.
+    known = small_side(trusted.filter("doc_id is not null").select("doc_id").distinct().withColumn("_trusted", F.lit(1)))
     counts = (
         features.select("doc_id", "buckets").join(known, "doc_id", "left")
         .select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode("buckets").alias("bucket"))
