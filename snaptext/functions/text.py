@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # What counts as blank between words and around lines.
@@ -44,6 +46,17 @@ def tokens(text: Column) -> Column:
     )
 
 
+_TOKEN, _HYPHEN_PAIR = re.compile(TOKEN), re.compile(HYPHEN_PAIR)
+
+
+def low_tokens(low: str | None) -> list[str] | None:
+    """What ``tokens`` returns, of one text that is in lower case already."""
+    if low is None:
+        return None
+    found = _TOKEN.findall(low)
+    return found + [p.replace("-", "") for p in _HYPHEN_PAIR.findall(low)] if "-" in low else found
+
+
 def normalised(text: Column) -> Column:
     """Lower-case letters and digits only; the form in which texts are compared."""
     return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")

@@ -10,8 +10,12 @@ n best, so the scores of those that are, are whole.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from snaptext import settings
@@ -23,6 +27,8 @@ CHUNK_KEYS = ["entity_id", "chunk_index"]
 QUERY_KEYS = ["query_id", "sub_no"]
 #: Postings of a block; parts of the index per shuffle partition.
 BLOCK, PARTS = 64, 2
+#: Chunks of a part, about and at most; queries that meet a part at once.
+PART_CHUNKS, QUERY_BLOCK = 16_384, 4096
 #: Scores are ranked to so many digits; thresholds leave room for one more.
 DIGITS = 6
 
@@ -31,7 +37,7 @@ DIGITS = 6
 class LexicalIndex:
     """Stored index tables and the three corpus numbers that scoring needs."""
 
-    blocks: DataFrame  # part, term, block_no, impact, max_body, max_title, min_body, min_title, entries
+    blocks: DataFrame  # part, term, block_no, impact, max_body, max_title, min_body, min_title, entries, block_id
     chunks: DataFrame  # chunk_no, entity_id, chunk_index; entries name chunks by number
     terms: DataFrame  # term, df, impact, max_body, max_title, min_body, min_title
     n_chunks: int
@@ -55,29 +61,65 @@ class LexicalIndex:
 
 def numbered_chunks(chunks: DataFrame, shards: int) -> DataFrame:
     """Chunks with a number of their own and their tokens, title and text kept apart; stored, so that the numbers stay."""
-    keyed = chunks.select(*CHUNK_KEYS, "title", "text").repartition(shards, *CHUNK_KEYS)
-    split = keyed.select(
-        F.monotonically_increasing_id().alias("chunk_no"), *CHUNK_KEYS, tx.tokens(F.col("text")).alias("body"), tx.tokens(F.col("title")).alias("heading")
-    )
-    return stored(split, "tokens")
-
-
-def postings(tokens: DataFrame) -> DataFrame:
-    """Term counts per numbered chunk, spread by part of the index; counting needs no second shuffle."""
-    return (
-        tokens.select(
-            "part",
-            "chunk_no",
-            F.size("body").alias("len_body"),
-            F.size("heading").alias("len_title"),
-            F.posexplode(F.concat("body", "heading")).alias("_pos", "term"),
-        )
-        .groupBy("part", "chunk_no", "len_body", "len_title", "term")
-        .agg(
-            F.count_if(F.col("_pos") < F.col("len_body")).cast("int").alias("tf_body"),
-            F.count_if(F.col("_pos") >= F.col("len_body")).cast("int").alias("tf_title"),
-        )
-    )
+    low = chunks.select(*CHUNK_KEYS, F.lower("text").alias("body"), F.lower("title").alias("heading")).repartition(shards, *CHUNK_KEYS)
+    numbered = low.select(F.monotonically_increasing_id().alias("chunk_no"), *CHUNK_KEYS, "body", "heading")
+    types = {f.name: f.dataType.simpleString() for f in numbered.schema} | {"body": "array<string>", "heading": "array<string>"}
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pa.array([tx.low_tokens(t) for t in batch.column(c).to_pylist()], pa.list_(pa.string())) for c in ("body", "heading")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *found], names=list(types))
+
+    return stored(numbered.mapInArrow(split, ", ".join(f"{c} {t}" for c, t in types.items())), "tokens")
+
+
+_ENTRY = [("chunk_no", pa.int64()), ("tf_body", pa.int32()), ("tf_title", pa.int32()), ("len_body", pa.int32()), ("len_title", pa.int32())]
+_BLOCK = pa.schema(
+    [
+        ("part", pa.int32()), ("term", pa.string()), ("block_no", pa.int32()), ("impact", pa.float64()),
+        ("max_body", pa.int32()), ("max_title", pa.int32()), ("min_body", pa.int32()), ("min_title", pa.int32()),
+        ("entries", pa.list_(pa.struct(_ENTRY))),
+    ]
+)
+_BLOCK_COLUMNS = (
+    "part int, term string, block_no int, impact double, max_body int, max_title int, min_body int, min_title int, "
+    "entries array<struct<chunk_no:long,tf_body:int,tf_title:int,len_body:int,len_title:int>>"
+)
+
+
+def _blocks(tokens: DataFrame, block: int, title_weight: int, mean_length: float, k1: float, b: float) -> DataFrame:
+    """The postings of each part, counted and cut into blocks. A chunk without a text or a title has none."""
+
+    def cut(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        table = table.filter(pc.and_(pc.is_valid(table.column("body")), pc.is_valid(table.column("heading"))))
+        body, heading = (table.column(c).combine_chunks() for c in ("body", "heading"))
+        len_body, len_title = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int32) for x in (body, heading))
+        said = pa.concat_arrays([body.flatten(), heading.flatten()]).dictionary_encode()
+        n, in_body = table.num_rows, int(len_body.sum())
+        if not len(said):
+            return _BLOCK.empty_table()
+        chunk_no = table.column("chunk_no").to_numpy()
+        chunk = np.concatenate([np.repeat(np.arange(n), len_body), np.repeat(np.arange(n), len_title)])
+        pair, where = np.unique(said.indices.to_numpy().astype(np.int64) * n + chunk, return_inverse=True)
+        tf_body, tf_title = (np.bincount(x, minlength=len(pair)) for x in (where[:in_body], where[in_body:]))
+        term, chunk = pair // n, pair % n
+        impact = _added(tf_body, tf_title, len_body[chunk], len_title[chunk], title_weight, mean_length, k1, b)
+        order = np.lexsort((chunk_no[chunk], -impact, term))
+        term, chunk, impact, tf_body, tf_title = (x[order] for x in (term, chunk, impact, tf_body, tf_title))
+        at = np.arange(len(term))
+        first = np.maximum.accumulate(np.where(np.append(True, term[1:] != term[:-1]), at, 0))
+        starts = np.flatnonzero((at - first) % block == 0)
+        of_entry = {"chunk_no": chunk_no[chunk], "tf_body": tf_body, "tf_title": tf_title, "len_body": len_body[chunk], "len_title": len_title[chunk]}
+        entries = pa.StructArray.from_arrays([pa.array(of_entry[c]).cast(t) for c, t in _ENTRY], names=[c for c, _ in _ENTRY])
+        extremes = [np.maximum.reduceat(x, starts) for x in (impact, tf_body, tf_title)] + [np.minimum.reduceat(of_entry[c], starts) for c in ("len_body", "len_title")]
+        columns = [
+            np.full(len(starts), part), said.dictionary.take(pa.array(term[starts])), ((at - first) // block)[starts], *extremes,
+            pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), entries),
+        ]
+        return pa.table([x if isinstance(x, pa.Array) else pa.array(x).cast(f.type) for x, f in zip(columns, _BLOCK)], names=_BLOCK.names)
+
+    return tokens.select("part", "chunk_no", "body", "heading").groupBy("part").applyInArrow(cut, _BLOCK_COLUMNS)
 
 
 def raw_idf(df: Column, n_chunks: int) -> Column:
@@ -102,21 +144,13 @@ def build_index(
     tokens = numbered_chunks(chunks, shards)
     sizes = tokens.agg(F.count("*").alias("n"), F.sum(F.size("body")).alias("body"), F.sum(F.size("heading")).alias("title")).first()
     n_chunks, body, title = sizes["n"], sizes["body"] or 0, sizes["title"] or 0
-    part = F.pmod(F.xxhash64("chunk_no"), F.lit(PARTS * shards)).cast("int")
-    impact = _score_part(title_weight, (body + title_weight * title) / max(n_chunks, 1), k1, b)
-    rows = postings(tokens.withColumn("part", part).repartition(shards, "part")).withColumn("impact", impact)
-    place = F.row_number().over(Window.partitionBy("part", "term").orderBy(F.desc("impact"), "chunk_no"))
-    extremes = [
-        F.max("impact").alias("impact"),
-        F.max("tf_body").alias("max_body"), F.max("tf_title").alias("max_title"),
-        F.min("len_body").alias("min_body"), F.min("len_title").alias("min_title"),
-    ]
-    entry = F.struct("chunk_no", "tf_body", "tf_title", "len_body", "len_title")
+    # A part is what one task scores at once.
+    part = F.pmod(F.xxhash64("chunk_no"), F.lit(max(PARTS * shards, -(-n_chunks // PART_CHUNKS)))).cast("int")
+    mean_length = (body + title_weight * title) / max(n_chunks, 1)
+    rows = _blocks(tokens.withColumn("part", part).repartition(shards, "part"), block, title_weight, mean_length, k1, b)
     name = f"snaptext_postings_{uuid.uuid4().hex}"
     (
-        rows.withColumn("block_no", F.floor((place - 1) / block).cast("int"))
-        .groupBy("part", "term", "block_no")
-        .agg(*extremes, F.collect_list(entry).alias("entries"))
+        rows.withColumn("block_id", F.monotonically_increasing_id())
         .write.bucketBy(shards, "part")
         .sortBy("part", "term")
         .option("path", f"{shared_folder(spark)}/{name}")
@@ -163,11 +197,12 @@ def query_terms(queries: DataFrame, aliases: DataFrame | dict[str, list[str]] |
     return terms.groupBy(*QUERY_KEYS, "term").agg(F.count("*").alias("qtf"))
 
 
-def _score_part(title_weight: int, mean_length: float, k1: float, b: float) -> Column:
+def _added(tf_body, tf_title, len_body, len_title, title_weight: int, mean_length: float, k1: float, b: float) -> np.ndarray:
     """What one term adds to a chunk's score, without the term's weight."""
-    tf = F.col("tf_body") + title_weight * F.col("tf_title")
-    length = F.col("len_body") + title_weight * F.col("len_title")
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.lit(mean_length)))
+    tf = tf_body + float(title_weight) * tf_title
+    length = len_body + float(title_weight) * len_title
+    # Without any token there is no mean length, and no posting either.
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
 
 
 def _mean_length(index: LexicalIndex, title_weight: int) -> float:
@@ -213,11 +248,56 @@ def _matches(index: LexicalIndex, weights: DataFrame, small: bool, title_weight:
     return joined.withColumn("reach", F.col("weight") * _bound(index, title_weight, k1, b) + F.col("others"))
 
 
-def _summed(index: LexicalIndex, matches: DataFrame, title_weight: int, k1: float, b: float) -> DataFrame:
-    """Scores of the chunks in the given blocks; those of a chunk are in one bucket."""
-    parts = matches.select("part", "query_no", "weight", F.explode("entries").alias("e")).select("part", "query_no", "weight", "e.*")
-    added = F.col("weight") * _score_part(title_weight, _mean_length(index, title_weight), k1, b)
-    return parts.groupBy("part", "query_no", "chunk_no").agg(F.sum(added).alias("score")).drop("part")
+def _summed(
+    index: LexicalIndex, matches: DataFrame, weights: DataFrame, small: bool, n_queries: int, n: int | None, title_weight: int, k1: float, b: float
+) -> DataFrame:
+    """Scores of the chunks in the given blocks; those of a chunk are in one part, and so in one bucket.
+
+    With ``n``, of each query and part the ``n`` best chunks and those that may tie with them; else all. Sums are taken of
+    arrays, part by part; a batch of many queries meets a part in several groups.
+    """
+    by, asked = ["part"], matches.select("part", "block_id", "query_no", "weight")
+    terms = weights.select("term").distinct()
+    blocks = index.blocks.join(F.broadcast(terms) if small else terms, "term", "left_semi")
+    # Names of their own, as ``matches`` come from the same table.
+    blocks = blocks.select(F.col("part").alias("of_part"), F.col("block_id").alias("held_id"), F.col("entries").alias("held"))
+    of = ["of_part"]
+    groups = -(-n_queries // (QUERY_BLOCK if n else QUERY_BLOCK // 16))
+    if groups > 1:
+        by, of, asked = ["part", "some"], ["of_part", "group"], asked.withColumn("some", F.pmod(F.xxhash64("query_no"), F.lit(groups)).cast("int"))
+        blocks = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    mean_length = _mean_length(index, title_weight)
+
+    def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found = []
+        if asked.num_rows:
+            held = held.sort_by("held_id")
+            entries = held.column("held").combine_chunks()
+            sizes = pc.list_value_length(entries).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            chunk_no, tf_body, tf_title, len_body, len_title = (x.to_numpy(zero_copy_only=False) for x in entries.flatten().flatten())
+            impact = _added(tf_body, tf_title, len_body, len_title, title_weight, mean_length, k1, b)
+            numbers, chunk = np.unique(chunk_no, return_inverse=True)
+            asked = asked.sort_by([("query_no", "ascending"), ("block_id", "ascending")])
+            place = np.searchsorted(held.column("held_id").to_numpy(), asked.column("block_id").to_numpy())
+            weight = asked.column("weight").to_numpy()
+            queries, begin = np.unique(asked.column("query_no").to_numpy(), return_index=True)
+            for query, low, high in zip(queries, begin, np.append(begin[1:], asked.num_rows)):
+                mine = place[low:high]
+                many = sizes[mine]
+                at = np.repeat(starts[mine] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                score = np.bincount(chunk[at], np.repeat(weight[low:high], many) * impact[at], len(numbers))
+                hit = np.zeros(len(numbers), bool)
+                hit[chunk[at]] = True
+                some = np.flatnonzero(hit)
+                if n and len(some) > n:
+                    least = np.partition(score[some], len(some) - n)[len(some) - n] - 10.0 ** (1 - DIGITS)
+                    some = some[score[some] >= least]
+                found.append((np.full(len(some), query), numbers[some], score[some]))
+        query, number, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([pa.array(query), pa.array(number), pa.array(score)], names=["query_no", "chunk_no", "score"])
+
+    return asked.groupBy(*by).cogroup(blocks.groupBy(*of)).applyInArrow(meet, "query_no long, chunk_no long, score double")
 
 
 def scores(
@@ -233,7 +313,9 @@ def scores(
     The title counts ``title_weight`` times. Query terms are broadcast when measured to be small.
     """
     weights, asked = _numbered(term_weights(index, terms, epsilon, _bound(index, title_weight, k1, b)))
-    return _named(index, _summed(index, _matches(index, weights, is_small(weights), title_weight, k1, b), title_weight, k1, b), asked)
+    small = is_small(weights)
+    matches = _matches(index, weights, small, title_weight, k1, b)
+    return _named(index, _summed(index, matches, weights, small, asked.count(), None, title_weight, k1, b), asked)
 
 
 def first_n(df: DataFrame, n: int, keys: list[str], order: list[Column]) -> DataFrame:
@@ -247,7 +329,8 @@ def needed_blocks(
 ) -> DataFrame:
     """The blocks that may hold one of the ``n`` best chunks of a query, as ``_matches``."""
     matches = _matches(index, weights, small, title_weight, k1, b)
-    first = _summed(index, matches.where("block_no = 0"), title_weight, k1, b)
+    n_queries = weights.select("query_no").distinct().count()
+    first = _summed(index, matches.where("block_no = 0"), weights, small, n_queries, n, title_weight, k1, b)
     nth = first_n(first, n, ["query_no"], [F.desc("score")]).where(F.col("rank") == n)
     # At most one row per query, and a query has at least one row in the weights.
     thresholds = stored(nth.select("query_no", (F.col("score") - 10.0**-DIGITS).alias("least")), "thresholds")
@@ -271,8 +354,9 @@ def lexical_hits(
     """
     terms = query_terms(queries, aliases)
     weights, asked = _numbered(term_weights(index, terms, epsilon, _bound(index, title_weight, k1, b)))
-    needed = needed_blocks(index, weights, n, is_small(weights), title_weight, k1, b)
-    scored = _summed(index, needed, title_weight, k1, b).withColumn("score", F.round("score", DIGITS))
+    small = is_small(weights)
+    needed = needed_blocks(index, weights, n, small, title_weight, k1, b)
+    scored = _summed(index, needed, weights, small, asked.count(), n, title_weight, k1, b).withColumn("score", F.round("score", DIGITS))
     # Those that tie with the last one stay until their keys, by which ties are decided, are known.
     place = F.rank().over(Window.partitionBy("query_no").orderBy(F.desc("score")))
     best = scored.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")

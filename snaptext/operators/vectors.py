@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from snaptext import settings
 from snaptext.functions import text as tx
-from snaptext.operators.lexical import CHUNK_KEYS, QUERY_KEYS
+from snaptext.operators.lexical import CHUNK_KEYS, QUERY_KEYS, LexicalIndex
 from snaptext.scale import small_side
 
 
@@ -42,9 +45,39 @@ def _weighed(counts: DataFrame, idf: DataFrame, count: str) -> DataFrame:
     return counts.join(small_side(idf.select("term", weight.alias("_weight"))), "term").withColumn("weighed", F.col(count) * F.col("_weight"))
 
 
-def chunk_vectors(postings: DataFrame, idf: DataFrame, dims: int = settings.VECTOR_DIMS) -> DataFrame:
-    """A vector for every chunk, from the text (not the title). ``unit_vector`` brings it to length one, as distances by cosine do."""
-    return term_vectors(_weighed(postings.where("tf_body > 0"), idf, "tf_body"), CHUNK_KEYS, "weighed", dims)
+def chunk_vectors(counts: DataFrame | LexicalIndex, idf: DataFrame, dims: int = settings.VECTOR_DIMS) -> DataFrame:
+    """A vector for every chunk, from the text (not the title). ``unit_vector`` brings it to length one, as distances by cosine do.
+
+    ``counts`` are postings, or the index that holds them: its parts are summed as they are stored. Chunks with equal keys share a vector.
+    """
+    if isinstance(counts, DataFrame):
+        return term_vectors(_weighed(counts.where("tf_body > 0"), idf, "tf_body"), CHUNK_KEYS, "weighed", dims)
+    named = _part_vectors(counts, idf, dims).join(counts.chunks, "chunk_no")
+    first, rest = F.col("_all")[0], F.slice("_all", 2, F.size("_all") - 1)
+    summed = F.aggregate(rest, first, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+    merged = named.groupBy(*CHUNK_KEYS).agg(F.collect_list("vector").alias("_all"))
+    return merged.select(*CHUNK_KEYS, F.when(F.size("_all") == 1, first).otherwise(summed).alias("vector"))
+
+
+def _part_vectors(index: LexicalIndex, idf: DataFrame, dims: int) -> DataFrame:
+    """(``chunk_no``, ``vector``) of the chunks with a token in their text; a term's slot and weight are found once."""
+    weight = F.round(F.col("idf") * 1000).cast("long") * term_sign(F.col("term"))
+    terms = idf.select("term", weight.alias("weight"), term_slot(F.col("term"), dims).alias("slot"))
+    rows = index.blocks.where("max_body > 0").select("part", "term", "entries").join(small_side(terms), "term")
+
+    def fill(table: pa.Table) -> pa.Table:
+        entries = table.column("entries").combine_chunks()
+        sizes = pc.list_value_length(entries).to_numpy(zero_copy_only=False)
+        chunk_no, tf = (x.to_numpy(zero_copy_only=False) for x in entries.flatten().flatten()[:2])
+        slot, weight = (np.repeat(table.column(c).to_numpy(), sizes) for c in ("slot", "weight"))
+        said = tf > 0
+        numbers, chunk = np.unique(chunk_no[said], return_inverse=True)
+        # Whole numbers, so that sums don't depend on an order.
+        values = np.bincount(chunk * dims + slot[said], (tf * weight)[said].astype(np.float64), len(numbers) * dims)
+        offsets = pa.array(np.arange(len(numbers) + 1) * dims, pa.int32())
+        return pa.table([pa.array(numbers), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["chunk_no", "vector"])
+
+    return rows.select("part", "slot", "weight", "entries").groupBy("part").applyInArrow(fill, "chunk_no long, vector array<double>")
 
 
 def query_vectors(queries: DataFrame, idf: DataFrame, dims: int = settings.VECTOR_DIMS) -> DataFrame:

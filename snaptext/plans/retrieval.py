@@ -25,7 +25,7 @@ class SearchTables:
 def build_search(chunks: DataFrame, current: str, dims: int = settings.VECTOR_DIMS) -> SearchTables:
     now = chunks.where(F.col("snapshot") == current)
     index = lexical.build_index(now)
-    rows = stored(vectors.chunk_vectors(index.postings, lexical.idf_table(index), dims), "vectors")
+    rows = stored(vectors.chunk_vectors(index, lexical.idf_table(index), dims), "vectors")
     return SearchTables(chunks, current, index, rows, neighbours.build(rows, lexical.CHUNK_KEYS, lists_per_root=0.25))
 
 

@@ -1,6 +1,7 @@
 """Ranking, fusion, union and expansion against plain Python on small fixtures."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -118,6 +119,35 @@ def test_most_blocks_of_a_common_word_are_skipped(spark, uneven, title_weight):
     assert skipped(uneven, queries(spark, ["w1", "w2"]), 5, shape) >= skipped(uneven, queries(spark, ["w1 w2", "w2 w3"]), 5, shape) >= 0
 
 
+def test_blocks_are_summed_in_arrays(spark, uneven, monkeypatch):
+    """No row per query and posting; a batch that meets the parts in several groups gets the same."""
+    asked = queries(spark, ASKED)
+    key = lambda r: (r["query_id"], r["rank"], r["entity_id"], r["chunk_index"], round(r["score"], 5))
+    hits = lexical.lexical_hits(uneven, asked, 5)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Generate" not in plan
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 2)
+    assert sorted(map(key, lexical.lexical_hits(uneven, asked, 5).collect())) == sorted(map(key, hits.collect()))
+
+
+def test_parts_hold_the_postings_of_their_chunks(spark, monkeypatch):
+    """Also of chunks with equal keys, without a key, a text or a title; vectors are those that postings give."""
+    monkeypatch.setattr(lexical, "PART_CHUNKS", 2)
+    rows = CORPUS + [("9", 0, "The title", "back-office desk"), ("9", 0, "The title", "desk Desk-top"), (None, 1, "t", "desk"), ("8", 0, None, "desk"), ("7", 0, "t", None), ("6", 0, "t", "")]
+    index = lexical.build_index(spark.createDataFrame(rows, "entity_id string, chunk_index int, title string, text string"), shards=2, block=2)
+    want = Counter()
+    for entity, at, title, text in rows:
+        if title is not None and text is not None:
+            body, heading = tokens(text), tokens(title)
+            want.update((entity, at, t, body.count(t), heading.count(t), len(body), len(heading)) for t in {*body, *heading})
+    assert Counter(tuple(r) for r in index.postings.select("entity_id", "chunk_index", "term", "tf_body", "tf_title", "len_body", "len_title").collect()) == want
+    assert index.blocks.agg(F.max("part")).first()[0] >= 4 and index.blocks.select("block_id").distinct().count() == index.blocks.count()
+    idf = lexical.idf_table(index)
+    one, other = vectors.chunk_vectors(index, idf), vectors.chunk_vectors(index.postings, idf)
+    assert one.exceptAll(other).count() == 0 and one.count() == other.count() > len(CORPUS)
+    index.drop()
+
+
 def test_phrases_are_substrings(spark):
     rng = np.random.default_rng(5)
     texts = {i: "".join(rng.choice(list("aab c"), 30)) for i in range(40)} | {90: "", 91: None, 92: "in the end"}
