@@ -1,6 +1,7 @@
 """Near-duplicate groups by exact Jaccard similarity of five-word shingles.
 
-Texts with equal shingle sets are one set. Candidates share one of ``BANDS`` keys, each made of ``ROWS``
+Texts with equal shingle sets are one set. Candidates have SimHash fingerprints, of the same shingles, that the vantage-point
+tree of ``simhash`` connects, or share one of ``BANDS`` keys, each made of ``ROWS``
 minimum hashes; a pair at the threshold has none in common with a probability of (1 - 0.8 ** 5) ** 60, less
 than 1 in 10 ** 10, and a closer pair with a smaller one. Keys are never rows of pairs: sets that share one are joined
 into candidate groups, and only inside these are shingles compared, all with all, by their exact Jaccard
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from snaptext.llm.common import KEY, keyed_rows, whole
-from snaptext.llm.simhash import SEED, _LOWER, _roots, components
+from snaptext.llm.simhash import SEED, _LOWER, _roots, components, near_groups, simhash
 from snaptext.scale import stored
 
 WORDS = 5
@@ -66,9 +67,9 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(``doc_id``, ``text_key``, ``set_key``, ``n``, ``bands``) for every row of (``doc_id``, ``text``).
+    """(``doc_id``, ``text_key``, ``set_key``, ``n``, ``fingerprint``, ``bands``) for every row of (``doc_id``, ``text``).
 
-    ``set_key`` names the set of shingles and ``n`` is its size; a null text counts as empty.
+    ``set_key`` names the set of shingles and ``n`` is its size; ``fingerprint`` is the SimHash of the shingles. A null text counts as empty.
     """
     text = whole("text")
     named = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.cast("binary").alias("bytes"))
@@ -76,9 +77,10 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, bands = [], [], []
+            keys, sizes, prints, bands = [], [], [], []
             for t in batch.column("bytes"):
                 found = shingles(t.as_py())
+                prints.append(simhash(t.as_py(), WORDS))
                 keys.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
                 bands.append(band_keys(found))
@@ -88,12 +90,29 @@ def sketches(docs: DataFrame) -> DataFrame:
                     batch.column("text_key"),
                     pa.array(np.array(keys, np.uint64).view(np.int64)),
                     pa.array(sizes, pa.int64()),
+                    pa.array(np.array(prints, np.uint64).view(np.int64)),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_key", "set_key", "n", "bands"],
+                names=["doc_id", "text_key", "set_key", "n", "fingerprint", "bands"],
             )
 
-    return named.mapInArrow(run, f"doc_id {id_type}, text_key long, set_key long, n long, bands array<long>")
+    return named.mapInArrow(run, f"doc_id {id_type}, text_key long, set_key long, n long, fingerprint long, bands array<long>")
+
+
+def candidate_links(distinct: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``), b < a, of sets to the least one that shares a band with them, or whose fingerprint is connected to theirs.
+
+    ``distinct`` has a row (``set_key``, ``n``, ``fingerprint``, ``bands``) per set. Sets without a shingle are no candidates.
+    """
+    banded = distinct.select("set_key", F.explode("bands").alias("at")).repartition("at")
+    prints = distinct.filter("n > 0").select("set_key", "fingerprint")
+    roots = components(near_groups(stored(prints.select("fingerprint").distinct(), "shingles-prints")))
+    near = prints.join(roots.withColumnRenamed("a", "fingerprint"), "fingerprint", "left").select("set_key", F.coalesce("b", "fingerprint").alias("at"))
+    links = []
+    for named in (banded, near):
+        hubs = named.groupBy("at").agg(F.min("set_key").alias("hub"), F.count("*").alias("sets")).filter("sets > 1")
+        links.append(named.join(hubs, "at").filter("set_key != hub").select(F.col("set_key").alias("a"), F.col("hub").alias("b")))
+    return links[0].unionByName(links[1])
 
 
 def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -183,12 +202,11 @@ def one_of_each(
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = stored(sketches(named), "shingles")
-    distinct = prints.groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    distinct = prints.groupBy("set_key").agg(
+        F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.min_by("fingerprint", "text_key").alias("fingerprint"), F.first("bands").alias("bands")
+    )
     distinct = stored(distinct, "shingles-distinct")
-    banded = distinct.select("set_key", F.explode("bands").alias("band")).repartition("band")
-    hubs = banded.groupBy("band").agg(F.min("set_key").alias("hub"), F.count("*").alias("sets")).filter("sets > 1")
-    shared = banded.join(hubs, "band").filter("set_key != hub").select(F.col("set_key").alias("a"), F.col("hub").alias("b"))
-    placed = stored(tiles(distinct, components(shared), tile_shingles, tile_sets), "shingles-placed")
+    placed = stored(tiles(distinct, components(candidate_links(distinct)), tile_shingles, tile_sets), "shingles-placed")
     roots = components(similar_sets(named, placed, similarity))
     best = (
         prints.select("doc_id", "text_key", "set_key")

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from conftest import SMALL
-from snaptext.llm import shingles
+from snaptext.llm import shingles, simhash
 
 
 def plain_set(text):
@@ -64,3 +64,13 @@ def test_empty_and_repeated(spark):
     assert shingles.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert sorted((str(r["doc_id"]), r["text"]) for r in shingles.one_of_each(docs).collect()) == [("1", "a b"), ("None", "c")]
+
+
+def test_near_fingerprints_are_candidates(spark):
+    """SimHash finds what no band does; a set without shingles isn't linked."""
+    rows = [(5, 3, 0b1000, [1]), (7, 3, 0b1011, [2]), (9, 3, -1, [3]), (11, 3, 0b1011, [4]), (2, 0, 0b1000, []), (20, 4, 0x0F0F0F0F0F0F0F0F, [3])]
+    links = shingles.candidate_links(spark.createDataFrame(rows, "set_key long, n long, fingerprint long, bands array<long>"))
+    assert sorted(map(tuple, links.collect())) == [(7, 5), (11, 5), (20, 9)]
+    text = "one two three four five six"
+    got = shingles.sketches(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["fingerprint"]
+    assert got % (1 << 64) == simhash.simhash(text.encode(), 5)
