@@ -348,3 +348,15 @@ def test_state_after_each_snapshot_equals_the_whole_run(spark):
         state = changes.add_snapshot(state, texts.where(F.col("idx") == idx), idx)
         whole = changes.classify(changes.blocks_of_texts(texts.where(F.col("idx") <= idx)), idx + 1)
         assert sorted(map(str, changes.classify_state(state, idx + 1).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_tasks_of_a_word_diff_do_not_grow_with_the_table(spark, monkeypatch):
+    """More pairs go to more parts, and the diffs stay as they are."""
+    rows = [(i, f"a b c w{i} d e f", f"a b x w{i} d f g") for i in range(12)]
+    pairs = spark.createDataFrame(rows, "k int, old string, new string")
+    want = sorted(map(str, textdiff.diff_pairs(pairs, ["k"]).collect()))
+    few = textdiff.pair_words(pairs, ["k"]).rdd.getNumPartitions()
+    monkeypatch.setattr(textdiff, "TASK_CHARS", 20)
+    monkeypatch.setattr(textdiff, "TASK_WORDS", 10)
+    assert textdiff.pair_words(pairs, ["k"]).rdd.getNumPartitions() > few
+    assert sorted(map(str, textdiff.diff_pairs(pairs, ["k"]).collect())) == want
