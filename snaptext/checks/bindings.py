@@ -113,17 +113,25 @@ class Data:
 
     @cached_property
     def published(self) -> str:
-        """Folder of the published tables: pages and chunks, written once and then rebuilt in part."""
-        path = f"{shared_folder(self.spark)}/published-{uuid.uuid4().hex}"
-        pages.publish_pages(self.page_records(), path)
-        tables.publish_chunks(self.chunks, path)
-        # A second run for some of the snapshots: the same rows, in new folders.
-        pages.publish_pages(self.page_records().where("snapshot in ('de', 'en')"), path)
-        tables.publish_chunks(self.chunks.where(F.col("snapshot") == OLD), path)
-        return path
+        """Folder of the published tables."""
+        return f"{shared_folder(self.spark)}/published-{uuid.uuid4().hex}"
+
+    @cached_property
+    def published_pages(self) -> str:
+        """The folder, with pages written once and then rebuilt in part: the same rows, in new folders."""
+        pages.publish_pages(self.page_records(), self.published)
+        pages.publish_pages(self.page_records().where("snapshot in ('de', 'en')"), self.published)
+        return self.published
+
+    @cached_property
+    def _published_chunks(self) -> str:
+        """The same of chunks."""
+        tables.publish_chunks(self.chunks, self.published)
+        tables.publish_chunks(self.chunks.where(F.col("snapshot") == OLD), self.published)
+        return self.published
 
     def published_chunks(self) -> DataFrame:
-        return published.read(self.spark, self.published, "chunks")
+        return published.read(self.spark, self._published_chunks, "chunks")
 
     @cached_property
     def search_tables(self) -> retrieval.SearchTables:

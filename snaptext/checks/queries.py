@@ -78,8 +78,8 @@ def fetch_by_ids(d):
 @query
 def published_pages(d):
     """Page records written as a published table, then again for two snapshots, and read back; beside them what the last write observed."""
-    seen = published.manifest(d.spark, d.published)["tables"]["pages"]["metrics"]
-    held = published.read(d.spark, d.published, "pages").groupBy("snapshot").agg(
+    seen = published.manifest(d.spark, d.published_pages)["tables"]["pages"]["metrics"]
+    held = published.read(d.spark, d.published_pages, "pages").groupBy("snapshot").agg(
         F.count("*").alias("n_pages"), F.count_if(F.trim("text") == "").alias("n_empty"), F.sum(F.length("text")).alias("n_chars")
     )
     return held.withColumns({f"last_{name}": F.lit(value or 0).cast("long") for name, value in seen.items()})

@@ -5,10 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from snaptext import scale
+from snaptext.checks.bindings import Data
 from snaptext.operators import chunking, sections
 from snaptext.plans import ingest
-from snaptext.sources import pages as page_source, tables
+from snaptext.sources import pages as page_source, published, tables
 
 
 def plain_sections(pages):
@@ -221,3 +223,11 @@ def test_cases_read_with_missing_keys_as_null(spark, tmp_path):
     assert cases["b"]["expect_entities"] is None
     tables.write_results(tables.read_cases(spark, str(path)).select("query_id", "expected"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_tables_are_published_where_they_are_asked_for(spark):
+    """Pages without chunks, which nothing builds for them; both go to one folder."""
+    d = Data(spark, SMALL)
+    assert set(published.manifest(spark, d.published_pages)["tables"]) == {"pages"} and "chunks" not in vars(d)
+    assert d.published_chunks().count() == d.chunks.count()
+    assert set(published.manifest(spark, d.published)["tables"]) == {"pages", "chunks"}
