@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from snaptext.functions import html, text as tx
 from snaptext.operators import chunking, fusion, neighbours, textdiff, timelines
 from snaptext.plans import ingest, retrieval
-from snaptext.scale import only_keys_of, shared_folder, small_side, spread, stored
+from snaptext.scale import dealt, only_keys_of, shared_folder, small_side, spread, stored
 from snaptext.sources import pages, published, tables
 
 # Fixed values shared with the check SQL.
@@ -46,6 +46,10 @@ class Data:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def rows(self, *names: str) -> int:
+        """Rows of the tables, which Parquet files know."""
+        return sum(self.table(name).count() for name in names)
+
     def texts(self, name: str, key: str) -> DataFrame:
         return spread(self.table(name), key)
 
@@ -295,17 +299,20 @@ class Data:
         about = self.introductions().select(
             F.col("number").alias("entity_id"), "title", F.to_date(F.lit("1995-01-01")).alias("introduced")
         )
-        return timelines.build_timeline(self.order_changes(), about)
+        return timelines.build_timeline(self.order_changes(), about, self.rows("orders"))
 
     def customer_probes(self) -> DataFrame:
-        """Every customer and every user at fixed dates."""
+        """Every customer and every user at fixed dates; dealt out before there is a row for each date."""
         days = F.explode(F.array(*[F.to_date(F.lit(d)) for d in PROBE_DAYS])).alias("as_of")
-        customers = self.table("customer").select(F.col("c_custkey").cast("string").alias("entity_id"), days)
-        return customers.unionByName(self.introductions().select("entity_id", days))
+        customers = self.table("customer").select(F.col("c_custkey").cast("string").alias("entity_id"))
+        spread_out = dealt(customers, self.rows("customer") * len(PROBE_DAYS), "entity_id").select("entity_id", days)
+        return spread_out.unionByName(self.introductions().select("entity_id", days))
 
     @cached_property
     def customer_segments(self) -> DataFrame:
-        return stored(timelines.as_of(self.order_timeline(), self.customer_probes()), "customers")
+        # No more users than events.
+        rows = self.rows("orders") + (self.rows("customer") + self.rows("events")) * len(PROBE_DAYS)
+        return stored(timelines.as_of(self.order_timeline(), self.customer_probes(), rows), "customers")
 
     @cached_property
     def order_years(self) -> tuple[int, int]:

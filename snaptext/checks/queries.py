@@ -520,7 +520,7 @@ def shipment_asof(d):
     """Status segment of the ordering customer on every day something was shipped to them."""
     shipped = d.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("as_of"))
     buyers = d.table("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("entity_id"))
-    found = timelines.as_of(d.order_timeline(), shipped.join(buyers, "o_orderkey").select("entity_id", "as_of"))
+    found = timelines.as_of(d.order_timeline(), shipped.join(buyers, "o_orderkey").select("entity_id", "as_of"), d.rows("orders", "lineitem"))
     return longs(
         found.select("entity_id", "as_of", "n_probes", "state", "seg.seg_idx", "seg.snapshot"), "seg_idx"
     )

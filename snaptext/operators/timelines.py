@@ -11,21 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from snaptext.functions.text import long_date, natural_number
+from snaptext.scale import dealt
 
 STATES = ("UNMAPPED", "TOO_EARLY", "IN_FORCE", "GAP")
 
 
-def build_timeline(changes: DataFrame, about: DataFrame | None = None) -> DataFrame:
+def build_timeline(changes: DataFrame, about: DataFrame | None = None, rows: int = 0) -> DataFrame:
     """Contiguous segments from dated changes (``entity_id, start, seq, snapshot, note``).
 
     Of several changes on a day the last (by ``seq``) stands. Reducing to days happens
     before the shuffle, so an entity with very many changes stays small. ``about`` adds
-    ``title`` and ``introduced`` per entity.
+    ``title`` and ``introduced`` per entity. ``rows``, the number of changes if it is known,
+    tells how many tasks there are at least.
     """
     days = changes.groupBy("entity_id", "start").agg(
         F.max_by(F.struct("snapshot", "note"), "seq").alias("last")
     )
-    return segments(days.select("entity_id", "start", "last.snapshot", "last.note"), about)
+    return segments(dealt(days.select("entity_id", "start", "last.snapshot", "last.note"), rows, "entity_id"), about)
 
 
 def segments(starts: DataFrame, about: DataFrame | None = None) -> DataFrame:
@@ -75,18 +77,21 @@ def gap_check(timeline: DataFrame) -> DataFrame:
     return sums.withColumn("contiguous", F.col("n_gaps") + F.col("n_overlaps") + F.col("n_empty") == 0)
 
 
-def as_of(timeline: DataFrame, probes: DataFrame) -> DataFrame:
+def as_of(timeline: DataFrame, probes: DataFrame, rows: int = 0) -> DataFrame:
     """The segment in force for each distinct ``entity_id, as_of`` of ``probes``.
 
     ``seg`` is the segment (null if none) and ``state`` one of ``STATES``; ``n_probes``
     counts equal probes. Segments and probes are merged in date order, so no probe is
-    ever paired with more than one segment.
+    ever paired with more than one segment. ``rows``, how many segments and probes there
+    are at most if that is known, tells how many tasks there are at least.
     """
-    distinct = probes.groupBy("entity_id", "as_of").agg(F.count("*").alias("n_probes"))
+    # Dealt out first, as a task that reads many probes would have to hold them all.
+    distinct = dealt(probes, rows, "entity_id").groupBy("entity_id", "as_of").agg(F.count("*").alias("n_probes"))
     payload = F.struct(*[c for c in timeline.columns if c != "entity_id"])
     merged = timeline.select(
         "entity_id", F.col("start").alias("as_of"), F.lit(None).cast("long").alias("n_probes"), payload.alias("seg")
     ).unionByName(distinct, allowMissingColumns=True)
+    merged = dealt(merged, rows, "entity_id")
     is_segment = F.col("n_probes").isNull()
     upto = Window.partitionBy("entity_id").orderBy("as_of", F.col("n_probes").isNotNull())
     everything = upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

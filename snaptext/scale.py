@@ -45,6 +45,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of at most ``rows`` rows, by hash of ``keys`` in parts of about ``TASK_ROWS`` rows; as it is if ``rows`` is 0, for unknown.
+
+    There are at least as many parts as shuffle partitions.
+    """
+    parts = max(-(-rows // settings.TASK_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys) if rows else df
+
+
 def is_small(
     df: DataFrame,
     max_rows: int = settings.BROADCAST_ROWS,

@@ -50,6 +50,7 @@ REPORT_CANDIDATES = 12
 
 SCAN_BLOCK = 4096          # order values per task group in blocked running totals
 COMPARE_BLOCK_CHARS = 4096  # characters compared per row in change detection
+TASK_ROWS = 250_000        # rows that one task sorts by entity
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 VECTOR_DIMS = 64

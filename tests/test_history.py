@@ -8,6 +8,9 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
+from snaptext import settings
+from snaptext.checks.bindings import PROBE_DAYS, Data
 from snaptext.operators import changes, evaluation, grounding, textdiff, timelines
 
 D = date.fromisoformat
@@ -360,3 +363,21 @@ def test_tasks_of_a_word_diff_do_not_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(textdiff, "TASK_WORDS", 10)
     assert textdiff.pair_words(pairs, ["k"]).rdd.getNumPartitions() > few
     assert sorted(map(str, textdiff.diff_pairs(pairs, ["k"]).collect())) == want
+
+
+def test_timelines_have_as_many_tasks_as_their_rows_ask_for(spark, monkeypatch):
+    """Probes are dealt out before they are counted, so that no task holds those of a whole file."""
+    monkeypatch.setattr(settings, "TASK_ROWS", 10)
+    days = [(str(i % 40), D("2020-01-01") + timedelta(days=i), i, "s", "n") for i in range(120)]
+    changed = spark.createDataFrame(days, "entity_id string, start date, seq int, snapshot string, note string")
+    probes = changed.select("entity_id", F.col("start").alias("as_of"))
+    found = timelines.as_of(timelines.build_timeline(changed, rows=120), probes, rows=240)
+    assert found.rdd.getNumPartitions() >= 24
+    key = lambda df: sorted((r["entity_id"], r["as_of"], r["state"], r["n_probes"], r["seg"]["seg_idx"]) for r in df.collect())
+    assert key(found) == key(timelines.as_of(timelines.build_timeline(changed), probes)) and found.count() == 120
+
+
+def test_probes_of_customers_are_dealt_out_before_dates(spark, monkeypatch):
+    monkeypatch.setattr(settings, "TASK_ROWS", 50)
+    d = Data(spark, SMALL)
+    assert d.customer_probes().rdd.getNumPartitions() >= d.rows("customer") * len(PROBE_DAYS) // 50
