@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 # What counts as blank between words and around lines.
@@ -46,15 +47,39 @@ def tokens(text: Column) -> Column:
     )
 
 
-_TOKEN, _HYPHEN_PAIR = re.compile(TOKEN), re.compile(HYPHEN_PAIR)
-
-
-def low_tokens(low: str | None) -> list[str] | None:
-    """What ``tokens`` returns, of one text that is in lower case already."""
-    if low is None:
-        return None
-    found = _TOKEN.findall(low)
-    return found + [p.replace("-", "") for p in _HYPHEN_PAIR.findall(low)] if "-" in low else found
+_IN_TOKEN = np.zeros(256, bool)
+_IN_TOKEN[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = True
+
+
+def low_tokens(low: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """What ``tokens`` returns, of many texts in lower case (null: none): all tokens in one array, and the text of each.
+
+    The joined forms of hyphenated pairs come last.
+    """
+    low = low.fill_null("")
+    ends_at = np.cumsum(pc.binary_length(low).to_numpy(zero_copy_only=False).astype(np.int64))
+    said = np.frombuffer("".join(low.to_pylist()).encode(), np.uint8)
+    if not len(said):
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    inside = _IN_TOKEN[said]
+    # A token ends with its text.
+    goes_on = np.append(inside[:-1] & inside[1:], False)
+    goes_on[ends_at[(ends_at > 0) & (ends_at < len(said))] - 1] = False
+    last = np.flatnonzero(inside & ~goes_on)
+    first = np.flatnonzero(inside & ~np.append(False, goes_on[:-1]))
+    offsets = np.append(0, np.cumsum(last - first + 1)).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(said[inside]))
+    of = np.searchsorted(ends_at, first, side="right")
+    # Pairs don't overlap: of tokens linked by single hyphens the first two are one, then the next two.
+    linked = (first[1:] == last[:-1] + 2) & (of[1:] == of[:-1])
+    linked[linked] = said[last[:-1][linked] + 1] == ord("-")
+    at = np.arange(len(linked))
+    since = np.maximum.accumulate(np.where(linked, -1, at)) if len(at) else at
+    left = np.flatnonzero(linked & ((at - since) % 2 == 1))
+    if not len(left):
+        return found, of
+    joined = pc.binary_join_element_wise(found.take(pa.array(left)), found.take(pa.array(left + 1)), "")
+    return pa.concat_arrays([found, joined]), np.append(of, of[left])
 
 
 def normalised(text: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from snaptext import settings
 from snaptext.functions import text as tx
 from snaptext.operators import phrases
-from snaptext.scale import is_small, shared_folder, small_side, stored
+from snaptext.scale import is_small, shared_folder, small_side, spread, stored
 
 CHUNK_KEYS = ["entity_id", "chunk_index"]
 QUERY_KEYS = ["query_id", "sub_no"]
@@ -37,8 +37,8 @@ DIGITS = 6
 class LexicalIndex:
     """Stored index tables and the three corpus numbers that scoring needs."""
 
-    blocks: DataFrame  # part, term, block_no, impact, max_body, max_title, min_body, min_title, entries, block_id
-    chunks: DataFrame  # chunk_no, entity_id, chunk_index; entries name chunks by number
+    blocks: DataFrame  # part, term, block_no, impact, max_body, max_title, min_body, min_title, arrays of the columns of ENTRY, block_id
+    chunks: DataFrame  # chunk_no, entity_id, chunk_index; postings name chunks by number
     terms: DataFrame  # term, df, impact, max_body, max_title, min_body, min_title
     n_chunks: int
     total_body: int
@@ -50,7 +50,7 @@ class LexicalIndex:
     @property
     def postings(self) -> DataFrame:
         """entity_id, chunk_index, term, tf_body, tf_title, len_body, len_title"""
-        rows = self.blocks.select("term", F.explode("entries").alias("e"))
+        rows = self.blocks.select("term", F.explode(F.arrays_zip(*ENTRY)).alias("e"))
         named = rows.select("term", "e.*").join(self.chunks, "chunk_no")
         return named.select(*CHUNK_KEYS, "term", "tf_body", "tf_title", "len_body", "len_title")
 
@@ -59,67 +59,66 @@ class LexicalIndex:
         self.blocks.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table_name}")
 
 
-def numbered_chunks(chunks: DataFrame, shards: int) -> DataFrame:
-    """Chunks with a number of their own and their tokens, title and text kept apart; stored, so that the numbers stay."""
-    low = chunks.select(*CHUNK_KEYS, F.lower("text").alias("body"), F.lower("title").alias("heading")).repartition(shards, *CHUNK_KEYS)
+def numbered_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks with a number of their own, title and text in lower case and their numbers of tokens; stored, so that the numbers stay."""
+    low = spread(chunks.select(*CHUNK_KEYS, F.lower("text").alias("body"), F.lower("title").alias("heading")), *CHUNK_KEYS)
     numbered = low.select(F.monotonically_increasing_id().alias("chunk_no"), *CHUNK_KEYS, "body", "heading")
-    types = {f.name: f.dataType.simpleString() for f in numbered.schema} | {"body": "array<string>", "heading": "array<string>"}
+    types = {f.name: f.dataType.simpleString() for f in numbered.schema} | {"len_body": "int", "len_title": "int"}
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pa.array([tx.low_tokens(t) for t in batch.column(c).to_pylist()], pa.list_(pa.string())) for c in ("body", "heading")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *found], names=list(types))
+            of = [tx.low_tokens(batch.column(c))[1] for c in ("body", "heading")]
+            lengths = [pa.array(np.bincount(x, minlength=batch.num_rows).astype(np.int32)) for x in of]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lengths], names=list(types))
 
-    return stored(numbered.mapInArrow(split, ", ".join(f"{c} {t}" for c, t in types.items())), "tokens")
+    return stored(numbered.mapInArrow(count, ", ".join(f"{c} {t}" for c, t in types.items())), "numbered")
 
 
-_ENTRY = [("chunk_no", pa.int64()), ("tf_body", pa.int32()), ("tf_title", pa.int32()), ("len_body", pa.int32()), ("len_title", pa.int32())]
-_BLOCK = pa.schema(
-    [
-        ("part", pa.int32()), ("term", pa.string()), ("block_no", pa.int32()), ("impact", pa.float64()),
-        ("max_body", pa.int32()), ("max_title", pa.int32()), ("min_body", pa.int32()), ("min_title", pa.int32()),
-        ("entries", pa.list_(pa.struct(_ENTRY))),
-    ]
-)
+#: The columns of a posting; a block has an array of each.
+ENTRY = ["chunk_no", "tf_body", "tf_title", "len_body", "len_title"]
 _BLOCK_COLUMNS = (
     "part int, term string, block_no int, impact double, max_body int, max_title int, min_body int, min_title int, "
-    "entries array<struct<chunk_no:long,tf_body:int,tf_title:int,len_body:int,len_title:int>>"
+    "chunk_no array<long>, tf_body array<int>, tf_title array<int>, len_body array<int>, len_title array<int>"
 )
 
 
-def _blocks(tokens: DataFrame, block: int, title_weight: int, mean_length: float, k1: float, b: float) -> DataFrame:
+def _blocks(numbered: DataFrame, block: int, title_weight: int, mean_length: float, k1: float, b: float) -> DataFrame:
     """The postings of each part, counted and cut into blocks. A chunk without a text or a title has none."""
 
     def cut(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        table = table.filter(pc.and_(pc.is_valid(table.column("body")), pc.is_valid(table.column("heading"))))
-        body, heading = (table.column(c).combine_chunks() for c in ("body", "heading"))
-        len_body, len_title = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int32) for x in (body, heading))
-        said = pa.concat_arrays([body.flatten(), heading.flatten()]).dictionary_encode()
-        n, in_body = table.num_rows, int(len_body.sum())
-        if not len(said):
-            return _BLOCK.empty_table()
-        chunk_no = table.column("chunk_no").to_numpy()
-        chunk = np.concatenate([np.repeat(np.arange(n), len_body), np.repeat(np.arange(n), len_title)])
-        pair, where = np.unique(said.indices.to_numpy().astype(np.int64) * n + chunk, return_inverse=True)
-        tf_body, tf_title = (np.bincount(x, minlength=len(pair)) for x in (where[:in_body], where[in_body:]))
+        part, table = table.column("part")[0].as_py(), table.sort_by("chunk_no")
+        (body, of_body), (title, of_title) = (tx.low_tokens(table.column(c).combine_chunks()) for c in ("body", "heading"))
+        said = pa.concat_arrays([body, title]).dictionary_encode()
+        n, chunk_no = table.num_rows, table.column("chunk_no").to_numpy()
+        len_body, len_title = (np.bincount(x, minlength=n) for x in (of_body, of_title))
+        # A term's number, its chunk's place and whether it is in the title, as one number.
+        key = (said.indices.to_numpy().astype(np.int64) * n + np.append(of_body, of_title)) * 2
+        key[len(body) :] += 1
+        key, many = np.unique(key, return_counts=True)
+        pair, where = np.unique(key // 2, return_inverse=True)
+        tf_body, tf_title = (np.bincount(where[x], many[x], len(pair)).astype(np.int64) for x in (key % 2 == 0, key % 2 == 1))
         term, chunk = pair // n, pair % n
         impact = _added(tf_body, tf_title, len_body[chunk], len_title[chunk], title_weight, mean_length, k1, b)
-        order = np.lexsort((chunk_no[chunk], -impact, term))
+        # The sort is stable, and chunks of a term stand in order.
+        order = np.lexsort((-impact, term))
         term, chunk, impact, tf_body, tf_title = (x[order] for x in (term, chunk, impact, tf_body, tf_title))
         at = np.arange(len(term))
-        first = np.maximum.accumulate(np.where(np.append(True, term[1:] != term[:-1]), at, 0))
+        first = np.maximum.accumulate(np.where(np.append(True, term[1:] != term[:-1]), at, 0)) if len(term) else at
         starts = np.flatnonzero((at - first) % block == 0)
-        of_entry = {"chunk_no": chunk_no[chunk], "tf_body": tf_body, "tf_title": tf_title, "len_body": len_body[chunk], "len_title": len_title[chunk]}
-        entries = pa.StructArray.from_arrays([pa.array(of_entry[c]).cast(t) for c, t in _ENTRY], names=[c for c, _ in _ENTRY])
-        extremes = [np.maximum.reduceat(x, starts) for x in (impact, tf_body, tf_title)] + [np.minimum.reduceat(of_entry[c], starts) for c in ("len_body", "len_title")]
-        columns = [
-            np.full(len(starts), part), said.dictionary.take(pa.array(term[starts])), ((at - first) // block)[starts], *extremes,
-            pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), entries),
-        ]
-        return pa.table([x if isinstance(x, pa.Array) else pa.array(x).cast(f.type) for x, f in zip(columns, _BLOCK)], names=_BLOCK.names)
-
-    return tokens.select("part", "chunk_no", "body", "heading").groupBy("part").applyInArrow(cut, _BLOCK_COLUMNS)
+        entries = [chunk_no[chunk], tf_body, tf_title, len_body[chunk], len_title[chunk]]
+        if not len(starts):
+            starts, extremes = at, [impact, tf_body, tf_title, *entries[3:]]
+        else:
+            extremes = [np.maximum.reduceat(x, starts) for x in (impact, tf_body, tf_title)] + [np.minimum.reduceat(x, starts) for x in entries[3:]]
+        offsets = pa.array(np.append(starts, len(at)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64() if c == "chunk_no" else pa.int32())) for c, x in zip(ENTRY, entries)]
+        numbers = [pa.array(x, pa.int32()) for x in (np.full(len(starts), part), (at - first)[starts] // block, *extremes[1:])]
+        columns = [numbers[0], said.dictionary.take(pa.array(term[starts])), numbers[1], pa.array(extremes[0], pa.float64()), *numbers[2:], *lists]
+        return pa.table(columns, names=[c.split()[0] for c in _BLOCK_COLUMNS.split(", ")])
+
+    # Lengths are counted of texts and titles that both exist.
+    whole = numbered.where("body is not null and heading is not null")
+    return whole.select("part", "chunk_no", "body", "heading").groupBy("part").applyInArrow(cut, _BLOCK_COLUMNS)
 
 
 def raw_idf(df: Column, n_chunks: int) -> Column:
@@ -141,13 +140,13 @@ def build_index(
     """
     spark = chunks.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens = numbered_chunks(chunks, shards)
-    sizes = tokens.agg(F.count("*").alias("n"), F.sum(F.size("body")).alias("body"), F.sum(F.size("heading")).alias("title")).first()
+    numbered = numbered_chunks(chunks)
+    sizes = numbered.agg(F.count("*").alias("n"), F.sum("len_body").alias("body"), F.sum("len_title").alias("title")).first()
     n_chunks, body, title = sizes["n"], sizes["body"] or 0, sizes["title"] or 0
     # A part is what one task scores at once.
     part = F.pmod(F.xxhash64("chunk_no"), F.lit(max(PARTS * shards, -(-n_chunks // PART_CHUNKS)))).cast("int")
     mean_length = (body + title_weight * title) / max(n_chunks, 1)
-    rows = _blocks(tokens.withColumn("part", part).repartition(shards, "part"), block, title_weight, mean_length, k1, b)
+    rows = _blocks(numbered.withColumn("part", part).repartition(shards, "part"), block, title_weight, mean_length, k1, b)
     name = f"snaptext_postings_{uuid.uuid4().hex}"
     (
         rows.withColumn("block_id", F.monotonically_increasing_id())
@@ -158,9 +157,9 @@ def build_index(
     )
     blocks = spark.table(name)
     over = [getattr(F, how)(c).alias(c) for c, how in (("impact", "max"), ("max_body", "max"), ("max_title", "max"), ("min_body", "min"), ("min_title", "min"))]
-    terms = stored(blocks.groupBy("term").agg(F.sum(F.size("entries")).alias("df"), *over), "terms")
+    terms = stored(blocks.groupBy("term").agg(F.sum(F.size("chunk_no")).alias("df"), *over), "terms")
     mean_idf = terms.agg(F.avg(raw_idf(F.col("df"), n_chunks))).first()[0]
-    named = tokens.select("chunk_no", *CHUNK_KEYS)
+    named = numbered.select("chunk_no", *CHUNK_KEYS)
     return LexicalIndex(blocks, named, terms, n_chunks, body, title, mean_idf or 0.0, (title_weight, k1, b), name)
 
 
@@ -260,7 +259,7 @@ def _summed(
     terms = weights.select("term").distinct()
     blocks = index.blocks.join(F.broadcast(terms) if small else terms, "term", "left_semi")
     # Names of their own, as ``matches`` come from the same table.
-    blocks = blocks.select(F.col("part").alias("of_part"), F.col("block_id").alias("held_id"), F.col("entries").alias("held"))
+    blocks = blocks.select(F.col("part").alias("of_part"), F.col("block_id").alias("held_id"), *ENTRY)
     of = ["of_part"]
     groups = -(-n_queries // (QUERY_BLOCK if n else QUERY_BLOCK // 16))
     if groups > 1:
@@ -272,10 +271,10 @@ def _summed(
         found = []
         if asked.num_rows:
             held = held.sort_by("held_id")
-            entries = held.column("held").combine_chunks()
-            sizes = pc.list_value_length(entries).to_numpy(zero_copy_only=False).astype(np.int64)
+            entries = [held.column(c).combine_chunks() for c in ENTRY]
+            sizes = pc.list_value_length(entries[0]).to_numpy(zero_copy_only=False).astype(np.int64)
             starts = np.cumsum(sizes) - sizes
-            chunk_no, tf_body, tf_title, len_body, len_title = (x.to_numpy(zero_copy_only=False) for x in entries.flatten().flatten())
+            chunk_no, tf_body, tf_title, len_body, len_title = (x.flatten().to_numpy(zero_copy_only=False) for x in entries)
             impact = _added(tf_body, tf_title, len_body, len_title, title_weight, mean_length, k1, b)
             numbers, chunk = np.unique(chunk_no, return_inverse=True)
             asked = asked.sort_by([("query_no", "ascending"), ("block_id", "ascending")])

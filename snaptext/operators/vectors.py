@@ -60,16 +60,23 @@ def chunk_vectors(counts: DataFrame | LexicalIndex, idf: DataFrame, dims: int =
 
 
 def _part_vectors(index: LexicalIndex, idf: DataFrame, dims: int) -> DataFrame:
-    """(``chunk_no``, ``vector``) of the chunks with a token in their text; a term's slot and weight are found once."""
+    """(``chunk_no``, ``vector``) of the chunks with a token in their text; a term's slot and weight are found once.
+
+    Blocks get the weight of their term by their number, so that postings aren't shuffled however many terms there are.
+    """
     weight = F.round(F.col("idf") * 1000).cast("long") * term_sign(F.col("term"))
     terms = idf.select("term", weight.alias("weight"), term_slot(F.col("term"), dims).alias("slot"))
-    rows = index.blocks.where("max_body > 0").select("part", "term", "entries").join(small_side(terms), "term")
-
-    def fill(table: pa.Table) -> pa.Table:
-        entries = table.column("entries").combine_chunks()
-        sizes = pc.list_value_length(entries).to_numpy(zero_copy_only=False)
-        chunk_no, tf = (x.to_numpy(zero_copy_only=False) for x in entries.flatten().flatten()[:2])
-        slot, weight = (np.repeat(table.column(c).to_numpy(), sizes) for c in ("slot", "weight"))
+    blocks = index.blocks.where("max_body > 0")
+    weighed = blocks.select("part", "block_id", "term").join(small_side(terms), "term").select("part", "block_id", "slot", "weight")
+    # Names of their own, as both sides come from the same table.
+    held = blocks.select(F.col("part").alias("of_part"), F.col("block_id").alias("held_id"), "chunk_no", "tf_body")
+
+    def fill(weighed: pa.Table, held: pa.Table) -> pa.Table:
+        weighed, held = weighed.sort_by("block_id"), held.sort_by("held_id")
+        chunk_no, tf = (held.column(c).combine_chunks() for c in ("chunk_no", "tf_body"))
+        sizes = pc.list_value_length(chunk_no).to_numpy(zero_copy_only=False)
+        chunk_no, tf = (x.flatten().to_numpy(zero_copy_only=False) for x in (chunk_no, tf))
+        slot, weight = (np.repeat(weighed.column(c).to_numpy(), sizes) for c in ("slot", "weight"))
         said = tf > 0
         numbers, chunk = np.unique(chunk_no[said], return_inverse=True)
         # Whole numbers, so that sums don't depend on an order.
@@ -77,7 +84,7 @@ def _part_vectors(index: LexicalIndex, idf: DataFrame, dims: int) -> DataFrame:
         offsets = pa.array(np.arange(len(numbers) + 1) * dims, pa.int32())
         return pa.table([pa.array(numbers), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["chunk_no", "vector"])
 
-    return rows.select("part", "slot", "weight", "entries").groupBy("part").applyInArrow(fill, "chunk_no long, vector array<double>")
+    return weighed.groupBy("part").cogroup(held.groupBy("of_part")).applyInArrow(fill, "chunk_no long, vector array<double>")
 
 
 def query_vectors(queries: DataFrame, idf: DataFrame, dims: int = settings.VECTOR_DIMS) -> DataFrame:

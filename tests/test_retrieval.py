@@ -1,6 +1,9 @@
 """Ranking, fusion, union and expansion against plain Python on small fixtures."""
 
+import contextlib
+import io
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -378,3 +381,13 @@ def test_passages_of_any_length_find_their_documents(spark, tmp_path, passage):
     spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     found = {(r["query_id"], r["entity_id"]) for r in Data(spark, str(tmp_path)).gold().collect()}
     assert found == {("7", str(d)) for d, t in docs if passage in t}
+
+
+def test_vectors_do_not_shuffle_postings(spark, uneven, monkeypatch):
+    """However many terms there are: blocks get their weights by number, and only vectors move to their keys."""
+    monkeypatch.setattr(vectors, "small_side", lambda df: df)
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        vectors._part_vectors(uneven, lexical.idf_table(uneven), 64).explain("formatted")
+    moved = re.findall(r"Exchange\nInput \[\d+\]: (.*)", out.getvalue())
+    assert moved and not any("entries" in row or "tf_body" in row for row in moved)

@@ -1,5 +1,8 @@
+import random
 import re
+from collections import Counter
 
+import pyarrow as pa
 from hypothesis import given, settings as hyp, strategies as st
 from pyspark.sql import functions as F
 
@@ -72,3 +75,14 @@ def test_headings(spark):
     assert column(spark, ["SECTION B1: General", "SECTION B: x", "Section B: x"], lines.outer_label) == [
         "SECTION B1", "SECTION B", None,
     ]
+
+
+def test_tokens_of_many_texts_are_those_of_each(spark):
+    """Texts that end in a hyphen or a token, empty ones and nulls; pairs don't cross texts."""
+    rng = random.Random(4)
+    texts = [None, "", "a-", "b-c-d-e", "-f", "g--h", "é-i j-k"] + ["".join(rng.choice("ab1-- é\n") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    found, of = tx.low_tokens(pa.array(texts, pa.string()))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", tx.tokens(F.col("text")).alias("t")).collect()
+    assert Counter(zip(of.tolist(), found.to_pylist())) == Counter((r["i"], t) for r in rows for t in r["t"] or [])
+    none, _ = tx.low_tokens(pa.array([None, ""], pa.string()))
+    assert len(none) == 0
