@@ -193,14 +193,9 @@ def entity_sizes(d):
 @query
 def reconstruct_roundtrip(d):
     """Texts rebuilt from chunks, compared with the words of the originals."""
-    originals = d.editions().select(
-        "snapshot",
-        "entity_id",
-        F.array_join(
-            tx.words(chunking.stub_body(F.col("body"), F.col("entity_id"), F.col("title"))), " "
-        ).alias("original"),
-    )
-    return chunking.rebuilt_texts(d.chunks).join(originals, ["snapshot", "entity_id"]).select(
+    body = chunking.stub_body(F.col("body"), F.col("entity_id"), F.col("title"))
+    originals = d.editions().select("snapshot", "entity_id", tx.single_spaced(body).alias("original"))
+    return chunking.rebuilt_beside(d.chunks, originals).select(
         "snapshot", "entity_id", F.md5("text").alias("digest"), (F.col("text") == F.col("original")).alias("same")
     )
 

@@ -33,6 +33,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANK_RUN_JAVA), "")
 
 
+def split_words(text: str) -> list[str]:
+    """What ``words`` returns, in Python: there the same characters are blank."""
+    return text.split()
+
+
+def single_spaced(text: Column) -> Column:
+    """The ``words`` of ``text`` with single spaces between them."""
+
+    def join(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else " ".join(t.split()) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(join, "string")(text)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case alphanumeric tokens, then the joined form of each hyphenated pair."""
     low = F.lower(text)
@@ -56,30 +70,51 @@ def low_tokens(low: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
 
     The joined forms of hyphenated pairs come last.
     """
+    said, first, last, of = _low_runs(low)
+    if not len(first):
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    offsets = np.append(0, np.cumsum(last - first + 1)).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(said[_IN_TOKEN[said]]))
+    left = _left_of_pairs(said, first, last, of)
+    if not len(left):
+        return found, of
+    joined = pc.binary_join_element_wise(found.take(pa.array(left)), found.take(pa.array(left + 1)), "")
+    return pa.concat_arrays([found, joined]), np.append(of, of[left])
+
+
+def n_low_tokens(low: pa.StringArray) -> np.ndarray:
+    """How many ``low_tokens`` each text has."""
+    said, first, last, of = _low_runs(low)
+    return np.bincount(np.append(of, of[_left_of_pairs(said, first, last, of)]), minlength=len(low))
+
+
+def _low_runs(low: pa.StringArray) -> tuple[np.ndarray, ...]:
+    """The bytes of all texts, the first and last byte of each token and the text it is in."""
     low = low.fill_null("")
     ends_at = np.cumsum(pc.binary_length(low).to_numpy(zero_copy_only=False).astype(np.int64))
-    said = np.frombuffer("".join(low.to_pylist()).encode(), np.uint8)
-    if not len(said):
-        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    size = int(ends_at[-1]) if len(ends_at) else 0
+    # The texts lie one after the other, from the first one's place on.
+    at = int(np.frombuffer(low.buffers()[1], np.int32)[low.offset]) if size else 0
+    said = np.frombuffer(low.buffers()[2], np.uint8)[at : at + size] if size else np.zeros(0, np.uint8)
+    if not size:
+        return said, *(np.zeros(0, np.int64) for _ in range(3))
     inside = _IN_TOKEN[said]
     # A token ends with its text.
     goes_on = np.append(inside[:-1] & inside[1:], False)
-    goes_on[ends_at[(ends_at > 0) & (ends_at < len(said))] - 1] = False
+    goes_on[ends_at[(ends_at > 0) & (ends_at < size)] - 1] = False
     last = np.flatnonzero(inside & ~goes_on)
     first = np.flatnonzero(inside & ~np.append(False, goes_on[:-1]))
-    offsets = np.append(0, np.cumsum(last - first + 1)).astype(np.int32)
-    found = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(said[inside]))
-    of = np.searchsorted(ends_at, first, side="right")
+    return said, first, last, np.searchsorted(ends_at, first, side="right")
+
+
+def _left_of_pairs(said: np.ndarray, first: np.ndarray, last: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The first token of each hyphenated pair."""
     # Pairs don't overlap: of tokens linked by single hyphens the first two are one, then the next two.
     linked = (first[1:] == last[:-1] + 2) & (of[1:] == of[:-1])
     linked[linked] = said[last[:-1][linked] + 1] == ord("-")
     at = np.arange(len(linked))
     since = np.maximum.accumulate(np.where(linked, -1, at)) if len(at) else at
-    left = np.flatnonzero(linked & ((at - since) % 2 == 1))
-    if not len(left):
-        return found, of
-    joined = pc.binary_join_element_wise(found.take(pa.array(left)), found.take(pa.array(left + 1)), "")
-    return pa.concat_arrays([found, joined]), np.append(of, of[left])
+    return np.flatnonzero(linked & ((at - since) % 2 == 1))
 
 
 def normalised(text: Column) -> Column:

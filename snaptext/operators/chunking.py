@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from snaptext import settings
 from snaptext.functions import text as tx
 from snaptext.scale import small_side, carry_forward
 
+#: Texts that are cut into windows at once.
+CUT_ROWS = 256
+
 
 def chunk_id(snapshot: Column, entity: Column, index: Column) -> Column:
     return F.concat(snapshot, F.lit("__"), entity, F.lit("_"), index.cast("string"))
@@ -25,20 +31,30 @@ def chunk_bodies(
     size: int = settings.WINDOW_WORDS,
     overlap: int = settings.WINDOW_OVERLAP,
 ) -> DataFrame:
-    """Windows of texts that are one row each; no shuffle."""
+    """Windows of texts that are one row each; no shuffle. A null text has none, one without a word an empty window."""
     step = size - overlap
-    rest = [c for c in bodies.columns if c != text]
-    split = bodies.select(*rest, tx.words(F.col(text)).alias("_words"))
-    n = F.size("_words")
-    last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - overlap) / step) - 1).cast("int")
-    one = split.select(*rest, "_words", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-    window = F.slice("_words", F.col("chunk_index") * step + 1, F.lit(size))
-    return one.select(
-        *rest,
-        "chunk_index",
-        F.array_join(window, " ").alias("text"),
-        F.size(window).alias("n_words"),
-    )
+    types = {f.name: f.dataType.simpleString() for f in bodies.schema if f.name != text} | {"chunk_index": "int", "text": "string", "n_words": "int"}
+    rest = list(types)[:-3]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CUT_ROWS):
+                batch = whole.slice(at, CUT_ROWS)
+                of, index, windows, sizes = [], [], [], []
+                for row, body in enumerate(batch.column(text).to_pylist()):
+                    if body is None:
+                        continue
+                    said = tx.split_words(body)
+                    starts = range(0, max(len(said) - overlap, 1), step)
+                    of += [row] * len(starts)
+                    index += range(len(starts))
+                    windows += [" ".join(said[i : i + size]) for i in starts]
+                    sizes += [min(size, len(said) - i) for i in starts]
+                kept = batch.select(rest).take(pa.array(of, pa.int64()))
+                columns = [*kept.columns, pa.array(index, pa.int32()), pa.array(windows, pa.string()), pa.array(sizes, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=list(types))
+
+    return bodies.select(*rest, text).mapInArrow(cut, ", ".join(f"`{c}` {t}" for c, t in types.items()))
 
 
 def chunk_lines(
@@ -148,7 +164,22 @@ def fresh_pieces(chunks: DataFrame, overlap: int = settings.WINDOW_OVERLAP) -> D
 
 def rebuilt_texts(chunks: DataFrame, overlap: int = settings.WINDOW_OVERLAP) -> DataFrame:
     """The text of each entity as one row."""
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "piece")))
-    return fresh_pieces(chunks, overlap).groupBy("snapshot", "entity_id").agg(
-        F.array_join(F.transform(ordered, lambda x: x["piece"]), " ").alias("text")
-    )
+    return fresh_pieces(chunks, overlap).groupBy("snapshot", "entity_id").agg(_joined(F.struct("chunk_index", "piece")).alias("text"))
+
+
+def _joined(piece: Column) -> Column:
+    """The pieces of a group in order, as one text; null ones don't count."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["piece"]), " ")
+
+
+def rebuilt_beside(chunks: DataFrame, originals: DataFrame, overlap: int = settings.WINDOW_OVERLAP) -> DataFrame:
+    """``originals`` (``snapshot, entity_id, original``), each with the rebuilt ``text`` of its entity; those without a chunk are left out.
+
+    Pieces and originals meet in one grouping.
+    """
+    keys = ["snapshot", "entity_id"]
+    pieces = fresh_pieces(chunks, overlap).select(*keys, F.struct("chunk_index", "piece").alias("piece"), F.lit(None).alias("whole"))
+    wholes = originals.select(*keys, F.lit(None).alias("piece"), F.struct("original").alias("whole"))
+    met = pieces.unionByName(wholes).where("snapshot is not null and entity_id is not null").groupBy(*keys)
+    both = met.agg(F.count("piece").alias("n"), _joined(F.col("piece")).alias("text"), F.collect_list("whole").alias("wholes"))
+    return both.where("n > 0").select(*keys, "text", F.explode("wholes").alias("whole")).select(*keys, "text", "whole.original")

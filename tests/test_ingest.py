@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from snaptext import scale
 from snaptext.checks.bindings import Data
+from snaptext.functions import text as tx
 from snaptext.operators import chunking, sections
 from snaptext.plans import ingest
 from snaptext.sources import pages as page_source, published, tables
@@ -231,3 +232,23 @@ def test_tables_are_published_where_they_are_asked_for(spark):
     assert set(published.manifest(spark, d.published_pages)["tables"]) == {"pages"} and "chunks" not in vars(d)
     assert d.published_chunks().count() == d.chunks.count()
     assert set(published.manifest(spark, d.published)["tables"]) == {"pages", "chunks"}
+
+
+def test_rebuilt_texts_meet_their_originals_in_one_grouping(spark):
+    """Each original with the text of its entity; equal keys share the pieces, and without a chunk there is none."""
+    bodies = [("s", "1", "a  b\u2003c"), ("s", "1", None), ("s", "2", "\x1c" + "w " * 400), (None, "3", "x"), ("s", None, "x"), ("s", "4", None), ("s", "5", "")]
+    df = spark.createDataFrame(bodies, "snapshot string, entity_id string, body string")
+    both = chunking.rebuilt_beside(chunking.chunk_bodies(df), df.select("snapshot", "entity_id", tx.single_spaced(F.col("body")).alias("original")))
+    want = [("1", "a b c", "a b c"), ("1", "a b c", None), ("2", " ".join(["w"] * 400), " ".join(["w"] * 400)), ("5", "", "")]
+    key = lambda r: (r[0], r[1], r[2] or "")
+    assert sorted(map(tuple, both.select("entity_id", "text", "original").collect()), key=key) == sorted(want, key=key)
+    assert "Join" not in both._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windows_are_cut_in_arrays(spark):
+    """No expression per word, whatever the blanks."""
+    texts = [f"a{blank}b" for blank in tx.BLANKS] + ["", " \u2003", "a" + tx.BLANKS + "b"]
+    df = spark.createDataFrame([("s", str(i), t) for i, t in enumerate(texts)], "snapshot string, entity_id string, body string")
+    chunks = chunking.chunk_bodies(df)
+    assert "MapInArrow" in chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["entity_id"]: (r["text"], r["n_words"]) for r in chunks.collect()} == {str(i): (" ".join(t.split()), len(t.split())) for i, t in enumerate(texts)}
