@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -37,7 +38,7 @@ DIGITS = 6
 class LexicalIndex:
     """Stored index tables and the three corpus numbers that scoring needs."""
 
-    blocks: DataFrame  # part, term, block_no, impact, max_body, max_title, min_body, min_title, arrays of the columns of ENTRY, block_id
+    blocks: DataFrame  # part, term, block_no, n, impact, max_body, max_title, min_body, min_title, arrays of the columns of ENTRY, block_id
     chunks: DataFrame  # chunk_no, entity_id, chunk_index; postings name chunks by number
     terms: DataFrame  # term, df, impact, max_body, max_title, min_body, min_title
     n_chunks: int
@@ -67,8 +68,7 @@ def numbered_chunks(chunks: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = [tx.low_tokens(batch.column(c))[1] for c in ("body", "heading")]
-            lengths = [pa.array(np.bincount(x, minlength=batch.num_rows).astype(np.int32)) for x in of]
+            lengths = [pa.array(tx.n_low_tokens(batch.column(c)).astype(np.int32)) for c in ("body", "heading")]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lengths], names=list(types))
 
     return stored(numbered.mapInArrow(count, ", ".join(f"{c} {t}" for c, t in types.items())), "numbered")
@@ -77,7 +77,7 @@ def numbered_chunks(chunks: DataFrame) -> DataFrame:
 #: The columns of a posting; a block has an array of each.
 ENTRY = ["chunk_no", "tf_body", "tf_title", "len_body", "len_title"]
 _BLOCK_COLUMNS = (
-    "part int, term string, block_no int, impact double, max_body int, max_title int, min_body int, min_title int, "
+    "part int, term string, block_no int, n int, impact double, max_body int, max_title int, min_body int, min_title int, "
     "chunk_no array<long>, tf_body array<int>, tf_title array<int>, len_body array<int>, len_title array<int>"
 )
 
@@ -95,7 +95,10 @@ def _blocks(numbered: DataFrame, block: int, title_weight: int, mean_length: flo
         key = (said.indices.to_numpy().astype(np.int64) * n + np.append(of_body, of_title)) * 2
         key[len(body) :] += 1
         key, many = np.unique(key, return_counts=True)
-        pair, where = np.unique(key // 2, return_inverse=True)
+        # In order already.
+        pair = key // 2
+        new = np.append(True, pair[1:] != pair[:-1])[: len(pair)]
+        pair, where = pair[new], np.cumsum(new) - 1
         tf_body, tf_title = (np.bincount(where[x], many[x], len(pair)).astype(np.int64) for x in (key % 2 == 0, key % 2 == 1))
         term, chunk = pair // n, pair % n
         impact = _added(tf_body, tf_title, len_body[chunk], len_title[chunk], title_weight, mean_length, k1, b)
@@ -112,8 +115,9 @@ def _blocks(numbered: DataFrame, block: int, title_weight: int, mean_length: flo
             extremes = [np.maximum.reduceat(x, starts) for x in (impact, tf_body, tf_title)] + [np.minimum.reduceat(x, starts) for x in entries[3:]]
         offsets = pa.array(np.append(starts, len(at)), pa.int32())
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64() if c == "chunk_no" else pa.int32())) for c, x in zip(ENTRY, entries)]
-        numbers = [pa.array(x, pa.int32()) for x in (np.full(len(starts), part), (at - first)[starts] // block, *extremes[1:])]
-        columns = [numbers[0], said.dictionary.take(pa.array(term[starts])), numbers[1], pa.array(extremes[0], pa.float64()), *numbers[2:], *lists]
+        held = np.diff(np.append(starts, len(at)))
+        numbers = [pa.array(x, pa.int32()) for x in (np.full(len(starts), part), (at - first)[starts] // block, held, *extremes[1:])]
+        columns = [numbers[0], said.dictionary.take(pa.array(term[starts])), *numbers[1:3], pa.array(extremes[0], pa.float64()), *numbers[3:], *lists]
         return pa.table(columns, names=[c.split()[0] for c in _BLOCK_COLUMNS.split(", ")])
 
     # Lengths are counted of texts and titles that both exist.
@@ -151,13 +155,12 @@ def build_index(
     (
         rows.withColumn("block_id", F.monotonically_increasing_id())
         .write.bucketBy(shards, "part")
-        .sortBy("part", "term")
         .option("path", f"{shared_folder(spark)}/{name}")
         .saveAsTable(name)
     )
     blocks = spark.table(name)
     over = [getattr(F, how)(c).alias(c) for c, how in (("impact", "max"), ("max_body", "max"), ("max_title", "max"), ("min_body", "min"), ("min_title", "min"))]
-    terms = stored(blocks.groupBy("term").agg(F.sum(F.size("chunk_no")).alias("df"), *over), "terms")
+    terms = stored(blocks.groupBy("term").agg(F.sum("n").alias("df"), *over), "terms")
     mean_idf = terms.agg(F.avg(raw_idf(F.col("df"), n_chunks))).first()[0]
     named = numbered.select("chunk_no", *CHUNK_KEYS)
     return LexicalIndex(blocks, named, terms, n_chunks, body, title, mean_idf or 0.0, (title_weight, k1, b), name)
@@ -165,10 +168,12 @@ def build_index(
 
 def idf_table(index: LexicalIndex, epsilon: float = settings.BM25_EPSILON) -> DataFrame:
     """Inverse document frequency; negative values become a share of the mean over all terms."""
+    return index.terms.select("term", "df", _idf(index, epsilon).alias("idf"))
+
+
+def _idf(index: LexicalIndex, epsilon: float) -> Column:
     raw = raw_idf(F.col("df"), index.n_chunks)
-    return index.terms.select(
-        "term", "df", F.when(raw < 0, F.lit(epsilon * index.mean_idf)).otherwise(raw).alias("idf")
-    )
+    return F.when(raw < 0, F.lit(epsilon * index.mean_idf)).otherwise(raw)
 
 
 def alias_table(spark: SparkSession, aliases: dict[str, list[str]]) -> DataFrame:
@@ -219,9 +224,8 @@ def _bound(index: LexicalIndex, title_weight: int, k1: float, b: float) -> Colum
 
 def term_weights(index: LexicalIndex, terms: DataFrame, epsilon: float, most: Column) -> DataFrame:
     """Count in the query times idf, for every query term that the corpus has, and ``others``: what other terms can add at most."""
-    idf = idf_table(index, epsilon).select("term", "idf")
-    found = index.terms.join(idf, "term").join(terms, "term")
-    weight = F.col("qtf") * F.col("idf")
+    found = index.terms.join(small_side(stored(terms, "query-terms")), "term")
+    weight = F.col("qtf") * _idf(index, epsilon)
     weighed = found.select(*QUERY_KEYS, "term", weight.alias("weight"), (weight * most).alias("most"))
     # A term of negative weight, as in a tiny corpus, leaves the query without a threshold.
     query = Window.partitionBy(*QUERY_KEYS)
@@ -231,8 +235,9 @@ def term_weights(index: LexicalIndex, terms: DataFrame, epsilon: float, most: Co
 
 def _numbered(weights: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Weights by number of the query, and the numbers: sums by numbers cost less than by the keys themselves."""
-    asked = stored(weights.select(*QUERY_KEYS).distinct().withColumn("query_no", F.monotonically_increasing_id()), "queries")
-    return stored(weights.join(asked, QUERY_KEYS).drop(*QUERY_KEYS), "weights"), asked
+    kept = stored(weights, "query-weights")
+    asked = stored(kept.select(*QUERY_KEYS).distinct().withColumn("query_no", F.monotonically_increasing_id()), "queries")
+    return stored(kept.join(small_side(asked), QUERY_KEYS).drop(*QUERY_KEYS), "weights"), asked
 
 
 def _named(index: LexicalIndex, scored: DataFrame, asked: DataFrame) -> DataFrame:
@@ -248,16 +253,19 @@ def _matches(index: LexicalIndex, weights: DataFrame, small: bool, title_weight:
 
 
 def _summed(
-    index: LexicalIndex, matches: DataFrame, weights: DataFrame, small: bool, n_queries: int, n: int | None, title_weight: int, k1: float, b: float
+    index: LexicalIndex, matches: DataFrame, weights: DataFrame, small: bool, n_queries: int, n: int | None, title_weight: int, k1: float, b: float,
+    some: str = "true",
 ) -> DataFrame:
     """Scores of the chunks in the given blocks; those of a chunk are in one part, and so in one bucket.
 
+    ``some`` is what holds for all given blocks; no other ones are read.
+
     With ``n``, of each query and part the ``n`` best chunks and those that may tie with them; else all. Sums are taken of
     arrays, part by part; a batch of many queries meets a part in several groups.
     """
     by, asked = ["part"], matches.select("part", "block_id", "query_no", "weight")
     terms = weights.select("term").distinct()
-    blocks = index.blocks.join(F.broadcast(terms) if small else terms, "term", "left_semi")
+    blocks = index.blocks.where(some).join(F.broadcast(terms) if small else terms, "term", "left_semi")
     # Names of their own, as ``matches`` come from the same table.
     blocks = blocks.select(F.col("part").alias("of_part"), F.col("block_id").alias("held_id"), *ENTRY)
     of = ["of_part"]
@@ -276,7 +284,7 @@ def _summed(
             starts = np.cumsum(sizes) - sizes
             chunk_no, tf_body, tf_title, len_body, len_title = (x.flatten().to_numpy(zero_copy_only=False) for x in entries)
             impact = _added(tf_body, tf_title, len_body, len_title, title_weight, mean_length, k1, b)
-            numbers, chunk = np.unique(chunk_no, return_inverse=True)
+            chunk, numbers = pd.factorize(chunk_no)
             asked = asked.sort_by([("query_no", "ascending"), ("block_id", "ascending")])
             place = np.searchsorted(held.column("held_id").to_numpy(), asked.column("block_id").to_numpy())
             weight = asked.column("weight").to_numpy()
@@ -329,7 +337,8 @@ def needed_blocks(
     """The blocks that may hold one of the ``n`` best chunks of a query, as ``_matches``."""
     matches = _matches(index, weights, small, title_weight, k1, b)
     n_queries = weights.select("query_no").distinct().count()
-    first = _summed(index, matches.where("block_no = 0"), weights, small, n_queries, n, title_weight, k1, b)
+    begins = "block_no = 0"
+    first = _summed(index, matches.where(begins), weights, small, n_queries, n, title_weight, k1, b, begins)
     nth = first_n(first, n, ["query_no"], [F.desc("score")]).where(F.col("rank") == n)
     # At most one row per query, and a query has at least one row in the weights.
     thresholds = stored(nth.select("query_no", (F.col("score") - 10.0**-DIGITS).alias("least")), "thresholds")

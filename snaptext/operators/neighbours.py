@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from snaptext import settings
@@ -58,16 +59,60 @@ class VectorIndex:
         self.rows.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table_name}")
 
 
+def _with(df: DataFrame, name: str, kind: str, made) -> DataFrame:
+    """``df`` with a column of lists that ``made(batch)`` returns; rows for which it is null are left out."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema} | {name: kind}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = made(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=list(types)).filter(column.is_valid())
+
+    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in types.items()))
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType, missing: np.ndarray | None = None) -> pa.ListArray:
+    offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(values, kind), mask=None if missing is None else pa.array(missing))
+
+
+def _units(vectors: pa.ListArray) -> pa.ListArray:
+    """What ``vectors.unit_vector`` returns, of many vectors."""
+    sizes, flat = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64), vectors.flatten()
+    values, starts = flat.to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    squares = np.zeros(len(sizes))
+    # One component after the other, as Spark adds them.
+    for i in range(sizes.max(initial=0)):
+        longer = sizes > i
+        squares[longer] += values[starts[longer] + i] ** 2
+    norm = np.sqrt(squares)
+    # Not a number is the largest one in Spark.
+    missing = ~((norm > 0) | np.isnan(norm))
+    if flat.null_count:
+        missing |= np.bincount(of, flat.is_null().to_numpy(zero_copy_only=False), len(sizes)) > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return _lists(values / norm[of], sizes, pa.float64(), missing)
+
+
 def _prepared(df: DataFrame, columns: list[str], unit: bool) -> DataFrame:
     """Columns, the vector as doubles, and ``point``: what lists are made of."""
-    vector = F.col("vector").cast("array<double>")
-    rows = df.select(*columns, vector.alias("vector")).withColumn("point", unit_vector(F.col("vector")) if unit else F.col("vector"))
-    return rows.where(F.col("point").isNotNull())
+    rows = df.select(*columns, F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    return _with(rows, "point", "array<double>", lambda batch: _units(batch.column("vector"))) if unit else rows.withColumn("point", F.col("vector"))
+
+
+def _codes(points: pa.ListArray, scale: float) -> pa.ListArray:
+    """Points as small integers; a missing one is missing."""
+    flat = points.flatten()
+    found = np.clip(np.nan_to_num(np.floor(flat.to_numpy(zero_copy_only=False) * scale + 0.5), nan=0.0, posinf=CODE, neginf=-CODE), -CODE, CODE)
+    if flat.null_count:
+        found[flat.is_null().to_numpy(zero_copy_only=False)] = CODE
+    sizes = pc.fill_null(pc.list_value_length(points), 0).to_numpy(zero_copy_only=False)
+    return _lists(found.astype(np.int32), sizes, pa.int32(), points.is_null().to_numpy(zero_copy_only=False))
 
 
 def _coded(rows: DataFrame, scale: float) -> DataFrame:
-    scaled = F.transform("point", lambda x: F.greatest(F.lit(-CODE), F.least(F.lit(CODE), F.floor(x * scale + 0.5))).cast("int"))
-    return rows.withColumn("code", scaled)
+    return _with(rows, "code", "array<int>", lambda batch: _codes(batch.column("point"), scale))
 
 
 def _of_list(values: np.ndarray) -> Column:
@@ -108,11 +153,15 @@ def build(
     search, fewer where most lists are visited anyway.
     """
     spark, unit = corpus.sparkSession, metric == "cosine"
-    prepared = stored(_prepared(corpus, keys, unit), "vectors")
-    largest = F.max(F.greatest(F.abs(F.array_max("point")), F.abs(F.array_min("point"))))
-    found = prepared.agg(F.count("*").alias("n"), largest.alias("largest")).first()
-    n, scale = found["n"], CODE / (1.0 if unit or not found["largest"] else found["largest"])
-    coded = _coded(prepared, scale)
+    rows = corpus.select(*keys, F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    scale = float(CODE)
+    if not unit:
+        largest = rows.agg(F.max(F.greatest(F.abs(F.array_max("vector")), F.abs(F.array_min("vector"))))).first()[0]
+        scale /= largest or 1.0
+    # Vectors pass through Python as few times as can be, and their points are taken there.
+    pointed = _units if unit else lambda vectors: vectors
+    coded = stored(_with(rows, "code", "array<int>", lambda batch: _codes(pointed(batch.column("vector")), scale)), "vectors")
+    n = coded.count()
     shown = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]))
     held = coded.select(shown.alias("_at"), "code").orderBy("_at").limit(sample).toPandas()
     points = np.array(held["code"].tolist(), dtype=np.float64).reshape(len(held), -1 if len(held) else 0)
@@ -126,7 +175,7 @@ def build(
             rows = batch.num_rows
             if not rows:
                 continue
-            code, point, centre = _matrix(batch.column("code"), rows), _matrix(batch.column("point"), rows), sent.value
+            code, point, centre = _matrix(batch.column("code"), rows), _matrix(pointed(batch.column("vector")), rows), sent.value
             nearest = _squares(code, centre).argmin(axis=1)
             far = np.sqrt(((point - centre[nearest] / scale) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays(
@@ -134,7 +183,7 @@ def build(
             )
 
     columns = ", ".join(f"{c} {types[c]}" for c in [*keys, "vector", "code"])
-    placed = stored(coded.select(*keys, "vector", "point", "code").mapInArrow(assigned, f"{columns}, list int, far double"), "listed")
+    placed = stored(coded.select(*keys, "vector", "code").mapInArrow(assigned, f"{columns}, list int, far double"), "listed")
     # One row per list.
     per_list = {r["list"]: (r["n"], r["far"]) for r in placed.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     blocks = np.array([-(-per_list.get(i, (0, 0.0))[0] // block) for i in range(lists)], np.int64)

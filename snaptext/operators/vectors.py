@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
@@ -78,7 +79,7 @@ def _part_vectors(index: LexicalIndex, idf: DataFrame, dims: int) -> DataFrame:
         chunk_no, tf = (x.flatten().to_numpy(zero_copy_only=False) for x in (chunk_no, tf))
         slot, weight = (np.repeat(weighed.column(c).to_numpy(), sizes) for c in ("slot", "weight"))
         said = tf > 0
-        numbers, chunk = np.unique(chunk_no[said], return_inverse=True)
+        chunk, numbers = pd.factorize(chunk_no[said])
         # Whole numbers, so that sums don't depend on an order.
         values = np.bincount(chunk * dims + slot[said], (tf * weight)[said].astype(np.float64), len(numbers) * dims)
         offsets = pa.array(np.arange(len(numbers) + 1) * dims, pa.int32())

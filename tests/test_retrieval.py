@@ -391,3 +391,28 @@ def test_vectors_do_not_shuffle_postings(spark, uneven, monkeypatch):
         vectors._part_vectors(uneven, lexical.idf_table(uneven), 64).explain("formatted")
     moved = re.findall(r"Exchange\nInput \[\d+\]: (.*)", out.getvalue())
     assert moved and not any("entries" in row or "tf_body" in row for row in moved)
+
+
+def test_points_and_codes_are_made_in_arrays(spark):
+    """The same as by expressions on each component, of vectors with and without a direction too."""
+    nan, inf, rng = float("nan"), float("inf"), np.random.default_rng(3)
+    rows = [[0.0, 0.0], [], None, [1.0, None], [nan, 1.0], [inf, 1.0], [3.0, -4.0, 12.0], *rng.normal(size=(50, 64)).tolist()]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id int, vector array<double>")
+    made = neighbours._coded(neighbours._prepared(df, ["vec_id"], True), 127.0)
+    point = vectors.unit_vector(F.col("vector"))
+    scaled = F.transform(point, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x * 127.0 + 0.5))).cast("int"))
+    want = df.select("vec_id", point.alias("point"), scaled.alias("code")).where("point is not null")
+    assert sorted(map(str, made.select("vec_id", "point", "code").collect())) == sorted(map(str, want.collect()))
+    assert "transform(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    plain = neighbours._coded(neighbours._prepared(df.where("vec_id <> 3"), ["vec_id"], False), 2.0).collect()
+    assert {r["vec_id"]: r["code"] for r in plain if r["vec_id"] < 7} == {0: [0, 0], 1: [], 4: [0, 2], 5: [127, 2], 6: [6, -8, 24]}
+
+
+def test_thresholds_read_first_blocks_only(spark, uneven):
+    """And terms are counted without their postings."""
+    weights, _ = lexical._numbered(lexical.term_weights(uneven, lexical.query_terms(queries(spark, ASKED)), 0.25, lexical._bound(uneven, 8, 1.5, 0.75)))
+    matches = lexical._matches(uneven, weights, True, 8, 1.5, 0.75)
+    first = lexical._summed(uneven, matches.where("block_no = 0"), weights, True, len(ASKED), 5, 8, 1.5, 0.75, "block_no = 0")
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Filter [^\n]*block_no[^\n]*= 0[^\n]*\n[^\n]*Relation[^\n]*chunk_no", plan)
+    assert uneven.blocks.where("n <> size(chunk_no)").count() == 0

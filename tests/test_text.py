@@ -86,3 +86,12 @@ def test_tokens_of_many_texts_are_those_of_each(spark):
     assert Counter(zip(of.tolist(), found.to_pylist())) == Counter((r["i"], t) for r in rows for t in r["t"] or [])
     none, _ = tx.low_tokens(pa.array([None, ""], pa.string()))
     assert len(none) == 0
+
+
+def test_tokens_are_counted_without_them():
+    """Also of a slice of an array."""
+    texts = pa.array(["left out", "a-b-c d", None, "", "\u00e9t\u00e9-x y-z", "-", "q"], pa.string())
+    for some in (texts, texts.slice(1), texts.slice(2, 2), texts.slice(0, 0)):
+        _, of = tx.low_tokens(some)
+        assert tx.n_low_tokens(some).tolist() == [int((of == i).sum()) for i in range(len(some))]
+    assert tx.n_low_tokens(texts).tolist() == [2, 5, 0, 0, 5, 0, 1]
