@@ -26,7 +26,7 @@ from snaptext.scale import is_small, shared_folder, small_side, spread, stored
 
 CHUNK_KEYS = ["entity_id", "chunk_index"]
 QUERY_KEYS = ["query_id", "sub_no"]
-#: Postings of a block; parts of the index per shuffle partition.
+#: Postings of a block; parts of a small index per core.
 BLOCK, PARTS = 64, 2
 #: Chunks of a part, about and at most; queries that meet a part at once.
 PART_CHUNKS, QUERY_BLOCK = 16_384, 4096
@@ -38,7 +38,7 @@ DIGITS = 6
 class LexicalIndex:
     """Stored index tables and the three corpus numbers that scoring needs."""
 
-    blocks: DataFrame  # part, term, block_no, n, impact, max_body, max_title, min_body, min_title, arrays of the columns of ENTRY, block_id
+    blocks: DataFrame  # part, term, block_no, n, impact, max_body, max_title, min_body, min_title, the columns of ENTRY, block_id
     chunks: DataFrame  # chunk_no, entity_id, chunk_index; postings name chunks by number
     terms: DataFrame  # term, df, impact, max_body, max_title, min_body, min_title
     n_chunks: int
@@ -51,8 +51,15 @@ class LexicalIndex:
     @property
     def postings(self) -> DataFrame:
         """entity_id, chunk_index, term, tf_body, tf_title, len_body, len_title"""
-        rows = self.blocks.select("term", F.explode(F.arrays_zip(*ENTRY)).alias("e"))
-        named = rows.select("term", "e.*").join(self.chunks, "chunk_no")
+
+        def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = pc.list_value_length(batch.column("chunk_no")).to_numpy(zero_copy_only=False)
+                term = batch.column("term").take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
+                yield pa.RecordBatch.from_arrays([term, *(pa.array(x) for x in entries(batch, *ENTRY))], names=["term", *ENTRY])
+
+        rows = self.blocks.select("term", *ENTRY).mapInArrow(flat, "term string, chunk_no long, " + ", ".join(f"{c} int" for c in COUNTS))
+        named = rows.join(self.chunks, "chunk_no")
         return named.select(*CHUNK_KEYS, "term", "tf_body", "tf_title", "len_body", "len_title")
 
     def drop(self) -> None:
@@ -74,14 +81,39 @@ def numbered_chunks(chunks: DataFrame) -> DataFrame:
     return stored(numbered.mapInArrow(count, ", ".join(f"{c} {t}" for c, t in types.items())), "numbered")
 
 
-#: The columns of a posting; a block has an array of each.
-ENTRY = ["chunk_no", "tf_body", "tf_title", "len_body", "len_title"]
+#: The columns of a posting. A block has an array of its chunks, and the bytes of an array of 32-bit integers for each of the counts:
+#: rows then cost what they have columns, and not what they have postings.
+COUNTS = ["tf_body", "tf_title", "len_body", "len_title"]
+ENTRY = ["chunk_no", *COUNTS]
 _BLOCK_COLUMNS = (
     "part int, term string, block_no int, n int, impact double, max_body int, max_title int, min_body int, min_title int, "
-    "chunk_no array<long>, tf_body array<int>, tf_title array<int>, len_body array<int>, len_title array<int>"
+    "chunk_no array<long>, tf_body binary, tf_title binary, len_body binary, len_title binary"
 )
 
 
+def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.BinaryArray:
+    """Runs of ``values``, which start at ``offsets``, as bytes."""
+    ends = pa.py_buffer((offsets * 4).astype(np.int32))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, ends, pa.py_buffer(values.astype("<i4"))])
+
+
+def entries(blocks: pa.Table | pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    """Columns of ENTRY, of the postings of all blocks one after the other."""
+    found = []
+    for name in names:
+        column = blocks.column(name)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        if name == "chunk_no":
+            found.append(column.flatten().to_numpy(zero_copy_only=False))
+        elif not len(column):
+            found.append(np.zeros(0, np.int32))
+        else:
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            data = column.buffers()[2]
+            found.append(np.frombuffer(data, "<i4", (ends[-1] - ends[0]) // 4, ends[0]) if ends[-1] > ends[0] else np.zeros(0, np.int32))
+    return found
+
+
 def _blocks(numbered: DataFrame, block: int, title_weight: int, mean_length: float, k1: float, b: float) -> DataFrame:
     """The postings of each part, counted and cut into blocks. A chunk without a text or a title has none."""
 
@@ -108,13 +140,13 @@ def _blocks(numbered: DataFrame, block: int, title_weight: int, mean_length: flo
         at = np.arange(len(term))
         first = np.maximum.accumulate(np.where(np.append(True, term[1:] != term[:-1]), at, 0)) if len(term) else at
         starts = np.flatnonzero((at - first) % block == 0)
-        entries = [chunk_no[chunk], tf_body, tf_title, len_body[chunk], len_title[chunk]]
+        counts = [tf_body, tf_title, len_body[chunk], len_title[chunk]]
         if not len(starts):
-            starts, extremes = at, [impact, tf_body, tf_title, *entries[3:]]
+            starts, extremes = at, [impact, *counts]
         else:
-            extremes = [np.maximum.reduceat(x, starts) for x in (impact, tf_body, tf_title)] + [np.minimum.reduceat(x, starts) for x in entries[3:]]
-        offsets = pa.array(np.append(starts, len(at)), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64() if c == "chunk_no" else pa.int32())) for c, x in zip(ENTRY, entries)]
+            extremes = [np.maximum.reduceat(x, starts) for x in (impact, tf_body, tf_title)] + [np.minimum.reduceat(x, starts) for x in counts[2:]]
+        offsets = np.append(starts, len(at))
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(chunk_no[chunk], pa.int64())), *(_packed(x, offsets) for x in counts)]
         held = np.diff(np.append(starts, len(at)))
         numbers = [pa.array(x, pa.int32()) for x in (np.full(len(starts), part), (at - first)[starts] // block, held, *extremes[1:])]
         columns = [numbers[0], said.dictionary.take(pa.array(term[starts])), *numbers[1:3], pa.array(extremes[0], pa.float64()), *numbers[3:], *lists]
@@ -147,8 +179,9 @@ def build_index(
     numbered = numbered_chunks(chunks)
     sizes = numbered.agg(F.count("*").alias("n"), F.sum("len_body").alias("body"), F.sum("len_title").alias("title")).first()
     n_chunks, body, title = sizes["n"], sizes["body"] or 0, sizes["title"] or 0
-    # A part is what one task scores at once.
-    part = F.pmod(F.xxhash64("chunk_no"), F.lit(max(PARTS * shards, -(-n_chunks // PART_CHUNKS)))).cast("int")
+    # A part is what one task scores at once. The fewer parts there are, the fewer rows: a term has one at least in each part it is in.
+    parts = max(min(PARTS * spark.sparkContext.defaultParallelism, PARTS * shards), -(-n_chunks // PART_CHUNKS))
+    part = F.pmod(F.xxhash64("chunk_no"), F.lit(parts)).cast("int")
     mean_length = (body + title_weight * title) / max(n_chunks, 1)
     rows = _blocks(numbered.withColumn("part", part).repartition(shards, "part"), block, title_weight, mean_length, k1, b)
     name = f"snaptext_postings_{uuid.uuid4().hex}"
@@ -278,15 +311,15 @@ def _summed(
     def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
         found = []
         if asked.num_rows:
-            held = held.sort_by("held_id")
-            entries = [held.column(c).combine_chunks() for c in ENTRY]
-            sizes = pc.list_value_length(entries[0]).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = pc.list_value_length(held.column("chunk_no")).to_numpy().astype(np.int64)
             starts = np.cumsum(sizes) - sizes
-            chunk_no, tf_body, tf_title, len_body, len_title = (x.flatten().to_numpy(zero_copy_only=False) for x in entries)
+            chunk_no, tf_body, tf_title, len_body, len_title = entries(held, *ENTRY)
             impact = _added(tf_body, tf_title, len_body, len_title, title_weight, mean_length, k1, b)
             chunk, numbers = pd.factorize(chunk_no)
             asked = asked.sort_by([("query_no", "ascending"), ("block_id", "ascending")])
-            place = np.searchsorted(held.column("held_id").to_numpy(), asked.column("block_id").to_numpy())
+            held_id = held.column("held_id").to_numpy()
+            order = np.argsort(held_id)
+            place = order[np.searchsorted(held_id, asked.column("block_id").to_numpy(), sorter=order)]
             weight = asked.column("weight").to_numpy()
             queries, begin = np.unique(asked.column("query_no").to_numpy(), return_index=True)
             for query, low, high in zip(queries, begin, np.append(begin[1:], asked.num_rows)):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from snaptext import settings
 from snaptext.functions import text as tx
-from snaptext.operators.lexical import CHUNK_KEYS, QUERY_KEYS, LexicalIndex
+from snaptext.operators.lexical import CHUNK_KEYS, QUERY_KEYS, LexicalIndex, entries
 from snaptext.scale import small_side
 
 
@@ -73,11 +73,12 @@ def _part_vectors(index: LexicalIndex, idf: DataFrame, dims: int) -> DataFrame:
     held = blocks.select(F.col("part").alias("of_part"), F.col("block_id").alias("held_id"), "chunk_no", "tf_body")
 
     def fill(weighed: pa.Table, held: pa.Table) -> pa.Table:
-        weighed, held = weighed.sort_by("block_id"), held.sort_by("held_id")
-        chunk_no, tf = (held.column(c).combine_chunks() for c in ("chunk_no", "tf_body"))
-        sizes = pc.list_value_length(chunk_no).to_numpy(zero_copy_only=False)
-        chunk_no, tf = (x.flatten().to_numpy(zero_copy_only=False) for x in (chunk_no, tf))
-        slot, weight = (np.repeat(weighed.column(c).to_numpy(), sizes) for c in ("slot", "weight"))
+        sizes = pc.list_value_length(held.column("chunk_no")).to_numpy()
+        chunk_no, tf = entries(held, "chunk_no", "tf_body")
+        block_id = weighed.column("block_id").to_numpy()
+        order = np.argsort(block_id)
+        place = order[np.searchsorted(block_id, held.column("held_id").to_numpy(), sorter=order)]
+        slot, weight = (np.repeat(weighed.column(c).to_numpy()[place], sizes) for c in ("slot", "weight"))
         said = tf > 0
         chunk, numbers = pd.factorize(chunk_no[said])
         # Whole numbers, so that sums don't depend on an order.

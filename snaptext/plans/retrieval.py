@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,28 +14,48 @@ from snaptext.scale import stored
 
 @dataclass
 class SearchTables:
-    """What one corpus needs for retrieval; primary search sees the current snapshot only."""
+    """What one corpus needs for retrieval; primary search sees the current snapshot only.
+
+    Vectors and their lists are made when they are first asked for, so that purely lexical work goes without them.
+    """
 
     chunks: DataFrame
     current: str
     index: lexical.LexicalIndex
-    vectors: DataFrame
-    neighbours: neighbours.VectorIndex
+    dims: int = settings.VECTOR_DIMS
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return stored(vectors.chunk_vectors(self.index, lexical.idf_table(self.index), self.dims), "vectors")
+
+    @cached_property
+    def neighbours(self) -> neighbours.VectorIndex:
+        return neighbours.build(self.vectors, lexical.CHUNK_KEYS, lists_per_root=0.25)
 
 
 def build_search(chunks: DataFrame, current: str, dims: int = settings.VECTOR_DIMS) -> SearchTables:
     now = chunks.where(F.col("snapshot") == current)
-    index = lexical.build_index(now)
-    rows = stored(vectors.chunk_vectors(index, lexical.idf_table(index), dims), "vectors")
-    return SearchTables(chunks, current, index, rows, neighbours.build(rows, lexical.CHUNK_KEYS, lists_per_root=0.25))
+    return SearchTables(chunks, current, lexical.build_index(now), dims)
 
 
 @dataclass
 class RankedLists:
-    """Deep lists of a query batch; shallower ones are their prefixes."""
+    """Deep lists of a query batch; shallower ones are their prefixes. Each is stored when it is first asked for."""
+
+    tables: SearchTables
+    queries: DataFrame
+    aliases: DataFrame | dict[str, list[str]] | None
+    n: int
+    dims: int
+
+    @cached_property
+    def lexical(self) -> DataFrame:
+        return stored(lexical.lexical_hits(self.tables.index, self.queries, self.n, self.aliases), "lexical")
 
-    lexical: DataFrame
-    vector: DataFrame
+    @cached_property
+    def vector(self) -> DataFrame:
+        asked = vectors.query_vectors(self.queries, lexical.idf_table(self.tables.index), self.dims)
+        return stored(neighbours.nearest(asked, self.tables.neighbours, self.n), "nearest")
 
 
 def search(
@@ -45,9 +66,7 @@ def search(
     dims: int = settings.VECTOR_DIMS,
 ) -> RankedLists:
     """Lexical and vector lists for ``query_id, sub_no, text``, stored for reuse."""
-    found = lexical.lexical_hits(tables.index, queries, n, aliases)
-    near = neighbours.nearest(vectors.query_vectors(queries, lexical.idf_table(tables.index), dims), tables.neighbours, n)
-    return RankedLists(stored(found, "lexical"), stored(near, "nearest"))
+    return RankedLists(tables, queries, aliases, n, dims)
 
 
 def hybrid_union(

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snaptext.operators import expansion, fusion, lexical, neighbours, phrases, vectors
+from snaptext.plans import retrieval
 
 CORPUS = [
     ("1", 0, "Back office", "the rules of the back-office and the desk"),
@@ -416,3 +417,36 @@ def test_thresholds_read_first_blocks_only(spark, uneven):
     plan = first._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Filter [^\n]*block_no[^\n]*= 0[^\n]*\n[^\n]*Relation[^\n]*chunk_no", plan)
     assert uneven.blocks.where("n <> size(chunk_no)").count() == 0
+
+
+def test_parts_follow_chunks_not_shuffle_partitions(spark):
+    """A term costs a row in each part that it is in, so many shuffle partitions must not make many parts."""
+    chunks = spark.createDataFrame([(str(i), 0, "t", f"word w{i}") for i in range(200)], "entity_id string, chunk_index int, title string, text string")
+    index = lexical.build_index(chunks, shards=50)
+    most = lexical.PARTS * spark.sparkContext.defaultParallelism
+    assert index.blocks.select("part").distinct().count() <= most and index.blocks.where("term = 'word'").count() <= most
+    index.drop()
+
+
+def test_counts_of_a_block_are_bytes(spark, uneven):
+    """Of large counts too; without a posting there are none."""
+    assert {t for c, t in uneven.blocks.dtypes if c in lexical.COUNTS} == {"binary"}
+    rows = [("1", 0, "t", "much " * 70_000), ("2", 0, "t t", "little")]
+    index = lexical.build_index(spark.createDataFrame(rows, "entity_id string, chunk_index int, title string, text string"))
+    got = {(r["entity_id"], r["term"]): (r["tf_body"], r["tf_title"], r["len_body"], r["len_title"]) for r in index.postings.collect()}
+    assert got == {("1", "much"): (70_000, 0, 70_000, 1), ("1", "t"): (0, 1, 70_000, 1), ("2", "t"): (0, 2, 1, 2), ("2", "little"): (1, 0, 1, 2)}
+    index.drop()
+    empty = lexical.build_index(spark.createDataFrame([], "entity_id string, chunk_index int, title string, text string"))
+    assert empty.postings.count() == 0
+    empty.drop()
+
+
+def test_lexical_lists_need_no_vectors(spark, uneven, monkeypatch):
+    """They are made once, when vector lists are asked for."""
+    built = []
+    monkeypatch.setattr(retrieval.vectors, "chunk_vectors", lambda *a, f=vectors.chunk_vectors: built.append(1) or f(*a))
+    tables = retrieval.SearchTables(spark.range(0), "now", uneven)
+    lists = retrieval.search(tables, queries(spark, ASKED), n=5)
+    assert lists.lexical.count() == 30 and not built
+    assert lists.vector.where("rank > 5").count() == 0 and lists.vector.count() > 0 and built == [1]
+    tables.neighbours.drop()
