@@ -27,7 +27,7 @@ from snaptext.scale import is_small, shared_folder, small_side, spread, stored
 CHUNK_KEYS = ["entity_id", "chunk_index"]
 QUERY_KEYS = ["query_id", "sub_no"]
 #: Postings of a block; parts of a small index per core.
-BLOCK, PARTS = 64, 2
+BLOCK, PARTS = 256, 2
 #: Chunks of a part, about and at most; queries that meet a part at once.
 PART_CHUNKS, QUERY_BLOCK = 16_384, 4096
 #: Scores are ranked to so many digits; thresholds leave room for one more.
