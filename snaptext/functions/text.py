@@ -122,6 +122,15 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
 
 
+def letters(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``normalised`` returns, of many words: the bytes of all, and where each ends."""
+    low = pc.utf8_lower(words)
+    said = np.frombuffer(low.buffers()[2] or b"", np.uint8)
+    kept = _IN_TOKEN[said]
+    ends = np.cumsum(pc.binary_length(low).to_numpy(zero_copy_only=False).astype(np.int64))
+    return said[kept], np.append(0, np.cumsum(kept))[ends]
+
+
 def natural_number(entity: Column, missing: int = 999) -> Column:
     """Leading integer of an id, for sorting ids as people do."""
     digits = F.regexp_extract(entity, r"^\d+", 0)

@@ -5,13 +5,15 @@ import itertools
 import random
 from datetime import date, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
 from snaptext import settings
 from snaptext.checks.bindings import PROBE_DAYS, Data
-from snaptext.operators import changes, evaluation, grounding, textdiff, timelines
+from snaptext.functions import text as tx
+from snaptext.operators import alignment, changes, evaluation, grounding, textdiff, timelines
 
 D = date.fromisoformat
 
@@ -277,6 +279,64 @@ def test_similarity(spark):
             assert similarity == pytest.approx(longest, abs=0.07)
 
 
+def similarity_by_rows(pairs, keys):
+    """Similarity from alignments with a row for each word and letter."""
+    norm = pairs.select(*keys, "old", "new", tx.normalised(F.col("old")).alias("_old"), tx.normalised(F.col("new")).alias("_new"))
+    changed = norm.where("_old <> _new")
+    words = textdiff.aligned(textdiff.pair_words(changed, keys), keys).withColumn("letters", tx.normalised(F.col("word")))
+    held = words.where("partner is not null and side = 0").groupBy(*keys).agg(F.sum(F.length("letters")).alias("n"))
+    rest = words.where("partner is null").groupBy(*keys, "gap", "side").agg(F.array_sort(F.collect_list(F.struct("pos", "letters"))).alias("ws"))
+    letters = rest.select(*keys, F.col("gap").alias("_gap"), "side", F.posexplode(F.split(F.array_join("ws.letters", ""), "")).alias("pos", "word")).where("word <> ''")
+    inner = textdiff.aligned(letters, [*keys, "_gap"], (3, "start", "end")).where("partner is not null and side = 0")
+    matched = held.unionByName(inner.groupBy(*keys).agg(F.count("*").alias("n"))).groupBy(*keys).agg(F.sum("n").alias("matched"))
+    sized = changed.select(*keys, (F.length("_old") + F.length("_new")).alias("total")).join(matched, keys, "left")
+    ratio = 2 * F.coalesce("matched", F.lit(0)) / F.col("total")
+    return sized.select(*keys, F.round(ratio, 3).alias("similarity"), (ratio >= 0.97).alias("small_edit"))
+
+
+def odd_pairs(spark):
+    """Random pairs, blanks and letters of all kinds, and keys that repeat or are null."""
+    rng = random.Random(5)
+    rows = [(k, 0, o, n) for k, (o, n) in random_pairs(seed=6).items()] + [
+        ("null", 0, None, "a"), ("null", 1, "a", None), ("blank", 0, "a\u00a0bc\u3000d\x1ce", "a bc d f"), ("marks", 0, "-- !", "a --"),
+        ("case", 0, "A B \u212aelvin \u0130x Stra\u00dfe", "a b kelvin ix strasse"), ("accents", 0, "\u00e9t\u00e9 l\u00e0 bas", "ete la bas"), (None, 0, "a b c", "a b d"), (None, 0, "x y", "x z"),
+    ]
+    for k in range(20):
+        old = "".join(rng.choice("abcdE -\n") for _ in range(rng.randrange(80)))
+        new = "".join(rng.choice([c, c, c, c.upper(), "x", "", " "]) for c in old)
+        rows += [("again", k, old, new)] * rng.choice([1, 2, 3])
+    return spark.createDataFrame(rows, "k string, i int, old string, new string")
+
+
+def test_similarity_over_arrays_equals_that_by_rows(spark):
+    pairs = odd_pairs(spark)
+    got, want = (sorted(map(str, f(pairs, ["k", "i"]).collect())) for f in (textdiff.similar_pairs, similarity_by_rows))
+    assert len(got) > 70 and got == want
+
+
+def test_similarity_has_no_row_for_a_word_or_letter(spark):
+    """One sort by key, and no rows beside the pairs: time follows the letters, not the rounds of windows over their rows."""
+    text = textdiff.similar_pairs(odd_pairs(spark), ["k", "i"])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and text.count("Window [") == 1 and "Generate" not in text
+
+
+def test_pairs_of_a_key_are_aligned_at_once(spark, monkeypatch):
+    rows = odd_pairs(spark).where("old is not null and new is not null").orderBy("k", "i").toArrow().combine_chunks().to_pydict()
+    of = list(zip(rows["k"], rows["i"]))
+    table = pa.table(rows | {"first": [n == 0 or of[n] != of[n - 1] for n in range(len(of))]})
+
+    def found(at_once, step):
+        monkeypatch.setattr(alignment, "AT_ONCE", at_once)
+        batches = list(alignment.similar_batches(["k", "i"], textdiff.ROUNDS, textdiff.LETTER_ROUNDS)(iter(table.to_batches(max_chunksize=step))))
+        return len(batches), pa.Table.from_batches(batches).to_pylist()
+
+    n, whole = found(1 << 30, 1000)
+    assert n == 1 and len(whole) > 70
+    for at_once, step in ((1, 1000), (1, 1), (300, 7)):
+        n, parts = found(at_once, step)
+        assert n > 10 and parts == whole
+
+
 def test_citations(spark):
     answers = spark.createDataFrame(
         [("q", '{"refused": false, "obligations": [{"citations": [{"entity_id": "Condition 8 - x", "pages": "1-2"}, {"entity_id": "27A"}]},'

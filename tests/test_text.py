@@ -95,3 +95,12 @@ def test_tokens_are_counted_without_them():
         _, of = tx.low_tokens(some)
         assert tx.n_low_tokens(some).tolist() == [int((of == i).sum()) for i in range(len(some))]
     assert tx.n_low_tokens(texts).tolist() == [2, 5, 0, 0, 5, 0, 1]
+
+
+def test_letters_of_words_equal_normalised_texts(spark):
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    words = ["".join(every[i : i + 1000]) for i in range(0, len(every), 1000)] + ["", "Abc-12", "\u0130\u212a"]
+    want = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(tx.normalised(F.col("w"))).collect()]
+    said, ends = tx.letters(pa.array(words))
+    assert [said[a:b].tobytes().decode() for a, b in zip([0, *ends[:-1]], ends)] == want
+    assert tx.letters(pa.array([], pa.string()))[0].size == 0
