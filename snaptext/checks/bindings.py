@@ -7,14 +7,17 @@ a new application sees new data.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from snaptext.functions import html, text as tx
 from snaptext.operators import chunking, fusion, neighbours, textdiff, timelines
 from snaptext.plans import ingest, retrieval
-from snaptext.scale import dealt, only_keys_of, shared_folder, small_side, spread, stored
+from snaptext.scale import dealt, is_small, only_keys_of, shared_folder, small_side, spread, stored
 from snaptext.sources import pages, published, tables
 
 # Fixed values shared with the check SQL.
@@ -201,8 +204,8 @@ class Data:
         longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
         keyed = stored(items.withColumn("word", longest), "passages")
         docs = self.texts("documents", "doc_id").select(F.col("doc_id").cast("string").alias("entity_id"), "text")
-        words = docs.select("entity_id", F.explode(F.array_distinct(F.split("text", "[ \n]+"))).alias("word"))
-        found = words.join(small_side(keyed.where("word is not null").select("query_id", "word")), "word").select("query_id", "entity_id")
+        asked = keyed.where("word is not null").select("query_id", "word")
+        found = _distinct_words(docs, asked.select("word")).join(small_side(asked), "word").select("query_id", "entity_id")
         # One or two words: found by their first characters, at most ``SHORT_KEY`` of them.
         short = keyed.where("word is null").select("query_id", F.substring("passage", 1, SHORT_KEY).alias("part"))
         lengths = sorted(r[0] for r in short.select(F.length("part")).distinct().collect())
@@ -215,7 +218,8 @@ class Data:
         if lengths:
             cut = docs.select("entity_id", F.explode(F.array_distinct(F.concat(*map(substrings, lengths)))).alias("part"))
             found = found.unionByName(cut.join(small_side(short), "part").select("query_id", "entity_id"))
-        checked = found.join(docs, "entity_id").join(small_side(keyed.select("query_id", "passage")), "query_id")
+        found = stored(found, "candidates")
+        checked = found.join(only_keys_of(docs, found, ["entity_id"]), "entity_id").join(small_side(keyed.select("query_id", "passage")), "query_id")
         return checked.where(F.contains("text", F.col("passage"))).select("query_id", "entity_id")
 
     @cached_property
@@ -224,7 +228,8 @@ class Data:
 
     # Histories of labelled documents.
 
-    def document_timeline(self) -> DataFrame:
+    @cached_property
+    def _document_timeline(self) -> DataFrame:
         labels = self.table("labels").select(F.col("doc_id").cast("string").alias("entity_id"), "quality")
         one = self.editions().select("entity_id", "title", "snapshot").join(labels, "entity_id")
         changes = one.select(
@@ -238,7 +243,10 @@ class Data:
             F.max("title").alias("title"),
             F.when(F.max("quality") == 1, F.to_date(F.min("snapshot"))).alias("introduced"),
         )
-        return timelines.build_timeline(changes, about)
+        return stored(timelines.build_timeline(changes, about), "document-timeline")
+
+    def document_timeline(self) -> DataFrame:
+        return self._document_timeline
 
     def document_existence(self) -> DataFrame:
         """Documents known to be introduced: those labelled good, with their first edition."""
@@ -437,6 +445,22 @@ class Data:
         return neighbours.build(self.vector_rows(), ["vec_id"])
 
 
+def _distinct_words(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The distinct words of each document (``entity_id, text``); if few words are ``asked`` for, only those of them, found in Python."""
+    if not is_small(asked):
+        return docs.select("entity_id", F.explode(F.array_distinct(F.split("text", "[ \n]+"))).alias("word"))
+    wanted = docs.sparkSession.sparkContext.broadcast({r[0] for r in asked.distinct().collect()})
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [sorted(wanted.value.intersection(t.replace("\n", " ").split(" "))) if t is not None else [] for t in batch.column("text").to_pylist()]
+            of = np.repeat(np.arange(len(said)), [len(x) for x in said])
+            words = pa.array([w for x in said for w in x], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("entity_id").take(pa.array(of, pa.int64())), words], names=["entity_id", "word"])
+
+    return docs.mapInArrow(find, "entity_id string, word string")
+
+
 _open: dict[tuple[str, str], Data] = {}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,6 +23,8 @@ BLANK_RUN = (
 BLANK_RUN_JAVA = f"[[^!-~]&&{BLANK_RUN[:-1]}]+"
 TOKEN = r"[a-z0-9]+"
 HYPHEN_PAIR = r"[a-z0-9]+-[a-z0-9]+"
+#: Texts that are tokenised at once.
+FEW_TEXTS = 256
 
 
 def strip(text: Column) -> Column:
@@ -68,8 +72,23 @@ _IN_TOKEN[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = Tr
 def low_tokens(low: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     """What ``tokens`` returns, of many texts in lower case (null: none): all tokens in one array, and the text of each.
 
-    The joined forms of hyphenated pairs come last.
+    The joined forms of hyphenated pairs come after the tokens of some texts.
     """
+    found = [(said, of + at) for at, some in _slices(low) for said, of in [_some_tokens(some)]]
+    return (pa.concat_arrays([x for x, _ in found]), np.concatenate([x for _, x in found])) if found else _some_tokens(low)
+
+
+def n_low_tokens(low: pa.StringArray) -> np.ndarray:
+    """How many ``low_tokens`` each text has."""
+    return np.concatenate([np.zeros(0, np.int64), *(_n_some_tokens(some) for _, some in _slices(low))])
+
+
+def _slices(texts: pa.StringArray) -> Iterator[tuple[int, pa.StringArray]]:
+    """Parts of few texts, whose arrays stay small, and where they begin."""
+    return ((at, texts.slice(at, FEW_TEXTS)) for at in range(0, len(texts), FEW_TEXTS))
+
+
+def _some_tokens(low: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     said, first, last, of = _low_runs(low)
     if not len(first):
         return pa.array([], pa.string()), np.zeros(0, np.int64)
@@ -82,8 +101,7 @@ def low_tokens(low: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     return pa.concat_arrays([found, joined]), np.append(of, of[left])
 
 
-def n_low_tokens(low: pa.StringArray) -> np.ndarray:
-    """How many ``low_tokens`` each text has."""
+def _n_some_tokens(low: pa.StringArray) -> np.ndarray:
     said, first, last, of = _low_runs(low)
     return np.bincount(np.append(of, of[_left_of_pairs(said, first, last, of)]), minlength=len(low))
 

@@ -25,6 +25,26 @@ def stub_body(body: Column, entity: Column, title: Column, keyword: str = settin
     return F.when(F.coalesce(tx.strip(body), F.lit("")) == "", stub).otherwise(body)
 
 
+def windows(bodies: list[str | None], size: int, overlap: int) -> Iterator[tuple[int, list[str], int]]:
+    """The place, the windows and the number of words of each body that isn't null.
+
+    An edition often goes on where the one before it ends: its first words and whole windows are known then.
+    """
+    step = size - overlap
+    before, said, whole = None, [], []
+    for row, body in enumerate(bodies):
+        if body is None:
+            continue
+        if before and body.startswith(before) and (body[len(before) :] + " ")[0] in tx.BLANKS:
+            said = said + tx.split_words(body[len(before) :])
+        else:
+            said, whole = tx.split_words(body), []
+        starts = range(0, max(len(said) - overlap, 1), step)
+        found = whole + [" ".join(said[i : i + size]) for i in starts[len(whole) :]]
+        before, whole = body, found[: max(len(said) - size + step, 0) // step]
+        yield row, found, len(said)
+
+
 def chunk_bodies(
     bodies: DataFrame,
     text: str = "body",
@@ -40,18 +60,14 @@ def chunk_bodies(
         for whole in batches:
             for at in range(0, whole.num_rows, CUT_ROWS):
                 batch = whole.slice(at, CUT_ROWS)
-                of, index, windows, sizes = [], [], [], []
-                for row, body in enumerate(batch.column(text).to_pylist()):
-                    if body is None:
-                        continue
-                    said = tx.split_words(body)
-                    starts = range(0, max(len(said) - overlap, 1), step)
-                    of += [row] * len(starts)
-                    index += range(len(starts))
-                    windows += [" ".join(said[i : i + size]) for i in starts]
-                    sizes += [min(size, len(said) - i) for i in starts]
+                of, index, texts, sizes = [], [], [], []
+                for row, mine, n in windows(batch.column(text).to_pylist(), size, overlap):
+                    of += [row] * len(mine)
+                    index += range(len(mine))
+                    texts += mine
+                    sizes += [min(size, n - i * step) for i in range(len(mine))]
                 kept = batch.select(rest).take(pa.array(of, pa.int64()))
-                columns = [*kept.columns, pa.array(index, pa.int32()), pa.array(windows, pa.string()), pa.array(sizes, pa.int32())]
+                columns = [*kept.columns, pa.array(index, pa.int32()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=list(types))
 
     return bodies.select(*rest, text).mapInArrow(cut, ", ".join(f"`{c}` {t}" for c, t in types.items()))

@@ -252,3 +252,19 @@ def test_windows_are_cut_in_arrays(spark):
     chunks = chunking.chunk_bodies(df)
     assert "MapInArrow" in chunks._jdf.queryExecution().optimizedPlan().toString()
     assert {r["entity_id"]: (r["text"], r["n_words"]) for r in chunks.collect()} == {str(i): (" ".join(t.split()), len(t.split())) for i, t in enumerate(texts)}
+
+
+def test_an_edition_that_goes_on_is_split_once(monkeypatch):
+    rng = random.Random(3)
+    bodies = ["", None, " "]
+    for _ in range(200):
+        body = "".join(rng.choice(["a", "bc", " ", "\n", "\u00a0"]) for _ in range(rng.randrange(60)))
+        bodies += [body, body + rng.choice(["", " ", "x", "\nd e f", " g" * 20]), rng.choice([body[:-1], "z"])]
+    said = []
+    split = chunking.tx.split_words
+    monkeypatch.setattr(chunking.tx, "split_words", lambda t: said.append(len(t)) or split(t))
+    for size, overlap in ((7, 2), (3, 0), (175, 25)):
+        want = [(i, [" ".join(b.split()[k : k + size]) for k in range(0, max(len(b.split()) - overlap, 1), size - overlap)], len(b.split())) for i, b in enumerate(bodies) if b is not None]
+        assert list(chunking.windows(bodies, size, overlap)) == want
+    said.clear()
+    assert len(list(chunking.windows(["a b c", "a b c d", "a b c d e f"], 3, 1))) == 3 and sum(said) == len("a b c d e f")

@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
+from snaptext.checks import bindings
 from snaptext.operators import expansion, fusion, lexical, neighbours, phrases, vectors
 from snaptext.plans import retrieval
 
@@ -450,3 +452,16 @@ def test_lexical_lists_need_no_vectors(spark, uneven, monkeypatch):
     assert lists.lexical.count() == 30 and not built
     assert lists.vector.where("rank > 5").count() == 0 and lists.vector.count() > 0 and built == [1]
     tables.neighbours.drop()
+
+
+def test_gold_looks_for_the_words_asked_for_only(spark):
+    docs = spark.createDataFrame([("1", "a bb\nbb c"), ("2", None), ("3", "bbc  c"), ("1", "c")], "entity_id string, text string")
+    asked = spark.createDataFrame([("bb",), ("c",), ("c",), ("x",)], "word string")
+    found = sorted(map(tuple, bindings._distinct_words(docs, asked).collect()))
+    assert found == [("1", "bb"), ("1", "c"), ("1", "c"), ("3", "c")]
+
+
+def test_timeline_of_documents_is_made_once(spark):
+    d = bindings.Data(spark, SMALL)
+    assert d.document_timeline() is d.document_timeline()
+    assert "Window" not in d.document_timeline()._jdf.queryExecution().executedPlan().toString()

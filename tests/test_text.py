@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings as hyp, strategies as st
 from pyspark.sql import functions as F
@@ -104,3 +105,17 @@ def test_letters_of_words_equal_normalised_texts(spark):
     said, ends = tx.letters(pa.array(words))
     assert [said[a:b].tobytes().decode() for a, b in zip([0, *ends[:-1]], ends)] == want
     assert tx.letters(pa.array([], pa.string()))[0].size == 0
+
+
+def test_texts_are_tokenised_a_few_at_once(monkeypatch):
+    texts = pa.array(["a-b c", None, "", "d e-f-g", "-x-", "y\u00e9z 1-2"] * 5)
+    want = Counter(zip(tx.low_tokens(texts)[1].tolist(), tx.low_tokens(texts)[0].to_pylist()))
+    seen = []
+    runs = tx._low_runs
+    monkeypatch.setattr(tx, "_low_runs", lambda low: seen.append(len(low)) or runs(low))
+    monkeypatch.setattr(tx, "FEW_TEXTS", 4)
+    for some in (texts, texts.slice(3, 11)):
+        found, of = tx.low_tokens(some)
+        assert Counter(zip((of + (0 if some is texts else 3)).tolist(), found.to_pylist())) == Counter({k: n for k, n in want.items() if some is texts or 3 <= k[0] < 14})
+        assert tx.n_low_tokens(some).tolist() == np.bincount(of, minlength=len(some)).tolist()
+    assert max(seen) == 4
